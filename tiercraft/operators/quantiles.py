@@ -17,7 +17,9 @@ them all. Here the exact answer comes from distributed selection instead:
 Only counts and a handful of bracket bounds reach the driver; the data are
 scanned once per round, and every target (cut, low quartile, median, ...) is
 served by the same scan. Quantiles use linear interpolation between the two
-order statistics around ``q * (n - 1)``: ``x1 + (x2 - x1) * frac``.
+order statistics around ``h = q * (n - 1)``, evaluated as
+``fma(1 - d, x1, d * x2)`` with ``d = h - floor(h)`` (one rounding of the
+weighted sum; this is what DuckDB's quantile_cont computes, bit for bit).
 """
 
 from __future__ import annotations
@@ -34,6 +36,15 @@ ACCURACY = 20_000       # percentile_approx accuracy (relative error 1/ACCURACY)
 MAX_ROUNDS = 12
 
 
+def interpolate(x1: float, x2: float, h: float) -> float:
+    """Linear interpolation between the order statistics at floor(h) and
+    ceil(h)."""
+    d = h - math.floor(h)
+    if d == 0 or x1 == x2:
+        return x1
+    return math.fma(1.0 - d, x1, d * x2)
+
+
 def _values(df: DataFrame, value: Column | str) -> DataFrame:
     v = F.col(value) if isinstance(value, str) else value
     v = F.nanvl(v.cast("double"), F.lit(None).cast("double"))
@@ -96,8 +107,7 @@ def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float],
     out = {}
     for k, p in probs.items():
         h = (n - 1) * float(p)
-        x1, x2 = got[f"{k}__lo"], got[f"{k}__hi"]
-        out[k] = x1 + (x2 - x1) * (h - math.floor(h)) if x1 != x2 else x1
+        out[k] = interpolate(got[f"{k}__lo"], got[f"{k}__hi"], h)
     return out
 
 
