@@ -128,6 +128,7 @@ class CleanResult:
     report: DataFrame        # (line_no, line)
     metrics: DataFrame       # one row: rows, imputed, flagged, median, issue_rate, ...
     median: float | None
+    issue_rate: float | None = None   # known once the counts ran (value column present)
 
 
 def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str | None = None,
@@ -156,8 +157,10 @@ def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str |
         aggs.append(F.lit(0).cast("bigint").alias("flagged"))
     # Counts are taken on the pre-fill frame; the fill itself is lazy.
     counted = out.agg(*aggs)
+    rate = None
     if has_value:
         stats = counted.first()
+        rate = (stats["imputed"] + stats["flagged"]) / max(stats["rows"], 1)
         if stats["imputed"]:
             med = quantiles(out, value_col, {"m": 0.5}, method=method)["m"]
             out = out.withColumn(value_col, F.coalesce(F.col(value_col),
@@ -180,7 +183,7 @@ def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str |
     tidy = F.lit("No cleaning issues found. The data was already tidy.")
     lines = report + [F.when(F.size(F.array_compact(F.array(*report))) == 0, tidy)
                       if report else tidy]
-    return CleanResult(out, lines_frame(counted, lines), metrics, med)
+    return CleanResult(out, lines_frame(counted, lines), metrics, med, rate)
 
 
 def value_parse_rate(df: DataFrame, value_col: str) -> DataFrame:

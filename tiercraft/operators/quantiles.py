@@ -5,21 +5,25 @@ reducer: for a global cut over billions of distinct values that reducer holds
 them all. Here the exact answer comes from distributed selection instead:
 
 1. one aggregate pass counts the non-null values (n) and gives min / max;
-2. while the bracket around a target rank holds more than ``final_limit``
-   values, one aggregate pass per round counts the values below / on / inside
-   the bracket and takes a ``percentile_approx`` grid of the bracket interior;
-   the bracket shrinks to the grid points around the target (a few hundred
-   times smaller per round). Endpoint ties are counted, so a value that
-   holds a third of all rows resolves at once instead of stalling;
-3. the last, bounded bracket is histogrammed (``groupBy(value).count()``,
-   combined map-side) and a running count per target picks the exact value.
-
-Only counts and a handful of bracket bounds reach the driver; the data are
-scanned once per round, and every target (cut, low quartile, median, ...) is
-served by the same scan. Quantiles use linear interpolation between the two
-order statistics around ``h = q * (n - 1)``, evaluated as
-``fma(1 - d, x1, d * x2)`` with ``d = h - floor(h)`` (one rounding of the
-weighted sum; this is what DuckDB's quantile_cont computes, bit for bit).
+2. when n is at most ``final_limit`` the values are histogrammed at once
+   (``groupBy(value).count()``, combined map-side) and a running count picks
+   every target: two jobs in all;
+3. otherwise, while the bracket around a target rank holds more than
+   ``final_limit`` values, one aggregate pass per round counts the values
+   below / on / inside the bracket and takes a ``percentile_approx`` grid of
+   the bracket interior; the bracket shrinks to the grid points around the
+   target (a few hundred times smaller per round). Endpoint ties are counted,
+   so a value that holds a third of all rows resolves at once instead of
+   stalling. The last, bounded bracket is histogrammed as in 2.
+
+Only counts and a handful of bracket bounds reach the driver. Several
+columns are served by the same scans: values are tagged with a column key
+(``explode``), and every target of every column shares each pass.
+
+Quantiles interpolate linearly between the two order statistics around
+``h = q * (n - 1)``, evaluated as ``fma(1 - d, x1, d * x2)`` with
+``d = h - floor(h)`` (one rounding of the weighted sum; this is what
+DuckDB's quantile_cont computes, bit for bit).
 """
 
 from __future__ import annotations
@@ -45,16 +49,27 @@ def interpolate(x1: float, x2: float, h: float) -> float:
     return math.fma(1.0 - d, x1, d * x2)
 
 
-def _values(df: DataFrame, value: Column | str) -> DataFrame:
+def _as_col(value: Column | str) -> Column:
     v = F.col(value) if isinstance(value, str) else value
-    v = F.nanvl(v.cast("double"), F.lit(None).cast("double"))
-    return df.select(v.alias("v")).where(F.col("v").isNotNull())
+    return F.nanvl(v.cast("double"), F.lit(None).cast("double"))
 
 
-def value_count(df: DataFrame, value: Column | str) -> tuple[int, float | None, float | None]:
-    row = _values(df, value).agg(F.count("v").alias("n"), F.min("v").alias("mn"),
-                                 F.max("v").alias("mx")).first()
-    return int(row["n"]), row["mn"], row["mx"]
+def _tall(df: DataFrame, columns: list[Column | str]) -> DataFrame:
+    """(k, v): non-null values of each column tagged with its position."""
+    if len(columns) == 1:
+        out = df.select(F.lit(0).alias("k"), _as_col(columns[0]).alias("v"))
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("k"), _as_col(c).alias("v"))
+                          for i, c in enumerate(columns)])
+        out = df.select(F.inline(pairs))
+    return out.where(F.col("v").isNotNull())
+
+
+def _counts(tall: DataFrame, nkeys: int) -> dict[int, tuple[int, float, float]]:
+    rows = tall.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("mn"),
+                                 F.max("v").alias("mx")).collect()
+    got = {r["k"]: (int(r["n"]), r["mn"], r["mx"]) for r in rows}
+    return {k: got.get(k, (0, None, None)) for k in range(nkeys)}
 
 
 def order_statistics(df: DataFrame, value: Column | str,
@@ -63,12 +78,13 @@ def order_statistics(df: DataFrame, value: Column | str,
     """Values at 0-based ascending ranks among the non-null values of ``value``.
 
     ``ranks`` may be a function of n (the non-null count)."""
-    vals = _values(df, value)
-    n, mn, mx = value_count(df, value)
-    wanted = ranks(n) if callable(ranks) else ranks
+    tall = _tall(df, [value])
+    n, mn, mx = _counts(tall, 1)[0]
+    wanted = dict(ranks(n) if callable(ranks) else ranks)
     if n == 0:
         return {k: None for k in wanted}
-    return _select(vals, n, mn, mx, dict(wanted), final_limit)
+    got = _select(tall, {0: (n, mn, mx)}, {k: (0, r) for k, r in wanted.items()}, final_limit)
+    return got
 
 
 def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float],
@@ -79,74 +95,101 @@ def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float],
     method: ``exact`` (distributed selection, default), ``spark`` (built-in
     ``percentile``; exact but one reducer holds every distinct value) or
     ``approx`` (``percentile_approx``: an element, not an interpolation)."""
-    if method == "spark":
-        vals = _values(df, value)
-        row = vals.agg(*[F.percentile("v", float(p)).alias(k) for k, p in probs.items()]).first()
-        return {k: row[k] for k in probs}
-    if method == "approx":
-        vals = _values(df, value)
-        row = vals.agg(*[F.percentile_approx("v", float(p), ACCURACY).alias(k)
-                         for k, p in probs.items()]).first()
-        return {k: row[k] for k in probs}
+    return multi_quantiles(df, {k: (value, p) for k, p in probs.items()}, method, final_limit)
+
+
+def multi_quantiles(df: DataFrame, specs: Mapping[str, tuple[Column | str, float]],
+                    method: str = "exact", final_limit: int = FINAL_LIMIT
+                    ) -> dict[str, float | None]:
+    """Quantiles of several columns at once: ``{name: (column, prob)}``.
+    Targets on the same column (same name or Column object) share a key."""
+    if not specs:
+        return {}
+    if method in ("spark", "approx"):
+        aggs = []
+        for name, (c, p) in specs.items():
+            v = _as_col(c)
+            aggs.append((F.percentile(v, float(p)) if method == "spark"
+                         else F.percentile_approx(v, float(p), ACCURACY)).alias(name))
+        row = df.agg(*aggs).first()
+        return {k: row[k] for k in specs}
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    def ranks_for(n: int) -> dict[str, int]:
-        out = {}
-        for k, p in probs.items():
+    columns: list[Column | str] = []
+    key_of: dict[str, int] = {}
+    for name, (c, _) in specs.items():
+        for i, seen in enumerate(columns):
+            if seen is c or (isinstance(c, str) and isinstance(seen, str) and seen == c):
+                key_of[name] = i
+                break
+        else:
+            key_of[name] = len(columns)
+            columns.append(c)
+    tall = _tall(df, columns)
+    stats = _counts(tall, len(columns))
+    targets: dict[str, tuple[int, int]] = {}
+    for name, (_, p) in specs.items():
+        n = stats[key_of[name]][0]
+        if n:
             h = (n - 1) * float(p)
-            out[f"{k}__lo"] = int(math.floor(h))
-            out[f"{k}__hi"] = int(math.ceil(h))
-        return out
-
-    vals = _values(df, value)
-    n, mn, mx = value_count(df, value)
-    if n == 0:
-        return {k: None for k in probs}
-    got = _select(vals, n, mn, mx, ranks_for(n), final_limit)
-    out = {}
-    for k, p in probs.items():
-        h = (n - 1) * float(p)
-        out[k] = interpolate(got[f"{k}__lo"], got[f"{k}__hi"], h)
+            targets[f"{name}__lo"] = (key_of[name], int(math.floor(h)))
+            targets[f"{name}__hi"] = (key_of[name], int(math.ceil(h)))
+    got = _select(tall, stats, targets, final_limit) if targets else {}
+    out: dict[str, float | None] = {}
+    for name, (_, p) in specs.items():
+        n = stats[key_of[name]][0]
+        if not n:
+            out[name] = None
+            continue
+        out[name] = interpolate(got[f"{name}__lo"], got[f"{name}__hi"], (n - 1) * float(p))
     return out
 
 
-def _select(vals: DataFrame, n: int, mn: float, mx: float, ranks: dict[str, int],
-            final_limit: int) -> dict[str, float]:
-    # Distinct rank targets only; names map onto them afterwards.
+def _select(tall: DataFrame, stats: dict[int, tuple[int, float, float]],
+            ranks: dict[str, tuple[int, int]], final_limit: int) -> dict[str, float]:
+    """Exact values at (key, rank) targets of a tagged (k, v) frame."""
     targets = sorted(set(ranks.values()))
-    answer: dict[int, float] = {}
-    # bracket state per target rank: closed [lo, hi] plus count below lo
-    state = {r: {"lo": mn, "hi": mx, "grid": n > final_limit, "prev": None} for r in targets}
-    final: dict[int, tuple[float, float, int]] = {}   # r -> (lo, hi, rank inside open (lo,hi))
+    answer: dict[tuple[int, int], float] = {}
+    # Final picks: target -> (lo, hi, closed bracket?, rank inside the bracket).
+    final: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
+    state = {}
+    for t in targets:
+        n, mn, mx = stats[t[0]]
+        if n <= final_limit:
+            final[t] = (mn, mx, True, t[1])
+        else:
+            state[t] = {"lo": mn, "hi": mx, "grid": True, "prev": None}
     grid_probs = [i / GRID for i in range(GRID + 1)]
     eps = 1.0 / ACCURACY
+    k, v = F.col("k"), F.col("v")
 
     for _ in range(MAX_ROUNDS):
-        open_targets = [r for r in targets if r not in answer and r not in final]
+        open_targets = [t for t in state if t not in answer and t not in final]
         if not open_targets:
             break
-        v = F.col("v")
         aggs = []
-        for i, r in enumerate(open_targets):
-            s = state[r]
+        for i, t in enumerate(open_targets):
+            s = state[t]
+            mine = k == F.lit(t[0])
             lo, hi = F.lit(s["lo"]), F.lit(s["hi"])
-            aggs += [F.count_if(v < lo).alias(f"b{i}"), F.count_if(v == lo).alias(f"el{i}"),
-                     F.count_if(v == hi).alias(f"eh{i}"),
-                     F.count_if((v > lo) & (v < hi)).alias(f"in{i}")]
+            inside = mine & (v > lo) & (v < hi)
+            aggs += [F.count_if(mine & (v < lo)).alias(f"b{i}"),
+                     F.count_if(mine & (v == lo)).alias(f"el{i}"),
+                     F.count_if(mine & (v == hi)).alias(f"eh{i}"),
+                     F.count_if(inside).alias(f"in{i}")]
             if s["grid"]:
-                aggs.append(F.percentile_approx(F.when((v > lo) & (v < hi), v),
-                                                grid_probs, ACCURACY).alias(f"g{i}"))
-        row = vals.agg(*aggs).first()
-        for i, r in enumerate(open_targets):
-            s = state[r]
+                aggs.append(F.percentile_approx(F.when(inside, v), grid_probs, ACCURACY)
+                            .alias(f"g{i}"))
+        row = tall.agg(*aggs).first()
+        for i, t in enumerate(open_targets):
+            s = state[t]
             below, eq_lo, eq_hi, inner = (row[f"b{i}"], row[f"el{i}"], row[f"eh{i}"],
                                           row[f"in{i}"])
             if s["lo"] == s["hi"]:
                 eq_hi, inner = 0, 0
-            j = r - below
-            total = eq_lo + inner + eq_hi
-            if j < 0 or j >= total:
+            j = t[1] - below
+            if j < 0 or j >= eq_lo + inner + eq_hi:
                 # The approximate grid missed (outside its error bound): go
                 # back to the previous bracket and refine it more cautiously.
                 prev = s["prev"]
@@ -156,11 +199,11 @@ def _select(vals: DataFrame, n: int, mn: float, mx: float, ranks: dict[str, int]
                 s["widen"] = s.get("widen", 1) * 4
                 continue
             if j < eq_lo:
-                answer[r] = s["lo"]
+                answer[t] = s["lo"]
             elif j >= eq_lo + inner:
-                answer[r] = s["hi"]
+                answer[t] = s["hi"]
             elif inner <= final_limit:
-                final[r] = (s["lo"], s["hi"], j - eq_lo)
+                final[t] = (s["lo"], s["hi"], False, j - eq_lo)
             elif s["grid"] and row[f"g{i}"] is not None:
                 grid = row[f"g{i}"]
                 q = (j - eq_lo) / inner
@@ -175,22 +218,37 @@ def _select(vals: DataFrame, n: int, mn: float, mx: float, ranks: dict[str, int]
         raise RuntimeError("order statistic did not converge")
 
     if final:
-        answer.update(_final_pick(vals, final))
-    return {name: answer[r] for name, r in ranks.items()}
-
-
-def _final_pick(vals: DataFrame, final: dict[int, tuple[float, float, int]]) -> dict[int, float]:
-    """Exact pick inside bounded open brackets: histogram + running count."""
-    v = F.col("v")
-    tids = list(final)
-    tags = F.array_compact(F.array(*[
-        F.when((v > F.lit(lo)) & (v < F.lit(hi)), F.lit(t)) for t, (lo, hi, _) in final.items()]))
-    hist = (vals.select(v, F.explode(tags).alias("tid"))
-            .groupBy("tid", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding,
+        answer.update(_final_pick(tall, final))
+    return {name: answer[t] for name, t in ranks.items()}
+
+
+def _final_pick(tall: DataFrame, final: dict[tuple[int, int], tuple[float, float, bool, int]]
+                ) -> dict[tuple[int, int], float]:
+    """Exact pick inside bounded brackets: histogram + running count.
+
+    Targets that share a bracket share its histogram. Each value is tagged
+    with the brackets that hold it; the running-count window is partitioned
+    by bracket, and every partition is bounded by ``final_limit`` values."""
+    k, v = F.col("k"), F.col("v")
+    brackets: dict[tuple, int] = {}
+    for t, (lo, hi, closed, _) in final.items():
+        brackets.setdefault((t[0], lo, hi, closed), len(brackets))
+    conds = []
+    for (key, lo, hi, closed), b in brackets.items():
+        inside = ((v >= F.lit(lo)) & (v <= F.lit(hi))) if closed else \
+            ((v > F.lit(lo)) & (v < F.lit(hi)))
+        conds.append(F.when((k == F.lit(key)) & inside, F.lit(b)))
+    tags = conds[0] if len(conds) == 1 else F.explode(F.array_compact(F.array(*conds)))
+    hist = (tall.select(v, tags.alias("bid")).where(F.col("bid").isNotNull())
+            .groupBy("bid", "v").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding,
                                                            Window.currentRow)
-    want = F.create_map(*[x for t in tids for x in (F.lit(t), F.lit(final[t][2]))])
-    picked = (hist.withColumn("cum", F.sum("c").over(w))
-              .where(F.col("cum") > F.element_at(want, F.col("tid")))
-              .groupBy("tid").agg(F.min("v").alias("v")))
-    return {r["tid"]: r["v"] for r in picked.collect()}
+    run = hist.withColumn("cum", F.sum("c").over(w))
+    ids = {t: i for i, t in enumerate(final)}
+    picks = []
+    for t, (lo, hi, closed, j) in final.items():
+        b = brackets[(t[0], lo, hi, closed)]
+        picks.append(F.min(F.when((F.col("bid") == F.lit(b)) & (F.col("cum") > F.lit(j)),
+                                  F.col("v"))).alias(f"p{ids[t]}"))
+    row = run.agg(*picks).first()
+    return {t: row[f"p{i}"] for t, i in ids.items()}

@@ -12,7 +12,7 @@ from tiercraft.config import (COMPANY_DORMANT_MONTHS, COMPANY_LEVERAGE_LIMIT,
                               VALUE_CUT_QUANTILE, VALUE_LOW_QUANTILE)
 from tiercraft.functions.dates import days_since, parse_date
 from tiercraft.functions.numbers import money_value, parse_strict, round_half_even
-from tiercraft.operators.quantiles import quantiles
+from tiercraft.operators.quantiles import multi_quantiles, quantiles
 
 
 def _numeric(df: DataFrame, name: str) -> Column:
@@ -107,16 +107,19 @@ def segment_custom(df: DataFrame, value_col: str, recency_col: str | None = None
     median. Value >= q75: High Value ...; value <= q25: Low Value ...;
     else Mid Tier ... (value only: Top / Bottom / Middle Tier)."""
     df = df.withColumn(value_col, money_value(df, value_col))
-    q = quantiles(df, value_col, {"cut": VALUE_CUT_QUANTILE, "low": VALUE_LOW_QUANTILE},
-                  method=method)
-    cut, low = q["cut"], q["low"]
     use_recency = bool(recency_col) and recency_col in df.columns
     if use_recency:
         df = df.withColumn("_recency", custom_recency(df, recency_col, as_of))
+    specs = {"cut": (value_col, VALUE_CUT_QUANTILE), "low": (value_col, VALUE_LOW_QUANTILE)}
+    with_recency = approach == "Value + Recency" and use_recency
+    if with_recency:
+        specs["med"] = ("_recency", 0.5)
+    q = multi_quantiles(df, specs, method=method)
+    cut, low = q["cut"], q["low"]
     v = F.col(value_col)
     c, lo = F.lit(cut).cast("double"), F.lit(low).cast("double")
-    if approach == "Value + Recency" and use_recency:
-        med = quantiles(df, "_recency", {"m": 0.5}, method=method)["m"]
+    if with_recency:
+        med = q["med"]
         stale = F.coalesce(F.col("_recency") > F.lit(med).cast("double"), F.lit(False))
         seg = (F.when(v.isNull(), "Needs Review")
                .when(v >= c, F.when(stale, "High Value At Risk").otherwise("High Value Active"))

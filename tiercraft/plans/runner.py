@@ -69,9 +69,10 @@ class _Stages:
 
 def _quarantine(df: DataFrame, cfg: ModeConfig, stages: _Stages):
     t0 = time.perf_counter()
-    rows_in = df.count()
     classified = quality.classify_identity(df, cfg.id_col).persist(STORAGE)
-    kept_n = classified.where(F.col(quality.REASON).isNull()).count()
+    split = classified.agg(F.count(F.lit(1)).alias("n"),
+                           F.count_if(F.col(quality.REASON).isNull()).alias("kept")).first()
+    rows_in, kept_n = split["n"], split["kept"]
     stages.log.append({"Stage": "Quarantine", "Rows in": rows_in, "Rows out": kept_n,
                        "Seconds": round(time.perf_counter() - t0, 3)})
     kept = classified.where(F.col(quality.REASON).isNull()).drop(quality.REASON)
@@ -95,7 +96,8 @@ def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig =
                        "Rows in": n_clean, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
     cleaned_df.unpersist()
-    rate = cleaned.metrics.first()["issue_rate"]
+    rate = cleaned.issue_rate if cleaned.issue_rate is not None else \
+        cleaned.metrics.first()["issue_rate"]
     return RunResult(cfg, classified, kept, rejects, seg, cut, cleaned.report, rate,
                      quality.health(df, "players"), MEANINGS_BY_MODE["players"], stages.log,
                      rollup.pareto(seg))
@@ -114,7 +116,8 @@ def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exa
     stages.log.append({"Stage": "Segment", "Rows in": n_clean, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
     cleaned_df.unpersist()
-    rate = cleaned.metrics.first()["issue_rate"]
+    rate = cleaned.issue_rate if cleaned.issue_rate is not None else \
+        cleaned.metrics.first()["issue_rate"]
     return RunResult(cfg, classified, kept, rejects, seg, cut, cleaned.report, rate,
                      quality.health(df, "companies"), MEANINGS_BY_MODE["companies"],
                      stages.log)
