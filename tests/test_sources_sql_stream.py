@@ -107,3 +107,18 @@ def test_segment_players_on_csv_text_values(spark, tmpdir_path):
     got = {r.PlayerID: r.Segment for r in seg.collect()}
     assert got == {"A": "Active Developing", "B": "Churned Low Value", "C": "Active Developing",
                    "D": "VIP High Value"}
+
+
+def test_runner_checkpoint_mode_and_shuffle_fallback(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "players.csv")
+    _write(p, CSV)
+    a = runner.run_players(read_records(spark, p))
+    b = runner.run_players(read_records(spark, p), keep="checkpoint")
+    key = ["PlayerID", "NetADT", "Segment"]
+    assert sorted(map(tuple, a.segmented.select(key).collect())) == \
+        sorted(map(tuple, b.segmented.select(key).collect()))
+    lazy = quality.classify_identity(read_records(spark, p), "PlayerID", broadcast_max_bytes=0)
+    assert sorted(r.QuarantineReason or "" for r in lazy.collect()) == sorted(
+        r.QuarantineReason or "" for r in a.classified.collect())
+    a.release()
+    b.release()

@@ -1,0 +1,29 @@
+"""Size-checked broadcast for join sides whose size is only known at run time."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest build side broadcast after measuring it (bytes in memory).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """In-memory size of a cached, materialised frame (Spark's own statistic
+    of the cached relation, not an estimate from the input files)."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
+                      ) -> tuple[DataFrame, bool]:
+    """Materialise ``df`` and return it with a broadcast hint when its
+    measured size is within ``max_bytes``; otherwise return it unhinted (the
+    join then shuffles both sides, and AQE splits skewed keys)."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.count()
+    if measured_bytes(cached) <= max_bytes:
+        return F.broadcast(cached), True
+    return cached, False

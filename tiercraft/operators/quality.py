@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tiercraft.functions.numbers import fmt_fixed, money_value, parse_strict
 from tiercraft.functions.text import (consent_standardise, flag_issue, flag_missing,
                                       id_is_missing, normalise_id)
+from tiercraft.operators.joins import BROADCAST_MAX_BYTES, bounded_broadcast
 from tiercraft.operators.quantiles import quantiles
 from tiercraft.sources.readers import ROW_ORDER
 
@@ -34,16 +35,21 @@ def lines_frame(df_one_row: DataFrame, lines: list[Column]) -> DataFrame:
 # F1 quarantine
 # --------------------------------------------------------------------------
 
-def classify_identity(df: DataFrame, id_col: str | None) -> DataFrame:
+def classify_identity(df: DataFrame, id_col: str | None,
+                      broadcast_max_bytes: int | None = BROADCAST_MAX_BYTES) -> DataFrame:
     """Add ``QuarantineReason`` (first column; NULL for kept rows).
 
     Missing id: NULL or stripped text in {'', 'nan', 'None', 'NaN'}.
     Duplicate: a later row (by ``_row_order``) with the same stripped id.
 
-    The first occurrence per id is found by an aggregate (``min(_row_order)``
-    per key, combined map-side) joined back on the key, so an id repeated
-    on a third of all rows never lands in one window task; AQE splits the
-    skewed join partition. Missing ids never enter the aggregate.
+    Only ids that occur more than once matter, so an aggregate finds them
+    with their first ``_row_order`` (combined map-side: an id repeated on a
+    third of all rows costs one partial row per task) and only those keys
+    are joined back. That set is materialised and broadcast when its
+    measured size is within ``broadcast_max_bytes`` -- the input is then
+    never shuffled; otherwise the join shuffles and AQE splits the skewed
+    partitions. Missing ids never enter the aggregate. ``None`` keeps the
+    whole thing lazy (the join strategy is left to the planner).
     """
     if not id_col or id_col not in df.columns:
         return df.select(F.lit(None).cast("string").alias(REASON), *df.columns)
@@ -51,11 +57,15 @@ def classify_identity(df: DataFrame, id_col: str | None) -> DataFrame:
     key = normalise_id(F.col(id_col), dtype)
     missing = id_is_missing(F.col(id_col), dtype)
     tagged = df.withColumn("_qkey", F.when(~missing, key))
-    firsts = (tagged.where(F.col("_qkey").isNotNull())
-              .groupBy("_qkey").agg(F.min(ROW_ORDER).alias("_qfirst")))
-    joined = tagged.join(firsts, "_qkey", "left")
+    dups = (tagged.where(F.col("_qkey").isNotNull())
+            .groupBy("_qkey").agg(F.min(ROW_ORDER).alias("_qfirst"),
+                                  F.count(F.lit(1)).alias("_qn"))
+            .where(F.col("_qn") > 1).select("_qkey", "_qfirst"))
+    if broadcast_max_bytes is not None:
+        dups, _ = bounded_broadcast(dups, broadcast_max_bytes)
+    joined = tagged.join(dups, "_qkey", "left")
     reason = (F.when(F.col("_qkey").isNull(), F.lit(f"Missing {id_col}"))
-              .when(F.col(ROW_ORDER) != F.col("_qfirst"),
+              .when(F.col("_qfirst").isNotNull() & (F.col(ROW_ORDER) != F.col("_qfirst")),
                     F.lit(f"Duplicate {id_col} (first occurrence kept)")))
     return joined.select(reason.alias(REASON), *[F.col(f"`{c}`") for c in df.columns])
 

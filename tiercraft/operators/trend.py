@@ -10,6 +10,7 @@ from tiercraft.config import HIGH_VALUE_SEGMENTS, TREND_LIMIT_PCT
 from tiercraft.functions.numbers import (fmt_fixed, fmt_money, fmt_pct_signed, money_value,
                                          parse_strict, round_half_even)
 from tiercraft.functions.text import normalise_id
+from tiercraft.operators.joins import BROADCAST_MAX_BYTES, bounded_broadcast
 from tiercraft.operators.ranking import small_rank
 from tiercraft.sources.readers import ROW_ORDER
 
@@ -33,16 +34,21 @@ def trend_label(pct) -> F.Column:
             .otherwise("Stable"))
 
 
-def apply_trend(seg: DataFrame, prev: DataFrame, id_col: str) -> DataFrame:
+def apply_trend(seg: DataFrame, prev: DataFrame, id_col: str,
+                broadcast_max_bytes: int | None = BROADCAST_MAX_BYTES) -> DataFrame:
     """Current LEFT JOIN deduplicated prior on the stripped id; adds
     NetADT_Prev, TrendPct = round((cur - prev) / prev * 100, 1) (prior 0
     gives NULL) and Trend. Unchanged when the prior lacks the id or NetADT.
-    The join keeps the row count (the prior side is unique per key); AQE
-    broadcasts the prior side when its measured size allows, else
-    sort-merges."""
+    The join keeps the row count (the prior side is unique per key). The
+    deduplicated prior is materialised and broadcast when its measured size
+    is within ``broadcast_max_bytes`` (the current side then never
+    shuffles); otherwise both sides shuffle on the key, which is unique on
+    both sides, so no partition is skewed."""
     if id_col not in prev.columns or "NetADT" not in prev.columns:
         return seg
     p = dedupe_prior(prev, id_col)
+    if broadcast_max_bytes is not None:
+        p, _ = bounded_broadcast(p, broadcast_max_bytes)
     key = normalise_id(F.col(id_col), seg.schema[id_col].dataType)
     cur = parse_strict(seg, "NetADT")
     out = seg.withColumn("_join_id", key).join(p, "_join_id", "left")

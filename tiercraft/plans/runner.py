@@ -17,10 +17,28 @@ from pyspark.sql import functions as F
 
 from tiercraft.config import COMPANIES, MEANINGS_BY_MODE, PLAYERS, ModeConfig
 from tiercraft.operators import quality, rollup, segment, trend
+from tiercraft.session import ensure_checkpoint_dir
 
 STORAGE = StorageLevel.MEMORY_AND_DISK
 
 
+def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
+    """Keep a stage for reuse. ``persist``: executor memory/disk, rebuilt from
+    lineage if an executor is lost. ``checkpoint``: written to the shared
+    ``spark.checkpoint.dir``, lineage cut (for very long or costly inputs).
+    The persisted form is lazy (the stage's count fills it); the checkpoint
+    is written at once, computed a single time through a transient cache."""
+    if how == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        cached = df.persist(STORAGE)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
+    if how == "persist":
+        return df.persist(STORAGE)
+    raise ValueError(f"unknown materialisation {how!r}")
+
+
 @dataclass
 class RunResult:
     cfg: ModeConfig
@@ -55,12 +73,13 @@ class RunResult:
 
 
 class _Stages:
-    def __init__(self):
+    def __init__(self, keep: str = "persist"):
         self.log: list[dict] = []
+        self.keep = keep
 
     def run(self, name: str, rows_in: int, frame: DataFrame) -> tuple[DataFrame, int]:
         t0 = time.perf_counter()
-        frame = frame.persist(STORAGE)
+        frame = materialize(frame, self.keep)
         n = frame.count()
         self.log.append({"Stage": name, "Rows in": rows_in, "Rows out": n,
                          "Seconds": round(time.perf_counter() - t0, 3)})
@@ -69,7 +88,7 @@ class _Stages:
 
 def _quarantine(df: DataFrame, cfg: ModeConfig, stages: _Stages):
     t0 = time.perf_counter()
-    classified = quality.classify_identity(df, cfg.id_col).persist(STORAGE)
+    classified = materialize(quality.classify_identity(df, cfg.id_col), stages.keep)
     split = classified.agg(F.count(F.lit(1)).alias("n"),
                            F.count_if(F.col(quality.REASON).isNull()).alias("kept")).first()
     rows_in, kept_n = split["n"], split["kept"]
@@ -81,8 +100,9 @@ def _quarantine(df: DataFrame, cfg: ModeConfig, stages: _Stages):
 
 
 def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig = PLAYERS,
-                as_of: datetime | str | None = None, method: str = "exact") -> RunResult:
-    stages = _Stages()
+                as_of: datetime | str | None = None, method: str = "exact",
+                keep: str = "persist") -> RunResult:
+    stages = _Stages(keep)
     classified, kept, rejects, kept_n = _quarantine(df, cfg, stages)
     cleaned = quality.clean(kept, cfg.value_col, cfg.consent_cols, cfg.flag_col, method)
     cleaned_df, n_clean = stages.run("Clean", kept_n, cleaned.cleaned)
@@ -90,7 +110,7 @@ def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig =
     seg, cut = segment.segment_players(cleaned_df, as_of=as_of, method=method)
     if prev is not None:
         seg = trend.apply_trend(seg, prev, cfg.id_col)
-    seg = seg.persist(STORAGE)
+    seg = materialize(seg, stages.keep)
     n_seg = seg.count()
     stages.log.append({"Stage": "Segment + Trend" if prev is not None else "Segment",
                        "Rows in": n_clean, "Rows out": n_seg,
@@ -103,15 +123,15 @@ def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig =
                      rollup.pareto(seg))
 
 
-def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exact"
-                  ) -> RunResult:
-    stages = _Stages()
+def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exact",
+                  keep: str = "persist") -> RunResult:
+    stages = _Stages(keep)
     classified, kept, rejects, kept_n = _quarantine(df, cfg, stages)
     cleaned = quality.clean(kept, cfg.value_col, cfg.consent_cols, cfg.flag_col, method)
     cleaned_df, n_clean = stages.run("Clean", kept_n, cleaned.cleaned)
     t0 = time.perf_counter()
     seg, cut = segment.segment_companies(cleaned_df, method=method)
-    seg = seg.persist(STORAGE)
+    seg = materialize(seg, stages.keep)
     n_seg = seg.count()
     stages.log.append({"Stage": "Segment", "Rows in": n_clean, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
@@ -125,16 +145,16 @@ def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exa
 
 def run_custom(df: DataFrame, id_col: str | None, value_col: str, recency_col: str | None,
                approach: str | None = None, as_of: datetime | str | None = None,
-               method: str = "exact") -> RunResult:
+               method: str = "exact", keep: str = "persist") -> RunResult:
     """Custom mode: no cleaning step, so 'Needs Review' is reachable."""
     approach = approach or ("Value + Recency" if recency_col else "Value only")
     cfg = ModeConfig(mode="custom", title="Custom Segmentation Agent", id_col=id_col,
                      value_col=value_col, recency_col=recency_col, approach=approach)
-    stages = _Stages()
+    stages = _Stages(keep)
     classified, kept, rejects, kept_n = _quarantine(df, cfg, stages)
     t0 = time.perf_counter()
     seg, cut = segment.segment_custom(kept, value_col, recency_col, approach, as_of, method)
-    seg = seg.persist(STORAGE)
+    seg = materialize(seg, stages.keep)
     n_seg = seg.count()
     stages.log.append({"Stage": "Clean + Segment", "Rows in": kept_n, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
