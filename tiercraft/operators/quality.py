@@ -158,7 +158,9 @@ def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str |
     if has_value:
         parsed = money_value(out, value_col)
         out = out.withColumn(value_col, parsed)
-        aggs.append(F.count_if(F.col(value_col).isNull()).alias("imputed"))
+        vc = F.col(value_col)
+        aggs += [F.count_if(vc.isNull()).alias("imputed"), F.count(vc).alias("_vn"),
+                 F.min(vc).alias("_vmin"), F.max(vc).alias("_vmax")]
     else:
         aggs.append(F.lit(0).cast("bigint").alias("imputed"))
     if has_flag:
@@ -172,7 +174,8 @@ def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str |
         stats = counted.first()
         rate = (stats["imputed"] + stats["flagged"]) / max(stats["rows"], 1)
         if stats["imputed"]:
-            med = quantiles(out, value_col, {"m": 0.5}, method=method)["m"]
+            med = quantiles(out, value_col, {"m": 0.5}, method=method,
+                            stats=(stats["_vn"], stats["_vmin"], stats["_vmax"]))["m"]
             out = out.withColumn(value_col, F.coalesce(F.col(value_col),
                                                        F.lit(med).cast("double")))
         med_text = "nan" if med is None else f"{med:,.2f}"

@@ -88,21 +88,28 @@ def order_statistics(df: DataFrame, value: Column | str,
 
 
 def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float],
-              method: str = "exact", final_limit: int = FINAL_LIMIT
+              method: str = "exact", final_limit: int = FINAL_LIMIT,
+              stats: tuple[int, float | None, float | None] | None = None
               ) -> dict[str, float | None]:
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
     method: ``exact`` (distributed selection, default), ``spark`` (built-in
     ``percentile``; exact but one reducer holds every distinct value) or
-    ``approx`` (``percentile_approx``: an element, not an interpolation)."""
-    return multi_quantiles(df, {k: (value, p) for k, p in probs.items()}, method, final_limit)
+    ``approx`` (``percentile_approx``: an element, not an interpolation).
+    ``stats`` = (non-null count, min, max) when the caller already has them
+    (saves the counting pass)."""
+    return multi_quantiles(df, {k: (value, p) for k, p in probs.items()}, method, final_limit,
+                           {value: stats} if stats is not None and isinstance(value, str)
+                           else None)
 
 
 def multi_quantiles(df: DataFrame, specs: Mapping[str, tuple[Column | str, float]],
-                    method: str = "exact", final_limit: int = FINAL_LIMIT
+                    method: str = "exact", final_limit: int = FINAL_LIMIT,
+                    stats: Mapping[str, tuple[int, float | None, float | None]] | None = None
                     ) -> dict[str, float | None]:
     """Quantiles of several columns at once: ``{name: (column, prob)}``.
-    Targets on the same column (same name or Column object) share a key."""
+    Targets on the same column (same name or Column object) share a key.
+    ``stats`` maps column names to known (count, min, max)."""
     if not specs:
         return {}
     if method in ("spark", "approx"):
@@ -127,7 +134,11 @@ def multi_quantiles(df: DataFrame, specs: Mapping[str, tuple[Column | str, float
             key_of[name] = len(columns)
             columns.append(c)
     tall = _tall(df, columns)
-    stats = _counts(tall, len(columns))
+    known = stats or {}
+    if all(isinstance(c, str) and c in known for c in columns):
+        stats = {i: known[c] for i, c in enumerate(columns)}
+    else:
+        stats = _counts(tall, len(columns))
     targets: dict[str, tuple[int, int]] = {}
     for name, (_, p) in specs.items():
         n = stats[key_of[name]][0]
@@ -239,7 +250,10 @@ def _final_pick(tall: DataFrame, final: dict[tuple[int, int], tuple[float, float
             ((v > F.lit(lo)) & (v < F.lit(hi)))
         conds.append(F.when((k == F.lit(key)) & inside, F.lit(b)))
     tags = conds[0] if len(conds) == 1 else F.explode(F.array_compact(F.array(*conds)))
+    # Brackets are bounded, so values are shuffled once, by bracket: the
+    # histogram and its running count then need no further exchange.
     hist = (tall.select(v, tags.alias("bid")).where(F.col("bid").isNotNull())
+            .repartition(max(1, len(brackets)), "bid")
             .groupBy("bid", "v").agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding,
                                                            Window.currentRow)

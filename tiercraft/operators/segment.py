@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tiercraft.config import (COMPANY_DORMANT_MONTHS, COMPANY_LEVERAGE_LIMIT,
                               PLAYER_RECENCY_ACTIVE_DAYS, PLAYER_RECENCY_LAPSED_DAYS,
@@ -19,9 +20,11 @@ def _numeric(df: DataFrame, name: str) -> Column:
     return parse_strict(df, name)
 
 
-def value_cut(df: DataFrame, value_col: str, method: str = "exact") -> float | None:
+def value_cut(df: DataFrame, value_col: str, method: str = "exact",
+              stats: tuple | None = None) -> float | None:
     """G1: linear-interpolated 0.75 quantile of the non-null values."""
-    return quantiles(df, value_col, {"cut": VALUE_CUT_QUANTILE}, method=method)["cut"]
+    return quantiles(df, value_col, {"cut": VALUE_CUT_QUANTILE}, method=method,
+                     stats=stats)["cut"]
 
 
 def derive_days_since_visit(df: DataFrame, as_of: datetime | str | None) -> DataFrame:
@@ -36,15 +39,17 @@ def derive_days_since_visit(df: DataFrame, as_of: datetime | str | None) -> Data
 
 
 def segment_players(df: DataFrame, as_of: datetime | str | None = None,
-                    method: str = "exact") -> tuple[DataFrame, float | None]:
+                    method: str = "exact", value_stats: tuple | None = None
+                    ) -> tuple[DataFrame, float | None]:
     """G2. Needs Review (no value); recency > 180: At Risk High Value if
     value >= cut else Churned Low Value; value >= cut: VIP High Value;
     recency <= 30: Active Developing; else Casual. A NULL recency falls
     through to VIP / Casual; an absent recency column counts as 0."""
     df = derive_days_since_visit(df, as_of)
-    value = money_value(df, "NetADT")
-    df = df.withColumn("NetADT", value)
-    cut = value_cut(df, "NetADT", method)
+    if not isinstance(df.schema["NetADT"].dataType, DoubleType):
+        value_stats = None      # caller's stats were not taken on parsed values
+    df = df.withColumn("NetADT", money_value(df, "NetADT"))
+    cut = value_cut(df, "NetADT", method, value_stats)
     v = F.col("NetADT")
     r = _numeric(df, "DaysSinceLastVisit") if "DaysSinceLastVisit" in df.columns else F.lit(0)
     c = F.lit(cut).cast("double")
@@ -66,13 +71,16 @@ def debt_to_equity(df: DataFrame) -> DataFrame:
     return df.withColumn("DebtToEquity", round_half_even(F.try_divide(d, e), 2))
 
 
-def segment_companies(df: DataFrame, method: str = "exact") -> tuple[DataFrame, float | None]:
+def segment_companies(df: DataFrame, method: str = "exact", value_stats: tuple | None = None
+                      ) -> tuple[DataFrame, float | None]:
     """G3. Needs Review (no revenue); D/E > 1.5: High Value At Risk if
     revenue >= cut else Leveraged Watchlist; revenue >= cut: Strategic
     Account; > 12 months without contact: Dormant; else Standard."""
     if "AnnualRevenue" in df.columns:
+        if not isinstance(df.schema["AnnualRevenue"].dataType, DoubleType):
+            value_stats = None
         df = df.withColumn("AnnualRevenue", money_value(df, "AnnualRevenue"))
-    cut = value_cut(df, "AnnualRevenue", method)
+    cut = value_cut(df, "AnnualRevenue", method, value_stats)
     df = debt_to_equity(df)
     rev = F.col("AnnualRevenue")
     dte = F.col("DebtToEquity") if "DebtToEquity" in df.columns else F.lit(0)

@@ -77,13 +77,23 @@ class _Stages:
         self.log: list[dict] = []
         self.keep = keep
 
-    def run(self, name: str, rows_in: int, frame: DataFrame) -> tuple[DataFrame, int]:
+    def run(self, name: str, rows_in: int, frame: DataFrame, value_col: str | None = None
+            ) -> tuple[DataFrame, int, tuple | None]:
+        """Materialise a stage; its row count (and, when asked, the value
+        column's count / min / max for the next quantile) come from the same
+        pass."""
         t0 = time.perf_counter()
         frame = materialize(frame, self.keep)
-        n = frame.count()
+        aggs = [F.count(F.lit(1)).alias("n")]
+        if value_col:
+            v = F.col(value_col)
+            aggs += [F.count(v).alias("vn"), F.min(v).alias("vmin"), F.max(v).alias("vmax")]
+        row = frame.agg(*aggs).first()
+        n = row["n"]
+        stats = (row["vn"], row["vmin"], row["vmax"]) if value_col else None
         self.log.append({"Stage": name, "Rows in": rows_in, "Rows out": n,
                          "Seconds": round(time.perf_counter() - t0, 3)})
-        return frame, n
+        return frame, n, stats
 
 
 def _quarantine(df: DataFrame, cfg: ModeConfig, stages: _Stages):
@@ -105,9 +115,10 @@ def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig =
     stages = _Stages(keep)
     classified, kept, rejects, kept_n = _quarantine(df, cfg, stages)
     cleaned = quality.clean(kept, cfg.value_col, cfg.consent_cols, cfg.flag_col, method)
-    cleaned_df, n_clean = stages.run("Clean", kept_n, cleaned.cleaned)
+    cleaned_df, n_clean, vstats = stages.run("Clean", kept_n, cleaned.cleaned, cfg.value_col)
     t0 = time.perf_counter()
-    seg, cut = segment.segment_players(cleaned_df, as_of=as_of, method=method)
+    seg, cut = segment.segment_players(cleaned_df, as_of=as_of, method=method,
+                                       value_stats=vstats)
     if prev is not None:
         seg = trend.apply_trend(seg, prev, cfg.id_col)
     seg = materialize(seg, stages.keep)
@@ -128,9 +139,9 @@ def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exa
     stages = _Stages(keep)
     classified, kept, rejects, kept_n = _quarantine(df, cfg, stages)
     cleaned = quality.clean(kept, cfg.value_col, cfg.consent_cols, cfg.flag_col, method)
-    cleaned_df, n_clean = stages.run("Clean", kept_n, cleaned.cleaned)
+    cleaned_df, n_clean, vstats = stages.run("Clean", kept_n, cleaned.cleaned, cfg.value_col)
     t0 = time.perf_counter()
-    seg, cut = segment.segment_companies(cleaned_df, method=method)
+    seg, cut = segment.segment_companies(cleaned_df, method=method, value_stats=vstats)
     seg = materialize(seg, stages.keep)
     n_seg = seg.count()
     stages.log.append({"Stage": "Segment", "Rows in": n_clean, "Rows out": n_seg,
