@@ -152,3 +152,16 @@ def test_explanations(spark):
                               "them in the Active Developing segment.")
     assert got["P3"] == "This player has no NetADT value, so they were set aside for review."
     assert "visited" not in got["P4"]
+
+
+def test_worklist_distributed_rank_equals_single_task(spark):
+    rows = [(f"P{i}", f"N{i}", float(i % 37) * 10 + 200, i % 300,
+             "At Risk High Value" if i % 3 else "VIP High Value", float(i % 11) - 5)
+            for i in range(400)]
+    seg = spark.createDataFrame(rows, "PlayerID string, FullName string, NetADT double, "
+                                      "DaysSinceLastVisit long, Segment string, TrendPct double")
+    a = worklist.host_worklist(seg, id_col="PlayerID")
+    b = worklist.host_worklist(seg, id_col="PlayerID", single_task_max_rows=0, rank_partitions=7)
+    ra = [(r.rank, r.Player) for r in a.collect()]
+    rb = [(r.rank, r.Player) for r in b.collect()]
+    assert sorted(ra) == sorted(rb) and sorted(r for r, _ in ra) == list(range(1, 401))

@@ -21,6 +21,7 @@ from tiercraft.operators import explain as ex
 from tiercraft.plans.sql import default_query, run_sql
 from tiercraft.sources import fixtures as fx
 from tiercraft.sources.readers import ROW_ORDER
+from tiercraft.sources.sinks import preview
 from tiercraft.sources.sinks import roster as roster_of
 
 _CACHE: dict = {}
@@ -119,6 +120,27 @@ def q_clean_report(spark, sf_dir):
     return _long(dirty_clean(spark, sf_dir).report, "line_no")
 
 
+def q_preview(spark, sf_dir):
+    """The first 10 input rows in source order (the limit is the feature)."""
+    return preview(fx.players_dirty(spark, sf_dir), 10)
+
+
+def q_rejects_shown(spark, sf_dir):
+    """The first 20 quarantined rows as shown (reason first)."""
+    _, rejects = quality.quarantine(fx.players_dirty(spark, sf_dir), "PlayerID")
+    return preview(rejects, 20)
+
+
+def q_clean_metrics(spark, sf_dir):
+    """Counts, median used and both rates of the clean step."""
+    return dirty_clean(spark, sf_dir).metrics
+
+
+def q_parse_rate_custom(spark, sf_dir):
+    """Share of custom values that do not parse as money."""
+    return quality.value_parse_rate(fx.custom(spark, sf_dir), "worth")
+
+
 def q_segment_players(spark, sf_dir):
     seg, _ = segment.segment_players(fx.players(spark, sf_dir))
     return seg.select("PlayerID", "NetADT", "DaysSinceLastVisit", "Segment")

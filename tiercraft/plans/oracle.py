@@ -675,3 +675,21 @@ SELECT PlayerID, FullName, Segment, NetADT, DaysSinceLastVisit FROM pseg"""
 ORACLE["sql_records"] = f"""WITH {PLAYERS_SEG}
 SELECT Segment, COUNT(*) AS records, ROUND(SUM("NetADT"), 2) AS total_value
 FROM pseg GROUP BY Segment ORDER BY total_value DESC"""
+
+ORACLE["preview"] = f"""WITH {FX_DIRTY}
+SELECT * FROM fx_players_dirty ORDER BY _row_order LIMIT 10"""
+
+ORACLE["rejects_shown"] = f"""WITH {DIRTY_CLEAN}
+SELECT QuarantineReason, PlayerID, FullName, NetADT, DaysSinceLastVisit, CanEmail, ZipCode,
+       _row_order FROM fx_players_dirty_class WHERE QuarantineReason IS NOT NULL
+ORDER BY _row_order LIMIT 20"""
+
+ORACLE["clean_metrics"] = f"""WITH {DIRTY_CLEAN}
+SELECT (SELECT count(*) FROM dirty_kept) AS rows, imputed, flagged, med AS median,
+       (imputed + flagged) / greatest((SELECT count(*) FROM dirty_kept), 1) AS issue_rate,
+       imputed / greatest((SELECT count(*) FROM dirty_kept), 1) AS value_unparsed_rate
+FROM dirty_med"""
+
+ORACLE["parse_rate_custom"] = f"""WITH {FX_CUSTOM}
+SELECT avg(CASE WHEN {MONEY.format(c='worth')} IS NULL THEN 1.0 ELSE 0.0 END) AS value_unparsed_rate
+FROM fx_custom"""
