@@ -87,3 +87,16 @@ def test_integral_double_ids_lose_point_zero(spark):
     df = _col(spark, [1.0, 2.5, None], "double")
     got = [r[0] for r in df.orderBy("i").select(normalise_id(F.col("x"), DoubleType())).collect()]
     assert got == ["1", "2.5", None]
+
+
+def test_days_since_ignores_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-03-09 00:00:00",), ("2024-11-02 00:00:00",)],
+                                   "t string")
+        got = [r[0] for r in df.select(days_since(F.col("t").cast("timestamp_ntz"),
+                                                  "2024-03-12 00:00:00")).collect()]
+        assert got == [3, -235]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

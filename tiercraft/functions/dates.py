@@ -30,8 +30,9 @@ def parse_date(c: ColumnOrName, dtype: DataType | None = None) -> Column:
 
 def days_since(ts: ColumnOrName, as_of: datetime | str) -> Column:
     """Whole days from ``ts`` to the ``as_of`` instant, floored (a timestamp
-    at 10:00 two days before midnight gives 1, not 2)."""
+    at 10:00 two days before midnight gives 1, not 2). Wall-clock arithmetic
+    on timestamp_ntz: no session time zone (and no daylight-saving hour)
+    enters the difference."""
     ref = F.lit(str(as_of)).cast("timestamp_ntz")
-    secs = (F.unix_timestamp(ref.cast("timestamp")) -
-            F.unix_timestamp(_col(ts).cast("timestamp_ntz").cast("timestamp")))
+    secs = F.timestamp_diff("SECOND", _col(ts).cast("timestamp_ntz"), ref)
     return F.floor(secs / F.lit(86400)).cast("bigint")
