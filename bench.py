@@ -39,7 +39,8 @@ def _sink(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = build_session(f"local[{cpus}]",
+                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)))
     timings: dict[str, float] = {}
 
     def timed(name, fn):

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tiercraft.config import DEFAULT_COMP_TIERS, PLAYER_MEANINGS
+from tiercraft.config import PLAYER_MEANINGS
 from tiercraft.operators import explain, rollup, trend, worklist
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiercraft.config import (COMPANIES, COMPANY_MEANINGS, COMPANY_PROFILE_TOP, CUSTOM_MEANINGS,
+from tiercraft.config import (COMPANIES, COMPANY_PROFILE_TOP, CUSTOM_MEANINGS,
                               DEFAULT_COMP_TIERS, PLAYER_MEANINGS, PLAYERS)
 from tiercraft.functions.numbers import parse_money
 from tiercraft.operators import mapping, quality, rollup, segment, trend, worklist
