@@ -91,6 +91,15 @@ def main() -> None:
         rollup.value_bands(custom.segmented, "worth").collect()))
     custom.release()
 
+    lines_in = load("load_lines", fx.lines(spark, sf_dir))
+    lines = timed("lines_run", lambda: runner.run_custom(
+        lines_in, "line_id", "amount", "days_since_ship"))
+    timed("lines_reports", lambda: (
+        lines.value_table().collect(),
+        rollup.value_bands(lines.segmented, "amount").collect(),
+        _sink(lines.segmented)))
+    lines.release()
+
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "segmentation_total", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings,

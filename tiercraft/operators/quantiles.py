@@ -179,24 +179,35 @@ def _select(tall: DataFrame, stats: dict[int, tuple[int, float, float]],
         open_targets = [t for t in state if t not in answer and t not in final]
         if not open_targets:
             break
-        aggs = []
-        for i, t in enumerate(open_targets):
+        # Targets on the same column and bracket share one set of counts
+        # and one grid (both ranks of a quantile, every target in round 1).
+        groups: dict[tuple, int] = {}
+        for t in open_targets:
+            s = state[t]
+            groups.setdefault((t[0], s["lo"], s["hi"]), len(groups))
+        want_grid = {g: False for g in groups.values()}
+        for t in open_targets:
             s = state[t]
-            mine = k == F.lit(t[0])
-            lo, hi = F.lit(s["lo"]), F.lit(s["hi"])
+            want_grid[groups[(t[0], s["lo"], s["hi"])]] |= s["grid"]
+        aggs = []
+        for (key, lo_v, hi_v), g in groups.items():
+            mine = k == F.lit(key)
+            lo, hi = F.lit(lo_v), F.lit(hi_v)
             inside = mine & (v > lo) & (v < hi)
-            aggs += [F.count_if(mine & (v < lo)).alias(f"b{i}"),
-                     F.count_if(mine & (v == lo)).alias(f"el{i}"),
-                     F.count_if(mine & (v == hi)).alias(f"eh{i}"),
-                     F.count_if(inside).alias(f"in{i}")]
-            if s["grid"]:
+            aggs += [F.count_if(mine & (v < lo)).alias(f"b{g}"),
+                     F.count_if(mine & (v == lo)).alias(f"el{g}"),
+                     F.count_if(mine & (v == hi)).alias(f"eh{g}"),
+                     F.count_if(inside).alias(f"in{g}")]
+            if want_grid[g]:
                 aggs.append(F.percentile_approx(F.when(inside, v), grid_probs, ACCURACY)
-                            .alias(f"g{i}"))
+                            .alias(f"g{g}"))
         row = tall.agg(*aggs).first()
-        for i, t in enumerate(open_targets):
+        for t in open_targets:
             s = state[t]
+            i = groups[(t[0], s["lo"], s["hi"])]
             below, eq_lo, eq_hi, inner = (row[f"b{i}"], row[f"el{i}"], row[f"eh{i}"],
                                           row[f"in{i}"])
+            grid = row[f"g{i}"] if want_grid[i] else None
             if s["lo"] == s["hi"]:
                 eq_hi, inner = 0, 0
             j = t[1] - below
@@ -215,8 +226,7 @@ def _select(tall: DataFrame, stats: dict[int, tuple[int, float, float]],
                 answer[t] = s["hi"]
             elif inner <= final_limit:
                 final[t] = (s["lo"], s["hi"], False, j - eq_lo)
-            elif s["grid"] and row[f"g{i}"] is not None:
-                grid = row[f"g{i}"]
+            elif grid is not None:
                 q = (j - eq_lo) / inner
                 margin = (2 * eps + 1.0 / inner) * s.get("widen", 1)
                 a = max(0, int(math.floor((q - margin) * GRID)))

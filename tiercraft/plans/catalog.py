@@ -168,6 +168,13 @@ def q_segment_custom_value_only(spark, sf_dir):
     return seg.select("ref_id", "worth", "Segment")
 
 
+def q_segment_lines(spark, sf_dir):
+    """Custom mode (value + recency) over every order line."""
+    kept, _ = quality.quarantine(fx.lines(spark, sf_dir), "line_id")
+    seg, _ = segment.segment_custom(kept, "amount", "days_since_ship")
+    return seg.select("line_id", "amount", "_recency", "Segment")
+
+
 def q_mapping_fallback(spark, sf_dir):
     return _long(mapping.value_candidates(fx.custom(spark, sf_dir)),
                  "ordinal", "rank")

@@ -693,3 +693,20 @@ FROM dirty_med"""
 ORACLE["parse_rate_custom"] = f"""WITH {FX_CUSTOM}
 SELECT avg(CASE WHEN {MONEY.format(c='worth')} IS NULL THEN 1.0 ELSE 0.0 END) AS value_unparsed_rate
 FROM fx_custom"""
+
+ORACLE["segment_lines"] = r"""WITH fx_lines AS (
+  SELECT concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS line_id,
+         l_extendedprice AS amount,
+         date_diff('day', l_shipdate, TIMESTAMP '2001-08-02 00:00:00') AS days_since_ship
+  FROM lineitem),
+q AS (SELECT quantile_cont(amount, 0.75) AS cut, quantile_cont(amount, 0.25) AS low,
+             median(CAST(days_since_ship AS DOUBLE)) AS med FROM fx_lines)
+SELECT line_id, amount, CAST(days_since_ship AS DOUBLE) AS _recency,
+       CASE WHEN amount IS NULL THEN 'Needs Review'
+            WHEN amount >= cut THEN (CASE WHEN coalesce(days_since_ship > med, false)
+                                          THEN 'High Value At Risk' ELSE 'High Value Active' END)
+            WHEN amount <= low THEN (CASE WHEN coalesce(days_since_ship > med, false)
+                                          THEN 'Low Value Lapsed' ELSE 'Low Value' END)
+            ELSE (CASE WHEN coalesce(days_since_ship > med, false)
+                       THEN 'Mid Tier Lapsed' ELSE 'Mid Tier' END) END AS Segment
+FROM fx_lines, q"""

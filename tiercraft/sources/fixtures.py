@@ -10,6 +10,8 @@ such tables so that every query's work grows with the input tables:
 * ``companies``      one row per supplier with revenue, debt, equity
 * ``custom``         one row per part, value as money text, size as recency
 * ``offers``         per-order quantities by category (Pareto input)
+* ``lines``          one record per order line (value = extended price, recency =
+                     days since shipping): the custom mode on the largest table
 
 Aggregations run before joins (orders are reduced to one row per customer
 before meeting ``customer``; lineitems to one row per supplier before
@@ -148,3 +150,14 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
                  part(F.col("l_returnflag") == "R").alias("OfferFood"),
                  part(F.col("l_linestatus") == "F").alias("OfferHotel"))
             .withColumn(ROW_ORDER, F.col("l_orderkey")))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"),
+                 F.col("l_linenumber").cast("string")).alias("line_id"),
+        F.col("l_extendedprice").alias("amount"),
+        F.datediff(F.lit(AS_OF).cast("timestamp_ntz").cast("date"),
+                   F.col("l_shipdate").cast("date")).cast("bigint").alias("days_since_ship"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(ROW_ORDER))
