@@ -10,15 +10,18 @@ from tiercraft.config import MISSING_ID_TOKENS
 
 ColumnOrName = Column | str
 
+# Every character Python's str.strip() removes (str.isspace), by rule.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+
 
 def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """Strip leading/trailing whitespace of any kind (Spark's trim drops only
-    spaces)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace the way Python's str.strip() does
+    (Spark's trim drops only spaces). A character-set trim, not a regex."""
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def py_str(c: ColumnOrName, dtype: DataType | None = None) -> Column:
@@ -38,10 +41,13 @@ def normalise_id(c: ColumnOrName, dtype: DataType | None = None) -> Column:
     return strip_ws(py_str(c, dtype))
 
 
-def id_is_missing(c: ColumnOrName, dtype: DataType | None = None) -> Column:
-    """NULL id, or an id whose stripped text is '', 'nan', 'None' or 'NaN'."""
+def id_is_missing(c: ColumnOrName, dtype: DataType | None = None,
+                  key: Column | None = None) -> Column:
+    """NULL id, or an id whose stripped text is '', 'nan', 'None' or 'NaN'.
+    ``key`` is the already normalised id when the caller has it."""
     raw = _col(c)
-    missing = raw.isNull() | normalise_id(raw, dtype).isin(*MISSING_ID_TOKENS)
+    key = normalise_id(raw, dtype) if key is None else key
+    missing = raw.isNull() | key.isin(*MISSING_ID_TOKENS)
     if isinstance(dtype, FractionalType):
         missing = missing | F.isnan(raw)
     return missing

@@ -54,9 +54,10 @@ def classify_identity(df: DataFrame, id_col: str | None,
     if not id_col or id_col not in df.columns:
         return df.select(F.lit(None).cast("string").alias(REASON), *df.columns)
     dtype = df.schema[id_col].dataType
-    key = normalise_id(F.col(id_col), dtype)
-    missing = id_is_missing(F.col(id_col), dtype)
-    tagged = df.withColumn("_qkey", F.when(~missing, key))
+    # The stripped id is computed once per row, then tested and reused.
+    staged = df.withColumn("_qraw", normalise_id(F.col(id_col), dtype))
+    missing = id_is_missing(F.col(id_col), dtype, key=F.col("_qraw"))
+    tagged = staged.withColumn("_qkey", F.when(~missing, F.col("_qraw"))).drop("_qraw")
     dups = (tagged.where(F.col("_qkey").isNotNull())
             .groupBy("_qkey").agg(F.min(ROW_ORDER).alias("_qfirst"),
                                   F.count(F.lit(1)).alias("_qn"))
@@ -103,8 +104,9 @@ def preflight(df: DataFrame, id_col: str | None, value_col: str | None) -> DataF
         aggs.append(F.avg(money_value(df, value_col).isNull().cast("double")).alias("_miss"))
     if has_id:
         dtype = df.schema[id_col].dataType
-        missing = id_is_missing(F.col(id_col), dtype)
-        key = F.when(~missing, normalise_id(F.col(id_col), dtype))
+        df = df.withColumn("_praw", normalise_id(F.col(id_col), dtype))
+        missing = id_is_missing(F.col(id_col), dtype, key=F.col("_praw"))
+        key = F.when(~missing, F.col("_praw"))
         aggs += [F.count_if(missing).alias("_blank"),
                  (F.count(key) - F.count_distinct(key)).alias("_dupe")]
     one = df.agg(*aggs)
