@@ -165,3 +165,17 @@ def test_worklist_distributed_rank_equals_single_task(spark):
     ra = [(r.rank, r.Player) for r in a.collect()]
     rb = [(r.rank, r.Player) for r in b.collect()]
     assert sorted(ra) == sorted(rb) and sorted(r for r, _ in ra) == list(range(1, 401))
+
+
+def test_deep_dive_and_filters(spark):
+    seg = _seg(spark)
+    lines, top = rollup.segment_deep_dive(seg, "Casual", "NetADT", "PlayerID", PLAYER_MEANINGS)
+    got = [r.line for r in lines.orderBy("line_no").collect()]
+    assert got == ["What this segment is: " + PLAYER_MEANINGS["Casual"],
+                   "Records: 2  (40% of all records)", "Total NetADT: $40.00",
+                   "Average NetADT: $20.00", "Highest NetADT: $30.00", "Lowest NetADT: $10.00"]
+    assert [(r.rank, r.Record) for r in top.orderBy("rank").collect()] == [(1, "Bob"), (2, "Ann")]
+    assert worklist.high_value(seg).count() == 2
+    assert worklist.in_segment(seg, "Casual").count() == 2
+    t = seg.withColumn("Trend", F.lit("Declining"))
+    assert trend.declining(t).count() == 5

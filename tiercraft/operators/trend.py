@@ -67,11 +67,15 @@ def trend_counts(seg: DataFrame) -> DataFrame:
                    F.count_if(t == "Declining").alias("Declining"))
 
 
+def declining(seg: DataFrame) -> DataFrame:
+    """rows whose trend is Declining."""
+    return seg.where(F.col("Trend") == "Declining")
+
+
 def top_declines(seg: DataFrame, id_col: str = "PlayerID", sym: str = "$", k: int = 10
                  ) -> DataFrame:
     """The k steepest declines (TrendPct ascending, id as tie-break)."""
-    dec = seg.where(F.col("Trend") == "Declining").withColumn(
-        "_tp", parse_strict(seg, "TrendPct"))
+    dec = declining(seg).withColumn("_tp", parse_strict(seg, "TrendPct"))
     order = [F.asc_nulls_last("_tp"), F.asc(id_col)]
     top = dec.orderBy(*order).limit(k)
     cols = [c for c in ("FullName", id_col, "Segment") if c in seg.columns]
@@ -85,7 +89,7 @@ def top_declines(seg: DataFrame, id_col: str = "PlayerID", sym: str = "$", k: in
 
 def trend_insight(seg: DataFrame, id_col: str = "PlayerID", sym: str = "$") -> DataFrame:
     """Decliner count, high-value decliners, and the highest-value one."""
-    dec = seg.where(F.col("Trend") == "Declining")
+    dec = declining(seg)
     cur = parse_strict(seg, "NetADT")
     hv = F.col("Segment").isin(*HIGH_VALUE_SEGMENTS)
     name = F.col("FullName") if "FullName" in seg.columns else F.col(id_col).cast("string")
