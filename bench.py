@@ -20,6 +20,7 @@ from pyspark import StorageLevel  # noqa: E402
 
 from tiercraft.config import COMPANY_MEANINGS, CUSTOM_MEANINGS  # noqa: E402
 from tiercraft.operators import rollup, trend, worklist  # noqa: E402
+from tiercraft.operators.quantiles import quantiles  # noqa: E402
 from tiercraft.plans import runner  # noqa: E402
 from tiercraft.plans.sql import default_query, run_sql  # noqa: E402
 from tiercraft.session import build_session  # noqa: E402
@@ -98,12 +99,20 @@ def main() -> None:
         lines.value_table().collect(),
         rollup.value_bands(lines.segmented, "amount").collect(),
         _sink(lines.segmented)))
+    # SURVEY 7.3 step 10: exact selection vs Spark's exact percentile (one
+    # reducer holds every distinct value) vs percentile_approx, same data.
+    methods = {}
+    for method in ("exact", "spark", "approx"):
+        t0 = time.perf_counter()
+        quantiles(lines_in, "amount", {"cut": 0.75, "low": 0.25}, method=method)
+        methods[method] = round(time.perf_counter() - t0, 3)
     lines.release()
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "segmentation_total", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings,
-                      "sf": float(m.group(1)) if m else sf_dir}))
+                      "sf": float(m.group(1)) if m else sf_dir,
+                      "quantile_methods_sec": methods}))
     spark.stop()
 
 

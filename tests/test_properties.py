@@ -1,0 +1,44 @@
+"""Property checks: the money parser against the rule stated in Python."""
+
+import math
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tiercraft.functions import parse_money
+
+
+def rule(text):
+    """Keep digits, '.' and '-'; empty is missing; unreadable is missing."""
+    if text is None:
+        return None
+    kept = re.sub(r"[^0-9.\-]", "", text)
+    if kept == "":
+        return None
+    try:
+        return float(kept)
+    except ValueError:
+        return None
+
+
+money_text = st.one_of(
+    st.none(),
+    st.text(alphabet="0123456789.-,$%() abkE", max_size=14),
+    st.builds(lambda v, s: f"{s}{v:,.2f}", st.floats(-1e9, 1e9, allow_nan=False),
+              st.sampled_from(["$", "", "€ ", "USD "])))
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                   HealthCheck.function_scoped_fixture])
+@given(st.lists(money_text, min_size=1, max_size=40))
+def test_parse_money_matches_rule(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(parse_money(F.col("s"))).collect()]
+    for v, g in zip(values, got):
+        want = rule(v)
+        if want is None or g is None:
+            assert want is None and g is None, (v, want, g)
+        else:
+            assert g == want or (math.isinf(g) and math.isinf(want)), (v, want, g)
