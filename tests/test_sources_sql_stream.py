@@ -122,3 +122,19 @@ def test_runner_checkpoint_mode_and_shuffle_fallback(spark, tmpdir_path):
         r.QuarantineReason or "" for r in a.classified.collect())
     a.release()
     b.release()
+
+
+def test_export_run(spark, tmpdir_path):
+    from tiercraft.plans.export import export_run
+    p = os.path.join(tmpdir_path, "players.csv")
+    _write(p, CSV)
+    res = runner.run_players(read_records(spark, p))
+    paths = export_run(res, os.path.join(tmpdir_path, "export"),
+                       sql_result=run_sql(spark, res.segmented, default_query("NetADT")))
+    assert set(paths) == {"segmented", "rejects", "value_table", "summary", "roster",
+                          "worklist", "sql"}
+    read = lambda k: spark.read.option("header", "true").csv(paths[k])
+    assert read("segmented").count() == 4 and read("rejects").count() == 2
+    assert read("roster").columns[0] == "PlayerID"
+    assert spark.read.text(paths["summary"]).count() > 5
+    res.release()
