@@ -85,3 +85,21 @@ def test_clean_fills_every_value(spark, mode):
         res = quality.clean(fx.companies(spark, SF), "AnnualRevenue", (), "Industry")
         col = "AnnualRevenue"
     assert res.cleaned.where(F.col(col).isNull()).count() == 0
+
+
+def test_runners_match_catalog_queries(spark):
+    from tiercraft.plans import runner
+    sf = "/root/testdata/sf0.001"
+    comp = runner.run_companies(fx.companies(spark, sf))
+    want = {r.AccountID: r.Segment for r in catalog.q_segment_companies(spark, sf).collect()}
+    assert {r.AccountID: r.Segment for r in comp.segmented.collect()} == want
+    assert [s["Stage"] for s in comp.run_log] == ["Quarantine", "Clean", "Segment"]
+    cust = runner.run_custom(fx.custom(spark, sf), "ref_id", "worth", "recency_days")
+    want = {r.ref_id: r.Segment for r in catalog.q_segment_custom(spark, sf).collect()}
+    assert {r.ref_id: r.Segment for r in cust.segmented.collect()} == want
+    assert cust.missing_rate == pytest.approx(
+        catalog.q_parse_rate_custom(spark, sf).first().value_unparsed_rate)
+    assert [r.line for r in cust.clean_report.collect()] == [
+        "Cleaned the worth column into numbers, stripping symbols and commas."]
+    comp.release()
+    cust.release()

@@ -13,8 +13,11 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 def measured_bytes(df: DataFrame) -> int:
     """In-memory size of a cached, materialised frame (Spark's own statistic
     of the cached relation, not an estimate from the input files)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes()))
+    except Exception:  # no JVM handle (e.g. a remote session): never broadcast blind
+        return 1 << 62
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
