@@ -179,3 +179,17 @@ def test_deep_dive_and_filters(spark):
     assert worklist.in_segment(seg, "Casual").count() == 2
     t = seg.withColumn("Trend", F.lit("Declining"))
     assert trend.declining(t).count() == 5
+
+
+def test_profile_players_top_values(spark):
+    rows = [("P1", 10.0, 5, "Gold", None), ("P2", 20.0, 7, "Silver", None),
+            ("P3", 30.0, 9, "Gold", None), ("P4", 40.0, 11, "Bronze", None),
+            ("P5", 50.0, 13, "Silver", None), ("P6", 60.0, 15, "Alpha", None)]
+    seg = spark.createDataFrame(rows, "PlayerID string, NetADT double, DaysSinceLastVisit long, "
+                                      "TierRank string, PreferredGame string")
+    lines = [r.line for r in rollup.profile(seg, "players").orderBy("line_no").collect()]
+    assert lines == ["Total records: 6",
+                     "NetADT: avg $35.00, median $35.00, max $60.00",
+                     "DaysSinceLastVisit: avg 10, max 15",
+                     "TierRank top values: Gold (2), Silver (2), Alpha (1)",
+                     "PreferredGame top values: "]
