@@ -138,3 +138,27 @@ def test_export_run(spark, tmpdir_path):
     assert read("roster").columns[0] == "PlayerID"
     assert spark.read.text(paths["summary"]).count() > 5
     res.release()
+
+
+def test_value_table_text_matches_pandas(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tiercraft.plans.report import value_table_lines
+    cases = [
+        [("At Risk High Value", 176, 61234.56, 347.92), ("Casual", 3, 7.5, 2.5)],
+        [("A", 1, 1.0, None), ("Bb", 2, 2.0, 2.5)],
+        [("A", 1, -1.25, 10000000.5), ("Bb", 2, 2.0, 2.5)],
+        [("LongSegmentNameHere", 10, 123456789.12, 1.1)],
+        [("x", 1234567, 0.0000001, 3.0), ("y", 5, 2.0, 4.25)],
+    ]
+    for rows in cases:
+        vt = spark.createDataFrame(
+            [(s, r, t, a, i + 1) for i, (s, r, t, a) in enumerate(rows)],
+            "Segment string, Records long, TotalValue double, AvgValue double, rank int")
+        got = "\n".join(r.line for r in value_table_lines(vt).orderBy("line_no").collect())
+        pdf = pd.DataFrame({"Records": [r for _, r, _, _ in rows],
+                            "TotalValue": [t for _, _, t, _ in rows],
+                            "AvgValue": [np.nan if a is None else a for _, _, _, a in rows]},
+                           index=pd.Index([s for s, _, _, _ in rows], name="Segment"))
+        assert got == pdf.to_string()
