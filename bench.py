@@ -66,8 +66,8 @@ def main() -> None:
     timed("top_per_segment", lambda: worklist.top_per_segment(seg, "NetADT", "PlayerID")
           .collect())
     timed("worklist", lambda: _sink(worklist.host_worklist(seg, id_col="PlayerID")))
-    timed("value_bands", lambda: rollup.value_bands(seg, "NetADT").collect())
-    timed("distribution_insight", lambda: rollup.distribution_insight(seg, "NetADT").collect())
+    timed("value_bands", lambda: players.value_bands().collect())
+    timed("distribution_insight", lambda: players.distribution_insight().collect())
     timed("trend_report", lambda: (trend.trend_counts(seg).collect(),
                                    trend.top_declines(seg).collect(),
                                    trend.trend_insight(seg).collect()))
@@ -89,7 +89,7 @@ def main() -> None:
         custom_in, "ref_id", "worth", "recency_days"))
     timed("custom_reports", lambda: (
         rollup.segment_stats(custom.segmented, "worth", CUSTOM_MEANINGS).collect(),
-        rollup.value_bands(custom.segmented, "worth").collect()))
+        custom.value_bands().collect()))
     custom.release()
 
     lines_in = load("load_lines", fx.lines(spark, sf_dir))
@@ -97,7 +97,7 @@ def main() -> None:
         lines_in, "line_id", "amount", "days_since_ship"))
     timed("lines_reports", lambda: (
         lines.value_table().collect(),
-        rollup.value_bands(lines.segmented, "amount").collect(),
+        lines.value_bands().collect(),
         _sink(lines.segmented)))
     # SURVEY 7.3 step 10: exact selection vs Spark's exact percentile (one
     # reducer holds every distinct value) vs percentile_approx, same data.

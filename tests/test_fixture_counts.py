@@ -103,3 +103,17 @@ def test_runners_match_catalog_queries(spark):
         "Cleaned the worth column into numbers, stripping symbols and commas."]
     comp.release()
     cust.release()
+
+
+def test_run_result_reports_reuse_stats(spark):
+    from tiercraft.operators import rollup
+    from tiercraft.plans import runner
+    sf = "/root/testdata/sf0.001"
+    res = runner.run_players(fx.players_dirty(spark, sf), prev=fx.prior(spark, sf))
+    assert res.value_stats[0] == res.segmented.count()
+    a = sorted(map(tuple, res.value_bands().collect()))
+    b = sorted(map(tuple, rollup.value_bands(res.segmented, "NetADT").collect()))
+    assert a == b
+    assert res.distribution_insight().first().insight == \
+        rollup.distribution_insight(res.segmented, "NetADT").first().insight
+    res.release()

@@ -74,12 +74,15 @@ def _counts(tall: DataFrame, nkeys: int) -> dict[int, tuple[int, float, float]]:
 
 def order_statistics(df: DataFrame, value: Column | str,
                      ranks: Mapping[str, int] | Callable[[int], Mapping[str, int]],
-                     final_limit: int = FINAL_LIMIT) -> dict[str, float | None]:
+                     final_limit: int = FINAL_LIMIT,
+                     stats: tuple[int, float | None, float | None] | None = None
+                     ) -> dict[str, float | None]:
     """Values at 0-based ascending ranks among the non-null values of ``value``.
 
-    ``ranks`` may be a function of n (the non-null count)."""
+    ``ranks`` may be a function of n (the non-null count); ``stats`` is a known
+    (count, min, max) that saves the counting pass."""
     tall = _tall(df, [value])
-    n, mn, mx = _counts(tall, 1)[0]
+    n, mn, mx = stats if stats is not None else _counts(tall, 1)[0]
     wanted = dict(ranks(n) if callable(ranks) else ranks)
     if n == 0:
         return {k: None for k in wanted}

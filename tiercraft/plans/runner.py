@@ -53,6 +53,15 @@ class RunResult:
     meanings: dict
     run_log: list[dict] = field(default_factory=list)
     pareto: DataFrame | None = None
+    value_stats: tuple | None = None     # (count, min, max) of the segmented value
+
+    def value_bands(self, sym: str = "$") -> DataFrame:
+        return rollup.value_bands(self.segmented, self.cfg.value_col, sym,
+                                  stats=self.value_stats)
+
+    def distribution_insight(self, sym: str = "$") -> DataFrame:
+        return rollup.distribution_insight(self.segmented, self.cfg.value_col, sym,
+                                           stats=self.value_stats)
 
     def log_frame(self) -> DataFrame:
         spark = self.segmented.sparkSession
@@ -72,6 +81,16 @@ class RunResult:
             d.unpersist()
 
 
+def _count_with_stats(frame: DataFrame, value_col: str | None) -> tuple[int, tuple | None]:
+    """Row count plus the value column's (count, min, max), one pass."""
+    if not value_col or value_col not in frame.columns:
+        return frame.count(), None
+    v = F.col(value_col)
+    row = frame.agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("vn"),
+                    F.min(v).alias("vmin"), F.max(v).alias("vmax")).first()
+    return row["n"], (row["vn"], row["vmin"], row["vmax"])
+
+
 class _Stages:
     def __init__(self, keep: str = "persist"):
         self.log: list[dict] = []
@@ -122,7 +141,7 @@ def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig =
     if prev is not None:
         seg = trend.apply_trend(seg, prev, cfg.id_col)
     seg = materialize(seg, stages.keep)
-    n_seg = seg.count()
+    n_seg, seg_stats = _count_with_stats(seg, cfg.value_col)
     stages.log.append({"Stage": "Segment + Trend" if prev is not None else "Segment",
                        "Rows in": n_clean, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
@@ -131,7 +150,7 @@ def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig =
         cleaned.metrics.first()["issue_rate"]
     return RunResult(cfg, classified, kept, rejects, seg, cut, cleaned.report, rate,
                      quality.health(df, "players"), MEANINGS_BY_MODE["players"], stages.log,
-                     rollup.pareto(seg))
+                     rollup.pareto(seg), seg_stats)
 
 
 def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exact",
@@ -143,7 +162,7 @@ def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exa
     t0 = time.perf_counter()
     seg, cut = segment.segment_companies(cleaned_df, method=method, value_stats=vstats)
     seg = materialize(seg, stages.keep)
-    n_seg = seg.count()
+    n_seg, seg_stats = _count_with_stats(seg, cfg.value_col)
     stages.log.append({"Stage": "Segment", "Rows in": n_clean, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
     cleaned_df.unpersist()
@@ -151,7 +170,7 @@ def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exa
         cleaned.metrics.first()["issue_rate"]
     return RunResult(cfg, classified, kept, rejects, seg, cut, cleaned.report, rate,
                      quality.health(df, "companies"), MEANINGS_BY_MODE["companies"],
-                     stages.log)
+                     stages.log, None, seg_stats)
 
 
 def run_custom(df: DataFrame, id_col: str | None, value_col: str, recency_col: str | None,
@@ -166,7 +185,7 @@ def run_custom(df: DataFrame, id_col: str | None, value_col: str, recency_col: s
     t0 = time.perf_counter()
     seg, cut = segment.segment_custom(kept, value_col, recency_col, approach, as_of, method)
     seg = materialize(seg, stages.keep)
-    n_seg = seg.count()
+    n_seg, seg_stats = _count_with_stats(seg, cfg.value_col)
     stages.log.append({"Stage": "Clean + Segment", "Rows in": kept_n, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
     report = kept.sparkSession.range(1).select(
@@ -176,4 +195,4 @@ def run_custom(df: DataFrame, id_col: str | None, value_col: str, recency_col: s
     rate = quality.value_parse_rate(kept, value_col).first()["value_unparsed_rate"] or 0.0
     return RunResult(cfg, classified, kept, rejects, seg, cut, report, rate,
                      quality.health(df, "custom", value_col), MEANINGS_BY_MODE["custom"],
-                     stages.log)
+                     stages.log, None, seg_stats)
