@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, NumericType
 
 from tiercraft.config import (COMPANY_DORMANT_MONTHS, COMPANY_LEVERAGE_LIMIT,
                               PLAYER_RECENCY_ACTIVE_DAYS, PLAYER_RECENCY_LAPSED_DAYS,
@@ -99,6 +99,8 @@ def custom_recency(df: DataFrame, recency_col: str, as_of: datetime | str | None
     """The recency column read as money; if no row parses, read as dates
     and turned into days since ``as_of``."""
     parsed = money_value(df, recency_col)
+    if isinstance(df.schema[recency_col].dataType, NumericType):
+        return parsed          # numbers never need the date reading (no pass)
     n_parsed = df.agg(F.count(parsed).alias("n")).first()["n"]
     if n_parsed:
         return parsed

@@ -192,7 +192,8 @@ def run_custom(df: DataFrame, id_col: str | None, value_col: str, recency_col: s
         F.lit(1).alias("line_no"),
         F.lit(f"Cleaned the {value_col} column into numbers, stripping symbols and commas.")
         .alias("line"))
-    rate = quality.value_parse_rate(kept, value_col).first()["value_unparsed_rate"] or 0.0
+    # share of kept rows whose value does not parse = 1 - parsed / kept
+    rate = (kept_n - seg_stats[0]) / kept_n if kept_n and seg_stats else 0.0
     return RunResult(cfg, classified, kept, rejects, seg, cut, report, rate,
                      quality.health(df, "custom", value_col), MEANINGS_BY_MODE["custom"],
                      stages.log, None, seg_stats)
