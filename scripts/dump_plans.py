@@ -3,6 +3,8 @@ the operators whose shape matters at scale."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -21,7 +23,10 @@ SF = "/root/testdata/sf0.01"
 
 def plan_text(df) -> str:
     df.collect()        # run it, so the adaptive plan shows the final strategy
-    text = df._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    text = buf.getvalue().split("== Physical Plan ==", 1)[-1]
     if "== Final Plan ==" in text:
         text = text.split("== Final Plan ==", 1)[1].split("+- == Initial Plan ==", 1)[0]
     text = re.sub(r"#\d+L?", "", text)

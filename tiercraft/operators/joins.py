@@ -6,18 +6,21 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest build side broadcast after measuring it (bytes in memory).
+# Largest build side broadcast after measuring it (bytes).
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+ROW_OVERHEAD_BYTES = 32
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """In-memory size of a cached, materialised frame (Spark's own statistic
-    of the cached relation, not an estimate from the input files)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # no JVM handle (e.g. a remote session): never broadcast blind
-        return 1 << 62
+    """An upper bound on the data volume of ``df``: every row's JSON text plus
+    a fixed per-row overhead (JSON spells numbers and quotes strings, so it
+    over-counts the binary form). One aggregate pass; when ``df`` is cached
+    this pass also fills the cache."""
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`")
+                                                            for c in df.columns])))).alias("b")
+                 ).first()
+    return int(row["b"] or 0) + ROW_OVERHEAD_BYTES * int(row["n"])
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
@@ -26,7 +29,6 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
     measured size is within ``max_bytes``; otherwise return it unhinted (the
     join then shuffles both sides, and AQE splits skewed keys)."""
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.count()
     if measured_bytes(cached) <= max_bytes:
         return F.broadcast(cached), True
     return cached, False
