@@ -162,3 +162,26 @@ def test_value_table_text_matches_pandas(spark):
                             "AvgValue": [np.nan if a is None else a for _, _, _, a in rows]},
                            index=pd.Index([s for s, _, _, _ in rows], name="Segment"))
         assert got == pdf.to_string()
+
+
+def test_stream_two_batches_and_restart(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in2")
+    os.makedirs(src)
+    _write(os.path.join(src, "a.csv"), CSV)
+    _write(os.path.join(src, "b.csv"),
+           "PlayerID,FullName,NetADT,DaysSinceLastVisit,CanEmail,ZipCode\n"
+           "Q1,Al,10,5,yes,1\nQ2,Bo,20,300,no,2\nQ2,Bo again,30,3,no,3\n")
+    schema = StructType([StructField(c, StringType()) for c in
+                         ["PlayerID", "FullName", "NetADT", "DaysSinceLastVisit", "CanEmail",
+                          "ZipCode"]])
+    sink = os.path.join(tmpdir_path, "sink2")
+    ck = os.path.join(tmpdir_path, "ck2")
+    for _ in range(2):       # second start resumes from the checkpoint: nothing new
+        q = segment_stream(spark, src, schema, sink, checkpoint=ck, available_now=True,
+                           max_files_per_trigger=1)
+        q.awaitTermination(300)
+        seg = spark.read.parquet(sink + "/segmented")
+        assert seg.count() == 4 + 2
+        assert seg.select("batch_id").distinct().count() == 2
+    rej = spark.read.parquet(sink + "/rejects")
+    assert rej.count() == 2 + 1
