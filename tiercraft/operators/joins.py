@@ -11,16 +11,21 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 32
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """An upper bound on the data volume of ``df``: every row's JSON text plus
-    a fixed per-row overhead (JSON spells numbers and quotes strings, so it
-    over-counts the binary form). One aggregate pass; when ``df`` is cached
-    this pass also fills the cache."""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, an upper bound on the bytes of ``df``): every row's JSON text
+    plus a fixed per-row overhead (JSON spells numbers and quotes strings, so
+    it over-counts the binary form). One aggregate pass; when ``df`` is
+    cached this pass also fills the cache."""
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`")
                                                             for c in df.columns])))).alias("b")
                  ).first()
-    return int(row["b"] or 0) + ROW_OVERHEAD_BYTES * int(row["n"])
+    rows = int(row["n"])
+    return rows, int(row["b"] or 0) + ROW_OVERHEAD_BYTES * rows
+
+
+def measured_bytes(df: DataFrame) -> int:
+    return measure(df)[1]
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
@@ -28,7 +33,15 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
     """Materialise ``df`` and return it with a broadcast hint when its
     measured size is within ``max_bytes``; otherwise return it unhinted (the
     join then shuffles both sides, and AQE splits skewed keys)."""
+    out, hinted, _ = bounded_broadcast_rows(df, max_bytes)
+    return out, hinted
+
+
+def bounded_broadcast_rows(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
+                           ) -> tuple[DataFrame, bool, int]:
+    """As :func:`bounded_broadcast`, also returning the row count."""
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if measured_bytes(cached) <= max_bytes:
-        return F.broadcast(cached), True
-    return cached, False
+    rows, size = measure(cached)
+    if size <= max_bytes:
+        return F.broadcast(cached), True, rows
+    return cached, False, rows

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tiercraft.functions.numbers import fmt_fixed, money_value, parse_strict
 from tiercraft.functions.text import (consent_standardise, flag_issue, flag_missing,
                                       id_is_missing, normalise_id)
-from tiercraft.operators.joins import BROADCAST_MAX_BYTES, bounded_broadcast
+from tiercraft.operators.joins import (BROADCAST_MAX_BYTES, bounded_broadcast,
+                                       bounded_broadcast_rows)
 from tiercraft.operators.quantiles import quantiles
 from tiercraft.sources.readers import ROW_ORDER
 
@@ -42,14 +43,22 @@ def classify_identity(df: DataFrame, id_col: str | None,
     Missing id: NULL or stripped text in {'', 'nan', 'None', 'NaN'}.
     Duplicate: a later row (by ``_row_order``) with the same stripped id.
 
-    Only ids that occur more than once matter, so an aggregate finds them
-    with their first ``_row_order`` (combined map-side: an id repeated on a
-    third of all rows costs one partial row per task) and only those keys
-    are joined back. That set is materialised and broadcast when its
-    measured size is within ``broadcast_max_bytes`` -- the input is then
-    never shuffled; otherwise the join shuffles and AQE splits the skewed
-    partitions. Missing ids never enter the aggregate. ``None`` keeps the
-    whole thing lazy (the join strategy is left to the planner).
+    Only ids that occur more than once matter. They are found in two thin
+    passes that read just the id and the row order:
+
+    1. count rows per 64-bit hash of the id (16 bytes per row cross the
+       shuffle, combined map-side, so an id on a third of all rows costs one
+       partial row per task) and keep hashes seen more than once -- every
+       duplicated id plus the rare hash collision;
+    2. among rows carrying such a hash only, group by the id itself for the
+       exact first ``_row_order`` of every id that really repeats.
+
+    That set is joined back (when no hash repeats, there is nothing to join
+    and the input is only checked for missing ids). Each intermediate set is
+    materialised and broadcast when its measured size is within
+    ``broadcast_max_bytes``, so the input itself is never shuffled; beyond
+    that the joins shuffle and AQE splits skewed partitions. Missing ids never enter the search.
+    ``None`` keeps everything lazy (join strategies left to the planner).
     """
     if not id_col or id_col not in df.columns:
         return df.select(F.lit(None).cast("string").alias(REASON), *df.columns)
@@ -58,7 +67,17 @@ def classify_identity(df: DataFrame, id_col: str | None,
     staged = df.withColumn("_qraw", normalise_id(F.col(id_col), dtype))
     missing = id_is_missing(F.col(id_col), dtype, key=F.col("_qraw"))
     tagged = staged.withColumn("_qkey", F.when(~missing, F.col("_qraw"))).drop("_qraw")
-    dups = (tagged.where(F.col("_qkey").isNotNull())
+    keyed = (tagged.where(F.col("_qkey").isNotNull())
+             .select("_qkey", ROW_ORDER, F.xxhash64("_qkey").alias("_qh")))
+    repeated = (keyed.groupBy("_qh").agg(F.count(F.lit(1)).alias("_qn"))
+                .where(F.col("_qn") > 1).select("_qh"))
+    if broadcast_max_bytes is not None:
+        repeated, _, n_repeated = bounded_broadcast_rows(repeated, broadcast_max_bytes)
+        if n_repeated == 0:
+            # no id repeats at all: only missing ids are quarantined, no join
+            reason = F.when(F.col("_qkey").isNull(), F.lit(f"Missing {id_col}"))
+            return tagged.select(reason.alias(REASON), *[F.col(f"`{c}`") for c in df.columns])
+    dups = (keyed.join(repeated, "_qh", "left_semi")
             .groupBy("_qkey").agg(F.min(ROW_ORDER).alias("_qfirst"),
                                   F.count(F.lit(1)).alias("_qn"))
             .where(F.col("_qn") > 1).select("_qkey", "_qfirst"))
