@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 32
 
+# Frames cached by the size checks, released by release_measured().
+_MEASURED: list[DataFrame] = []
+
 
 def measure(df: DataFrame) -> tuple[int, int]:
     """(rows, an upper bound on the bytes of ``df``): every row's JSON text
@@ -41,7 +44,15 @@ def bounded_broadcast_rows(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES
                            ) -> tuple[DataFrame, bool, int]:
     """As :func:`bounded_broadcast`, also returning the row count."""
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _MEASURED.append(cached)
     rows, size = measure(cached)
     if size <= max_bytes:
         return F.broadcast(cached), True, rows
     return cached, False, rows
+
+
+def release_measured() -> None:
+    """Unpersist every frame cached by a size check (plans that still use one
+    recompute it from lineage)."""
+    while _MEASURED:
+        _MEASURED.pop().unpersist()

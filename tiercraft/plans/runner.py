@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tiercraft.config import COMPANIES, MEANINGS_BY_MODE, PLAYERS, ModeConfig
 from tiercraft.operators import quality, rollup, segment, trend
+from tiercraft.operators.joins import release_measured
 from tiercraft.session import ensure_checkpoint_dir
 
 STORAGE = StorageLevel.MEMORY_AND_DISK
@@ -77,8 +78,10 @@ class RunResult:
         return rollup.value_table(self.segmented, self.cfg.id_col, self.cfg.value_col)
 
     def release(self) -> None:
+        """Free the run's cached stages and the sets cached by size checks."""
         for d in (self.classified, self.segmented):
             d.unpersist()
+        release_measured()
 
 
 def _count_with_stats(frame: DataFrame, value_col: str | None) -> tuple[int, tuple | None]:
