@@ -16,9 +16,9 @@ def test_hot_id_broadcast_and_shuffle_paths_agree(spark):
     df = _skewed(spark)
     spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1k")
     try:
-        for limit in (None, 0):   # measured broadcast, then forced shuffle join
-            c = quality.classify_identity(df, "PlayerID",
-                                          **({} if limit is None else {"broadcast_max_bytes": 0}))
+        # measured broadcast, forced shuffle join, fully lazy (planner's choice)
+        for kwargs in ({}, {"broadcast_max_bytes": 0}, {"broadcast_max_bytes": None}):
+            c = quality.classify_identity(df, "PlayerID", **kwargs)
             got = {r[0]: r[1] for r in c.groupBy("QuarantineReason").count().collect()}
             assert got == {None: 2001, "Duplicate PlayerID (first occurrence kept)": 999}
             first = c.where(F.col("PlayerID") == "HOT").where(
