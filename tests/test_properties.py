@@ -99,3 +99,33 @@ def test_quarantine_matches_first_occurrence_scan(spark, id_values):
             seen.add(key)
             want[i] = None
     assert got == want
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                   HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(0, 400).map(lambda x: x / 4)), min_size=1,
+                max_size=25),
+       st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["", " "]),
+                          st.one_of(st.none(), st.integers(-40, 400).map(lambda x: x / 4))),
+                max_size=40))
+def test_trend_matches_brute_force(spark, current, prior):
+    import numpy as np
+
+    from tiercraft.operators import trend
+    cur = spark.createDataFrame([(f"P{i}", v) for i, v in enumerate(current)],
+                                "PlayerID string, NetADT double")
+    prev_rows = [(pad + f"P{k}", v, j) for j, (k, pad, v) in enumerate(prior)]
+    prev = spark.createDataFrame(prev_rows, "PlayerID string, NetADT double, _row_order long")
+    got = {r.PlayerID: (r.NetADT_Prev, r.TrendPct, r.Trend)
+           for r in trend.apply_trend(cur, prev, "PlayerID").collect()}
+    first = {}
+    for pid, v, _ in prev_rows:
+        first.setdefault(pid.strip(), v)
+    for i, v in enumerate(current):
+        p = first.get(f"P{i}")
+        pct = None
+        if v is not None and p not in (None, 0.0):
+            pct = float(np.round((v - p) / p * 100, 1))
+        label = ("No prior data" if pct is None else "Declining" if pct <= -15
+                 else "Rising" if pct >= 15 else "Stable")
+        assert got[f"P{i}"] == (p, pct, label)
