@@ -129,3 +129,40 @@ def test_trend_matches_brute_force(spark, current, prior):
         label = ("No prior data" if pct is None else "Declining" if pct <= -15
                  else "Rising" if pct >= 15 else "Stable")
         assert got[f"P{i}"] == (p, pct, label)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                   HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.integers(-50, 3000).map(float),
+                          st.integers(-5000, 300000).map(lambda x: x / 100)),
+                min_size=2, max_size=60).filter(lambda xs: len(set(xs)) >= 2))
+def test_value_bands_match_pandas_qcut(spark, values):
+    import pandas as pd
+
+    from tiercraft.operators import rollup
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [(r.Band, r.Records) for r in rollup.value_bands(df, "v").orderBy("band_no").collect()]
+    counts = pd.qcut(pd.Series(values), q=5, duplicates="drop").value_counts().sort_index()
+    want = [(f"${int(i.left):,} to ${int(i.right):,}", int(n)) for i, n in counts.items()]
+    assert got == want
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                   HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["A", "B", "C"]),
+                          st.one_of(st.none(), st.integers(-400, 4000).map(lambda x: x / 4)),
+                          st.booleans()), min_size=1, max_size=50))
+def test_value_table_matches_pandas(spark, rows):
+    import pandas as pd
+
+    from tiercraft.operators import rollup
+    data = [(seg, v, f"P{i}" if has_id else None) for i, (seg, v, has_id) in enumerate(rows)]
+    df = spark.createDataFrame(data, "Segment string, NetADT double, PlayerID string")
+    got = {r.Segment: (r.Records, r.TotalValue, r.AvgValue)
+           for r in rollup.value_table(df, "PlayerID", "NetADT").collect()}
+    pdf = pd.DataFrame(data, columns=["Segment", "NetADT", "PlayerID"])
+    vt = pdf.groupby("Segment").agg(Records=("PlayerID", "count"), TotalValue=("NetADT", "sum"),
+                                    AvgValue=("NetADT", "mean")).round(2)
+    want = {s: (int(r.Records), float(r.TotalValue),
+                None if pd.isna(r.AvgValue) else float(r.AvgValue)) for s, r in vt.iterrows()}
+    assert got == want
