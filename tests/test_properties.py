@@ -186,3 +186,38 @@ def test_width_bands_and_distribution_match_pandas(spark, values):
     text = rollup.distribution_insight(df, "v").first().insight
     assert text.startswith(f"The median value is ${s.median():,.2f} and the top 10% of records "
                            f"hold about {share:.0f}% of total value.")
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                   HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(*[st.one_of(st.none(), st.integers(0, 5000).map(lambda x: x / 4))
+                            for _ in range(4)], st.sampled_from(["A", "B", "C"])),
+                min_size=1, max_size=40))
+def test_pareto_and_overview_match_pandas(spark, rows):
+    import pandas as pd
+
+    from tiercraft.operators import rollup
+    cols = ["OfferSlots", "OfferTables", "OfferFood", "OfferHotel"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", Segment string")
+    pdf = pd.DataFrame(rows, columns=cols + ["Segment"])
+    totals = {c: float(pdf[c].sum()) for c in cols if pdf[c].notna().any()}
+    par = rollup.pareto(df)
+    got = {r.Category: (r.RawTotal, r["Cumulative %"]) for r in par.collect()}
+    if len(set(totals.values())) == len(totals):      # order is only defined without ties
+        ser = pd.Series(totals).sort_values(ascending=False)
+        raw = ser.values.round(2)
+        cum = (raw.cumsum() / raw.sum() * 100).round(1)
+        assert got == {c: (float(t), None if math.isnan(p) else float(p))
+                       for c, t, p in zip(ser.index, raw, cum)}
+    else:
+        assert {c: t for c, (t, _) in got.items()} == {c: round(t, 2) for c, t in totals.items()}
+    ov = {r.Segment: r for r in rollup.segment_overview(df, "OfferSlots").collect()}
+    total_val = pdf["OfferSlots"].sum()
+    for seg, sub in pdf.groupby("Segment"):
+        tv, av = sub["OfferSlots"].sum(), sub["OfferSlots"].mean()
+        r = ov[seg]
+        assert r["Records"] == len(sub)
+        assert r["% of records"] == f"{len(sub) / len(pdf) * 100:.0f}%"
+        assert r["Total value"] == f"${tv:,.2f}"
+        assert r["Avg value"] == f"${av:,.2f}"
+        assert r["% of value"] == f"{(tv / total_val * 100 if total_val else 0):.0f}%"

@@ -193,3 +193,12 @@ def test_profile_players_top_values(spark):
                      "DaysSinceLastVisit: avg 10, max 15",
                      "TierRank top values: Gold (2), Silver (2), Alpha (1)",
                      "PreferredGame top values: "]
+
+
+def test_pareto_all_zero_totals(spark):
+    df = spark.createDataFrame([(0.0, 0.0)], "OfferSlots double, OfferFood double")
+    rows = rollup.pareto(df).orderBy("rank").collect()
+    assert [(r.Category, r.RawTotal, r["Cumulative %"]) for r in rows] == [
+        ("OfferFood", 0.0, None), ("OfferSlots", 0.0, None)]
+    assert rollup.pareto_insight(rollup.pareto(df)).first().insight.startswith(
+        "OfferFood alone accounts for nan% of total offer dollars.")
