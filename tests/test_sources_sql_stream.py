@@ -185,3 +185,16 @@ def test_stream_two_batches_and_restart(spark, tmpdir_path):
         assert seg.select("batch_id").distinct().count() == 2
     rej = spark.read.parquet(sink + "/rejects")
     assert rej.count() == 2 + 1
+
+
+def test_empty_input_runs_through(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "empty.csv")
+    _write(p, "PlayerID,FullName,NetADT,DaysSinceLastVisit,CanEmail,ZipCode\n")
+    res = runner.run_players(read_records(spark, p))
+    assert res.segmented.count() == 0 and res.rejects.count() == 0
+    assert res.value_table().count() == 0
+    assert res.value_bands().count() == 0
+    assert res.distribution_insight().first().insight == "No numeric values to analyze."
+    assert [r.line for r in res.health.orderBy("line_no").collect()][:2] == [
+        "0 records loaded across 6 columns.", "0.0% of all cells are empty."]
+    res.release()
