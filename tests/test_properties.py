@@ -221,3 +221,36 @@ def test_pareto_and_overview_match_pandas(spark, rows):
         assert r["Total value"] == f"${tv:,.2f}"
         assert r["Avg value"] == f"${av:,.2f}"
         assert r["% of value"] == f"{(tv / total_val * 100 if total_val else 0):.0f}%"
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                   HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 100000)),
+                          st.integers(0, 30000), st.integers(0, 20000), st.integers(0, 30)),
+                min_size=1, max_size=40))
+def test_segment_companies_matches_brute_force(spark, rows):
+    import numpy as np
+
+    from tiercraft.operators import segment
+    data = [(f"A{i}", None if rev is None else f"${rev:,}", float(d), float(e), m)
+            for i, (rev, d, e, m) in enumerate(rows)]
+    df = spark.createDataFrame(data, "AccountID string, AnnualRevenue string, Debt double, "
+                                     "Equity double, MonthsSinceContact long")
+    seg, cut = segment.segment_companies(df)
+    revs = [float(r) for r, _, _, _ in rows if r is not None]
+    want_cut = float(np.quantile(revs, 0.75)) if revs else None
+    assert (cut is None and want_cut is None) or math.isclose(cut, want_cut, rel_tol=1e-12)
+    got = {r.AccountID: (r.DebtToEquity, r.Segment) for r in seg.collect()}
+    for i, (rev, d, e, m) in enumerate(rows):
+        dte = None if e == 0 else float(np.round(d / e, 2))
+        if rev is None:
+            s = "Needs Review"
+        elif dte is not None and dte > 1.5:
+            s = "High Value At Risk" if rev >= cut else "Leveraged Watchlist"
+        elif rev >= cut:
+            s = "Strategic Account"
+        elif m > 12:
+            s = "Dormant"
+        else:
+            s = "Standard"
+        assert got[f"A{i}"] == (dte, s)
