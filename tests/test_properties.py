@@ -254,3 +254,35 @@ def test_segment_companies_matches_brute_force(spark, rows):
         else:
             s = "Standard"
         assert got[f"A{i}"] == (dte, s)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.too_slow,
+                                                                   HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.just("n/a"),
+                                    st.integers(0, 9999).map(lambda x: f"${x / 4:,.2f}")),
+                          st.one_of(st.none(), st.integers(0, 60))), min_size=1, max_size=40))
+def test_segment_custom_matches_brute_force(spark, rows):
+    import numpy as np
+
+    from tiercraft.operators import segment
+    data = [(i, w, r) for i, (w, r) in enumerate(rows)]
+    df = spark.createDataFrame(data, "rid long, worth string, days long")
+    seg, cut = segment.segment_custom(df, "worth", "days")
+    vals = [rule(w) for w, _ in rows]
+    nums = [v for v in vals if v is not None]
+    rec = [float(r) for _, r in rows if r is not None]
+    med = float(np.median(rec)) if rec else None
+    q75 = float(np.quantile(nums, 0.75)) if nums else None
+    q25 = float(np.quantile(nums, 0.25)) if nums else None
+    got = {r.rid: r.Segment for r in seg.collect()}
+    for i, ((_, r), v) in enumerate(zip(rows, vals)):
+        stale = r is not None and med is not None and r > med
+        if v is None:
+            s = "Needs Review"
+        elif v >= q75:
+            s = "High Value At Risk" if stale else "High Value Active"
+        elif v <= q25:
+            s = "Low Value Lapsed" if stale else "Low Value"
+        else:
+            s = "Mid Tier Lapsed" if stale else "Mid Tier"
+        assert got[i] == s, (rows[i], v, q25, q75, med)
