@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,16 +42,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when none is set (local tests) create one
-    under the local temp folder."""
+    """The shared checkpoint folder, as the cluster names it in
+    ``spark.checkpoint.dir``. Only a single-process session (``local[...]``,
+    as in tests) gets a temporary folder when none is set; anywhere else a
+    machine-local folder would be lost to the other executors, so it raises."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tiercraft-ckpt-",
-                                      dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tiercraft-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
