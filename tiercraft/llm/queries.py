@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiercraft.llm import line_dedup, mixing, pii, url_filter
+from tiercraft.llm import decontaminate, line_dedup, mixing, pii, token_counts, url_filter
+from tiercraft.llm.text import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,24 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_hits(docs, _table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hits").cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_words"), n_hit).alias("contaminated"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs)
+    return counted.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return (url_filter.filter_urls(pages, url_filter.rule_table(spark))
@@ -40,4 +59,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.joined(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_mix, op9_url_filter, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+    op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts, op9_url_filter, op10_pii)}

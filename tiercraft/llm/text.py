@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the text contracts: blank, tab, \n, \v, \f, \r.
@@ -13,6 +14,19 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver did.
+
+    On a cluster the package is installed or sent with ``--py-files``; this
+    covers a driver that only extended its own ``sys.path``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    return spark
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that clash with none of ``df`` (case-insensitively)."""
     taken, out = {c.lower() for c in df.columns}, []
