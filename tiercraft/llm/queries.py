@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiercraft.llm import decontaminate, line_dedup, mixing, pii, token_counts, url_filter
+from tiercraft.llm import decontaminate, line_dedup, mixing, near_dedup, pii, token_counts, url_filter
 from tiercraft.llm.text import ship
 
 
@@ -44,6 +44,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.link_documents(docs, words=3, similarity=0.85)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return (url_filter.filter_urls(pages, url_filter.rule_table(spark))
@@ -60,4 +65,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts, op9_url_filter, op10_pii)}
+    op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts,
+    op8_near_dedup, op9_url_filter, op10_pii)}

@@ -1,0 +1,29 @@
+"""Joins in which a few keys may hold a large part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tiercraft.llm.text import fresh
+
+SALTS = 64
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n_col: str, hot_from: int,
+             spread: Column) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per key and the key's number of left rows.
+
+    Keys of at least ``hot_from`` rows are hot: there are at most (left rows /
+    ``hot_from``) of them, so the keys alone can be broadcast when ``hot_from``
+    is a fixed share of the rows. Their left rows are dealt by ``spread`` to
+    SALTS parts, and the right row is repeated for each part.
+    """
+    salt, flag = fresh(left.join(right, keys, "left"), "__salt", "__hot")
+    hot = right.where(F.col(n_col) >= hot_from).select(*keys, F.lit(True).alias(flag))
+    salted = (left.join(F.broadcast(hot), keys, "left")
+              .withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+                          .otherwise(0).cast("int")).drop(flag))
+    dealt = right.withColumn(salt, F.explode(F.sequence(
+        F.lit(0), F.when(F.col(n_col) >= hot_from, SALTS - 1).otherwise(0)))).drop(n_col)
+    return salted.join(dealt, [*keys, salt]).drop(salt)
