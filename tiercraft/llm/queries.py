@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiercraft.llm import decontaminate, line_dedup, mixing, near_dedup, pii, token_counts, url_filter
+from tiercraft.llm import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    near_dedup,
+    pii,
+    quality_crf,
+    quality_rules,
+    token_counts,
+    url_filter,
+)
 from tiercraft.llm.text import ship
 
 
@@ -13,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -44,6 +58,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_crf.score_documents(docs, model).select(
+        "doc_id", (quality_crf.fold("doc_id") == 2).alias("held_out"), "score",
+        (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.link_documents(docs, words=3, similarity=0.85)
@@ -65,5 +87,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts,
+    op2_quality_rules, op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts, op7_quality,
     op8_near_dedup, op9_url_filter, op10_pii)}
