@@ -13,6 +13,7 @@ from tiercraft.llm import (
     pii,
     quality_crf,
     quality_rules,
+    suffix_dedup,
     token_counts,
     url_filter,
 )
@@ -23,6 +24,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_bytes(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -87,5 +95,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts, op7_quality,
+    op1_suffix_dedup, op2_quality_rules, op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts, op7_quality,
     op8_near_dedup, op9_url_filter, op10_pii)}
