@@ -4,7 +4,8 @@ Plan: the lines' normalised keys are exploded as 128-bit hashes, distinct
 (key, document) pairs are counted per key (both aggregates combine map-side, so
 a line of a third of all documents costs one partial row per task), the keys at
 or over the threshold are joined back to the thin (document, position) rows,
-and only the positions to drop are joined to the texts. Texts cross the network
+(the keys of very many documents in salted parts), and only the positions to
+drop are joined to the texts. Texts cross the network
 once; lines never do.
 """
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tiercraft.llm.text import SPACE, col, fresh, lower_ascii, whole
 
+SALTS = 64
+
 
 def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE)))
@@ -49,8 +52,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      F.xxhash64(F.lit(1), "key").alias("h2")))
     shared = (lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
               .groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("id").alias("keeper"))
-              .where(F.col("n_docs") >= min_docs).drop("n_docs"))
-    falls = (lines.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
+              .where(F.col("n_docs") >= min_docs))
+    # A key of over a thousandth of all documents is hot. There are at most a
+    # thousand times as many of them as a document has lines, so they can be
+    # broadcast; their rows meet the key in SALTS parts instead of one.
+    hot_from = max(1000, docs.count() // 1000)
+    hot = (shared.where(F.col("n_docs") >= hot_from)
+           .select("h1", "h2", F.lit(True).alias("hot")))
+    salted = (lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+              .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+                          .otherwise(0).cast("int")).drop("hot"))
+    keepers = shared.withColumn("salt", F.explode(F.sequence(
+        F.lit(0), F.when(F.col("n_docs") >= hot_from, SALTS - 1).otherwise(0)))).drop("n_docs")
+    falls = (salted.join(keepers, ["h1", "h2", "salt"]).where(F.col("id") != F.col("keeper"))
              .groupBy(F.col("id").alias("__id"), F.col("row_hash").alias("__rh"))
              .agg(F.collect_set("pos").alias(drop)))
     hashed = docs.withColumn(row_hash, F.xxhash64(text))
