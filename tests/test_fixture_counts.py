@@ -93,7 +93,8 @@ def test_runners_match_catalog_queries(spark):
     comp = runner.run_companies(fx.companies(spark, sf))
     want = {r.AccountID: r.Segment for r in catalog.q_segment_companies(spark, sf).collect()}
     assert {r.AccountID: r.Segment for r in comp.segmented.collect()} == want
-    assert [s["Stage"] for s in comp.run_log] == ["Quarantine", "Clean", "Segment"]
+    assert [s["Stage"] for s in comp.run_log] == ["Quarantine", "Clean", "Segment",
+                                                 "Aggregate"]
     cust = runner.run_custom(fx.custom(spark, sf), "ref_id", "worth", "recency_days")
     want = {r.ref_id: r.Segment for r in catalog.q_segment_custom(spark, sf).collect()}
     assert {r.ref_id: r.Segment for r in cust.segmented.collect()} == want

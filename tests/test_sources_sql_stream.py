@@ -47,7 +47,8 @@ def test_run_players_from_csv_and_sinks(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "players.csv")
     _write(p, CSV)
     res = runner.run_players(read_records(spark, p))
-    assert [s["Stage"] for s in res.run_log] == ["Quarantine", "Clean", "Segment"]
+    assert [s["Stage"] for s in res.run_log] == ["Quarantine", "Clean", "Segment",
+                                                 "Aggregate"]
     assert res.run_log[0]["Rows in"] == 6 and res.run_log[0]["Rows out"] == 4
     seg = res.segmented
     assert dict(seg.select("PlayerID", "NetADT").collect())["P1"] == 1200.5
@@ -117,7 +118,7 @@ def test_runner_checkpoint_mode_and_shuffle_fallback(spark, tmpdir_path):
     key = ["PlayerID", "NetADT", "Segment"]
     assert sorted(map(tuple, a.segmented.select(key).collect())) == \
         sorted(map(tuple, b.segmented.select(key).collect()))
-    lazy = quality.classify_identity(read_records(spark, p), "PlayerID", broadcast_max_bytes=0)
+    lazy = quality.classify_identity(read_records(spark, p), "PlayerID")
     assert sorted(r.QuarantineReason or "" for r in lazy.collect()) == sorted(
         r.QuarantineReason or "" for r in a.classified.collect())
     a.release()
@@ -198,3 +199,77 @@ def test_empty_input_runs_through(spark, tmpdir_path):
     assert [r.line for r in res.health.orderBy("line_no").collect()][:2] == [
         "0 records loaded across 6 columns.", "0.0% of all cells are empty."]
     res.release()
+
+
+NASTY = [("P1", 'Ann "Ace" Lee, Jr', "5"), (" P2 ", "two\nlines", "1,000"), ("P3", "NA", "$7"),
+         ("P4", 'say "hi"', " 8 "), ("P5", "", None), ("P6", "back\\slash\\", "n/a")]
+
+
+def test_csv_round_trip_matches_duckdb_and_pandas(spark, tmpdir_path):
+    import glob
+
+    import duckdb
+    import pandas as pd
+
+    from tiercraft.sources.sinks import write_csv
+    df = spark.createDataFrame(NASTY, "`Member No.` string, FullName string, Net string")
+    write_csv(df, tmpdir_path + "/out", single_file=True)
+    (part,) = glob.glob(tmpdir_path + "/out/part-*.csv")
+    back = [tuple(r)[:3] for r in read_records(spark, part).collect()]
+    null = {"NA", "", "n/a", None}
+    want = [tuple(None if v in null else v for v in r) for r in NASTY]
+    assert sorted(back) == sorted(want)
+    pdf = pd.read_csv(part, dtype=str)
+    assert sorted(tuple(None if pd.isna(v) else v for v in r)
+                  for r in pdf.itertuples(index=False)) == sorted(want)
+    rows = duckdb.sql(f"SELECT * FROM read_csv('{part}', all_varchar=true, header=true, quote='\"', "
+                      "escape='\"', delim=',')").fetchall()
+    assert sorted(tuple(None if v in null else v for v in r) for r in rows) == sorted(want)
+
+
+def test_csv_quoted_cell_as_pandas_reads_it(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "q.csv")
+    _write(p, 'PlayerID,FullName,NetADT\nP1,"Ann ""Ace"" Lee, Jr",5\nP2,"a\nb",6\n')
+    rows = [tuple(r)[:3] for r in read_records(spark, p).orderBy("PlayerID").collect()]
+    assert rows == [("P1", 'Ann "Ace" Lee, Jr', "5"), ("P2", "a\nb", "6")]
+
+
+def test_swapped_header_fails_instead_of_shifting(spark, tmpdir_path):
+    import pytest
+    src = os.path.join(tmpdir_path, "swap")
+    os.makedirs(src)
+    _write(os.path.join(src, "a.csv"), "PlayerID,NetADT\nA,1\n")
+    _write(os.path.join(src, "b.csv"), "NetADT,PlayerID\n2,B\n")
+    with pytest.raises(Exception):
+        read_records(spark, src).collect()
+    schema = StructType([StructField(c, StringType()) for c in ("PlayerID", "NetADT")])
+    q = segment_stream(spark, src, schema, tmpdir_path + "/sink3", tmpdir_path + "/ck3", available_now=True)
+    with pytest.raises(Exception):
+        q.awaitTermination(300)
+    with pytest.raises(ValueError):
+        segment_stream(spark, src, schema, tmpdir_path + "/sink3", "", available_now=True)
+
+
+def test_two_streams_of_a_mode_and_a_restart_keep_earlier_batches(spark, tmpdir_path):
+    head = "PlayerID,FullName,NetADT,DaysSinceLastVisit,CanEmail,ZipCode\n"
+    schema = StructType([StructField(c, StringType()) for c in head.strip().split(",")])
+
+    def run(k):
+        segment_stream(spark, f"{tmpdir_path}/in{k}", schema, f"{tmpdir_path}/sink{k}",
+                       f"{tmpdir_path}/ck{k}", available_now=True).awaitTermination(300)
+    for k in "ab":
+        os.makedirs(f"{tmpdir_path}/in{k}")
+        _write(f"{tmpdir_path}/in{k}/1.csv", head + f"{k}1,Al,10,5,yes,1\n")
+        run(k)
+    os.rename(f"{tmpdir_path}/ina/1.csv", f"{tmpdir_path}/archived.csv")
+    _write(f"{tmpdir_path}/ina/2.csv", head + "a2,Bo,10,5,yes,1\n")
+    run("a")
+    ids = lambda k: sorted(r.PlayerID for r in spark.read.parquet(f"{tmpdir_path}/sink{k}/segmented").collect())
+    assert ids("a") == ["a1", "a2"] and ids("b") == ["b1"]
+
+
+def test_sql_errors_of_running_surface(spark):
+    import pytest
+    df = spark.createDataFrame([("a", 1.0, "X")], "PlayerID string, NetADT double, Segment string")
+    with pytest.raises(ValueError, match="^Query failed"):
+        run_sql(spark, df, "SELECT CAST(PlayerID AS INT) FROM records")

@@ -76,9 +76,12 @@ def test_value_bands_labels(spark):
     assert bands[0].Band == "$4 to $6"          # lowest edge lowered by 0.001 then truncated
     assert sum(b.Records for b in bands) == 10
     const = spark.createDataFrame([(3.0,), (3.0,)], "v double")
-    assert rollup.value_bands(const, "v").count() == 0
+    # one edge makes no quantile band: equal-width bands instead
+    fallback = rollup.value_bands(const, "v").orderBy("band_no").collect()
+    assert fallback == rollup.width_bands(const, "v").orderBy("band_no").collect()
+    assert [b.Records for b in fallback] == [0, 0, 2, 0, 0]
     single = spark.createDataFrame([(3.0,)], "v double")
-    assert rollup.value_bands(single, "v").count() == 0
+    assert rollup.value_bands(single, "v").count() == 5
     dup = spark.createDataFrame([(float(v),) for v in [1, 1, 1, 1, 1, 1, 2, 3, 4, 5]], "v double")
     assert rollup.value_bands(dup, "v").count() == 3   # duplicate edges dropped
 
@@ -154,17 +157,19 @@ def test_explanations(spark):
     assert "visited" not in got["P4"]
 
 
-def test_worklist_distributed_rank_equals_single_task(spark):
+def test_worklist_rank_is_the_global_order(spark):
     rows = [(f"P{i}", f"N{i}", float(i % 37) * 10 + 200, i % 300,
              "At Risk High Value" if i % 3 else "VIP High Value", float(i % 11) - 5)
             for i in range(400)]
     seg = spark.createDataFrame(rows, "PlayerID string, FullName string, NetADT double, "
                                       "DaysSinceLastVisit long, Segment string, TrendPct double")
     a = worklist.host_worklist(seg, id_col="PlayerID")
-    b = worklist.host_worklist(seg, id_col="PlayerID", single_task_max_rows=0, rank_partitions=7)
+    b = worklist.host_worklist(seg, id_col="PlayerID", rank_partitions=7)
     ra = [(r.rank, r.Player) for r in a.collect()]
     rb = [(r.rank, r.Player) for r in b.collect()]
     assert sorted(ra) == sorted(rb) and sorted(r for r, _ in ra) == list(range(1, 401))
+    want = sorted(rows, key=lambda r: (0 if r[4].startswith("At") else 1, r[5], -r[2], r[0]))
+    assert [p for _, p in sorted(ra)] == [r[1] for r in want]
 
 
 def test_deep_dive_and_filters(spark):

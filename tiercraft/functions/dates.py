@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
-from tiercraft.config import DATE_FORMATS
-
-ColumnOrName = Column | str
-
-
-def _col(c: ColumnOrName) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+from tiercraft.config import DATE_FORMATS, ZONED_DATE_FORMATS
+from tiercraft.functions.columns import ColumnOrName
+from tiercraft.functions.columns import col as _col
 
 
 def parse_date(c: ColumnOrName, dtype: DataType | None = None) -> Column:
-    """Date text to timestamp, trying an explicit ordered list of formats;
+    """Date text to timestamp, trying an explicit ordered list of formats
+    (blanks around are ignored, a time with a zone is read as its UTC time);
     unreadable text is NULL. Date/timestamp columns pass through."""
     c = _col(c)
     if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
         return c.cast("timestamp_ntz")
-    s = c.cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
-                        for fmt in DATE_FORMATS])
+    s = F.trim(c.cast("string"))
+    zoned = [F.to_utc_timestamp(F.try_to_timestamp(s, F.lit(fmt)), F.current_timezone())
+             for fmt in ZONED_DATE_FORMATS]
+    plain = [F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]
+    return F.coalesce(*[t.cast("timestamp_ntz") for t in plain + zoned])
+
+
+def unparsed_share(df: DataFrame, name: str) -> DataFrame:
+    """Share of the non-missing cells of a date column that do not parse."""
+    c = _col(name)
+    bad = parse_date(c, df.schema[name].dataType).isNull() & c.isNotNull()
+    return df.agg((F.count_if(bad) / F.greatest(F.count(c), F.lit(1))).alias("date_unparsed_rate"))
 
 
 def days_since(ts: ColumnOrName, as_of: datetime | str) -> Column:

@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tiercraft.config import MONEY_KEEP_PATTERN
-
-ColumnOrName = Column | str
-
-
-def _col(c: ColumnOrName) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+from tiercraft.functions.columns import ColumnOrName
+from tiercraft.functions.columns import col as _col
 
 
 def nan_to_null(c: ColumnOrName) -> Column:
@@ -33,8 +29,8 @@ def money_value(df: DataFrame, name: str) -> Column:
     never pass through text, which would mangle 1.2E7), text is parsed."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, NumericType):
-        return nan_to_null(F.col(name))
-    return parse_money(F.col(name))
+        return nan_to_null(name)
+    return parse_money(name)
 
 
 # Strings a strict numeric parse accepts: optional sign, digits with an
@@ -45,7 +41,7 @@ _STRICT_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\
 def parse_strict(df: DataFrame, name: str) -> Column:
     """Strict numeric parse: '$5' and '1,000' are NULL, ' 5 ' and '1e5' parse."""
     dtype = df.schema[name].dataType
-    c = F.col(name)
+    c = _col(name)
     if isinstance(dtype, NumericType):
         return nan_to_null(c)
     s = c.cast("string")

@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, FractionalType, StringType
 
 from tiercraft.config import MISSING_ID_TOKENS
-
-ColumnOrName = Column | str
+from tiercraft.functions.columns import ColumnOrName
+from tiercraft.functions.columns import col as _col
 
 # Every character Python's str.strip() removes (str.isspace), by rule.
 PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
-def _col(c: ColumnOrName) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def strip_ws(c: ColumnOrName) -> Column:
     """Strip leading/trailing whitespace the way Python's str.strip() does
     (Spark's trim drops only spaces). A character-set trim, not a regex."""
@@ -64,7 +60,8 @@ def consent_standardise(c: ColumnOrName) -> Column:
 def flag_missing(c: ColumnOrName) -> Column:
     """NULL or exactly '' becomes 'MISSING'; whitespace-only cells are kept."""
     c = _col(c)
-    return F.when(c.isNull() | (c.cast("string") == ""), F.lit("MISSING")).otherwise(c)
+    text = c.cast("string")      # an integer column cannot hold the word
+    return F.when(text.isNull() | (text == ""), F.lit("MISSING")).otherwise(text)
 
 
 def flag_issue(c: ColumnOrName) -> Column:
@@ -74,8 +71,13 @@ def flag_issue(c: ColumnOrName) -> Column:
 
 
 def record_label(name: ColumnOrName | None, id_col: ColumnOrName | None) -> Column:
-    """'FullName (id)' when a name column exists, else the id."""
+    """'FullName (id)' when a name column exists, else the id; a missing name
+    or id reads 'nan'."""
     if name is None:
-        return _col(id_col).cast("string")
-    return F.concat(_col(name).cast("string"), F.lit(" ("), _col(id_col).cast("string"),
-                    F.lit(")"))
+        return shown(_col(id_col))
+    return F.concat(shown(_col(name)), F.lit(" ("), shown(_col(id_col)), F.lit(")"))
+
+
+def shown(c: ColumnOrName) -> Column:
+    """Text of a cell in a sentence: a missing one reads 'nan'."""
+    return F.coalesce(_col(c).cast("string"), F.lit("nan"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
+from tiercraft import config
+from tiercraft.functions.columns import col, sentence
 from tiercraft.functions.numbers import fmt_int, fmt_money, parse_strict
 from tiercraft.functions.text import record_label
 from tiercraft.sources.readers import ROW_ORDER
@@ -20,27 +22,19 @@ def _concat_ws(*parts: Column) -> Column:
 def explain_player(df: DataFrame, cut: float | None, sym: str = "$") -> Column:
     v = parse_strict(df, "NetADT")
     c = F.lit(cut).cast("double")
-    r = parse_strict(df, "DaysSinceLastVisit") if "DaysSinceLastVisit" in df.columns else None
-    value_part = F.when(v >= c, F.concat(
-        F.lit("Their NetADT of "), fmt_money(v, sym), F.lit(" is in the top quartile (cutoff "),
-        fmt_money(c, sym), F.lit("), so they count as high value."))).otherwise(F.concat(
-            F.lit("Their NetADT of "), fmt_money(v, sym),
-            F.lit(" is below the high value cutoff of "), fmt_money(c, sym), F.lit(".")))
-    parts = [value_part]
-    if r is not None:
-        days = fmt_int(r)
-        parts.append(F.when(r > 180, F.concat(
-            F.lit("They have not visited in "), days,
-            F.lit(" days, past the 180 day mark, so recency flags them as drifting away.")))
-            .when(r <= 30, F.concat(F.lit("They visited "), days,
-                                    F.lit(" days ago, which is recent.")))
-            .when(r.isNotNull(), F.concat(F.lit("They last visited "), days,
-                                          F.lit(" days ago."))))
-    parts.append(F.concat(F.lit("Together that places them in the "), F.col("Segment"),
-                          F.lit(" segment.")))
-    return F.when(v.isNull(), F.lit(
-        "This player has no NetADT value, so they were set aside for review.")) \
-        .otherwise(_concat_ws(*parts))
+    figures = {"value": fmt_money(v, sym), "cut": fmt_money(c, sym)}
+    parts = [F.when(v >= c, sentence(config.EXPLAIN_PLAYER_HIGH, **figures))
+             .otherwise(sentence(config.EXPLAIN_PLAYER_LOW, **figures))]
+    if "DaysSinceLastVisit" in df.columns:
+        r = parse_strict(df, "DaysSinceLastVisit")
+        days, limit = fmt_int(r), config.PLAYER_RECENCY_LAPSED_DAYS
+        parts.append(
+            F.when(r > limit, sentence(config.EXPLAIN_PLAYER_LAPSED, days=days, limit=str(limit)))
+            .when(r <= config.PLAYER_RECENCY_ACTIVE_DAYS,
+                  sentence(config.EXPLAIN_PLAYER_RECENT, days=days))
+            .when(r.isNotNull(), sentence(config.EXPLAIN_PLAYER_SEEN, days=days)))
+    parts.append(sentence(config.EXPLAIN_PLAYER_SEGMENT, segment=F.col("Segment")))
+    return F.when(v.isNull(), F.lit(config.EXPLAIN_PLAYER_NONE)).otherwise(_concat_ws(*parts))
 
 
 def _py_str_double(c: Column) -> Column:
@@ -57,38 +51,31 @@ def _py_str_double(c: Column) -> Column:
 def explain_company(df: DataFrame, cut: float | None, sym: str = "$") -> Column:
     rev = parse_strict(df, "AnnualRevenue")
     c = F.lit(cut).cast("double")
-    parts = [F.when(rev >= c, F.concat(
-        F.lit("Its revenue of "), fmt_money(rev, sym), F.lit(" is in the top quartile (cutoff "),
-        fmt_money(c, sym), F.lit("), so it is a large account."))).otherwise(F.concat(
-            F.lit("Its revenue of "), fmt_money(rev, sym),
-            F.lit(" is below the large account cutoff of "), fmt_money(c, sym), F.lit(".")))]
+    figures = {"value": fmt_money(rev, sym), "cut": fmt_money(c, sym)}
+    parts = [F.when(rev >= c, sentence(config.EXPLAIN_COMPANY_HIGH, **figures))
+             .otherwise(sentence(config.EXPLAIN_COMPANY_LOW, **figures))]
     if "DebtToEquity" in df.columns:
         d = parse_strict(df, "DebtToEquity")
-        parts.append(F.when(d.isNotNull(), F.concat(
-            F.lit("Its debt to equity ratio of "), _py_str_double(d), F.lit(" is "),
-            F.when(d > 1.5, F.lit("above 1.5, which signals heavy leverage."))
-            .otherwise(F.lit("within a healthy range.")))))
+        limit = config.COMPANY_LEVERAGE_LIMIT
+        parts.append(
+            F.when(d > limit, sentence(config.EXPLAIN_COMPANY_LEVERAGED, ratio=_py_str_double(d),
+                                       limit=str(limit)))
+            .when(d.isNotNull(), sentence(config.EXPLAIN_COMPANY_HEALTHY, ratio=_py_str_double(d))))
     if "MonthsSinceContact" in df.columns:
         m = parse_strict(df, "MonthsSinceContact")
-        parts.append(F.when(m > 12, F.concat(F.lit("It has not been contacted in "), fmt_int(m),
-                                             F.lit(" months."))))
-    parts.append(F.concat(F.lit("Together that places it in the "), F.col("Segment"),
-                          F.lit(" segment.")))
-    return F.when(rev.isNull(), F.lit(
-        "This account has no revenue figure, so it was set aside for review.")) \
-        .otherwise(_concat_ws(*parts))
+        parts.append(F.when(m > config.COMPANY_DORMANT_MONTHS,
+                            sentence(config.EXPLAIN_COMPANY_COLD, months=fmt_int(m))))
+    parts.append(sentence(config.EXPLAIN_COMPANY_SEGMENT, segment=F.col("Segment")))
+    return F.when(rev.isNull(), F.lit(config.EXPLAIN_COMPANY_NONE)).otherwise(_concat_ws(*parts))
 
 
 def explain_custom(df: DataFrame, cut: float | None, value_col: str, sym: str = "$") -> Column:
     v = parse_strict(df, value_col)
     c = F.lit(cut).cast("double")
-    band = F.when(v >= c, F.lit("in the top tier")).otherwise(F.lit("below the top tier"))
-    return F.when(v.isNull(), F.lit(
-        f"This record has no usable {value_col}, so it was set aside for review.")) \
-        .otherwise(F.concat(F.lit(f"Its {value_col} of "), fmt_money(v, sym), F.lit(" is "), band,
-                            F.lit(" (top cutoff "), fmt_money(c, sym),
-                            F.lit("), placing it in the "), F.col("Segment"),
-                            F.lit(" segment.")))
+    tier = F.when(v >= c, config.EXPLAIN_CUSTOM_TOP).otherwise(config.EXPLAIN_CUSTOM_BELOW)
+    return F.when(v.isNull(), sentence(config.EXPLAIN_CUSTOM_NONE, column=value_col)).otherwise(
+        sentence(config.EXPLAIN_CUSTOM, column=value_col, value=fmt_money(v, sym), tier=tier,
+                 cut=fmt_money(c, sym), segment=F.col("Segment")))
 
 
 def explain(df: DataFrame, mode: str, cut: float | None, value_col: str | None = None,
@@ -109,20 +96,21 @@ def with_label(df: DataFrame, id_col: str) -> DataFrame:
 
 def record_lookup(df: DataFrame, id_col: str, record_id) -> DataFrame:
     """the record with this id (ids are unique after quarantine)."""
-    return df.where(F.col(id_col) == F.lit(record_id))
+    return df.where(col(id_col) == F.lit(record_id))
 
 
 def lookup_by_name(df: DataFrame, pick: str, id_col: str = "PlayerID") -> DataFrame:
-    """by FullName when that column exists, else by id text."""
-    if "FullName" in df.columns:
-        return df.where(F.col("FullName") == F.lit(pick))
-    return df.where(F.col(id_col).cast("string") == F.lit(pick))
+    """the first record (in source order, then by id) whose FullName, or
+    without such a column whose id text, is ``pick``."""
+    by = col("FullName") if "FullName" in df.columns else col(id_col).cast("string")
+    order = [F.col(ROW_ORDER).asc()] if ROW_ORDER in df.columns else []
+    return df.where(by == F.lit(pick)).orderBy(*order, col(id_col).asc()).limit(1)
 
 
 def value_text(df: DataFrame, name: str) -> Column:
     """str() of a cell the way the record detail shows it (missing -> 'nan')."""
     dtype = df.schema[name].dataType
-    c = F.col(f"`{name}`")
+    c = col(name)
     text = _py_str_double(c) if isinstance(dtype, FractionalType) else c.cast("string")
     return F.coalesce(text, F.lit("nan"))
 
@@ -134,4 +122,4 @@ def record_detail(df: DataFrame, id_col: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(i + 1).alias("field_no"), F.lit(c).alias("Field"),
                               value_text(df, c).alias("Value"))
                      for i, c in enumerate(fields)])
-    return df.select(F.col(id_col).alias("record_id"), F.inline(rows))
+    return df.select(col(id_col).alias("record_id"), F.inline(rows))

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiercraft import config
+from tiercraft.functions.columns import col, sentence
 from tiercraft.functions.numbers import fmt_fixed, money_value, parse_strict
 from tiercraft.functions.text import (consent_standardise, flag_issue, flag_missing,
                                       id_is_missing, normalise_id)
-from tiercraft.operators.joins import (BROADCAST_MAX_BYTES, bounded_broadcast,
-                                       bounded_broadcast_rows)
 from tiercraft.operators.quantiles import quantiles
+from tiercraft.operators.skew import join_hot
 from tiercraft.sources.readers import ROW_ORDER
 
 REASON = "QuarantineReason"
@@ -36,58 +37,46 @@ def lines_frame(df_one_row: DataFrame, lines: list[Column]) -> DataFrame:
 # F1 quarantine
 # --------------------------------------------------------------------------
 
-def classify_identity(df: DataFrame, id_col: str | None,
-                      broadcast_max_bytes: int | None = BROADCAST_MAX_BYTES) -> DataFrame:
+def classify_identity(df: DataFrame, id_col: str | None) -> DataFrame:
     """Add ``QuarantineReason`` (first column; NULL for kept rows).
 
     Missing id: NULL or stripped text in {'', 'nan', 'None', 'NaN'}.
-    Duplicate: a later row (by ``_row_order``) with the same stripped id.
-
-    Only ids that occur more than once matter. They are found in two thin
-    passes that read just the id and the row order:
-
-    1. count rows per 64-bit hash of the id (16 bytes per row cross the
-       shuffle, combined map-side, so an id on a third of all rows costs one
-       partial row per task) and keep hashes seen more than once -- every
-       duplicated id plus the rare hash collision;
-    2. among rows carrying such a hash only, group by the id itself for the
-       exact first ``_row_order`` of every id that really repeats.
-
-    That set is joined back (when no hash repeats, there is nothing to join
-    and the input is only checked for missing ids). Each intermediate set is
-    materialised and broadcast when its measured size is within
-    ``broadcast_max_bytes``, so the input itself is never shuffled; beyond
-    that the joins shuffle and AQE splits skewed partitions. Missing ids never enter the search.
-    ``None`` keeps everything lazy (join strategies left to the planner).
+    Duplicate: a later row (by ``_row_order``) with the same stripped id, so
+    exactly one row per id stays. ``_row_order`` must be unique; the query
+    fails if two rows of one id share it, as "first" is then undefined.
+
+    Only (id, row order) pairs are shuffled to find the ids that repeat, with
+    their first place; that set is joined back, by the planner's choice of
+    join. Rows without an id get join keys of their own (no id starts with a
+    NUL), so they spread over all partitions; the rows of an id with a million
+    rows or more are salted.
     """
     if not id_col or id_col not in df.columns:
-        return df.select(F.lit(None).cast("string").alias(REASON), *df.columns)
+        return df.select(F.lit(None).cast("string").alias(REASON), *map(col, df.columns))
+    if ROW_ORDER not in df.columns:
+        raise ValueError(f"records need a unique {ROW_ORDER} column "
+                         "(tiercraft.sources.readers.with_row_order attaches one)")
     dtype = df.schema[id_col].dataType
     # The stripped id is computed once per row, then tested and reused.
-    staged = df.withColumn("_qraw", normalise_id(F.col(id_col), dtype))
-    missing = id_is_missing(F.col(id_col), dtype, key=F.col("_qraw"))
-    tagged = staged.withColumn("_qkey", F.when(~missing, F.col("_qraw"))).drop("_qraw")
-    keyed = (tagged.where(F.col("_qkey").isNotNull())
-             .select("_qkey", ROW_ORDER, F.xxhash64("_qkey").alias("_qh")))
-    repeated = (keyed.groupBy("_qh").agg(F.count(F.lit(1)).alias("_qn"))
-                .where(F.col("_qn") > 1).select("_qh"))
-    if broadcast_max_bytes is not None:
-        repeated, _, n_repeated = bounded_broadcast_rows(repeated, broadcast_max_bytes)
-        if n_repeated == 0:
-            # no id repeats at all: only missing ids are quarantined, no join
-            reason = F.when(F.col("_qkey").isNull(), F.lit(f"Missing {id_col}"))
-            return tagged.select(reason.alias(REASON), *[F.col(f"`{c}`") for c in df.columns])
-    dups = (keyed.join(repeated, "_qh", "left_semi")
-            .groupBy("_qkey").agg(F.min(ROW_ORDER).alias("_qfirst"),
-                                  F.count(F.lit(1)).alias("_qn"))
-            .where(F.col("_qn") > 1).select("_qkey", "_qfirst"))
-    if broadcast_max_bytes is not None:
-        dups, _ = bounded_broadcast(dups, broadcast_max_bytes)
-    joined = tagged.join(dups, "_qkey", "left")
-    reason = (F.when(F.col("_qkey").isNull(), F.lit(f"Missing {id_col}"))
-              .when(F.col("_qfirst").isNotNull() & (F.col(ROW_ORDER) != F.col("_qfirst")),
+    staged = df.withColumn("_qraw", normalise_id(id_col, dtype))
+    missing = id_is_missing(id_col, dtype, key=F.col("_qraw"))
+    tagged = (staged.withColumn("_qmissing", missing)
+              .withColumn("_qkey", F.when(F.col("_qmissing"), F.concat(
+                  F.lit("\0"), F.xxhash64(ROW_ORDER).cast("string"))).otherwise(F.col("_qraw")))
+              .drop("_qraw"))
+    repeated = (tagged.where(~F.col("_qmissing"))
+                .groupBy("_qkey", ROW_ORDER).agg(F.count(F.lit(1)).alias("_qtied"))
+                .groupBy("_qkey").agg(F.min(ROW_ORDER).alias("_qfirst"),
+                                      F.sum("_qtied").alias("_qn"),
+                                      F.max("_qtied").alias("_qtied"))
+                .where(F.col("_qn") > 1))
+    joined = join_hot(tagged, repeated, ["_qkey"], "_qn", F.col(ROW_ORDER), how="left")
+    tie = F.raise_error(F.lit(f"{ROW_ORDER} is not unique among rows that share a {id_col}"))
+    reason = (F.when(F.col("_qmissing"), F.lit(f"Missing {id_col}"))
+              .when(F.col("_qtied") > 1, tie.cast("string"))
+              .when(F.col(ROW_ORDER) != F.col("_qfirst"),
                     F.lit(f"Duplicate {id_col} (first occurrence kept)")))
-    return joined.select(reason.alias(REASON), *[F.col(f"`{c}`") for c in df.columns])
+    return joined.select(reason.alias(REASON), *map(col, df.columns))
 
 
 def quarantine(df: DataFrame, id_col: str | None) -> tuple[DataFrame, DataFrame]:
@@ -123,27 +112,23 @@ def preflight(df: DataFrame, id_col: str | None, value_col: str | None) -> DataF
         aggs.append(F.avg(money_value(df, value_col).isNull().cast("double")).alias("_miss"))
     if has_id:
         dtype = df.schema[id_col].dataType
-        df = df.withColumn("_praw", normalise_id(F.col(id_col), dtype))
-        missing = id_is_missing(F.col(id_col), dtype, key=F.col("_praw"))
+        df = df.withColumn("_praw", normalise_id(id_col, dtype))
+        missing = id_is_missing(id_col, dtype, key=F.col("_praw"))
         key = F.when(~missing, F.col("_praw"))
         aggs += [F.count_if(missing).alias("_blank"),
                  (F.count(key) - F.count_distinct(key)).alias("_dupe")]
     one = df.agg(*aggs)
     lines = []
     if has_value:
-        lines.append(F.when(F.col("_miss") > 0.10, F.concat(
-            fmt_fixed(F.col("_miss") * 100, 0),
-            F.lit(f"% of the value column ({value_col}) could not be read as numbers. "
-                  "The wrong column may be mapped."))))
+        lines.append(F.when(F.col("_miss") > config.PREFLIGHT_UNREADABLE_LIMIT, sentence(
+            config.PREFLIGHT_UNREADABLE, share=fmt_fixed(F.col("_miss") * 100, 0),
+            value=value_col)))
     if has_id:
         bad = F.col("_blank") + F.col("_dupe")
-        lines.append(F.when(bad > 0, F.concat(
-            bad.cast("string"),
-            F.lit(f" row(s) have a missing or duplicate {id_col} and will be "
-                  "quarantined out of the analysis."))))
+        lines.append(F.when(bad > 0, sentence(
+            config.PREFLIGHT_BAD_IDS, rows=bad.cast("string"), id=id_col)))
     elif id_col:
-        lines.append(F.lit(f"The expected ID column ({id_col}) is not present, so per-record "
-                           "lookup will be unavailable."))
+        lines.append(sentence(config.PREFLIGHT_NO_ID, id=id_col))
     if not lines:
         return one.select(F.lit(1).alias("line_no"), F.lit("x").alias("line")).limit(0)
     return lines_frame(one, lines)
@@ -170,8 +155,8 @@ def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str |
     report: list[Column] = []
     for c in consent_cols:
         if c in out.columns:
-            out = out.withColumn(c, consent_standardise(F.col(c)))
-            report.append(F.lit(f"Standardized {c} to Yes / No / Unknown."))
+            out = out.withColumn(c, consent_standardise(c))
+            report.append(sentence(config.CLEAN_CONSENT, column=c))
     has_value = bool(value_col) and value_col in out.columns
     has_flag = bool(flag_col) and flag_col in out.columns
     med = None
@@ -179,13 +164,13 @@ def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str |
     if has_value:
         parsed = money_value(out, value_col)
         out = out.withColumn(value_col, parsed)
-        vc = F.col(value_col)
+        vc = col(value_col)
         aggs += [F.count_if(vc.isNull()).alias("imputed"), F.count(vc).alias("_vn"),
                  F.min(vc).alias("_vmin"), F.max(vc).alias("_vmax")]
     else:
         aggs.append(F.lit(0).cast("bigint").alias("imputed"))
     if has_flag:
-        aggs.append(F.count_if(flag_issue(F.col(flag_col))).alias("flagged"))
+        aggs.append(F.count_if(flag_issue(flag_col)).alias("flagged"))
     else:
         aggs.append(F.lit(0).cast("bigint").alias("flagged"))
     # Counts are taken on the pre-fill frame; the fill itself is lazy.
@@ -197,24 +182,22 @@ def clean(df: DataFrame, value_col: str | None, consent_cols=(), flag_col: str |
         if stats["imputed"]:
             med = quantiles(out, value_col, {"m": 0.5}, method=method,
                             stats=(stats["_vn"], stats["_vmin"], stats["_vmax"]))["m"]
-            out = out.withColumn(value_col, F.coalesce(F.col(value_col),
-                                                       F.lit(med).cast("double")))
+            out = out.withColumn(value_col, F.coalesce(vc, F.lit(med).cast("double")))
         med_text = "nan" if med is None else f"{med:,.2f}"
-        report.append(F.when(F.col("imputed") > 0, F.concat(
-            F.lit("Filled "), F.col("imputed").cast("string"),
-            F.lit(f" missing {value_col} values with the median ({med_text})."))))
+        report.append(F.when(F.col("imputed") > 0, sentence(
+            config.CLEAN_FILLED, cells=F.col("imputed").cast("string"), column=value_col,
+            median=med_text)))
     if has_flag:
-        out = out.withColumn(flag_col, flag_missing(F.col(flag_col)))
-        report.append(F.when(F.col("flagged") > 0, F.concat(
-            F.lit("Flagged "), F.col("flagged").cast("string"),
-            F.lit(f" missing {flag_col} values as MISSING."))))
+        out = out.withColumn(flag_col, flag_missing(flag_col))
+        report.append(F.when(F.col("flagged") > 0, sentence(
+            config.CLEAN_FLAGGED, cells=F.col("flagged").cast("string"), column=flag_col)))
     issues = F.col("imputed") + F.col("flagged")
     metrics = counted.select(
         "rows", "imputed", "flagged",
         F.lit(med).cast("double").alias("median"),
         (issues / F.greatest(F.col("rows"), F.lit(1))).alias("issue_rate"),
         (F.col("imputed") / F.greatest(F.col("rows"), F.lit(1))).alias("value_unparsed_rate"))
-    tidy = F.lit("No cleaning issues found. The data was already tidy.")
+    tidy = F.lit(config.CLEAN_TIDY)
     lines = report + [F.when(F.size(F.array_compact(F.array(*report))) == 0, tidy)
                       if report else tidy]
     return CleanResult(out, lines_frame(counted, lines), metrics, med, rate)
@@ -234,17 +217,16 @@ def _null_cells(df: DataFrame) -> Column:
     cols = data_columns(df)
     if not cols:
         return F.lit(0)
-    return sum((F.count_if(F.col(f"`{c}`").isNull()) for c in cols), F.lit(0))
+    return sum((F.count_if(col(c).isNull()) for c in cols), F.lit(0))
 
 
 def _health_head(df: DataFrame, noun: str) -> tuple[list, list[Column]]:
     ncols = len(data_columns(df))
     aggs = [F.count(F.lit(1)).alias("_rows"), _null_cells(df).alias("_nulls")]
-    lines = [F.concat(F.col("_rows").cast("string"),
-                      F.lit(f" {noun} loaded across {ncols} columns.")),
-             F.concat(fmt_fixed(F.col("_nulls") / F.greatest(F.col("_rows") * ncols, F.lit(1))
-                                * 100, 1), F.lit("% of all cells are empty."))]
-    return aggs, lines
+    empty = F.col("_nulls") / F.greatest(F.col("_rows") * ncols, F.lit(1)) * 100
+    return aggs, [sentence(config.HEALTH_LOADED, rows=F.col("_rows").cast("string"), noun=noun,
+                           columns=str(ncols)),
+                  sentence(config.HEALTH_EMPTY, share=fmt_fixed(empty, 1))]
 
 
 def _share(pred: Column) -> Column:
@@ -256,25 +238,26 @@ def health(df: DataFrame, mode: str, value_col: str | None = None) -> DataFrame:
     noun = "accounts" if mode == "companies" else "records"
     aggs, lines = _health_head(df, noun)
     cols = df.columns
+
+    def share(pred: Column, name: str, template: str, **parts: str) -> None:
+        aggs.append(_share(pred).alias(name))
+        lines.append(sentence(template, share=fmt_fixed(F.col(name), 0), **parts))
+
     if mode == "players":
         if "CanEmail" in cols:
-            aggs.append(_share(F.lower(F.col("CanEmail").cast("string")) == "yes").alias("_e"))
-            lines.append(F.concat(fmt_fixed(F.col("_e"), 0), F.lit("% are marked emailable.")))
+            share(F.lower(F.col("CanEmail").cast("string")) == "yes", "_e", config.HEALTH_EMAILABLE)
         if "DaysSinceLastVisit" in cols:
-            aggs.append(_share(parse_strict(df, "DaysSinceLastVisit") > 180).alias("_d"))
-            lines.append(F.concat(fmt_fixed(F.col("_d"), 0),
-                                  F.lit("% have not visited in over 180 days.")))
+            days = config.PLAYER_RECENCY_LAPSED_DAYS
+            share(parse_strict(df, "DaysSinceLastVisit") > days, "_d", config.HEALTH_LAPSED,
+                  days=str(days))
     elif mode == "companies":
         if "MonthsSinceContact" in cols:
-            aggs.append(_share(parse_strict(df, "MonthsSinceContact") > 12).alias("_m"))
-            lines.append(F.concat(fmt_fixed(F.col("_m"), 0),
-                                  F.lit("% not contacted in over 12 months.")))
+            months = config.COMPANY_DORMANT_MONTHS
+            share(parse_strict(df, "MonthsSinceContact") > months, "_m", config.HEALTH_UNCONTACTED,
+                  months=str(months))
         if "RiskTier" in cols:
-            aggs.append(_share(F.col("RiskTier") == "High Risk").alias("_r"))
-            lines.append(F.concat(fmt_fixed(F.col("_r"), 0),
-                                  F.lit("% sit in the High Risk tier.")))
+            share(F.col("RiskTier") == config.HIGH_RISK_TIER, "_r", config.HEALTH_HIGH_RISK,
+                  tier=config.HIGH_RISK_TIER)
     else:
-        aggs.append(_share(money_value(df, value_col).isNotNull()).alias("_p"))
-        lines.append(F.concat(fmt_fixed(F.col("_p"), 0),
-                              F.lit("% of the value column parsed into clean numbers.")))
+        share(money_value(df, value_col).isNotNull(), "_p", config.HEALTH_PARSED)
     return lines_frame(df.agg(*aggs), lines)

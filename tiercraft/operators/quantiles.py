@@ -2,23 +2,21 @@
 
 Spark's exact ``percentile`` merges one value->count map per group in a single
 reducer: for a global cut over billions of distinct values that reducer holds
-them all. Here the exact answer comes from distributed selection instead:
-
-1. one aggregate pass counts the non-null values (n) and gives min / max;
-2. when n is at most ``final_limit`` the values are histogrammed at once
-   (``groupBy(value).count()``, combined map-side) and a running count picks
-   every target: two jobs in all;
-3. otherwise, while the bracket around a target rank holds more than
-   ``final_limit`` values, one aggregate pass per round counts the values
-   below / on / inside the bracket and takes a ``percentile_approx`` grid of
-   the bracket interior; the bracket shrinks to the grid points around the
-   target (a few hundred times smaller per round). Endpoint ties are counted,
-   so a value that holds a third of all rows resolves at once instead of
-   stalling. The last, bounded bracket is histogrammed as in 2.
-
-Only counts and a handful of bracket bounds reach the driver. Several
-columns are served by the same scans: values are tagged with a column key
-(``explode``), and every target of every column shares each pass.
+them all. Here the exact answer comes from distributed selection:
+
+1. the value columns are projected and persisted once as a thin frame; one
+   aggregate gives each column's count, min and max (skipped when the caller
+   knows them);
+2. one aggregate per round counts the values of each open bracket [lo, hi] in
+   ``BINS`` equal-width bins, with each bin's own min and max; the two ends have
+   bins of their own. The bin that holds a target rank becomes its next bracket.
+
+A bracket's ends leave it in every round, so each round shrinks it, by a factor
+of about ``BINS`` on ordinary data (two rounds for millions of values), and the
+selection always ends. A value that holds a third of all rows is an end of its
+bin sooner or later and resolves there. There is one plan for every input size:
+per round one partial aggregate per task and at most ``BINS + 2`` rows per
+bracket at the driver.
 
 Quantiles interpolate linearly between the two order statistics around
 ``h = q * (n - 1)``, evaluated as ``fma(1 - d, x1, d * x2)`` with
@@ -29,15 +27,19 @@ DuckDB's quantile_cont computes, bit for bit).
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINAL_LIMIT = 200_000   # values histogrammed in the last step, per target
-GRID = 500              # grid points per refinement round
+from tiercraft.functions.columns import col
+
+BINS = 4096             # bins per bracket and round
 ACCURACY = 20_000       # percentile_approx accuracy (relative error 1/ACCURACY)
-MAX_ROUNDS = 12
+
+Stats = tuple[int, float | None, float | None]
 
 
 def interpolate(x1: float, x2: float, h: float) -> float:
@@ -50,50 +52,96 @@ def interpolate(x1: float, x2: float, h: float) -> float:
 
 
 def _as_col(value: Column | str) -> Column:
-    v = F.col(value) if isinstance(value, str) else value
-    return F.nanvl(v.cast("double"), F.lit(None).cast("double"))
-
-
-def _tall(df: DataFrame, columns: list[Column | str]) -> DataFrame:
-    """(k, v): non-null values of each column tagged with its position."""
-    if len(columns) == 1:
-        out = df.select(F.lit(0).alias("k"), _as_col(columns[0]).alias("v"))
-    else:
-        pairs = F.array(*[F.struct(F.lit(i).alias("k"), _as_col(c).alias("v"))
-                          for i, c in enumerate(columns)])
-        out = df.select(F.inline(pairs))
-    return out.where(F.col("v").isNotNull())
-
-
-def _counts(tall: DataFrame, nkeys: int) -> dict[int, tuple[int, float, float]]:
-    rows = tall.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("mn"),
-                                 F.max("v").alias("mx")).collect()
-    got = {r["k"]: (int(r["n"]), r["mn"], r["mx"]) for r in rows}
-    return {k: got.get(k, (0, None, None)) for k in range(nkeys)}
+    return F.nanvl(col(value).cast("double"), F.lit(None).cast("double"))
+
+
+class _Values:
+    """The value columns v0, v1, ... of a frame, persisted while in use."""
+
+    def __init__(self, df: DataFrame, columns: list[Column | str]):
+        self.n = len(columns)
+        self.frame = df.select(*[_as_col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def __enter__(self) -> _Values:
+        self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.frame.unpersist()
+
+    def stats(self) -> list[Stats]:
+        aggs = [f(F.col(f"v{i}")).alias(f"{name}{i}") for i in range(self.n)
+                for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        row = self.frame.agg(*aggs).first()
+        return [(int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) for i in range(self.n)]
+
+    def histogram(self, brackets: list[tuple[int, float, float]]) -> list[list[tuple]]:
+        """Per bracket (column, lo, hi): its bins in order, as (count, min, max)."""
+        cells = []
+        for b, (k, lo, hi) in enumerate(brackets):
+            v = F.col(f"v{k}")
+            # Halved, so that the width of the widest bracket stays finite; with an
+            # infinite end the share is undefined and all inner values share a bin.
+            share = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+            inner = F.coalesce(F.floor(F.nanvl(share, F.lit(0.0)) * BINS).cast("int"), F.lit(0))
+            place = (F.when(v == F.lit(lo), 0).when(v == F.lit(hi), BINS + 1)
+                     .otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(BINS - 1)) + 1))
+            cells.append(F.when(v.between(F.lit(lo), F.lit(hi)), F.struct(
+                F.lit(b).alias("b"), place.alias("bin"), v.alias("v"))))
+        if len(cells) == 1:
+            rows = self.frame.select(cells[0].alias("c")).where("c IS NOT NULL").select("c.*")
+        else:
+            rows = self.frame.select(F.inline(F.array_compact(F.array(*cells))))
+        out: list[list[tuple]] = [[] for _ in brackets]
+        for r in (rows.groupBy("b", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
+                                               F.max("v").alias("hi")).collect()):
+            out[r["b"]].append((r["bin"], r["n"], r["lo"], r["hi"]))
+        return [[x[1:] for x in sorted(bins)] for bins in out]
+
+    def select(self, stats: list[Stats], targets: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+        """The value at each target (column, 0-based rank among its non-null values)."""
+        answer: dict[tuple[int, int], float] = {}
+        place = {t: (stats[t[0]][1], stats[t[0]][2], t[1]) for t in targets}
+        while True:
+            for t, (lo, hi, _) in place.items():
+                if lo == hi:
+                    answer[t] = lo
+            waiting = defaultdict(list)
+            for t, (lo, hi, _) in place.items():
+                if t not in answer:
+                    waiting[t[0], lo, hi].append(t)
+            if not waiting:
+                return answer
+            for bins, open_targets in zip(self.histogram(list(waiting)), waiting.values(),
+                                          strict=True):
+                for t in open_targets:
+                    rank = place[t][2]
+                    for n, lo, hi in bins:
+                        if rank < n:
+                            place[t] = (lo, hi, rank)
+                            break
+                        rank -= n
 
 
 def order_statistics(df: DataFrame, value: Column | str,
                      ranks: Mapping[str, int] | Callable[[int], Mapping[str, int]],
-                     final_limit: int = FINAL_LIMIT,
-                     stats: tuple[int, float | None, float | None] | None = None
-                     ) -> dict[str, float | None]:
+                     stats: Stats | None = None) -> dict[str, float | None]:
     """Values at 0-based ascending ranks among the non-null values of ``value``.
 
     ``ranks`` may be a function of n (the non-null count); ``stats`` is a known
     (count, min, max) that saves the counting pass."""
-    tall = _tall(df, [value])
-    n, mn, mx = stats if stats is not None else _counts(tall, 1)[0]
-    wanted = dict(ranks(n) if callable(ranks) else ranks)
-    if n == 0:
-        return {k: None for k in wanted}
-    got = _select(tall, {0: (n, mn, mx)}, {k: (0, r) for k, r in wanted.items()}, final_limit)
-    return got
+    with _Values(df, [value]) as values:
+        known = [stats] if stats is not None else values.stats()
+        n = known[0][0]
+        wanted = dict(ranks(n) if callable(ranks) else ranks)
+        if n == 0:
+            return {k: None for k in wanted}
+        got = values.select(known, {(0, r) for r in wanted.values()})
+        return {k: got[0, r] for k, r in wanted.items()}
 
 
 def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float],
-              method: str = "exact", final_limit: int = FINAL_LIMIT,
-              stats: tuple[int, float | None, float | None] | None = None
-              ) -> dict[str, float | None]:
+              method: str = "exact", stats: Stats | None = None) -> dict[str, float | None]:
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
     method: ``exact`` (distributed selection, default), ``spark`` (built-in
@@ -101,17 +149,16 @@ def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float],
     ``approx`` (``percentile_approx``: an element, not an interpolation).
     ``stats`` = (non-null count, min, max) when the caller already has them
     (saves the counting pass)."""
-    return multi_quantiles(df, {k: (value, p) for k, p in probs.items()}, method, final_limit,
+    return multi_quantiles(df, {k: (value, p) for k, p in probs.items()}, method,
                            {value: stats} if stats is not None and isinstance(value, str)
                            else None)
 
 
 def multi_quantiles(df: DataFrame, specs: Mapping[str, tuple[Column | str, float]],
-                    method: str = "exact", final_limit: int = FINAL_LIMIT,
-                    stats: Mapping[str, tuple[int, float | None, float | None]] | None = None
+                    method: str = "exact", stats: Mapping[str, Stats] | None = None
                     ) -> dict[str, float | None]:
     """Quantiles of several columns at once: ``{name: (column, prob)}``.
-    Targets on the same column (same name or Column object) share a key.
+    Targets on the same column (same name or Column object) share a histogram.
     ``stats`` maps column names to known (count, min, max)."""
     if not specs:
         return {}
@@ -129,153 +176,19 @@ def multi_quantiles(df: DataFrame, specs: Mapping[str, tuple[Column | str, float
     columns: list[Column | str] = []
     key_of: dict[str, int] = {}
     for name, (c, _) in specs.items():
-        for i, seen in enumerate(columns):
-            if seen is c or (isinstance(c, str) and isinstance(seen, str) and seen == c):
-                key_of[name] = i
-                break
-        else:
-            key_of[name] = len(columns)
+        same = [i for i, seen in enumerate(columns)
+                if seen is c or (isinstance(c, str) and isinstance(seen, str) and seen == c)]
+        if not same:
             columns.append(c)
-    tall = _tall(df, columns)
-    known = stats or {}
-    if all(isinstance(c, str) and c in known for c in columns):
-        stats = {i: known[c] for i, c in enumerate(columns)}
-    else:
-        stats = _counts(tall, len(columns))
-    targets: dict[str, tuple[int, int]] = {}
-    for name, (_, p) in specs.items():
-        n = stats[key_of[name]][0]
-        if n:
-            h = (n - 1) * float(p)
-            targets[f"{name}__lo"] = (key_of[name], int(math.floor(h)))
-            targets[f"{name}__hi"] = (key_of[name], int(math.ceil(h)))
-    got = _select(tall, stats, targets, final_limit) if targets else {}
-    out: dict[str, float | None] = {}
-    for name, (_, p) in specs.items():
-        n = stats[key_of[name]][0]
-        if not n:
-            out[name] = None
-            continue
-        out[name] = interpolate(got[f"{name}__lo"], got[f"{name}__hi"], (n - 1) * float(p))
-    return out
-
-
-def _select(tall: DataFrame, stats: dict[int, tuple[int, float, float]],
-            ranks: dict[str, tuple[int, int]], final_limit: int) -> dict[str, float]:
-    """Exact values at (key, rank) targets of a tagged (k, v) frame."""
-    targets = sorted(set(ranks.values()))
-    answer: dict[tuple[int, int], float] = {}
-    # Final picks: target -> (lo, hi, closed bracket?, rank inside the bracket).
-    final: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
-    state = {}
-    for t in targets:
-        n, mn, mx = stats[t[0]]
-        if n <= final_limit:
-            final[t] = (mn, mx, True, t[1])
-        else:
-            state[t] = {"lo": mn, "hi": mx, "grid": True, "prev": None}
-    grid_probs = [i / GRID for i in range(GRID + 1)]
-    eps = 1.0 / ACCURACY
-    k, v = F.col("k"), F.col("v")
-
-    for _ in range(MAX_ROUNDS):
-        open_targets = [t for t in state if t not in answer and t not in final]
-        if not open_targets:
-            break
-        # Targets on the same column and bracket share one set of counts
-        # and one grid (both ranks of a quantile, every target in round 1).
-        groups: dict[tuple, int] = {}
-        for t in open_targets:
-            s = state[t]
-            groups.setdefault((t[0], s["lo"], s["hi"]), len(groups))
-        want_grid = {g: False for g in groups.values()}
-        for t in open_targets:
-            s = state[t]
-            want_grid[groups[(t[0], s["lo"], s["hi"])]] |= s["grid"]
-        aggs = []
-        for (key, lo_v, hi_v), g in groups.items():
-            mine = k == F.lit(key)
-            lo, hi = F.lit(lo_v), F.lit(hi_v)
-            inside = mine & (v > lo) & (v < hi)
-            aggs += [F.count_if(mine & (v < lo)).alias(f"b{g}"),
-                     F.count_if(mine & (v == lo)).alias(f"el{g}"),
-                     F.count_if(mine & (v == hi)).alias(f"eh{g}"),
-                     F.count_if(inside).alias(f"in{g}")]
-            if want_grid[g]:
-                aggs.append(F.percentile_approx(F.when(inside, v), grid_probs, ACCURACY)
-                            .alias(f"g{g}"))
-        row = tall.agg(*aggs).first()
-        for t in open_targets:
-            s = state[t]
-            i = groups[(t[0], s["lo"], s["hi"])]
-            below, eq_lo, eq_hi, inner = (row[f"b{i}"], row[f"el{i}"], row[f"eh{i}"],
-                                          row[f"in{i}"])
-            grid = row[f"g{i}"] if want_grid[i] else None
-            if s["lo"] == s["hi"]:
-                eq_hi, inner = 0, 0
-            j = t[1] - below
-            if j < 0 or j >= eq_lo + inner + eq_hi:
-                # The approximate grid missed (outside its error bound): go
-                # back to the previous bracket and refine it more cautiously.
-                prev = s["prev"]
-                if prev is None:
-                    raise RuntimeError("order statistic bracket lost the target rank")
-                s.update(lo=prev[0], hi=prev[1], grid=True, prev=None)
-                s["widen"] = s.get("widen", 1) * 4
-                continue
-            if j < eq_lo:
-                answer[t] = s["lo"]
-            elif j >= eq_lo + inner:
-                answer[t] = s["hi"]
-            elif inner <= final_limit:
-                final[t] = (s["lo"], s["hi"], False, j - eq_lo)
-            elif grid is not None:
-                q = (j - eq_lo) / inner
-                margin = (2 * eps + 1.0 / inner) * s.get("widen", 1)
-                a = max(0, int(math.floor((q - margin) * GRID)))
-                b = min(GRID, int(math.ceil((q + margin) * GRID)))
-                s.update(prev=(s["lo"], s["hi"]), lo=grid[a], hi=grid[b],
-                         grid=(b - a) / GRID * inner > final_limit / 2)
-            else:
-                s["grid"] = True
-    else:
-        raise RuntimeError("order statistic did not converge")
-
-    if final:
-        answer.update(_final_pick(tall, final))
-    return {name: answer[t] for name, t in ranks.items()}
-
-
-def _final_pick(tall: DataFrame, final: dict[tuple[int, int], tuple[float, float, bool, int]]
-                ) -> dict[tuple[int, int], float]:
-    """Exact pick inside bounded brackets: histogram + running count.
-
-    Targets that share a bracket share its histogram. Each value is tagged
-    with the brackets that hold it; the running-count window is partitioned
-    by bracket, and every partition is bounded by ``final_limit`` values."""
-    k, v = F.col("k"), F.col("v")
-    brackets: dict[tuple, int] = {}
-    for t, (lo, hi, closed, _) in final.items():
-        brackets.setdefault((t[0], lo, hi, closed), len(brackets))
-    conds = []
-    for (key, lo, hi, closed), b in brackets.items():
-        inside = ((v >= F.lit(lo)) & (v <= F.lit(hi))) if closed else \
-            ((v > F.lit(lo)) & (v < F.lit(hi)))
-        conds.append(F.when((k == F.lit(key)) & inside, F.lit(b)))
-    tags = conds[0] if len(conds) == 1 else F.explode(F.array_compact(F.array(*conds)))
-    # Brackets are bounded, so values are shuffled once, by bracket: the
-    # histogram and its running count then need no further exchange.
-    hist = (tall.select(v, tags.alias("bid")).where(F.col("bid").isNotNull())
-            .repartition(max(1, len(brackets)), "bid")
-            .groupBy("bid", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                           Window.currentRow)
-    run = hist.withColumn("cum", F.sum("c").over(w))
-    ids = {t: i for i, t in enumerate(final)}
-    picks = []
-    for t, (lo, hi, closed, j) in final.items():
-        b = brackets[(t[0], lo, hi, closed)]
-        picks.append(F.min(F.when((F.col("bid") == F.lit(b)) & (F.col("cum") > F.lit(j)),
-                                  F.col("v"))).alias(f"p{ids[t]}"))
-    row = run.agg(*picks).first()
-    return {t: row[f"p{i}"] for t, i in ids.items()}
+        key_of[name] = same[0] if same else len(columns) - 1
+    with _Values(df, columns) as values:
+        given = stats or {}
+        known = ([given[c] for c in columns]
+                 if all(isinstance(c, str) and c in given for c in columns) else values.stats())
+        place = {name: (known[key_of[name]][0] - 1) * float(p) for name, (_, p) in specs.items()
+                 if known[key_of[name]][0]}
+        got = values.select(known, {(key_of[name], f(h)) for name, h in place.items()
+                                    for f in (math.floor, math.ceil)})
+    return {name: (interpolate(got[key_of[name], math.floor(place[name])],
+                               got[key_of[name], math.ceil(place[name])], place[name])
+                   if name in place else None) for name in specs}

@@ -5,10 +5,8 @@ For unbounded ordered outputs (the host worklist) the rank is built from a
 range partitioning instead: rows are range-partitioned on the sort keys and
 checkpointed (stable partition ids, lineage cut, survives executor loss);
 per-partition counts (one row per partition) give each partition's offset;
-the rank is offset + row_number within the partition.
-
-When a count shows the rows fit one task (``single_task_max_rows``), a plain
-window is used instead: cheaper, and bounded by that check.
+the rank is offset + row_number within the partition. The plan is the same for
+every input size.
 """
 
 from __future__ import annotations
@@ -19,14 +17,10 @@ from pyspark.sql import functions as F
 from tiercraft.session import ensure_checkpoint_dir
 
 
-SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
 def distributed_rank(df: DataFrame, order: list[Column], name: str = "rank",
-                     partitions: int | None = None,
-                     single_task_max_rows: int | None = SINGLE_TASK_MAX_ROWS) -> DataFrame:
-    if single_task_max_rows is not None and df.count() <= single_task_max_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+                     partitions: int | None = None) -> DataFrame:
+    """``df`` with its rank in ``order``. Pass only the columns that are needed:
+    all of them are range-partitioned and checkpointed."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, NumericType
 from tiercraft.config import (COMPANY_DORMANT_MONTHS, COMPANY_LEVERAGE_LIMIT,
                               PLAYER_RECENCY_ACTIVE_DAYS, PLAYER_RECENCY_LAPSED_DAYS,
                               VALUE_CUT_QUANTILE, VALUE_LOW_QUANTILE)
+from tiercraft.functions.columns import col
 from tiercraft.functions.dates import days_since, parse_date
 from tiercraft.functions.numbers import money_value, parse_strict, round_half_even
 from tiercraft.operators.quantiles import multi_quantiles, quantiles
@@ -126,7 +127,7 @@ def segment_custom(df: DataFrame, value_col: str, recency_col: str | None = None
         specs["med"] = ("_recency", 0.5)
     q = multi_quantiles(df, specs, method=method)
     cut, low = q["cut"], q["low"]
-    v = F.col(value_col)
+    v = col(value_col)
     c, lo = F.lit(cut).cast("double"), F.lit(low).cast("double")
     if with_recency:
         med = q["med"]

@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiercraft.config import HIGH_VALUE_SEGMENTS, TREND_LIMIT_PCT
+from tiercraft.config import (HIGH_VALUE_SEGMENTS, TREND_HIGH_VALUE, TREND_LIMIT_PCT,
+                              TREND_LOW_VALUE, TREND_NO_DECLINES)
+from tiercraft.functions.columns import col, sentence
 from tiercraft.functions.numbers import (fmt_fixed, fmt_money, fmt_pct_signed, money_value,
                                          parse_strict, round_half_even)
-from tiercraft.functions.text import normalise_id
-from tiercraft.operators.joins import BROADCAST_MAX_BYTES, bounded_broadcast
+from tiercraft.functions.text import normalise_id, shown
 from tiercraft.operators.ranking import small_rank
 from tiercraft.sources.readers import ROW_ORDER
 
@@ -18,7 +19,7 @@ from tiercraft.sources.readers import ROW_ORDER
 def dedupe_prior(prev: DataFrame, id_col: str) -> DataFrame:
     """One prior value per stripped id, the first in source order. An
     aggregate (min_by, combined map-side), so a hot id costs nothing extra."""
-    key = normalise_id(F.col(id_col), prev.schema[id_col].dataType)
+    key = normalise_id(id_col, prev.schema[id_col].dataType)
     order = F.col(ROW_ORDER) if ROW_ORDER in prev.columns else F.monotonically_increasing_id()
     return (prev.select(key.alias("_join_id"), money_value(prev, "NetADT").alias("_p"),
                         order.alias("_o"))
@@ -34,22 +35,17 @@ def trend_label(pct) -> F.Column:
             .otherwise("Stable"))
 
 
-def apply_trend(seg: DataFrame, prev: DataFrame, id_col: str,
-                broadcast_max_bytes: int | None = BROADCAST_MAX_BYTES) -> DataFrame:
+def apply_trend(seg: DataFrame, prev: DataFrame, id_col: str) -> DataFrame:
     """Current LEFT JOIN deduplicated prior on the stripped id; adds
     NetADT_Prev, TrendPct = round((cur - prev) / prev * 100, 1) (prior 0
     gives NULL) and Trend. Unchanged when the prior lacks the id or NetADT.
-    The join keeps the row count (the prior side is unique per key). The
-    deduplicated prior is materialised and broadcast when its measured size
-    is within ``broadcast_max_bytes`` (the current side then never
-    shuffles); otherwise both sides shuffle on the key, which is unique on
-    both sides, so no partition is skewed."""
+    The join keeps the row count (the prior side is unique per key). Which
+    join is left to the planner: the key is unique on both sides after the
+    quarantine, so a shuffle join has no skewed partition."""
     if id_col not in prev.columns or "NetADT" not in prev.columns:
         return seg
     p = dedupe_prior(prev, id_col)
-    if broadcast_max_bytes is not None:
-        p, _ = bounded_broadcast(p, broadcast_max_bytes)
-    key = normalise_id(F.col(id_col), seg.schema[id_col].dataType)
+    key = normalise_id(id_col, seg.schema[id_col].dataType)
     cur = parse_strict(seg, "NetADT")
     out = seg.withColumn("_join_id", key).join(p, "_join_id", "left")
     pct = round_half_even(F.try_divide(cur - F.col("NetADT_Prev"),
@@ -76,11 +72,11 @@ def top_declines(seg: DataFrame, id_col: str = "PlayerID", sym: str = "$", k: in
                  ) -> DataFrame:
     """The k steepest declines (TrendPct ascending, id as tie-break)."""
     dec = declining(seg).withColumn("_tp", parse_strict(seg, "TrendPct"))
-    order = [F.asc_nulls_last("_tp"), F.asc(id_col)]
+    order = [F.asc_nulls_last("_tp"), col(id_col).asc()]
     top = dec.orderBy(*order).limit(k)
     cols = [c for c in ("FullName", id_col, "Segment") if c in seg.columns]
     return top.select(
-        *[F.col(c).cast("string").alias(c) for c in cols],
+        *[col(c).cast("string").alias(c) for c in cols],
         fmt_money(F.col("NetADT_Prev"), sym).alias("Prior NetADT"),
         fmt_money(parse_strict(seg, "NetADT"), sym).alias("Current NetADT"),
         fmt_pct_signed(F.col("_tp")).alias("Change"),
@@ -92,23 +88,18 @@ def trend_insight(seg: DataFrame, id_col: str = "PlayerID", sym: str = "$") -> D
     dec = declining(seg)
     cur = parse_strict(seg, "NetADT")
     hv = F.col("Segment").isin(*HIGH_VALUE_SEGMENTS)
-    name = F.col("FullName") if "FullName" in seg.columns else F.col(id_col).cast("string")
-    order = F.col(ROW_ORDER) if ROW_ORDER in seg.columns else F.col(id_col)
+    name = shown("FullName" if "FullName" in seg.columns else id_col)
+    order = F.col(ROW_ORDER) if ROW_ORDER in seg.columns else col(id_col)
     one = dec.agg(
         F.count(F.lit(1)).alias("n_dec"), F.count_if(hv).alias("n_hv"),
         F.min_by(F.struct(name.alias("name"), cur.alias("cur"),
                           parse_strict(seg, "TrendPct").alias("tp")),
                  F.when(hv, F.struct((-cur).alias("k"), order.alias("o")))).alias("w"))
-    text = (F.when(F.col("n_dec") == 0, F.lit("No players are declining versus the prior period."))
-            .when(F.col("n_hv") > 0, F.concat(
-                F.lit("Start with "), F.col("w.name"), F.lit(": a high-value player worth "),
-                fmt_money(F.col("w.cur"), sym), F.lit("/day whose play is down "),
-                fmt_fixed(F.abs(F.col("w.tp")), 0), F.lit("% versus last period. Of your "),
-                F.col("n_dec").cast("string"), F.lit(" decliners, "),
-                F.col("n_hv").cast("string"),
-                F.lit(" are high value, those are the calls that protect the most revenue.")))
-            .otherwise(F.concat(
-                F.col("n_dec").cast("string"),
-                F.lit(" players are declining, but none are in your high-value segments, so "
-                      "these are lower priority than an active VIP would be."))))
+    decliners = F.col("n_dec").cast("string")
+    text = (F.when(F.col("n_dec") == 0, F.lit(TREND_NO_DECLINES))
+            .when(F.col("n_hv") > 0, sentence(
+                TREND_HIGH_VALUE, name=F.col("w.name"), value=fmt_money(F.col("w.cur"), sym),
+                drop=fmt_fixed(F.abs(F.col("w.tp")), 0), decliners=decliners,
+                high_value=F.col("n_hv").cast("string")))
+            .otherwise(sentence(TREND_LOW_VALUE, decliners=decliners)))
     return one.select(text.alias("insight"))

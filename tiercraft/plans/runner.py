@@ -15,9 +15,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiercraft.config import COMPANIES, MEANINGS_BY_MODE, PLAYERS, ModeConfig
+from tiercraft.config import CLEAN_CUSTOM, COMPANIES, MEANINGS_BY_MODE, PLAYERS, ModeConfig
+from tiercraft.functions.columns import col, sentence
 from tiercraft.operators import quality, rollup, segment, trend
-from tiercraft.operators.joins import release_measured
 from tiercraft.session import ensure_checkpoint_dir
 
 STORAGE = StorageLevel.MEMORY_AND_DISK
@@ -52,6 +52,7 @@ class RunResult:
     missing_rate: float
     health: DataFrame
     meanings: dict
+    value_summary: DataFrame             # the value table, from the Aggregate stage
     run_log: list[dict] = field(default_factory=list)
     pareto: DataFrame | None = None
     value_stats: tuple | None = None     # (count, min, max) of the segmented value
@@ -75,20 +76,19 @@ class RunResult:
         return rollup.segment_counts(self.segmented, self.meanings)
 
     def value_table(self) -> DataFrame:
-        return rollup.value_table(self.segmented, self.cfg.id_col, self.cfg.value_col)
+        return self.value_summary
 
     def release(self) -> None:
-        """Free the run's cached stages and the sets cached by size checks."""
-        for d in (self.classified, self.segmented):
+        """Free the run's cached stages."""
+        for d in (self.classified, self.segmented, self.value_summary):
             d.unpersist()
-        release_measured()
 
 
 def _count_with_stats(frame: DataFrame, value_col: str | None) -> tuple[int, tuple | None]:
     """Row count plus the value column's (count, min, max), one pass."""
     if not value_col or value_col not in frame.columns:
         return frame.count(), None
-    v = F.col(value_col)
+    v = col(value_col)
     row = frame.agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("vn"),
                     F.min(v).alias("vmin"), F.max(v).alias("vmax")).first()
     return row["n"], (row["vn"], row["vmin"], row["vmax"])
@@ -108,7 +108,7 @@ class _Stages:
         frame = materialize(frame, self.keep)
         aggs = [F.count(F.lit(1)).alias("n")]
         if value_col:
-            v = F.col(value_col)
+            v = col(value_col)
             aggs += [F.count(v).alias("vn"), F.min(v).alias("vmin"), F.max(v).alias("vmax")]
         row = frame.agg(*aggs).first()
         n = row["n"]
@@ -118,6 +118,16 @@ class _Stages:
         return frame, n, stats
 
 
+def _aggregate(seg: DataFrame, cfg: ModeConfig, rows: int, stages: _Stages) -> DataFrame:
+    """The value table (a row per segment), materialised as the last stage."""
+    t0 = time.perf_counter()
+    table = rollup.value_table(seg, cfg.id_col, cfg.value_col).persist(STORAGE)
+    table.count()
+    stages.log.append({"Stage": "Aggregate", "Rows in": rows, "Rows out": rows,
+                       "Seconds": round(time.perf_counter() - t0, 3)})
+    return table
+
+
 def _quarantine(df: DataFrame, cfg: ModeConfig, stages: _Stages):
     t0 = time.perf_counter()
     classified = materialize(quality.classify_identity(df, cfg.id_col), stages.keep)
@@ -152,8 +162,8 @@ def run_players(df: DataFrame, prev: DataFrame | None = None, cfg: ModeConfig =
     rate = cleaned.issue_rate if cleaned.issue_rate is not None else \
         cleaned.metrics.first()["issue_rate"]
     return RunResult(cfg, classified, kept, rejects, seg, cut, cleaned.report, rate,
-                     quality.health(df, "players"), MEANINGS_BY_MODE["players"], stages.log,
-                     rollup.pareto(seg), seg_stats)
+                     quality.health(df, "players"), MEANINGS_BY_MODE["players"],
+                     _aggregate(seg, cfg, n_seg, stages), stages.log, rollup.pareto(seg), seg_stats)
 
 
 def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exact",
@@ -173,7 +183,7 @@ def run_companies(df: DataFrame, cfg: ModeConfig = COMPANIES, method: str = "exa
         cleaned.metrics.first()["issue_rate"]
     return RunResult(cfg, classified, kept, rejects, seg, cut, cleaned.report, rate,
                      quality.health(df, "companies"), MEANINGS_BY_MODE["companies"],
-                     stages.log, None, seg_stats)
+                     _aggregate(seg, cfg, n_seg, stages), stages.log, None, seg_stats)
 
 
 def run_custom(df: DataFrame, id_col: str | None, value_col: str, recency_col: str | None,
@@ -192,11 +202,9 @@ def run_custom(df: DataFrame, id_col: str | None, value_col: str, recency_col: s
     stages.log.append({"Stage": "Clean + Segment", "Rows in": kept_n, "Rows out": n_seg,
                        "Seconds": round(time.perf_counter() - t0, 3)})
     report = kept.sparkSession.range(1).select(
-        F.lit(1).alias("line_no"),
-        F.lit(f"Cleaned the {value_col} column into numbers, stripping symbols and commas.")
-        .alias("line"))
+        F.lit(1).alias("line_no"), sentence(CLEAN_CUSTOM, column=value_col).alias("line"))
     # share of kept rows whose value does not parse = 1 - parsed / kept
     rate = (kept_n - seg_stats[0]) / kept_n if kept_n and seg_stats else 0.0
     return RunResult(cfg, classified, kept, rejects, seg, cut, report, rate,
                      quality.health(df, "custom", value_col), MEANINGS_BY_MODE["custom"],
-                     stages.log, None, seg_stats)
+                     _aggregate(seg, cfg, n_seg, stages), stages.log, None, seg_stats)

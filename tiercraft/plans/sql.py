@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tiercraft.session import ensure_checkpoint_dir
 from tiercraft.sources.readers import ROW_ORDER
 
 
@@ -20,14 +21,17 @@ def register_records(segmented: DataFrame, name: str = "records") -> None:
 
 def run_sql(spark: SparkSession, segmented: DataFrame, sql_text: str) -> DataFrame:
     """Run user SQL on ``records``; double-quoted names are identifiers (as
-    in ANSI SQL). Errors surface as ``ValueError('Query failed: ...')``."""
+    in ANSI SQL). The query is run once and its result kept as a checkpoint, so
+    errors of any kind, also those that only running finds (a failed cast),
+    surface here as ``ValueError('Query failed: ...')``."""
+    ensure_checkpoint_dir(spark)
     register_records(segmented)
     key = "spark.sql.ansi.doubleQuotedIdentifiers"
     old = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        return spark.sql(sql_text)
-    except Exception as err:  # parse / analysis errors
+        return spark.sql(sql_text).checkpoint()
+    except Exception as err:  # whatever is wrong with the user's text
         raise ValueError(f"Query failed: {err}") from err
     finally:
         spark.conf.set(key, old)

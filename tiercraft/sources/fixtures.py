@@ -8,10 +8,14 @@ such tables so that every query's work grows with the input tables:
 * ``players_dirty``  the same with missing / 'nan' / duplicate ids and missing values
 * ``current`` / ``prior``  per-customer value before / after a split date
 * ``companies``      one row per supplier with revenue, debt, equity
+* ``dated``          players with the last order's date as text, in the forms people write
+* ``dotted``         custom with dots in the column names
+* ``texts`` / ``awkward``  text cells for the strict parse / for CSV files
 * ``custom``         one row per part, value as money text, size as recency
 * ``offers``         per-order quantities by category (Pareto input)
 * ``lines``          one record per order line (value = extended price, recency =
-                     days since shipping): the custom mode on the largest table
+                     days since shipping): the custom mode on the largest table,
+                     in which many line ids repeat
 
 Aggregations run before joins (orders are reduced to one row per customer
 before meeting ``customer``; lineitems to one row per supplier before
@@ -29,6 +33,7 @@ from tiercraft.sources.readers import ROW_ORDER
 # Fixed values of the fixtures (see FIXTURES.md).
 AS_OF = "2001-08-02 00:00:00"
 SPLIT_DATE = "1998-04-15 00:00:00"
+COPY_ORDER = 1 << 62     # copies come after every original row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +83,7 @@ def players_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(first & (ro % 20 == 0), F.lit(None).cast("double")).otherwise(F.col("NetADT"))
         .alias("NetADT"),
         "DaysSinceLastVisit", "CanEmail", "ZipCode",
-        F.when(first, ro).otherwise(ro + F.lit(1_000_000_000)).alias(ROW_ORDER))
+        F.when(first, ro).otherwise(ro + F.lit(COPY_ORDER)).alias(ROW_ORDER))
 
 
 def _period(spark: SparkSession, sf_dir: str, before: bool) -> DataFrame:
@@ -160,4 +165,49 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("amount"),
         F.datediff(F.lit(AS_OF).cast("timestamp_ntz").cast("date"),
                    F.col("l_shipdate").cast("date")).cast("bigint").alias("days_since_ship"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(ROW_ORDER))
+        # (order, line number) repeats in the tables: with the other columns a row is unique
+        F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_partkey",
+                 "l_suppkey").alias(ROW_ORDER))
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """players with LastVisitDate as text in seven forms, by customer, instead of days."""
+    orders = table(spark, sf_dir, "orders")
+    last = (orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("_last"),
+                                            _money_sum("o_totalprice").alias("_spend")))
+    k, t = F.col("o_custkey"), F.col("_last")
+    forms = ["M/d/yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss'.5'", "MMM d, yyyy",
+             "yyyy-MM-dd", None, "d.M.yyyy"]
+    text = F.coalesce(*[F.when(k % 7 == i, F.date_format(t, form) if form else F.lit("not a date"))
+                        for i, form in enumerate(forms)])
+    return last.select(F.concat(F.lit("P"), k.cast("string")).alias("PlayerID"),
+                       (F.col("_spend").cast("double") / 1000).alias("NetADT"),
+                       text.alias("LastVisitDate"), k.alias(ROW_ORDER))
+
+
+def dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return custom(spark, sf_dir).select(
+        F.col("ref_id").alias("Member No."), F.col("worth").alias("Net.Worth"),
+        F.col("recency_days").alias("Days.Since"), ROW_ORDER)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as text, most of them in forms that only some parses accept."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice").cast("string")
+    cell = (F.when(k % 6 == 0, F.concat(F.lit("$"), price)).when(k % 6 == 1, F.concat(F.lit(" "), price, F.lit(" ")))
+            .when(k % 6 == 2, F.concat(k.cast("string"), F.lit("e2"))).when(k % 6 == 3, F.lit("1,000"))
+            .when(k % 6 == 4, F.concat(F.lit("-"), price)))
+    return table(spark, sf_dir, "part").select(k.alias("ref_id"), cell.alias("cell"))
+
+
+def awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with quotes, commas, line breaks, outer blanks and null tokens."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text = (F.when(k % 6 == 0, F.concat(F.lit('say "'), name, F.lit('", twice')))
+            .when(k % 6 == 1, F.concat(name, F.lit("\nsecond line")))
+            .when(k % 6 == 2, F.concat(F.lit("  "), name, F.lit(" ")))
+            .when(k % 6 == 3, F.lit("N/A")).when(k % 6 == 4, F.concat(F.lit('"'), name))
+            .otherwise(name))
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("P"), k.cast("string")).alias("PlayerID"), text.alias("FullName"),
+        F.when(k % 4 != 0, F.concat(F.lit("$"), F.col("c_acctbal").cast("string"))).alias("NetADT"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, StringType
 
 from tiercraft.config import CSV_NA_TOKENS
+from tiercraft.functions.columns import col
 
 ROW_ORDER = "_row_order"
 
@@ -34,7 +35,7 @@ def _null_tokens(df: DataFrame, tokens=CSV_NA_TOKENS) -> DataFrame:
     """Text cells equal to a null token become NULL; NaN doubles become NULL."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = col(f.name)
         if f.name == ROW_ORDER:
             out.append(c)
         elif isinstance(f.dataType, StringType):
@@ -50,9 +51,17 @@ def _null_tokens(df: DataFrame, tokens=CSV_NA_TOKENS) -> DataFrame:
 def read_records(spark: SparkSession, path: str | list[str], na_tokens=CSV_NA_TOKENS,
                  **options) -> DataFrame:
     """CSV with a header; all columns read as text (malformed cells survive to
-    be parsed by the operators); pandas null tokens become NULL."""
+    be parsed by the operators); pandas null tokens become NULL.
+
+    Cells are read as pandas does: a doubled quote inside a quoted cell is one
+    quote, a quoted cell may hold line breaks, blanks around a cell stay. All
+    files must have the header of the first; a file with other or reordered
+    columns fails the read instead of shifting its cells. Cells with line
+    breaks keep a file from being split; ``multiLine=False`` makes large files
+    without such cells splittable."""
     reader = (spark.read.option("header", "true").option("inferSchema", "false")
-              .option("multiLine", options.pop("multiLine", "false")))
+              .option("quote", '"').option("escape", '"').option("enforceSchema", "false")
+              .option("multiLine", str(options.pop("multiLine", True)).lower()))
     for k, v in options.items():
         reader = reader.option(k, v)
     df = with_row_order(reader.csv(path))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql.types import StructType
 
 from tiercraft.config import ROSTER_COLUMNS
+from tiercraft.functions.columns import col
 from tiercraft.sources.readers import ROW_ORDER
 
 
@@ -23,7 +24,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     out = _flat(df)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode(mode).option("header", "true").csv(path)
+    _csv(out.write.mode(mode)).csv(path)
+
+
+def _csv(writer: DataFrameWriter) -> DataFrameWriter:
+    """Quotes doubled and blanks kept, so that any CSV reader gets the cells back."""
+    return (writer.option("header", "true").option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false"))
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -35,7 +43,7 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_template(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header-only CSV with the columns of ``df``."""
-    _flat(df).limit(0).coalesce(1).write.mode(mode).option("header", "true").csv(path)
+    _csv(_flat(df).limit(0).coalesce(1).write.mode(mode)).csv(path)
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
@@ -52,4 +60,4 @@ def roster(segmented: DataFrame, id_col: str | None, value_col: str | None) -> D
         name = c.format(id=id_col or "", value=value_col or "")
         if name and name in segmented.columns and name not in keep:
             keep.append(name)
-    return segmented.select(*keep)
+    return segmented.select(*map(col, keep))

@@ -8,8 +8,9 @@ value table are appended under ``<sink>/<output>/batch_id=<n>``.
 
 Writes are keyed by batch id and overwrite that partition only, so a batch
 replayed after a failure (executor or driver loss) rewrites the same files
-instead of duplicating them; progress lives in a checkpoint folder under
-the cluster's ``spark.checkpoint.dir``.
+instead of duplicating them. Progress lives in the checkpoint folder that the
+caller names: it must be shared, kept over restarts, and each stream needs its
+own, as batch ids start anew with a new folder.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql.types import StructType
 
 from tiercraft.config import COMPANIES, PLAYERS
 from tiercraft.plans import runner
-from tiercraft.session import ensure_checkpoint_dir
 from tiercraft.sources.readers import ROW_ORDER, _null_tokens
 
 
@@ -45,15 +45,18 @@ def _runner_for(mode: str, prev: DataFrame | None, as_of, custom: dict | None
 
 
 def segment_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
-                   mode: str = "players", prev: DataFrame | None = None, as_of=None,
-                   custom: dict | None = None, checkpoint: str | None = None,
-                   available_now: bool = False, max_files_per_trigger: int | None = None
+                   checkpoint: str, mode: str = "players", prev: DataFrame | None = None,
+                   as_of=None, custom: dict | None = None, available_now: bool = False, max_files_per_trigger: int | None = None
                    ) -> StreamingQuery:
     """Start a stream over CSV files in ``source_dir`` (all columns text, as
-    in :func:`tiercraft.sources.read_records`)."""
-    base = ensure_checkpoint_dir(spark)
-    checkpoint = checkpoint or f"{base.rstrip('/')}/segment_stream_{mode}"
-    reader = spark.readStream.schema(schema).option("header", "true")
+    in :func:`tiercraft.sources.read_records`). A file whose header is not the
+    schema's, in order, fails its batch. Rerunning with the same ``checkpoint``
+    goes on where the last run ended and keeps what it wrote."""
+    if not checkpoint:
+        raise ValueError("a stream needs a checkpoint folder of its own")
+    reader = (spark.readStream.schema(schema).option("header", "true")
+              .option("quote", '"').option("escape", '"').option("multiLine", "true")
+              .option("enforceSchema", "false"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.csv(source_dir)
