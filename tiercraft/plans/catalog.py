@@ -8,36 +8,29 @@ a ``rank`` column; integer outputs are 64-bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiercraft.config import (COMPANIES, COMPANY_PROFILE_TOP, CUSTOM_MEANINGS,
                               DEFAULT_COMP_TIERS, PLAYER_MEANINGS, PLAYERS)
-from tiercraft.functions.numbers import parse_money
+from tiercraft.functions.columns import col
+from tiercraft.functions.dates import days_since, parse_date, unparsed_share
+from tiercraft.functions.numbers import parse_money, parse_strict
 from tiercraft.operators import mapping, quality, rollup, segment, trend, worklist
 from tiercraft.operators import explain as ex
+from tiercraft.operators.quantiles import multi_quantiles
+from tiercraft.plans import runner
+from tiercraft.plans.report import summary_report
 from tiercraft.plans.sql import default_query, run_sql
+from tiercraft.session import ensure_checkpoint_dir
 from tiercraft.sources import fixtures as fx
-from tiercraft.sources.readers import ROW_ORDER
-from tiercraft.sources.sinks import preview
+from tiercraft.sources.readers import ROW_ORDER, read_records
+from tiercraft.sources.sinks import preview, write_csv, write_template
 from tiercraft.sources.sinks import roster as roster_of
 
-_CACHE: dict = {}
-
-
-def _memo(name: str, spark: SparkSession, sf_dir: str, build: Callable):
-    """Reuse derived frames and their cut points within one session."""
-    key = (name, id(spark), sf_dir)
-    hit = _CACHE.get(key)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    value = build()
-    _CACHE[key] = (spark, value)
-    return value
-
-
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         if c in df.columns:
@@ -49,38 +42,38 @@ def _long(df: DataFrame, *cols: str) -> DataFrame:
 # shared derivations
 # --------------------------------------------------------------------------
 
+def _stored(df: DataFrame) -> DataFrame:
+    """A derived table written once to the checkpoint folder: the selections of
+    cut points and the query itself then read it instead of deriving it anew."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def players_segmented(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     """fx_players -> quarantine -> clean -> segment -> trend vs fx_prior."""
-    def build():
-        kept, _ = quality.quarantine(fx.players(spark, sf_dir), PLAYERS.id_col)
-        cleaned = quality.clean(kept, PLAYERS.value_col, PLAYERS.consent_cols, PLAYERS.flag_col)
-        seg, cut = segment.segment_players(cleaned.cleaned)
-        return trend.apply_trend(seg, fx.prior(spark, sf_dir), PLAYERS.id_col), cut
-    return _memo("players_segmented", spark, sf_dir, build)
+    kept, _ = quality.quarantine(fx.players(spark, sf_dir), PLAYERS.id_col)
+    cleaned = quality.clean(_stored(kept), PLAYERS.value_col, PLAYERS.consent_cols,
+                            PLAYERS.flag_col)
+    seg, cut = segment.segment_players(cleaned.cleaned)
+    return trend.apply_trend(seg, fx.prior(spark, sf_dir), PLAYERS.id_col), cut
 
 
 def dirty_clean(spark: SparkSession, sf_dir: str) -> quality.CleanResult:
-    def build():
-        kept, _ = quality.quarantine(fx.players_dirty(spark, sf_dir), PLAYERS.id_col)
-        return quality.clean(kept, PLAYERS.value_col, PLAYERS.consent_cols, PLAYERS.flag_col)
-    return _memo("dirty_clean", spark, sf_dir, build)
+    kept, _ = quality.quarantine(fx.players_dirty(spark, sf_dir), PLAYERS.id_col)
+    return quality.clean(_stored(kept), PLAYERS.value_col, PLAYERS.consent_cols, PLAYERS.flag_col)
 
 
 def companies_segmented(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
-    def build():
-        kept, _ = quality.quarantine(fx.companies(spark, sf_dir), COMPANIES.id_col)
-        cleaned = quality.clean(kept, COMPANIES.value_col, COMPANIES.consent_cols,
-                                COMPANIES.flag_col)
-        return segment.segment_companies(cleaned.cleaned)
-    return _memo("companies_segmented", spark, sf_dir, build)
+    kept, _ = quality.quarantine(fx.companies(spark, sf_dir), COMPANIES.id_col)
+    cleaned = quality.clean(_stored(kept), COMPANIES.value_col, COMPANIES.consent_cols,
+                            COMPANIES.flag_col)
+    return segment.segment_companies(cleaned.cleaned)
 
 
 def custom_segmented(spark: SparkSession, sf_dir: str, approach: str = "Value + Recency"
                      ) -> tuple[DataFrame, float]:
-    def build():
-        kept, _ = quality.quarantine(fx.custom(spark, sf_dir), "ref_id")
-        return segment.segment_custom(kept, "worth", "recency_days", approach)
-    return _memo(f"custom_segmented:{approach}", spark, sf_dir, build)
+    kept, _ = quality.quarantine(fx.custom(spark, sf_dir), "ref_id")
+    return segment.segment_custom(_stored(kept), "worth", "recency_days", approach)
 
 
 # --------------------------------------------------------------------------
@@ -171,10 +164,25 @@ def q_segment_custom_value_only(spark, sf_dir):
 def q_segment_lines(spark, sf_dir):
     """Custom mode (value + recency) over every order line."""
     kept, _ = quality.quarantine(fx.lines(spark, sf_dir), "line_id")
-    seg, _ = segment.segment_custom(kept, "amount", "days_since_ship")
+    seg, _ = segment.segment_custom(_stored(kept.drop(ROW_ORDER)), "amount", "days_since_ship")
     return seg.select("line_id", "amount", "_recency", "Segment")
 
 
+def q_quarantine_lines_rejects(spark, sf_dir):
+    """F1 on the largest table, in which many ids repeat: the later rows."""
+    _, rejects = quality.quarantine(fx.lines(spark, sf_dir), "line_id")
+    return rejects.select("QuarantineReason", "line_id", "amount", "days_since_ship")
+
+
+def q_line_quantiles(spark, sf_dir):
+    """G1 over every order line: three cuts of two columns from one selection."""
+    lines = fx.lines(spark, sf_dir)
+    q = multi_quantiles(lines, {"cut": ("amount", 0.75), "low": ("amount", 0.25),
+                                "median_days": ("days_since_ship", 0.5)})
+    return lines.agg(F.count(F.lit(1)).alias("records"),
+                     *[F.lit(v).cast("double").alias(k) for k, v in q.items()])
+
+
 def q_mapping_fallback(spark, sf_dir):
     return _long(mapping.value_candidates(fx.custom(spark, sf_dir)),
                  "ordinal", "rank")
@@ -355,6 +363,196 @@ def q_sql_records(spark, sf_dir):
     return run_sql(spark, seg, default_query("NetADT"))
 
 
+# -- text and dates as people write them -------------------------------------
+
+def q_strict_parse(spark, sf_dir):
+    """E2 on text cells."""
+    t = fx.texts(spark, sf_dir)
+    return t.select("ref_id", "cell", parse_strict(t, "cell").alias("number"))
+
+
+def q_parse_dates(spark, sf_dir):
+    """The date forms people write."""
+    d = fx.dated(spark, sf_dir)
+    return d.select("PlayerID", "LastVisitDate",
+                    F.date_format(parse_date("LastVisitDate"), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+def q_date_unparsed_rate(spark, sf_dir):
+    return unparsed_share(fx.dated(spark, sf_dir), "LastVisitDate")
+
+
+def q_days_since(spark, sf_dir):
+    """Floored whole days up to a fixed instant."""
+    d = fx.dated(spark, sf_dir)
+    return d.select("PlayerID", days_since(parse_date("LastVisitDate"), fx.AS_OF).alias("days"))
+
+
+def q_segment_players_from_dates(spark, sf_dir):
+    """E5: recency derived from a date column."""
+    seg, _ = segment.segment_players(_stored(fx.dated(spark, sf_dir)), as_of=fx.AS_OF)
+    return seg.select("PlayerID", "NetADT", "DaysSinceLastVisit", "Segment")
+
+
+def q_segment_custom_from_dates(spark, sf_dir):
+    """A recency column that holds only dates."""
+    iso = fx.dated(spark, sf_dir).withColumn("LastVisitDate", F.when(
+        F.col(ROW_ORDER) % 7 != 5, F.date_format(parse_date("LastVisitDate"), "yyyy-MM-dd")))
+    seg, _ = segment.segment_custom(_stored(iso), "NetADT", "LastVisitDate", as_of=fx.AS_OF)
+    return seg.select("PlayerID", "NetADT", "_recency", "Segment")
+
+
+# -- names with dots, numeric flags, missing names ----------------------------
+
+def q_custom_dotted(spark, sf_dir):
+    """Quarantine to segment on columns whose names hold dots."""
+    kept, _ = quality.quarantine(fx.dotted(spark, sf_dir), "Member No.")
+    seg, _ = segment.segment_custom(_stored(kept), "Net.Worth", "Days.Since")
+    return seg.select(col("Member No.").alias("member"), col("Net.Worth").alias("worth"),
+                      "_recency", "Segment")
+
+
+def q_health_dotted(spark, sf_dir):
+    return _long(quality.health(fx.dotted(spark, sf_dir), "custom", "Net.Worth"), "line_no")
+
+
+def q_profile_dotted(spark, sf_dir):
+    kept, _ = quality.quarantine(fx.dotted(spark, sf_dir), "Member No.")
+    return _long(rollup.profile(_stored(kept), "custom", "Net.Worth"), "line_no")
+
+
+def q_mapping_guess(spark, sf_dir):
+    """G7, with G8 for the value: no name says which column holds it."""
+    d = (fx.dotted(spark, sf_dir).withColumnsRenamed({"Net.Worth": "Takings", "Days.Since": "Days Away"})
+         .withColumn("Visits", F.col(ROW_ORDER) % 7))
+    guess = dict(zip(("id", "value", "recency"), mapping.guess_mapping(d), strict=True))
+    return d.agg(F.count(F.lit(1)).alias("records"),
+                 *[F.lit(v).cast("string").alias(f"{k}_column") for k, v in guess.items()])
+
+
+def q_label_null_name(spark, sf_dir):
+    """A missing name reads 'nan'."""
+    d = fx.players(spark, sf_dir).withColumn("FullName", F.when(
+        F.col(ROW_ORDER) % 3 != 0, F.col("FullName")))
+    return ex.with_label(d, "PlayerID").select("PlayerID", "Label")
+
+
+def q_top_records_null_name(spark, sf_dir):
+    d = fx.players(spark, sf_dir).withColumn("FullName", F.lit(None).cast("string"))
+    return _long(worklist.top_records(d, "NetADT", "PlayerID"), "rank")
+
+
+def q_flag_numeric(spark, sf_dir):
+    """E8 on an integer column, as Parquet input has it."""
+    d = fx.players(spark, sf_dir).withColumn("ZipCode", F.when(
+        F.col(ROW_ORDER) % 5 != 0, F.col(ROW_ORDER) % 1000))
+    res = quality.clean(_stored(d), "NetADT", (), "ZipCode")
+    return res.cleaned.select("PlayerID", "ZipCode")
+
+
+# -- filters, lookups, reports --------------------------------------------------
+
+def q_in_segment(spark, sf_dir):
+    """F3."""
+    seg, _ = players_segmented(spark, sf_dir)
+    return worklist.in_segment(seg, "Casual").select("PlayerID", "NetADT", "Segment")
+
+
+def q_record_lookup(spark, sf_dir):
+    """F5."""
+    seg, _ = players_segmented(spark, sf_dir)
+    return ex.record_lookup(seg, "PlayerID", "P1").select("PlayerID", "FullName", "Segment")
+
+
+def q_lookup_by_name(spark, sf_dir):
+    """one record although names repeat."""
+    d = fx.players(spark, sf_dir).withColumn("FullName", F.concat(
+        F.lit("Name "), (F.col(ROW_ORDER) % 10).cast("string")))
+    return ex.lookup_by_name(d, "Name 3").select("PlayerID", "FullName")
+
+
+def q_deep_dive_lines(spark, sf_dir):
+    """A5: one segment's numbered lines."""
+    seg, _ = custom_segmented(spark, sf_dir)
+    lines, _ = rollup.segment_deep_dive(seg, "Mid Tier", "worth", "ref_id", CUSTOM_MEANINGS)
+    return _long(lines, "line_no")
+
+
+def q_deep_dive_top(spark, sf_dir):
+    seg, _ = custom_segmented(spark, sf_dir)
+    _, top = rollup.segment_deep_dive(seg, "Mid Tier", "worth", "ref_id", CUSTOM_MEANINGS)
+    return _long(top, "rank")
+
+
+def q_profile_players_categories(spark, sf_dir):
+    """A16 with its categorical columns."""
+    seg = fx.players(spark, sf_dir).withColumn("TierRank", F.concat(
+        F.lit("T"), (F.col(ROW_ORDER) % 4).cast("string"))).withColumn("PreferredGame", F.when(
+            F.col(ROW_ORDER) % 3 != 0, F.concat(F.lit("G"), (F.col(ROW_ORDER) % 5).cast("string"))))
+    return _long(rollup.profile(_stored(seg), "players"), "line_no")
+
+
+def q_run_log(spark, sf_dir):
+    """Stages with their rows (the seconds differ from run to run)."""
+    res = runner.run_players(fx.players_dirty(spark, sf_dir), prev=fx.prior(spark, sf_dir))
+    try:
+        return res.log_frame().drop("Seconds")
+    finally:
+        res.release()
+
+
+def q_summary_report(spark, sf_dir):
+    """S10 as numbered lines."""
+    seg, _ = players_segmented(spark, sf_dir)
+    health = quality.health(fx.players(spark, sf_dir), "players")
+    lines = summary_report(PLAYERS.title, health, rollup.value_table(seg, "PlayerID", "NetADT"))
+    return lines.select((F.row_number().over(Window.orderBy("line_no"))).cast("bigint")
+                        .alias("line_no"), "line")
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """Awkward cells written as CSV and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(fx.awkward(spark, sf_dir), path)
+    return read_records(spark, path).drop(ROW_ORDER)
+
+
+def q_segmented_csv(spark, sf_dir):
+    """Records written as CSV, read back and run through."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(fx.players(spark, sf_dir).drop(ROW_ORDER), path)
+    seg, _ = segment.segment_players(_stored(read_records(spark, path)))
+    return seg.select("PlayerID", "NetADT", "Segment")
+
+
+def q_template(spark, sf_dir):
+    """A header-only file, described by its columns."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    d = fx.players(spark, sf_dir).drop(ROW_ORDER)
+    write_template(d, path)
+    back = spark.read.option("header", "true").csv(path)
+    return d.agg(F.count(F.lit(1)).alias("records"),
+                 F.lit(",".join(back.columns)).alias("header"),
+                 F.lit(back.count()).cast("bigint").alias("template_rows"))
+
+
+def q_trend_prior_duplicates(spark, sf_dir):
+    """Of a prior period's repeated ids the first row counts."""
+    prior = fx.prior(spark, sf_dir)
+    later = prior.select(F.concat(F.lit(" "), "PlayerID").alias("PlayerID"),
+                         (F.col("NetADT") * 2).alias("NetADT"),
+                         (F.col(ROW_ORDER) + F.lit(fx.COPY_ORDER)).alias(ROW_ORDER))
+    seg, _ = segment.segment_players(_stored(fx.current(spark, sf_dir)))
+    t = trend.apply_trend(seg, later.unionByName(prior), "PlayerID")
+    return t.select("PlayerID", "NetADT_Prev", "TrendPct", "Trend")
+
+
+def q_value_bands_constant(spark, sf_dir):
+    """A9 where no quantile edges can be told apart: A10's bands."""
+    d = fx.custom(spark, sf_dir).select(F.lit(250.0).alias("v"))
+    return _long(rollup.value_bands(d, "v"), "band_no")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)

@@ -9,6 +9,10 @@ same recipe as the Spark side.
 
 from __future__ import annotations
 
+import re
+
+from tiercraft import config
+
 # -- record tables (FIXTURES.md) --------------------------------------------
 
 FX_PLAYERS = r"""
@@ -33,7 +37,7 @@ fx_players_dirty AS (
          DaysSinceLastVisit, CanEmail, ZipCode, _row_order FROM fx_players
   UNION ALL
   SELECT PlayerID, FullName, NetADT, DaysSinceLastVisit, CanEmail, ZipCode,
-         _row_order + 1000000000 FROM fx_players WHERE _row_order % 50 = 0)"""
+         _row_order + 4611686018427387904 FROM fx_players WHERE _row_order % 50 = 0)"""
 
 FX_PRIOR = r"""
 fx_prior AS (
@@ -201,6 +205,21 @@ useg AS (
   FROM custom_v v, custom_q)"""
 
 
+def say(template: str, **parts: str) -> str:
+    """SQL text expression of a sentence template; parts are SQL expressions."""
+    out = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            out.append(parts[piece])
+        elif piece:
+            out.append("'" + piece.replace("'", "''") + "'")
+    return "(" + " || ".join(out) + ")"
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def _meaning(pairs: dict[str, str]) -> str:
     body = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items())
     return f"CASE Segment {body} ELSE '' END"
@@ -249,47 +268,49 @@ vtr AS (SELECT *, CAST(row_number() OVER (ORDER BY TotalValue DESC, Segment) AS
 HV = "Segment IN ('At Risk High Value', 'VIP High Value')"
 
 
+def _tiers() -> list[tuple]:
+    tiers = config.DEFAULT_COMP_TIERS
+    return [(c, tiers[i + 1][0] if i + 1 < len(tiers) else None, n) for i, (c, n) in enumerate(tiers)]
+
+
 def _comp_tier(v: str) -> str:
-    return (f"CASE WHEN {v} >= 250 THEN 'Suite plus event invite' WHEN {v} >= 120 THEN "
-            f"'Hotel night on us' WHEN {v} >= 50 THEN 'Complimentary meal' "
-            f"ELSE 'Free play offer' END")
+    cases = " ".join(f"WHEN {v} >= {c} THEN {text(n)}" for c, _, n in reversed(_tiers()))
+    return f"CASE {cases} ELSE {text(config.DEFAULT_COMP_TIERS[0][1])} END"
+
+
+def _comp_cases(v: str, between, above, none: str) -> str:
+    cases = " ".join(
+        f"WHEN {v} >= {lo} THEN {above(lo, n)}" if hi is None
+        else f"WHEN {v} >= {lo} AND {v} < {hi} THEN {between(lo, hi, n)}" for lo, hi, n in _tiers())
+    return f"CASE {cases} ELSE {none} END"
 
 
 def _comp_band(v: str) -> str:
-    return (f"CASE WHEN {v} >= 0 AND {v} < 50 THEN 'Free play offer band (0 to 50)' "
-            f"WHEN {v} >= 50 AND {v} < 120 THEN 'Complimentary meal band (50 to 120)' "
-            f"WHEN {v} >= 120 AND {v} < 250 THEN 'Hotel night on us band (120 to 250)' "
-            f"WHEN {v} >= 250 THEN 'Suite plus event invite band (above 250)' "
-            f"ELSE 'Free play offer band' END")
+    return _comp_cases(
+        v, lambda lo, hi, n: say(config.COMP_BAND_BETWEEN, tier=text(n), low=text(f"{lo:,}"), high=text(f"{hi:,}")),
+        lambda lo, n: say(config.COMP_BAND_ABOVE, tier=text(n), low=text(f"{lo:,}")),
+        say(config.COMP_BAND_NONE, tier=text(config.DEFAULT_COMP_TIERS[0][1])))
 
 
 def _comp_reason(v: str) -> str:
     m = money(v)
-    return (f"CASE WHEN {v} >= 0 AND {v} < 50 THEN 'NetADT of ' || {m} || ' falls between $0.00 "
-            f"and $50.00, so a free play offer matches their value without over-investing on a "
-            f"lower-value player or under-rewarding a higher one.' "
-            f"WHEN {v} >= 50 AND {v} < 120 THEN 'NetADT of ' || {m} || ' falls between $50.00 "
-            f"and $120.00, so a complimentary meal matches their value without over-investing on "
-            f"a lower-value player or under-rewarding a higher one.' "
-            f"WHEN {v} >= 120 AND {v} < 250 THEN 'NetADT of ' || {m} || ' falls between $120.00 "
-            f"and $250.00, so a hotel night on us matches their value without over-investing on "
-            f"a lower-value player or under-rewarding a higher one.' "
-            f"WHEN {v} >= 250 THEN 'NetADT of ' || {m} || ' is above the top cutoff of $250.00, "
-            f"so the suite plus event invite tier fits, the highest offer for the most valuable "
-            f"players.' ELSE 'NetADT of ' || {m} || ' sits in the entry tier.' END")
+    return _comp_cases(
+        v, lambda lo, hi, n: say(config.COMP_REASON_BETWEEN, value=m, low=text(f"${lo:,.2f}"),
+                                 high=text(f"${hi:,.2f}"), tier=text(n.lower())),
+        lambda lo, n: say(config.COMP_REASON_ABOVE, value=m, low=text(f"${lo:,.2f}"), tier=text(n.lower())),
+        say(config.COMP_REASON_NONE, value=m))
 
 
 def _host_reason() -> str:
-    extra = (f"(CASE WHEN TrendPct <= -15 THEN ' Play is down ' || {fixed('abs(TrendPct)', 0)} "
-             f"|| '% versus the prior period.' ELSE '' END)")
-    when = ("coalesce('not seen in ' || CAST(CAST(DaysSinceLastVisit AS BIGINT) AS VARCHAR) "
-            "|| ' days', 'gone quiet')")
+    decline = (f"(CASE WHEN TrendPct <= -{config.TREND_LIMIT_PCT} THEN "
+               f"{say(config.HOST_DECLINE, drop=fixed('abs(TrendPct)', 0))} ELSE '' END)")
+    absence = (f"coalesce({say(config.HOST_UNSEEN, days='CAST(CAST(DaysSinceLastVisit AS BIGINT) AS VARCHAR)')}, "
+               f"{text(config.HOST_QUIET)})")
     m = money("NetADT")
-    return (f"CASE WHEN Segment = 'At Risk High Value' THEN 'High value (' || {m} || '/day) and ' "
-            f"|| {when} || '. Prime win-back call, reach out before they are gone.' || {extra} "
-            f"WHEN Segment = 'VIP High Value' THEN 'Top-tier value (' || {m} || '/day) and active. "
-            f"Strengthen the relationship and keep them loyal.' || {extra} "
-            f"ELSE 'Value ' || {m} || '/day. Worth a personal touch.' || {extra} END")
+    at_risk, vip = map(text, config.HIGH_VALUE_SEGMENTS)
+    return (f"CASE WHEN Segment = {at_risk} THEN {say(config.HOST_AT_RISK, value=m, absence=absence, decline=decline)} "
+            f"WHEN Segment = {vip} THEN {say(config.HOST_VIP, value=m, decline=decline)} "
+            f"ELSE {say(config.HOST_OTHER, value=m, decline=decline)} END")
 
 
 def _signed(expr: str) -> str:
@@ -381,31 +402,10 @@ ORACLE["column_profile"] = f"""WITH {FX_CUSTOM}
 {_profile_col('ref_id', 1, 'bigint')} UNION ALL {_profile_col('label', 2, 'string')}
 UNION ALL {_profile_col('worth', 3, 'string')} UNION ALL {_profile_col('recency_days', 4, 'int')}"""
 
-_PLAYER_MEANINGS = {
-    "VIP High Value": "Top quartile value and active. Your most important players.",
-    "At Risk High Value": "High value but no visit in 180+ days. Worth a win back effort.",
-    "Active Developing": "Recent activity, value still building. Nurture these.",
-    "Casual": "Lower value, occasional activity. Low touch.",
-    "Churned Low Value": "Lower value and gone a long time. Low priority.",
-    "Needs Review": "Missing value data. Set aside for a manual look.",
-}
-_CUSTOM_MEANINGS = {
-    "High Value Active": "Top tier by value and recently active. Your best records.",
-    "High Value At Risk": "Top tier by value but gone quiet. Worth re-engaging first.",
-    "Mid Tier": "Middle of the pack by value, still active.",
-    "Mid Tier Lapsed": "Middle value and gone quiet. Watch these.",
-    "Low Value": "Bottom tier by value, still active. Low touch.",
-    "Low Value Lapsed": "Bottom value and gone quiet. Lowest priority.",
-    "Top Tier": "Highest value records (top 25%).",
-    "Middle Tier": "Mid range by value.",
-    "Bottom Tier": "Lowest value records (bottom 25%).",
-    "Needs Review": "Value could not be read. Set aside for a manual look.",
-}
-
 ORACLE["segment_counts"] = f"""WITH {PLAYERS_SEG},
 g AS (SELECT Segment, count(*) AS Records FROM pseg WHERE Segment IS NOT NULL GROUP BY Segment)
 SELECT Segment, Records, CAST(row_number() OVER (ORDER BY Records DESC, Segment) AS BIGINT) AS rank,
-       {_meaning(_PLAYER_MEANINGS)} AS Meaning FROM g"""
+       {_meaning(config.PLAYER_MEANINGS)} AS Meaning FROM g"""
 
 ORACLE["value_table"] = f"""WITH {PLAYERS_SEG},{PLAYERS_VALUE_TABLE}
 SELECT Segment, Records, TotalValue, AvgValue, rank FROM vtr"""
@@ -429,7 +429,7 @@ SELECT Segment, Records, {fixed('Records / tr * 100', 0)} || '%' AS "% of record
 ORACLE["segment_stats"] = f"""WITH {CUSTOM_SEG},
 g AS (SELECT Segment, count(*) AS Records, coalesce(sum(worth), 0.0) AS t, avg(worth) AS a,
              max(worth) AS hi, min(worth) AS lo FROM useg GROUP BY Segment)
-SELECT Segment, {_meaning(_CUSTOM_MEANINGS)} AS Meaning, Records,
+SELECT Segment, {_meaning(config.CUSTOM_MEANINGS)} AS Meaning, Records,
        {fixed('Records / sum(Records) OVER () * 100', 0)} || '%' AS "Share of records",
        {money('t')} AS Total, {money('a')} AS Average, {money('hi')} AS Highest,
        {money('lo')} AS Lowest FROM g"""
@@ -694,19 +694,229 @@ ORACLE["parse_rate_custom"] = f"""WITH {FX_CUSTOM}
 SELECT avg(CASE WHEN {MONEY.format(c='worth')} IS NULL THEN 1.0 ELSE 0.0 END) AS value_unparsed_rate
 FROM fx_custom"""
 
-ORACLE["segment_lines"] = r"""WITH fx_lines AS (
+_LINES = """
+fx_lines AS (
   SELECT concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS line_id,
          l_extendedprice AS amount,
-         date_diff('day', l_shipdate, TIMESTAMP '2001-08-02 00:00:00') AS days_since_ship
-  FROM lineitem),
-q AS (SELECT quantile_cont(amount, 0.75) AS cut, quantile_cont(amount, 0.25) AS low,
-             median(CAST(days_since_ship AS DOUBLE)) AS med FROM fx_lines)
-SELECT line_id, amount, CAST(days_since_ship AS DOUBLE) AS _recency,
-       CASE WHEN amount IS NULL THEN 'Needs Review'
-            WHEN amount >= cut THEN (CASE WHEN coalesce(days_since_ship > med, false)
+         date_diff('day', l_shipdate, TIMESTAMP '2001-08-02 00:00:00') AS days_since_ship,
+         ROW(l_orderkey, l_linenumber, l_shipdate, l_extendedprice, l_partkey, l_suppkey) AS _row_order
+  FROM lineitem),""" + _classified("fx_lines", "line_id") + """,
+kept_lines AS (SELECT * FROM fx_lines_class WHERE QuarantineReason IS NULL)"""
+
+ORACLE["quarantine_lines_rejects"] = f"""WITH {_LINES}
+SELECT QuarantineReason, line_id, amount, days_since_ship FROM fx_lines_class
+WHERE QuarantineReason IS NOT NULL"""
+
+ORACLE["line_quantiles"] = """
+SELECT count(*) AS records, quantile_cont(l_extendedprice, 0.75) AS cut,
+       quantile_cont(l_extendedprice, 0.25) AS low,
+       median(CAST(date_diff('day', l_shipdate, TIMESTAMP '2001-08-02 00:00:00') AS DOUBLE)) AS median_days
+FROM lineitem"""
+
+
+def _custom_segment(src: str, value: str, recency: str) -> str:
+    """CTE ``sg``: the custom mode over (``value``, ``recency``) of ``src``."""
+    return f"""
+sq AS (SELECT quantile_cont({value}, 0.75) AS cut, quantile_cont({value}, 0.25) AS low,
+              median(CAST({recency} AS DOUBLE)) AS med FROM {src}),
+sg AS (SELECT s.*, CAST({recency} AS DOUBLE) AS _recency,
+       CASE WHEN {value} IS NULL THEN 'Needs Review'
+            WHEN {value} >= cut THEN (CASE WHEN coalesce({recency} > med, false)
                                           THEN 'High Value At Risk' ELSE 'High Value Active' END)
-            WHEN amount <= low THEN (CASE WHEN coalesce(days_since_ship > med, false)
+            WHEN {value} <= low THEN (CASE WHEN coalesce({recency} > med, false)
                                           THEN 'Low Value Lapsed' ELSE 'Low Value' END)
-            ELSE (CASE WHEN coalesce(days_since_ship > med, false)
+            ELSE (CASE WHEN coalesce({recency} > med, false)
                        THEN 'Mid Tier Lapsed' ELSE 'Mid Tier' END) END AS Segment
-FROM fx_lines, q"""
+FROM {src} s, sq)"""
+
+
+ORACLE["segment_lines"] = f"""WITH {_LINES},{_custom_segment("kept_lines", "amount", "days_since_ship")}
+SELECT line_id, amount, _recency, Segment FROM sg"""
+
+# -- text and dates as people write them, awkward names and cells -------------
+
+_TEXTS = """
+fx_texts AS (
+  SELECT p_partkey AS ref_id,
+         CASE p_partkey % 6 WHEN 0 THEN '$' || CAST(p_retailprice AS VARCHAR)
+              WHEN 1 THEN ' ' || CAST(p_retailprice AS VARCHAR) || ' '
+              WHEN 2 THEN CAST(p_partkey AS VARCHAR) || 'e2' WHEN 3 THEN '1,000'
+              WHEN 4 THEN '-' || CAST(p_retailprice AS VARCHAR) END AS cell FROM part)"""
+
+ORACLE["strict_parse"] = f"""WITH {_TEXTS}
+SELECT ref_id, cell, CASE WHEN ref_id % 6 IN (1, 2, 4) THEN CAST(trim(cell) AS DOUBLE) END AS number FROM fx_texts"""
+
+_DATED = """
+fx_last AS (SELECT o_custkey AS k, max(o_orderdate) AS last,
+                   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS NetADT
+            FROM orders GROUP BY o_custkey),
+fx_dated AS (
+  SELECT concat('P', CAST(k AS VARCHAR)) AS PlayerID, NetADT, k, CASE k % 7
+           WHEN 0 THEN strftime(last, '%-m/%-d/%Y') WHEN 1 THEN strftime(last, '%Y-%m-%dT%H:%M:%SZ')
+           WHEN 2 THEN strftime(last, '%Y-%m-%d %H:%M:%S.5') WHEN 3 THEN strftime(last, '%b %-d, %Y')
+           WHEN 4 THEN strftime(last, '%Y-%m-%d') WHEN 5 THEN 'not a date'
+           ELSE strftime(last, '%-d.%-m.%Y') END AS LastVisitDate,
+         CASE WHEN k % 7 IN (1, 2) THEN date_trunc('second', last)
+              WHEN k % 7 <> 5 THEN CAST(date_trunc('day', last) AS TIMESTAMP) END AS parsed
+  FROM fx_last),
+fx_days AS (
+  SELECT *, CAST(floor((epoch(TIMESTAMP '2001-08-02 00:00:00')
+                        - epoch(parsed) - CASE WHEN k % 7 = 2 THEN 0.5 ELSE 0 END) / 86400) AS BIGINT) AS days
+  FROM fx_dated)"""
+
+ORACLE["parse_dates"] = f"""WITH {_DATED}
+SELECT PlayerID, LastVisitDate, strftime(parsed, '%Y-%m-%d %H:%M:%S') AS parsed FROM fx_dated"""
+
+ORACLE["date_unparsed_rate"] = f"""WITH {_DATED}
+SELECT count(*) FILTER (WHERE parsed IS NULL) / greatest(count(*), 1) AS date_unparsed_rate FROM fx_dated"""
+
+ORACLE["days_since"] = f"""WITH {_DATED}
+SELECT PlayerID, days FROM fx_days"""
+
+ORACLE["segment_players_from_dates"] = f"""WITH {_DATED},
+d1 AS (SELECT PlayerID, NetADT, days AS DaysSinceLastVisit FROM fx_days),""" + _players_segment("d1", "ds") + """
+SELECT PlayerID, NetADT, DaysSinceLastVisit, Segment FROM ds"""
+
+ORACLE["segment_custom_from_dates"] = f"""WITH {_DATED},
+d2 AS (SELECT PlayerID, NetADT, date_diff('day', parsed, TIMESTAMP '2001-08-02 00:00:00') AS days FROM fx_days),
+{_custom_segment("d2", "NetADT", "days")}
+SELECT PlayerID, NetADT, _recency, Segment FROM sg"""
+
+ORACLE["custom_dotted"] = f"""WITH {CUSTOM_SEG}
+SELECT ref_id AS member, worth, _recency, Segment FROM useg"""
+
+ORACLE["health_dotted"] = _health(
+    FX_CUSTOM, "fx_custom", 3, "records", ["ref_id", "worth", "recency_days"],
+    [(_share(MONEY.format(c="worth") + " IS NOT NULL"), "% of the value column parsed into clean numbers.")])
+
+ORACLE["profile_dotted"] = f"WITH {CUSTOM_VALUES}\n" + _lines([
+    ("(SELECT 'Total records: ' || CAST(count(*) AS VARCHAR) FROM custom_v)", ""),
+    (_money_stat("worth", "custom_v").replace("'worth: avg ", "'Net.Worth: avg "), "")])
+
+ORACLE["mapping_guess"] = f"""WITH {FX_CUSTOM},
+st AS (SELECT count(*) AS records, stddev_samp({MONEY.format(c='worth')}) AS takings,
+              stddev_samp(recency_days) AS away, stddev_samp(_row_order % 7) AS visits FROM fx_custom)
+SELECT records, 'Member No.' AS id_column,
+       CASE WHEN takings >= away AND takings >= visits THEN 'Takings'
+            WHEN away >= visits THEN 'Days Away' ELSE 'Visits' END AS value_column,
+       'Days Away' AS recency_column FROM st"""
+
+ORACLE["label_null_name"] = f"""WITH {FX_PLAYERS}
+SELECT PlayerID, CASE WHEN _row_order % 3 <> 0 THEN FullName ELSE 'nan' END || ' (' || PlayerID || ')' AS Label
+FROM fx_players"""
+
+ORACLE["top_records_null_name"] = f"""WITH {FX_PLAYERS},
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY NetADT DESC NULLS LAST, PlayerID) AS BIGINT) AS rank FROM fx_players)
+SELECT rank, 'nan: ' || {money('NetADT')} || coalesce(', last visit ' || CAST(DaysSinceLastVisit AS VARCHAR) || 'd ago', '')
+         AS line FROM r WHERE rank <= 10"""
+
+ORACLE["flag_numeric"] = f"""WITH {FX_PLAYERS}
+SELECT PlayerID, CASE WHEN _row_order % 5 <> 0 THEN CAST(_row_order % 1000 AS VARCHAR) ELSE 'MISSING' END AS ZipCode
+FROM fx_players"""
+
+# -- filters, lookups, reports --------------------------------------------------
+
+ORACLE["in_segment"] = f"""WITH {PLAYERS_SEG}
+SELECT PlayerID, NetADT, Segment FROM pseg WHERE Segment = 'Casual'"""
+
+ORACLE["record_lookup"] = f"""WITH {PLAYERS_SEG}
+SELECT PlayerID, FullName, Segment FROM pseg WHERE PlayerID = 'P1'"""
+
+ORACLE["lookup_by_name"] = f"""WITH {FX_PLAYERS}
+SELECT PlayerID, 'Name 3' AS FullName FROM fx_players WHERE _row_order % 10 = 3 ORDER BY _row_order LIMIT 1"""
+
+_MID = "(SELECT * FROM useg WHERE Segment = 'Mid Tier') m"
+ORACLE["deep_dive_lines"] = f"WITH {CUSTOM_SEG}\n" + _lines([
+    (text("What this segment is: " + config.CUSTOM_MEANINGS["Mid Tier"]), ""),
+    (f"(SELECT 'Records: ' || CAST(count(*) AS VARCHAR) || '  (' || "
+     f"{fixed('count(*) / (SELECT count(*) FROM useg) * 100', 0)} || '% of all records)' FROM {_MID})", ""),
+    *[(f"(SELECT '{label} worth: ' || {money(f'{f}(worth)')} FROM {_MID})", "")
+      for label, f in (("Total", "sum"), ("Average", "avg"), ("Highest", "max"), ("Lowest", "min"))]])
+
+ORACLE["deep_dive_top"] = f"""WITH {CUSTOM_SEG},
+r AS (SELECT ref_id, worth AS v, CAST(row_number() OVER (ORDER BY worth DESC NULLS LAST, ref_id, _row_order) AS BIGINT)
+        AS rank FROM {_MID})
+SELECT rank, CAST(ref_id AS VARCHAR) AS Record, {money('v')} AS worth FROM r WHERE rank <= 10"""
+
+ORACLE["profile_players_categories"] = f"""WITH {FX_PLAYERS},
+tp AS (SELECT *, 'T' || CAST(_row_order % 4 AS VARCHAR) AS TierRank,
+              CASE WHEN _row_order % 3 <> 0 THEN 'G' || CAST(_row_order % 5 AS VARCHAR) END AS PreferredGame
+       FROM fx_players)
+""" + _lines([
+    ("(SELECT 'Total records: ' || CAST(count(*) AS VARCHAR) FROM tp)", ""),
+    (_money_stat("NetADT", "tp"), ""),
+    (f"(SELECT 'DaysSinceLastVisit: avg ' || {fixed('avg(DaysSinceLastVisit)', 0)} || ', max ' || "
+     f"{fixed('max(DaysSinceLastVisit)', 0)} FROM tp)", ""),
+    (_top_values("TierRank", "tp"), ""), (_top_values("PreferredGame", "tp"), "")])
+
+ORACLE["run_log"] = f"""WITH {DIRTY_CLEAN},
+n AS (SELECT CAST((SELECT count(*) FROM fx_players_dirty) AS VARCHAR) AS rows_in,
+             CAST((SELECT count(*) FROM dirty_kept) AS VARCHAR) AS kept)
+SELECT 'Quarantine' AS Stage, rows_in AS "Rows in", kept AS "Rows out" FROM n
+UNION ALL SELECT s, kept, kept FROM n, (VALUES ('Clean'), ('Segment + Trend'), ('Aggregate')) t(s)"""
+
+ORACLE["csv_roundtrip"] = """
+SELECT concat('P', CAST(c_custkey AS VARCHAR)) AS PlayerID,
+       CASE c_custkey % 6 WHEN 0 THEN 'say "' || c_name || '", twice' WHEN 1 THEN c_name || chr(10) || 'second line'
+            WHEN 2 THEN '  ' || c_name || ' ' WHEN 3 THEN NULL WHEN 4 THEN '"' || c_name ELSE c_name END AS FullName,
+       CASE WHEN c_custkey % 4 <> 0 THEN '$' || CAST(c_acctbal AS VARCHAR) END AS NetADT
+FROM customer"""
+
+ORACLE["segmented_csv"] = f"""WITH {FX_PLAYERS},""" + _players_segment("fx_players", "s3") + """
+SELECT PlayerID, NetADT, Segment FROM s3"""
+
+ORACLE["template"] = f"""WITH {FX_PLAYERS}
+SELECT count(*) AS records, 'PlayerID,FullName,NetADT,DaysSinceLastVisit,CanEmail,ZipCode' AS header,
+       CAST(0 AS BIGINT) AS template_rows FROM fx_players"""
+
+_DUP_TREND = _trend("cs", "ct").replace("fx_prior p", "one_prior p")
+ORACLE["trend_prior_duplicates"] = f"""WITH {FX_CURRENT},{FX_PRIOR},
+two_prior AS (
+  SELECT ' ' || PlayerID AS PlayerID, NetADT * 2 AS NetADT, _row_order + 4611686018427387904 AS _row_order FROM fx_prior
+  UNION ALL SELECT * FROM fx_prior),
+one_prior AS (SELECT PlayerID, NetADT FROM (
+  SELECT *, row_number() OVER (PARTITION BY trim(PlayerID) ORDER BY _row_order) AS rn FROM two_prior) WHERE rn = 1),""" + \
+    _players_segment("fx_current", "cs", recency=False) + "," + _DUP_TREND + """
+SELECT PlayerID, NetADT_Prev, TrendPct, Trend FROM ct"""
+
+ORACLE["value_bands_constant"] = """
+WITH n AS (SELECT count(*) AS n FROM part), b AS (SELECT unnest(range(1, 6)) AS i)
+SELECT i AS band_no, CASE WHEN i <= 2 THEN '$249 to $249' WHEN i = 3 THEN '$249 to $250' ELSE '$250 to $250' END AS Band,
+       249.75::DOUBLE + (i - 1) * 0.1::DOUBLE AS lower, 249.75::DOUBLE + i * 0.1::DOUBLE AS upper,
+       CASE WHEN i = 3 THEN n ELSE 0 END AS Records FROM b, n"""
+
+
+def _summary() -> str:
+    """The report's lines; the value table is laid out as pandas prints a frame."""
+    def shown(c: str) -> str:
+        return (f"' ' || CASE WHEN greatest(1, max(length(rtrim(split_part(format('{{:.6f}}', {c}), '.', 2), '0'))) OVER ()) = 1 "
+                f"THEN format('{{:.1f}}', {c}) ELSE format('{{:.2f}}', {c}) END")
+    title = config.PLAYERS.title
+    health = [
+        "CAST(n AS VARCHAR) || ' records loaded across 6 columns.'",
+        f"{fixed('z / greatest(n * 6, 1) * 100', 1)} || '% of all cells are empty.'",
+        say(config.HEALTH_EMAILABLE, share=fixed("e", 0)),
+        say(config.HEALTH_LAPSED, share=fixed("l", 0), days=text(str(config.PLAYER_RECENCY_LAPSED_DAYS)))]
+    fixed_lines = [(1, text(title.upper())), (2, text("=" * len(title))), (3, "''"), (4, "'Data health:'"),
+                   (500, "''"), (501, "'Value by segment:'")]
+    unions = [f"SELECT {k} AS k, {line} AS line" for k, line in fixed_lines]
+    unions += [f"SELECT {100 + i}, '  ' || {line} FROM st" for i, line in enumerate(health)]
+    nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in (
+        "PlayerID", "FullName", "NetADT", "DaysSinceLastVisit", "CanEmail", "ZipCode"))
+    lapsed = f"DaysSinceLastVisit > {config.PLAYER_RECENCY_LAPSED_DAYS}"
+    return f"""WITH {PLAYERS_SEG},{PLAYERS_VALUE_TABLE},
+st AS (SELECT count(*) AS n, {nulls} AS z, {_share("lower(CanEmail) = 'yes'")} AS e, {_share(lapsed)} AS l FROM fx_players),
+tt AS (SELECT Segment AS s, rank, ' ' || CAST(Records AS VARCHAR) AS r, {shown('TotalValue')} AS t, {shown('AvgValue')} AS a
+       FROM vtr),
+w AS (SELECT greatest(7, max(length(s)))::INT AS ws, greatest(8, max(length(r)))::INT AS wr,
+             greatest(11, max(length(t)))::INT AS wt, greatest(9, max(length(a)))::INT AS wa FROM tt),
+u AS ({" UNION ALL ".join(unions)}
+  UNION ALL SELECT 502, repeat(' ', ws + 1) || lpad(' Records', wr, ' ') || ' ' || lpad(' TotalValue', wt, ' ') || ' '
+                        || lpad(' AvgValue', wa, ' ') FROM w
+  UNION ALL SELECT 503, rpad('Segment', ws + 1, ' ') || repeat(' ', wr + wt + wa + 2) FROM w
+  UNION ALL SELECT 503 + rank, rpad(s, ws + 1, ' ') || lpad(r, wr, ' ') || ' ' || lpad(t, wt, ' ') || ' ' || lpad(a, wa, ' ')
+            FROM tt, w)
+SELECT CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS line_no, line FROM u"""
+
+
+ORACLE["summary_report"] = _summary()
