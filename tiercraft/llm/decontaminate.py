@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiercraft.llm.text import col, fresh
+from tiercraft.llm.text import col, fresh, without
 from tiercraft.llm.vec import LOWER, byte_class, lists, range_hashes, text_slices, word_bounds
 
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` once A-Z are lower-cased.
@@ -137,7 +137,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     replaced; with an empty benchmark nothing is hit.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in names if c in docs.columns])
+    docs = without(docs, *names)
     grams = (benchmark.select(col(item_col).cast("string").alias("item"),
                               col(item_text_col).cast("string").alias("text"))
              .where("item IS NOT NULL AND text IS NOT NULL"))

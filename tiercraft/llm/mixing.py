@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiercraft.llm.text import col, fresh, whole, word_count
+from tiercraft.llm.text import col, fresh, whole, without, word_count
 from tiercraft.session import ensure_checkpoint_dir
 
 WEIGHTS = (5, 2, 1)
@@ -89,8 +89,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of size 0 has target 0 and emits nothing. Empty tables give an empty
     result; input columns called like the four new ones are replaced.
     """
-    docs = docs.drop(*[n for n in names if n in docs.columns])
-    size, cls, slot, key, thash = fresh(docs, "__size", "__cls", "__slot", "__key", "__thash")
+    docs = without(docs, *names)
+    size, cls, slot, key, thash, source2, cls2, slot2, start, all_words, target, rate, offset_col = fresh(
+        docs, "__size", "__cls", "__slot", "__key", "__thash", "__source", "__cls2", "__slot2", "__start",
+        "__words", "__target", "__rate", "__offset")
     ensure_checkpoint_dir(docs.sparkSession)
     slots = max(1, math.ceil(math.sqrt(docs.count()) / 16))
     ident = F.coalesce(col(id_col).cast("string"), F.lit(""))
@@ -112,22 +114,22 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = (blocks.withColumn("start", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
               .withColumnRenamed("source", "bsource")
               .join(targets, F.col("bsource").eqNullSafe(F.col("source")))
-              .select(F.col("bsource").alias("__source"), F.col("cls").alias("__bcls"),
-                      F.col("slot").alias("__bslot"), F.col("start").alias("__start"),
-                      F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+              .select(F.col("bsource").alias(source2), F.col("cls").alias(cls2),
+                      F.col("slot").alias(slot2), F.col("start").alias(start),
+                      F.col("source_size").alias(all_words), F.col("target").alias(target),
                       F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-                      .otherwise(0.0).alias("__rate"), offset.alias("__offset")))
+                      .otherwise(0.0).alias(rate), offset.alias(offset_col)))
     # The three key columns stay first in the join and the window: one shuffle serves both.
-    joined = sized.join(starts, col(source_col).eqNullSafe(F.col("__source"))
-                        & (F.col(cls) == F.col("__bcls")) & (F.col(slot) == F.col("__bslot")))
+    joined = sized.join(starts, col(source_col).eqNullSafe(F.col(source2))
+                        & (F.col(cls) == F.col(cls2)) & (F.col(slot) == F.col(slot2)))
     inside = Window.partitionBy(col(source_col), F.col(cls), F.col(slot)).orderBy(
         F.col(size), F.col(key), col(id_col).asc_nulls_last(), F.col(thash))
-    place = F.col("__start") + F.row_number().over(inside)
-    taken = (F.floor(F.col("__offset") + place * F.col("__rate"))
-             - F.floor(F.col("__offset") + (place - 1) * F.col("__rate")))
+    place = F.col(start) + F.row_number().over(inside)
+    taken = (F.floor(F.col(offset_col) + place * F.col(rate))
+             - F.floor(F.col(offset_col) + (place - 1) * F.col(rate)))
     return joined.select(*map(col, docs.columns), F.col(size).alias(names[0]),
-                         F.col("__source_size").cast("long").alias(names[1]),
-                         F.col("__target").cast("double").alias(names[2]),
+                         F.col(all_words).cast("long").alias(names[1]),
+                         F.col(target).cast("double").alias(names[2]),
                          taken.cast("long").alias(names[3]))
 
 

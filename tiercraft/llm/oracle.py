@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tiercraft.llm import mixing, url_filter
+from tiercraft.llm import mixing, quality_rules, url_filter
 
 _SPACE = r"\x20\x09-\x0D"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,4 +73,85 @@ best AS (
 SELECT q.page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM q LEFT JOIN best USING (page_id)
 """
 
-ORACLE = {"op3_line_dedup": _OP3, "op4_mix": _OP4, "op9_url_filter": _OP9}
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _low_words(text: str) -> str:
+    return f"regexp_extract_all({_LOWER.format(text)}, '{_WORD}')"
+
+
+_OP5 = f"""
+WITH d AS (SELECT doc_id, {_low_words("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_low_words('text')} AS w FROM benchmark
+      WHERE item_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram
+      FROM b, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS t(i) WHERE len(w) > 0),
+s AS (SELECT DISTINCT n FROM g),
+dn AS (SELECT doc_id, w, n FROM d, s WHERE len(w) >= n),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+       FROM dn, unnest(generate_series(1, len(w) - n + 1)) AS t(i)),
+h AS (SELECT doc_id, i, n, item FROM dw JOIN g USING (n, gram)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(generate_series(i, i + n - 1)) AS t(p) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def _js(counts: str, reference: str) -> str:
+    """Jensen-Shannon distance of two lists of counts in columns of a row."""
+    def share(c: str) -> str:
+        return f"list_transform({c}, lambda x: x::DOUBLE / list_sum({c})::DOUBLE)"
+
+    def half(p: str, q: str) -> str:
+        return (f"list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[1] > 0 "
+                f"THEN z[1] * ln(z[1] * 2 / (z[1] + z[2])) ELSE 0.0 END))")
+    p, q = share(counts), share(reference)
+    return (f"CASE WHEN list_sum({counts}) > 0 AND list_sum({reference}) > 0 "
+            f"THEN sqrt(greatest(0.0, ({half(p, q)} + {half(q, p)}) / (2 * ln(2.0::DOUBLE)))) ELSE 0.0 END")
+
+
+_LANGS = quality_rules.COMMON_WORDS
+_CHARS = ", ".join("length(regexp_replace(t, '" + p.replace("'", "''") + "', '', 'g'))"
+                   for p in quality_rules.CHAR_PATTERNS)
+_COMMON = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in _LANGS.items())
+_N_COMMON = max(map(len, _LANGS.values())) + 1
+_sums = {c: "[" + ", ".join(f"coalesce(sum({c}[{k + 1}]), 0)" for k in range(n)) + "]"
+         for c, n in (("chars", len(quality_rules.CHAR_CLASSES)), ("common", _N_COMMON))}
+_OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         CASE WHEN lang IN ({', '.join(repr(k) for k in _LANGS)}) THEN lang ELSE 'en' END AS reference FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{_SPACE}]+') AS w, regexp_extract_all(lower(t), '\p{{L}}+') AS lw,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS ls,
+             CASE reference {_COMMON} END AS cw FROM d),
+tri AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+        FROM (SELECT * FROM w WHERE len(w) >= 4), unnest(generate_series(1, len(w) - 2)) AS u(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM again, unnest([i, i + 1, i + 2]) AS u(p) GROUP BY doc_id),
+c AS (SELECT doc_id, reference, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[{_SPACE}]+', '', 'g'))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '{quality_rules.SYMBOLS}'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(lw) AS n_lw,
+             list_append([{_CHARS}], length(t) - list_sum([{_CHARS}]))::BIGINT[] AS chars,
+             list_transform(cw, lambda x: len(list_filter(lw, lambda y: y = x))) AS hits FROM w),
+m AS (SELECT *, list_append(hits, n_lw - list_sum(hits))::BIGINT[] AS common FROM c),
+ref AS (SELECT reference, {_sums['chars']} AS ref_chars, {_sums['common']} AS ref_common FROM m GROUP BY reference),
+j AS (SELECT m.*, {_js('chars', 'ref_chars')} AS char_distance, {_js('common', 'ref_common')} AS word_distance,
+             list_sum(chars) AS n_chars, coalesce(n_repeat_words, 0)::BIGINT AS n_rep
+      FROM m JOIN ref USING (reference) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR n_rep * 100 > n_words * {quality_rules.MAX_REPEAT_PERCENT} AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_rep AS n_repeat_words,
+       round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance, base_failed,
+       NOT base_failed
+       AND NOT (n_chars >= {quality_rules.MIN_CHARS} AND char_distance > {quality_rules.MAX_CHAR_DISTANCE})
+       AND NOT (n_lw >= {quality_rules.MIN_LETTER_WORDS}
+                AND word_distance > {quality_rules.MAX_WORD_DISTANCE} + 1 / sqrt(n_lw::DOUBLE)) AS kept
+FROM f
+"""
+
+ORACLE = {"op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op4_mix": _OP4, "op5_decontaminate": _OP5,
+          "op9_url_filter": _OP9}

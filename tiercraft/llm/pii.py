@@ -15,7 +15,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiercraft.llm.text import col, fresh, let, whole
+from tiercraft.llm.text import col, fresh, let, whole, without
 
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -152,7 +152,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     texts have no spans; repeated rows are judged alike; an input column called
     like the new one is replaced; an empty table gives an empty result.
     """
-    docs = docs.drop(spans_col) if spans_col in docs.columns else docs
+    docs = without(docs, spans_col)
     parts = fresh(docs, *[f"__pii_{k}" for k in PATTERNS])
     # A first projection per kind keeps each expression small enough to analyse quickly.
     found = docs.select("*", *[let(whole(col(text_col)), partial(_spans, k)).alias(c)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiercraft.llm.quality_rules import COMMON_WORDS
-from tiercraft.llm.text import col, fresh
+from tiercraft.llm.text import col, fresh, without
 from tiercraft.llm.vec import LOWER, byte_class, range_hashes, text_slices, word_bounds
 
 MAX_TRAIN_DOCS = 3000   # the sample: labelled documents, in the order of a hash of their id
@@ -234,7 +234,7 @@ def score_documents(docs: DataFrame, model: LineModel, text_col: str = "text",
     repeated rows score alike; an input column of the name is replaced; empty
     tables stay empty. The whole text counts, whatever its length.
     """
-    docs = docs.drop(score_col) if score_col in docs.columns else docs
+    docs = without(docs, score_col)
     return docs.withColumn(score_col, F.arrow_udf(model.score, "double")(col(text_col).cast("string")))
 
 

@@ -38,6 +38,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns of these names (case-insensitively, as Spark resolves them)."""
+    gone = {n.lower() for n in names}
+    return df.select(*[col(c) for c in df.columns if c.lower() not in gone])
+
+
 def col(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

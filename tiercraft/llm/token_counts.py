@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiercraft.llm.text import col
+from tiercraft.llm.text import col, fresh, without
 
 VOCAB = "word_bpe_49k.json"
 BUDGETS = (2048,)
@@ -160,7 +160,8 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocab: str = VOCAB,
     many tokens. Null and empty texts have 0; repeated rows count alike; input
     columns called like the new ones are replaced; an empty table stays empty.
     """
-    docs = docs.drop(*[c for c in names if c in docs.columns])
+    docs = without(docs, *names)
+    (both,) = fresh(docs, "__counted")
     limits = np.array(budgets, np.int64)
 
     @F.arrow_udf("struct<n:bigint,within:array<bigint>>")
@@ -174,6 +175,6 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocab: str = VOCAB,
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(within, pa.list_(pa.int64()))], ["n", "within"])
 
-    counted = docs.withColumn("__counted", count(col(text_col).cast("string")))
-    return counted.select(*map(col, docs.columns), F.col("__counted.n").alias(names[0]),
-                          F.col("__counted.within").alias(names[1]))
+    counted = docs.withColumn(both, count(col(text_col).cast("string")))
+    return counted.select(*map(col, docs.columns), F.col(f"{both}.n").alias(names[0]),
+                          F.col(f"{both}.within").alias(names[1]))

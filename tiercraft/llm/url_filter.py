@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiercraft.llm.text import col, fresh, lower_ascii
+from tiercraft.llm.text import col, fresh, lower_ascii, without
 
 #: (verdict, host, path): the rules of the contract.
 RULES = (
@@ -71,7 +71,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url",
     rules = rules.select("verdict", "host", "path").dropna().distinct()
     # Distinct lengths of rule paths: bounded by the longest rule path, not by the rules.
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-    pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c in pages.columns])
+    pages = without(pages, "host", "path", "rule", "verdict")
     parsed = (pages.withColumn("host", url_host(col(url_col)))
               .withColumn("path", url_path(col(url_col))))
     found = _judge(parsed.select("host", "path").distinct(), rules, lengths)
