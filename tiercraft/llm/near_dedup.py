@@ -8,10 +8,12 @@ propose pairs, a collision-corrected estimate of the similarity prunes them,
 and the shingle sets of the survivors decide.
 
 No stage lists all pairs of a group. Equal sets are folded into classes first.
-In each band bucket the members are compared with two hubs only (the smallest
-member in even bands, the largest in odd ones), the links found are closed to
-components, and just the pairs of buckets that still hold several components
-are compared one by one.
+In each band bucket the members are compared with one hub only (the smallest
+member in even bands, the largest in odd ones), and the links found are closed
+to components. Buckets that still hold several components get as hub the
+document with most links around them; documents near it are matched by their
+rare differences from it (prefix and position filters that lose no link), and
+only those far from it pair by pair.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiercraft.llm.components import components
-from tiercraft.llm.skew import join_hot
 from tiercraft.llm.text import col, fresh
 from tiercraft.llm.vec import LOWER, lists, mix, range_hashes, text_slices, word_bounds
+from tiercraft.operators.skew import join_hot
 from tiercraft.session import ensure_checkpoint_dir
 
 REGISTERS, BUCKET_BITS, MANTISSA_BITS, VALUE_BITS = 128, 7, 10, 53
 MISS = 1e-6      # most often that a pair just at the threshold may share no band
+NEAR = 0.25      # documents at least so similar to a hub are matched by their differences from it
 SIGMAS = 6       # how far below the threshold an estimate must lie to drop a pair
 
 _SKETCH = "struct<n:bigint,c1:bigint,c2:bigint,regs:binary,bands:array<bigint>>"
@@ -144,12 +147,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = (real.where(F.col("n") >= least).join(
         classes.where(F.col("n") >= least).select("n", "c1", "c2", F.col("rep").alias("id")),
         [*klass, "id"]).dropDuplicates([*klass]).select("id", "n", "regs", "bands"))
-    found = _links(base, reps.checkpoint(), words, similarity)
+    # A key of a thousandth of all rows is hot: so there are few of them, however many rows.
+    hot_from = max(1000, docs.count() // 1000)
+    found = _links(base, reps.checkpoint(), words, similarity, hot_from)
     groups = (components(found).withColumnRenamed("node", "rep"))
     labelled = classes.join(groups, "rep", "left").select(
         *klass, "members", F.coalesce("component", "rep").alias("component"))
-    hot_from = max(1000, docs.count() // 1000)
-    linked = join_hot(real.select("id", *klass), labelled, klass, "members", hot_from, F.col("id"))
+    linked = join_hot(real.select("id", *klass), labelled, klass, "members", F.col("id"), hot_from)
     alone = sketched.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component"))
     return (linked.select("id", "n", "component").unionByName(alone)
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -157,61 +161,133 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")))
 
 
-def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
+def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot_from: int) -> DataFrame:
     """Links (a, b) between class representatives whose components are those of all links."""
     buckets = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    shared = (buckets.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    shared = (buckets.groupBy("band", "key")
+              .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members"))
               .where("lo < hi"))
-    members = buckets.join(shared, ["band", "key"]).checkpoint()
+    members = join_hot(buckets, shared, ["band", "key"], "members", F.col("id"), hot_from).checkpoint()
+
+    def sets_of(t: pa.Array) -> pa.Array:
+        return lists([h.view(np.int64) for h in shingle_sets(t, words)], pa.int64())
+    sets = (texts.join(members.select("id").distinct(), "id")
+            .select("id", F.arrow_udf(sets_of, "array<bigint>")("text").alias("set")).checkpoint())
+
+    def compared(pairs: DataFrame, least: float) -> DataFrame:
+        """Exact set sizes of the pairs (a, b) that may reach the similarity ``least``."""
+        likely = _likely(pairs, reps, least)
+        shared_n = F.size(F.array_intersect("set_a", "set_b"))
+        return (likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+                .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+                .withColumn("shared", shared_n)
+                .withColumn("n_a", F.size("set_a")).withColumn("n_b", F.size("set_b"))
+                .where(_reaches(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), least)))
+
     hub = F.when(F.col("band") % 2 == 0, F.col("lo")).otherwise(F.col("hi"))
     stars = _ordered(members.where(F.col("id") != hub).select(F.col("id"), hub.alias("hub")),
                      "id", "hub").distinct()
-    first = _verified(stars, texts, reps, words, similarity).checkpoint()
-    # Buckets that hold one component by now need no more; the others are compared across.
-    label = components(first)
+    first = compared(stars, similarity).select("a", "b").checkpoint()
+    # Buckets that hold one component by now need no more. The hub of each of the others
+    # is the document with most links so far in any of its members' components.
+    ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id")))
+    linked = (components(first).withColumnRenamed("node", "id")
+              .join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id"))
+    centers = linked.groupBy("component").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("center"))
     known = (members.select("band", "key", "id", "n")
-             .join(label.withColumnRenamed("node", "id"), "id", "left")
-             .withColumn("component", F.coalesce("component", "id")))
+             .join(linked.join(centers, "component").select("id", "component", "center"), "id", "left")
+             .withColumn("component", F.coalesce("component", "id"))
+             .withColumn("center", F.coalesce("center", F.struct(
+                 F.lit(0).cast("long").alias("degree"), (-F.col("id")).alias("neg")))))
     mixed = (known.groupBy("band", "key")
-             .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-             .where("least < most").select("band", "key"))
-    open_rows = known.join(mixed, ["band", "key"])
-    other = open_rows.select("band", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "component")])
-    crossing = (open_rows.join(other, ["band", "key"])
-                .where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_"))
-                       & (F.least("n", "n_") >= F.greatest("n", "n_") * similarity))
-                .select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
-                .join(stars, ["a", "b"], "left_anti"))
-    return first.unionByName(_verified(crossing, texts, reps, words, similarity)).checkpoint()
+             .agg(F.min("component").alias("least"), F.max("component").alias("most"),
+                  F.max("center").alias("best"),
+                  F.count("*").alias("members"))
+             .where("least < most").select("band", "key", (-F.col("best.neg")).alias("hub"), "members"))
+    rows = join_hot(known, mixed, ["band", "key"], "members", F.col("id"), hot_from).drop("center").checkpoint()
+    second = rows.where("id != hub").select("hub", "id").distinct()
+    # Jaccard distance is a metric: a document further from the hub than twice the
+    # threshold's distance cannot be linked with one that is linked to the hub.
+    least = min(NEAR, max(0.0, 2 * similarity - 1))
+    near = (compared(second.select(F.col("hub").alias("a"), F.col("id").alias("b")), least)
+            .select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"),
+                    _reaches(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), similarity).alias("linked"),
+                    F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a")).alias("delta"))
+            .checkpoint())
+    label = rows.select("id", "component").distinct()
+    crossing = (_by_difference(near.join(label, "id"), similarity)
+                .unionByName(_far_pairs(rows, near, similarity)).distinct())
+    return (first.unionByName(near.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+            .unionByName(compared(crossing, similarity).select("a", "b")).checkpoint())
+
+
+def _by_difference(near: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) near one hub, not both linked to it, that may be linked.
+
+    With the differences dx, dy of x and y from the hub (symmetric), x and y
+    differ in |dx| + |dy| - 2 |dx & dy| shingles, at most t (|x| + |y|) if
+    linked, t = (1 - s) / (1 + s). One not linked to the hub has a dx beyond
+    t (|x| + |hub|), so linked pairs share differences: more than
+    (|dy| + t (|hub| - |y|)) / 2 of them, and at least |dx| - t |x| (1 + 1 / s).
+    Sets that share c elements also share one among the first size - c + 1 of
+    each in any common order (prefix filter); the order here is rare ones first.
+    From their first shared element on, both must have c elements left.
+    """
+    t = (1 - similarity) / (1 + similarity)
+    size = F.size("delta")
+    half = F.floor((size + t * (F.col("n_hub") - F.col("n"))) / 2 - 1e-9) + 1
+    most = F.ceil(size - t * (1 + 1 / similarity) * F.col("n") - 1e-9)
+    reach = size - F.greatest(F.lit(1), half) + 1
+    reach = F.when(F.col("linked"), reach).otherwise(
+        F.greatest(reach, size - F.greatest(F.lit(1), most) + 1))
+    marked = near.withColumn("reach", reach).withColumn("size", size)
+    # A hub all of whose near documents are linked to it has nothing to compare.
+    open_hubs = marked.where("NOT linked").select("hub").distinct()
+    each = (marked.join(open_hubs, "hub")
+            .select("hub", "id", "n", "component", "linked", "reach", "size", F.explode("delta").alias("e")))
+    rarity = each.groupBy("hub", "e").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("hub", "id").orderBy("often", "e"))
+    prefix = (each.join(rarity, ["hub", "e"]).withColumn("place", place)
+              .where("place <= reach AND often > 1").drop("often", "reach")
+              .withColumn("left", F.col("size") - F.col("place") + 1))
+    x = prefix.where("NOT linked")
+    y = prefix.select("hub", "e", *[F.col(c).alias(f"{c}_")
+                                    for c in ("id", "n", "component", "linked", "size", "left")])
+    needed = (F.col("size") + F.col("size_") - t * (F.col("n") + F.col("n_"))) / 2 - 1e-9
+    met = (x.join(y, ["hub", "e"])
+           .where((F.col("component") != F.col("component_")) & (F.col("linked_") | (F.col("id") < F.col("id_")))
+                  & (F.least("left", "left_") >= needed)
+                  & (F.abs(F.col("size") - F.col("size_")) <= t * (F.col("n") + F.col("n_")))
+                  & (F.least("n", "n_") >= F.greatest("n", "n_") * similarity)))
+    return _ordered(met, "id", "id_")
+
+
+def _far_pairs(rows: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket of which one is far from the hub and none is linked to it."""
+    state = near.select("hub", "id", F.lit(False).alias("far"), "linked")
+    at = (rows.where("id != hub").join(state, ["hub", "id"], "left")
+          .withColumn("far", F.coalesce("far", F.lit(True))).where("far OR NOT linked"))
+    other = at.select("band", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "far")])
+    met = (at.where("far").join(other, ["band", "key"])
+           .where((F.col("component") != F.col("component_")) & (~F.col("far_") | (F.col("id") < F.col("id_")))
+                  & (F.least("n", "n_") >= F.greatest("n", "n_") * similarity)))
+    return _ordered(met, "id", "id_").distinct()
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, words: int,
-              similarity: float) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity."""
-    spread = math.sqrt(similarity * (1 - similarity))
+def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose estimate does not rule out the similarity ``least``."""
+    spread = math.sqrt(least * (1 - least))
     near = F.arrow_udf(estimate, "double")
     a = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
     b = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"))
-    likely = (pairs.join(a, "a").join(b, "b")
-              .where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity)
-              .where(near("regs_a", "regs_b", "n_a", "n_b") >= similarity - SIGMAS * spread / F.sqrt(
-                  F.least(F.lit(REGISTERS), "n_a", "n_b").cast("double")))
-              .select("a", "b").checkpoint())
-    wanted = likely.select(F.col("a").alias("id")).unionByName(
-        likely.select(F.col("b").alias("id"))).distinct()
-
-    def sets_of(t: pa.Array) -> pa.Array:
-        return lists([h.view(np.int64) for h in shingle_sets(t, words)], pa.int64())
-    sets = (texts.join(wanted, "id")
-            .select("id", F.arrow_udf(sets_of, "array<bigint>")("text").alias("set")).checkpoint())
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return (likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-            .where(_reaches(shared, F.size("set_a") + F.size("set_b") - shared, similarity))
+    return (pairs.join(a, "a").join(b, "b")
+            .where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least)
+            .where(near("regs_a", "regs_b", "n_a", "n_b") >= least - SIGMAS * spread / F.sqrt(
+                F.least(F.lit(REGISTERS), "n_a", "n_b").cast("double")))
             .select("a", "b"))
 
 
