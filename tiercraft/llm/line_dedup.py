@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiercraft.llm.text import SPACE, col, fresh, lower_ascii, whole
-
-SALTS = 64
+from tiercraft.llm.text import SPACE, col, fresh, lower_ascii, whole, without
+from tiercraft.operators.skew import join_hot
 
 
 def line_key(line: Column) -> Column:
@@ -39,9 +38,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other name pass through; an input column called like a count column is
     replaced by it. An empty table gives an empty result.
     """
-    if {n_lines_col, n_dropped_col} & set(docs.columns):
-        docs = docs.drop(n_lines_col, n_dropped_col)
-    row_hash, drop = fresh(docs, "__row_hash", "__drop")
+    docs = without(docs, n_lines_col, n_dropped_col)
+    row_hash, drop, id2, hash2 = fresh(docs, "__row_hash", "__drop", "__id", "__hash")
     text = whole(col(text_col))
     lines = (docs.where(col(id_col).isNotNull())
              .select(col(id_col).alias("id"), F.xxhash64(text).alias("row_hash"),
@@ -53,23 +51,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = (lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
               .groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("id").alias("keeper"))
               .where(F.col("n_docs") >= min_docs))
-    # A key of over a thousandth of all documents is hot. There are at most a
-    # thousand times as many of them as a document has lines, so they can be
-    # broadcast; their rows meet the key in SALTS parts instead of one.
+    # A key of a thousandth of all documents is hot: there are at most a thousand
+    # times as many of them as a document has lines.
     hot_from = max(1000, docs.count() // 1000)
-    hot = (shared.where(F.col("n_docs") >= hot_from)
-           .select("h1", "h2", F.lit(True).alias("hot")))
-    salted = (lines.join(F.broadcast(hot), ["h1", "h2"], "left")
-              .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-                          .otherwise(0).cast("int")).drop("hot"))
-    keepers = shared.withColumn("salt", F.explode(F.sequence(
-        F.lit(0), F.when(F.col("n_docs") >= hot_from, SALTS - 1).otherwise(0)))).drop("n_docs")
-    falls = (salted.join(keepers, ["h1", "h2", "salt"]).where(F.col("id") != F.col("keeper"))
-             .groupBy(F.col("id").alias("__id"), F.col("row_hash").alias("__rh"))
+    falls = (join_hot(lines, shared, ["h1", "h2"], "n_docs", F.col("id"), hot_from).where(F.col("id") != F.col("keeper"))
+             .groupBy(F.col("id").alias(id2), F.col("row_hash").alias(hash2))
              .agg(F.collect_set("pos").alias(drop)))
     hashed = docs.withColumn(row_hash, F.xxhash64(text))
-    joined = hashed.join(falls, (col(id_col) == F.col("__id"))
-                         & (F.col(row_hash) == F.col("__rh")), "left")
+    joined = hashed.join(falls, (col(id_col) == F.col(id2))
+                         & (F.col(row_hash) == F.col(hash2)), "left")
     parts = F.split(text, "\n", -1)
     n = F.size(parts)
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col(drop))
