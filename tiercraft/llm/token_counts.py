@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections import defaultdict
 
@@ -26,7 +27,7 @@ from tiercraft.llm.text import col, fresh, without
 
 VOCAB = "word_bpe_49k.json"
 BUDGETS = (2048,)
-_CACHED_WORDS, _CACHED_BYTES = 400_000, 64
+_CACHED_WORDS, _CACHED_CHARS = 400_000, 64
 
 
 def _byte_symbols() -> list[str]:
@@ -42,7 +43,30 @@ def _byte_symbols() -> list[str]:
 
 
 _SYMBOL = _byte_symbols()
-_SPACES = regex.compile(r"\p{White_Space}+")
+#: The vocabulary's word pattern, and the same for texts of Latin letters only
+#: (below U+0250) in the plain ``re`` module, which is more than twice as fast.
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_LATIN_WORD = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
+class _WordCounts(dict):
+    """Tokens per word, filled on demand and of bounded size."""
+
+    def __init__(self, counter: PrefixCounter) -> None:
+        self.counter = counter
+
+    def __missing__(self, word: str) -> int:
+        counter = self.counter
+        known = counter.table(word)[-1]
+        if len(word) <= _CACHED_CHARS:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            if counter.n_fits >= 4 * _CACHED_WORDS:
+                counter.fits.clear()
+                counter.n_fits = 0
+            self[word] = known
+        return known
 
 
 class PrefixCounter:
@@ -60,9 +84,10 @@ class PrefixCounter:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.latin = _LATIN_WORD if split == _WORD else self.word
         self.fits: dict[str, dict[str, bool]] = defaultdict(dict)
         self.n_fits = 0
-        self.words: dict[str, int] = {}
+        self.words = _WordCounts(self)
 
     def _merged(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
@@ -111,31 +136,22 @@ class PrefixCounter:
                     break
         return count
 
-    def word_tokens(self, word: str) -> int:
-        known = self.words.get(word)
-        if known is None:
-            known = self.table(word)[-1]
-            if len(word) <= _CACHED_BYTES:
-                if len(self.words) >= _CACHED_WORDS:
-                    self.words.clear()
-                if self.n_fits >= 4 * _CACHED_WORDS:
-                    self.fits.clear()
-                    self.n_fits = 0
-                self.words[word] = known
-        return known
+    def split(self, text: str) -> list[str]:
+        return (self.latin if text and max(text) < "\u0250" else self.word).findall(text)
 
     def normalise(self, text: str) -> str:
-        text = _SPACES.sub(" ", unicodedata.normalize("NFC", text))
+        """NFC and lower case. White space, which no word holds, is left as it is."""
+        text = unicodedata.normalize("NFC", text)
         # Character by character: str.lower would give a final sigma its own form.
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens up to and including each word (or special string) of a text."""
         counts: list[int] = []
-        tokens, at = self.word_tokens, 0
+        at = 0
         for m in [*self.special.finditer(text), None]:
             piece = self.normalise(text[at:m.start()] if m else text[at:])
-            counts += map(tokens, self.word.findall(piece))
+            counts += map(self.words.__getitem__, self.split(piece))
             if m:
                 counts.append(1)
                 at = m.end()
