@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tiercraft.config import COMPANY_PROFILE_TOP  # noqa: E402
 from tiercraft.functions.text import PY_WHITESPACE  # noqa: E402
-from tiercraft.operators import quality, rollup, trend, worklist  # noqa: E402
+from tiercraft.operators import quality, quantiles, rollup, trend, worklist  # noqa: E402
 from tiercraft.plans import catalog  # noqa: E402
 from tiercraft.session import build_session  # noqa: E402
 from tiercraft.sources import fixtures as fx  # noqa: E402
@@ -36,6 +36,12 @@ def plan_text(df) -> str:
     return "".join(c if c.isprintable() or c == "\n" else repr(c)[1:-1] for c in text)
 
 
+def _round(df):
+    with quantiles._Values(df, ["amount", "days_since_ship"]) as values:
+        (_, lo, hi), (_, dlo, dhi) = values.stats()
+        return quantiles._Values(df, ["amount", "days_since_ship"]).bins([(0, lo, hi), (1, dlo, dhi)])
+
+
 def main() -> None:
     spark = build_session("local[8]", 8)
     seg, _ = catalog.players_segmented(spark, SF)
@@ -45,10 +51,19 @@ def main() -> None:
     sections = [
         ("Derived players table: orders aggregated per customer before the join",
          fx.players(spark, SF)),
-        ("Quarantine: duplicated ids found by a map-side-combined aggregate, "
-         "joined back by a size-checked broadcast (no shuffle of the input)",
+        ("Quarantine: repeated ids from (id, row order) pairs only, joined back; rows without an "
+         "id carry join keys of their own",
          quality.classify_identity(fx.players_dirty(spark, SF), "PlayerID")),
-        ("Trend: deduplicated prior (min_by aggregate) broadcast after measuring",
+        ("Quarantine of the order lines, in which many ids repeat",
+         quality.classify_identity(fx.lines(spark, SF), "line_id")),
+        ("segment_lines: the quarantined lines come from a checkpoint, cuts are literals",
+         catalog.q_segment_lines(spark, SF)),
+        ("Quantiles, one round for two columns: bins are counted map-side, one aggregate",
+         _round(fx.lines(spark, SF))),
+        ("Worklist rank: range-partitioned rows from a checkpoint, offsets broadcast (a row per "
+         "partition), window inside each partition",
+         worklist.host_worklist(seg, id_col="PlayerID")),
+        ("Trend: deduplicated prior (min_by aggregate), join left to the planner",
          trend.apply_trend(seg.drop("NetADT_Prev", "TrendPct", "Trend"),
                            fx.prior(spark, SF), "PlayerID")),
         ("Value table: partial aggregation, window only over the aggregated segments",

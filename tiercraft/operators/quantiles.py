@@ -75,8 +75,8 @@ class _Values:
         row = self.frame.agg(*aggs).first()
         return [(int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) for i in range(self.n)]
 
-    def histogram(self, brackets: list[tuple[int, float, float]]) -> list[list[tuple]]:
-        """Per bracket (column, lo, hi): its bins in order, as (count, min, max)."""
+    def bins(self, brackets: list[tuple[int, float, float]]) -> DataFrame:
+        """(b, bin, n, lo, hi) for the values in each bracket (column, lo, hi)."""
         cells = []
         for b, (k, lo, hi) in enumerate(brackets):
             v = F.col(f"v{k}")
@@ -92,9 +92,13 @@ class _Values:
             rows = self.frame.select(cells[0].alias("c")).where("c IS NOT NULL").select("c.*")
         else:
             rows = self.frame.select(F.inline(F.array_compact(F.array(*cells))))
+        return rows.groupBy("b", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
+                                            F.max("v").alias("hi"))
+
+    def histogram(self, brackets: list[tuple[int, float, float]]) -> list[list[tuple]]:
+        """Per bracket: its bins in order, as (count, min, max)."""
         out: list[list[tuple]] = [[] for _ in brackets]
-        for r in (rows.groupBy("b", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                               F.max("v").alias("hi")).collect()):
+        for r in self.bins(brackets).collect():
             out[r["b"]].append((r["bin"], r["n"], r["lo"], r["hi"]))
         return [[x[1:] for x in sorted(bins)] for bins in out]
 
