@@ -153,5 +153,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_rep AS n_repeat_wo
 FROM f
 """
 
-ORACLE = {"op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op4_mix": _OP4, "op5_decontaminate": _OP5,
-          "op9_url_filter": _OP9}
+
+_OP8 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^{_SPACE}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
+      FROM (SELECT * FROM d WHERE len(w) > 0), unnest(generate_series(1, len(w) - least(3, len(w)) + 1)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM e JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * common >= 85 * (p.n + q.n - common)),
+r(node, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT node, b FROM r JOIN l ON reach = a),
+c AS (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE = {"op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op4_mix": _OP4,
+          "op5_decontaminate": _OP5, "op8_near_dedup": _OP8, "op9_url_filter": _OP9}
