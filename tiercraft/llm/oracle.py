@@ -154,6 +154,24 @@ FROM f
 """
 
 
+_OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, list_transform(generate_series(1, length(h) // 2 - 49), lambda i: hash(substr(h, 2 * i - 1, 100))) AS s
+      FROM d WHERE length(h) >= 100),
+w AS (SELECT doc_id, unnest(s) AS s, unnest(generate_series(1, len(s))) AS i FROM x),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w JOIN f USING (s) WHERE least < doc_id),
+n AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 49 AS z FROM n GROUP BY doc_id, k),
+c AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1)::BIGINT AS n_removed, max(z) AS last,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS head
+      FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 _OP8 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^{_SPACE}]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
@@ -167,5 +185,5 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLE = {"op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op4_mix": _OP4,
+ORACLE = {"op1_suffix_dedup": _OP1, "op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op4_mix": _OP4,
           "op5_decontaminate": _OP5, "op8_near_dedup": _OP8, "op9_url_filter": _OP9}
