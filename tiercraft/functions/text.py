@@ -16,8 +16,11 @@ PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 def strip_ws(c: ColumnOrName) -> Column:
     """Strip leading/trailing whitespace the way Python's str.strip() does
-    (Spark's trim drops only spaces). A character-set trim, not a regex."""
-    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
+    (Spark's trim drops only spaces). A character-set trim, not a regex, and
+    only for texts that do not start and end in plain ASCII marks already."""
+    c = _col(c)
+    plain = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(PY_WHITESPACE)))
 
 
 def py_str(c: ColumnOrName, dtype: DataType | None = None) -> Column:
