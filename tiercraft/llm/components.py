@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiercraft.operators.skew import join_hot
 from tiercraft.session import ensure_checkpoint_dir
 
+ROWS_A_PARTITION = 50_000
+
+
+def settled(df: DataFrame, rows: int = ROWS_A_PARTITION) -> DataFrame:
+    """``df`` from a checkpoint, in as many partitions as its rows are worth.
+
+    Each map task of a later shuffle leaves files however little it holds, and a
+    frame that an aggregate has made small would otherwise keep hundreds of them.
+    """
+    kept = df.checkpoint()
+    return kept.coalesce(max(1, math.ceil(kept.count() / rows)))
+
 
-def _to_smallest(edges: DataFrame, only_larger: bool) -> DataFrame:
+def _to_smallest(edges: DataFrame, only_larger: bool, parts: int) -> DataFrame:
     """Link each neighbour of a node (only the larger ones, or all of its smaller
     ones and itself) to the smallest of the node and these neighbours."""
     if only_larger:
         edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    linked = edges.join(low, "a")
+    low = (edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+           .withColumn("m", F.least("a", "m")).coalesce(parts))
+    linked = join_hot(edges, low, ["a"], "n", F.col("b")).coalesce(parts)
     if only_larger:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    return out.where("a > b").distinct().coalesce(parts)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,12 +46,13 @@ def components(links: DataFrame) -> DataFrame:
     lineage stays short; the rounds grow with the logarithm of the longest chain.
     """
     ensure_checkpoint_dir(links.sparkSession)
-    edges = (links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-             .where("a > b").distinct().checkpoint())
+    edges = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                    .where("a > b").distinct())
+    parts = edges.rdd.getNumPartitions()
     print_of = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     before = tuple(edges.agg(*print_of).first())
     while True:
-        edges = _to_smallest(_to_smallest(edges, True), False).checkpoint()
+        edges = _to_smallest(_to_smallest(edges, True, parts), False, parts).checkpoint()
         now = tuple(edges.agg(*print_of).first())
         if now == before:
             break

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiercraft.llm.components import components
+from tiercraft.llm.components import components, settled
 from tiercraft.llm.text import col, fresh
 from tiercraft.llm.vec import LOWER, lists, mix, range_hashes, text_slices, word_bounds
 from tiercraft.operators.skew import join_hot
 from tiercraft.session import ensure_checkpoint_dir
 
+BULKY_ROWS = 10_000      # rows a partition for frames with sets or registers
 REGISTERS, BUCKET_BITS, MANTISSA_BITS, VALUE_BITS = 128, 7, 10, 53
 MISS = 1e-6      # most often that a pair just at the threshold may share no band
 NEAR = 0.25      # documents at least so similar to a hub are matched by their differences from it
@@ -149,7 +150,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         [*klass, "id"]).dropDuplicates([*klass]).select("id", "n", "regs", "bands"))
     # A key of a thousandth of all rows is hot: so there are few of them, however many rows.
     hot_from = max(1000, docs.count() // 1000)
-    found = _links(base, reps.checkpoint(), words, similarity, hot_from)
+    found = _links(base, settled(reps, BULKY_ROWS), words, similarity, hot_from)
     groups = (components(found).withColumnRenamed("node", "rep"))
     labelled = classes.join(groups, "rep", "left").select(
         *klass, "members", F.coalesce("component", "rep").alias("component"))
@@ -167,12 +168,12 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
     shared = (buckets.groupBy("band", "key")
               .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members"))
               .where("lo < hi"))
-    members = join_hot(buckets, shared, ["band", "key"], "members", F.col("id"), hot_from).checkpoint()
+    members = settled(join_hot(buckets, shared, ["band", "key"], "members", F.col("id"), hot_from))
 
     def sets_of(t: pa.Array) -> pa.Array:
         return lists([h.view(np.int64) for h in shingle_sets(t, words)], pa.int64())
-    sets = (texts.join(members.select("id").distinct(), "id")
-            .select("id", F.arrow_udf(sets_of, "array<bigint>")("text").alias("set")).checkpoint())
+    sets = settled(texts.join(members.select("id").distinct(), "id")
+                   .select("id", F.arrow_udf(sets_of, "array<bigint>")("text").alias("set")), BULKY_ROWS)
 
     def compared(pairs: DataFrame, least: float) -> DataFrame:
         """Exact set sizes of the pairs (a, b) that may reach the similarity ``least``."""
@@ -187,7 +188,7 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
     hub = F.when(F.col("band") % 2 == 0, F.col("lo")).otherwise(F.col("hi"))
     stars = _ordered(members.where(F.col("id") != hub).select(F.col("id"), hub.alias("hub")),
                      "id", "hub").distinct()
-    first = compared(stars, similarity).select("a", "b").checkpoint()
+    first = settled(compared(stars, similarity).select("a", "b"))
     # Buckets that hold one component by now need no more. The hub of each of the others
     # is the document with most links so far in any of its members' components.
     ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id")))
@@ -204,19 +205,20 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
                   F.max("center").alias("best"),
                   F.count("*").alias("members"))
              .where("least < most").select("band", "key", (-F.col("best.neg")).alias("hub"), "members"))
-    rows = join_hot(known, mixed, ["band", "key"], "members", F.col("id"), hot_from).drop("center").checkpoint()
-    second = rows.where("id != hub").select("hub", "id").distinct()
+    rows = settled(join_hot(known, mixed, ["band", "key"], "members", F.col("id"), hot_from).drop("center"))
+    second = settled(rows.where("id != hub").select("hub", "id").distinct())
     # Jaccard distance is a metric: a document further from the hub than twice the
     # threshold's distance cannot be linked with one that is linked to the hub.
     least = min(NEAR, max(0.0, 2 * similarity - 1))
-    near = (compared(second.select(F.col("hub").alias("a"), F.col("id").alias("b")), least)
-            .select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"),
+    near = settled(
+        compared(second.select(F.col("hub").alias("a"), F.col("id").alias("b")), least)
+        .select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"),
                     _reaches(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), similarity).alias("linked"),
-                    F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a")).alias("delta"))
-            .checkpoint())
+                    F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a")).alias("delta")),
+        BULKY_ROWS)
     label = rows.select("id", "component").distinct()
-    crossing = (_by_difference(near.join(label, "id"), similarity)
-                .unionByName(_far_pairs(rows, near, similarity)).distinct())
+    crossing = settled(_by_difference(near.join(label, "id"), similarity)
+                       .unionByName(_far_pairs(rows, near, similarity)).distinct())
     return (first.unionByName(near.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
             .unionByName(compared(crossing, similarity).select("a", "b")).checkpoint())
 
