@@ -14,6 +14,7 @@ def spark():
     s = (SparkSession.builder.master("local[4]").appName("tiercraft-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "4g")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
