@@ -1,7 +1,7 @@
 """Remove byte strings that a document of a smaller id holds too (suffix-array dedup).
 
 A byte goes if a ``length``-byte string over it also starts in a document with
-a smaller id. The work runs over shards of about 2 MB of text:
+a smaller id. The work runs over shards of about 4 MB of text:
 
 1. Documents are packed into shards, written once (compressed) to the shared
    checkpoint folder, so every later step sees the same shards.
@@ -19,7 +19,7 @@ a smaller id. The work runs over shards of about 2 MB of text:
 5. Each shard marks its bytes.
 
 An anchor of ``HOT`` shards or more would bring too many runs together: its
-strings travel one by one and meet by their own hash, at most one a shard.
+strings travel one by one, as hashes, and meet by them, at most one a shard.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ from tiercraft.llm.vec import POWERS, mix, range_hashes
 from tiercraft.session import ensure_checkpoint_dir
 
 LENGTH, SEED = 50, 24
-SHARD_BYTES, BUCKET_BYTES, HOT = 2 << 20, 8 << 20, 64
+SHARD_BYTES, BUCKET_BYTES, HOT = 4 << 20, 8 << 20, 1000
+_PIECE = 1 << 18
 _LANES = 8192
 _RESIDUE_BITS = 40
 _ZSTD = 3
@@ -111,6 +112,20 @@ def pack_shards(limit: int):
 # -- 2. anchors
 
 
+def _least_hashes(data: np.ndarray, seed: int, width: int) -> np.ndarray:
+    """The smallest of ``width`` consecutive hashes of ``seed``-byte pieces, for every place."""
+    POWERS.need(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * POWERS.up[:len(data)], out=sums[1:])
+        low = mix((sums[seed:] - sums[:-seed]) * POWERS.down[:len(data) - seed + 1])
+    span = 1
+    while span * 2 <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    return np.minimum(low[:span - width], low[width - span:]) if width > span else low
+
+
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED
                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, number of windows) of each run of windows under one anchor.
@@ -120,18 +135,10 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, see
     """
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    POWERS.need(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * POWERS.up[:len(data)], out=sums[1:])
-        low = mix((sums[seed:] - sums[:-seed]) * POWERS.down[:len(data) - seed + 1])
-    del sums
-    width, span = length - seed + 1, 1
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if width > span:
-        low = np.minimum(low[:span - width], low[width - span:])
+    width = length - seed + 1
+    low = np.empty(len(data) - length + 1, np.uint64)
+    for at in range(0, len(low), _PIECE):  # piece by piece, for bounded memory
+        low[at:at + _PIECE] = _least_hashes(data[at:at + _PIECE + length - 1], seed, width)
     inside = np.zeros(len(low) + 1, np.int8)
     count = np.maximum(np.diff(offsets) - length + 1, 0)
     np.add.at(inside, offsets[:-1][count > 0], 1)
@@ -145,7 +152,14 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, see
     stop = np.zeros(len(low) + 1, bool)
     stop[1:] = inside & np.concatenate([change[1:-1] | ~inside[1:], [True]])
     start = np.flatnonzero(change[:-1])
-    return low[start], start, np.flatnonzero(stop) - start
+    count = np.flatnonzero(stop) - start
+    # A text that repeats itself keeps its anchor for long: its runs are cut, so that
+    # the first and the last string of a run always cover it.
+    pieces = -(-count // width)
+    nth = _expand(np.zeros(len(count), np.int64), pieces)
+    count = np.minimum(np.repeat(count, pieces) - nth * width, width)
+    start = np.repeat(start, pieces) + nth * width
+    return low[start], start, count
 
 
 def _keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -246,7 +260,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(data)
     word = _words(data)
-    sa = np.argsort(word, kind="stable")
+    sa = np.argsort(word)
     fresh = np.ones(n, bool)
     fresh[1:] = word[sa[1:]] != word[sa[:-1]]
     rank = np.empty(n + 1, np.int64)
@@ -259,7 +273,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     while h < depth and len(slots):
         p = sa[slots]
         key = rank[p] * (n + 1) + rank[np.minimum(p + h, n)] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         p, key = p[order], key[order]
         sa[slots] = p
         new = np.ones(len(key), bool)
@@ -365,14 +379,14 @@ def shard_candidates(buckets: int):
             count = np.concatenate([count[~hot], np.ones(int(single.sum()), np.int64)])
             dest = (anchor >> np.uint64(_RESIDUE_BITS)).astype(np.int64)[~hot]
             own = range_hashes(data, windows[single], windows[single] + LENGTH) % np.uint64(buckets)
-            dest = np.concatenate([dest, own.astype(np.int64)])
+            dest = np.concatenate([dest, buckets + own.astype(np.int64)])
         else:
             lead = np.concatenate([[0], np.cumsum(count)])[:-1]
             dest = (anchor >> np.uint64(_RESIDUE_BITS)).astype(np.int64)
         owner = ids[np.searchsorted(offsets, start, "right") - 1]
         # The first and the last string of a run cover it: equal numbers are equal runs.
         a, b = number[lead], number[lead + count - 1]
-        order = np.lexsort((b, a, count, dest))
+        order = np.lexsort((count, b, a, dest))  # neighbours in text order compress well
         same = np.ones(len(order), bool)
         for v in (dest, count, a, b):
             same[1:] &= v[order][1:] == v[order][:-1]
@@ -384,13 +398,20 @@ def shard_candidates(buckets: int):
         edge = np.flatnonzero(np.diff(dest_d, prepend=-1, append=-1))
         out = []
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            text = data[_expand(start_d[x:y], count_d[x:y] + LENGTH - 1)]
-            out.append((2, int(dest_d[x]), row["shard"], _pack(count_d[x:y].astype(np.uint8), least[x:y], text)))
-        # Where the runs lie: a shard's runs in the order of the windows it sent out.
+            if dest_d[x] < buckets:
+                text = data[_expand(start_d[x:y], count_d[x:y] + LENGTH - 1)]
+                message = _pack(least[x:y], text, count_d[x:y].astype(np.uint8))
+            else:
+                message = _pack(least[x:y], range_hashes(data, start_d[x:y], start_d[x:y] + LENGTH))
+            out.append((2, int(dest_d[x]), row["shard"], message))
+        # Where the runs lie, by place, and which of the windows sent out are theirs.
         sent = np.concatenate([[0], np.cumsum(count_d)])[:-1]
-        base = sent[edge[:-1]]
+        place = np.empty(len(start), np.int64)
+        place[order] = sent[distinct]
+        by_start = np.argsort(start)
         out.append((3, row["shard"], row["shard"], _pack(
-            start[order], count[order].astype(np.uint8), sent[distinct], dest_d[edge[:-1]], base)))
+            np.diff(start[by_start], prepend=0).astype(np.uint32), count[by_start].astype(np.uint8),
+            place[by_start].astype(np.uint32), dest_d[edge[:-1]], sent[edge[:-1]])))
         return _messages(out)
     return run
 
@@ -399,16 +420,22 @@ def shard_candidates(buckets: int):
 
 
 def merged_strings(table: pa.Table) -> pa.Table:
-    """For one bucket: the smallest id of every string of every shard's runs, back to the shard."""
+    """For one bucket: the smallest id of every string of every shard's runs, back to the shard.
+
+    A shard's message to itself passes through."""
+    if table.column("kind")[0].as_py() == 3:
+        return table.select(["kind", "dest", "origin", "data"])
     shards, hashes, leasts = [], [], []
     for o, d in zip(table.column("origin"), table.column("data"), strict=True):
-        count, least, text = _unpack(d.as_py())
-        count = count.astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])[:-1]
-        at = _expand(begin, count)
+        least, text, *count = _unpack(d.as_py())
         shards.append(o.as_py())
-        hashes.append(range_hashes(text, at, at + LENGTH))
-        leasts.append(np.repeat(least, count))
+        if count:
+            count = count[0].astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])[:-1]
+            at = _expand(begin, count)
+            text, least = range_hashes(text, at, at + LENGTH), np.repeat(least, count)
+        hashes.append(text)
+        leasts.append(least)
     every, low = np.concatenate(hashes), np.concatenate(leasts)
     order = np.argsort(every)
     every, low = every[order], low[order]
@@ -434,7 +461,8 @@ def mark_shard(key, shard_table: pa.Table, messages: pa.Table) -> pa.Table:
         by_kind: dict[int, list] = {3: [], 4: []}
         for k, o, d in zip(messages.column("kind"), messages.column("origin"), messages.column("data"), strict=True):
             by_kind[k.as_py()].append((o.as_py(), _unpack(d.as_py())))
-        for _, (start, count, sent, dests, base) in by_kind[3]:
+        for _, (steps, count, sent, dests, base) in by_kind[3]:
+            start, sent = np.cumsum(steps, dtype=np.int64), sent.astype(np.int64)
             least = np.full(int((sent + count).max()), np.iinfo(np.int64).max)
             first = dict(zip(dests.tolist(), base.tolist(), strict=True))
             for bucket, (low,) in by_kind[4]:
@@ -483,12 +511,13 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchors = shards.mapInArrow(shard_anchors(buckets), _MESSAGE)
     repeated = anchors.groupBy("dest").applyInArrow(repeated_anchors(hot_shards), _MESSAGE)
     by_shard = shards.groupBy("shard")
-    (by_shard.cogroup(repeated.withColumnRenamed("dest", "shard").groupBy("shard"))
-     .applyInArrow(shard_candidates(buckets), _MESSAGE).write.parquet(f"{folder}/runs"))
-    runs = spark.read.schema(_MESSAGE).parquet(f"{folder}/runs")
-    low = runs.where("kind = 2").groupBy("dest").applyInArrow(merged_strings, _MESSAGE)
-    back = low.unionByName(runs.where("kind = 3")).withColumnRenamed("dest", "shard")
-    marked = by_shard.cogroup(back.groupBy("shard")).applyInArrow(mark_shard, _RESULT)
+    runs = (by_shard.cogroup(repeated.withColumnRenamed("dest", "shard").groupBy("shard"))
+            .applyInArrow(shard_candidates(buckets), _MESSAGE))
+    # One shuffle takes runs to their buckets and each shard's own message along, the
+    # next takes both back to the shards, whose shuffled texts are used a second time.
+    back = runs.groupBy("kind", "dest").applyInArrow(merged_strings, _MESSAGE)
+    marked = (by_shard.cogroup(back.withColumnRenamed("dest", "shard").groupBy("shard"))
+              .applyInArrow(mark_shard, _RESULT))
     aside = base.where("id IS NULL").select(
         "id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
