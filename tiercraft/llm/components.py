@@ -13,6 +13,10 @@ from tiercraft.session import ensure_checkpoint_dir
 ROWS_A_PARTITION = 50_000
 
 
+def partitions(n: int, rows: int = ROWS_A_PARTITION) -> int:
+    return max(1, math.ceil(n / rows))
+
+
 def settled(df: DataFrame, rows: int = ROWS_A_PARTITION) -> DataFrame:
     """``df`` from a checkpoint, in as many partitions as its rows are worth.
 
@@ -20,7 +24,7 @@ def settled(df: DataFrame, rows: int = ROWS_A_PARTITION) -> DataFrame:
     frame that an aggregate has made small would otherwise keep hundreds of them.
     """
     kept = df.checkpoint()
-    return kept.coalesce(max(1, math.ceil(kept.count() / rows)))
+    return kept.coalesce(partitions(kept.count(), rows))
 
 
 def _to_smallest(edges: DataFrame, only_larger: bool, parts: int) -> DataFrame:
@@ -46,11 +50,12 @@ def components(links: DataFrame) -> DataFrame:
     lineage stays short; the rounds grow with the logarithm of the longest chain.
     """
     ensure_checkpoint_dir(links.sparkSession)
-    edges = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                    .where("a > b").distinct())
-    parts = edges.rdd.getNumPartitions()
+    edges = (links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+             .where("a > b").distinct().checkpoint())
     print_of = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     before = tuple(edges.agg(*print_of).first())
+    parts = partitions(before[0])
+    edges = edges.coalesce(parts)
     while True:
         edges = _to_smallest(_to_smallest(edges, True, parts), False, parts).checkpoint()
         now = tuple(edges.agg(*print_of).first())
