@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiercraft.operators.skew import join_hot
 from tiercraft.session import ensure_checkpoint_dir
 
 ROWS_A_PARTITION = 50_000
@@ -32,9 +31,9 @@ def _to_smallest(edges: DataFrame, only_larger: bool, parts: int) -> DataFrame:
     ones and itself) to the smallest of the node and these neighbours."""
     if only_larger:
         edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = (edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-           .withColumn("m", F.least("a", "m")).coalesce(parts))
-    linked = join_hot(edges, low, ["a"], "n", F.col("b")).coalesce(parts)
+    low = (edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+           .coalesce(parts))
+    linked = edges.join(low, "a").coalesce(parts)
     if only_larger:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
