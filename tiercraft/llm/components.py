@@ -42,6 +42,12 @@ def _to_smallest(edges: DataFrame, only_larger: bool, parts: int) -> DataFrame:
     return out.where("a > b").distinct().coalesce(parts)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is linked to one smaller node that is linked to none itself."""
+    n, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
+    return n == nodes and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) for every node of links (a, b).
 
@@ -51,15 +57,9 @@ def components(links: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(links.sparkSession)
     edges = (links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
              .where("a > b").distinct().checkpoint())
-    print_of = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    before = tuple(edges.agg(*print_of).first())
-    parts = partitions(before[0])
+    parts = partitions(edges.count())
     edges = edges.coalesce(parts)
-    while True:
+    while not _are_stars(edges):
         edges = _to_smallest(_to_smallest(edges, True, parts), False, parts).checkpoint()
-        now = tuple(edges.agg(*print_of).first())
-        if now == before:
-            break
-        before = now
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

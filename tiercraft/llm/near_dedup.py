@@ -147,7 +147,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = math.ceil(similarity / (1 - similarity) - 1e-9)
     reps = (real.where(F.col("n") >= least).join(
         classes.where(F.col("n") >= least).select("n", "c1", "c2", F.col("rep").alias("id")),
-        [*klass, "id"]).dropDuplicates([*klass]).select("id", "n", "regs", "bands"))
+        [*klass, "id"]).dropDuplicates([*klass, "id"])  # by the join's keys: no shuffle of its own
+        .select("id", "n", "regs", "bands"))
     # A key of a thousandth of all rows is hot: so there are few of them, however many rows.
     hot_from = max(1000, docs.count() // 1000)
     found = _links(base, settled(reps, BULKY_ROWS), words, similarity, hot_from)
