@@ -22,7 +22,31 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Countries by the length of their account codes (IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A code's first four characters, with the code as group 1.
+
+    A listed country's code has its length, any other takes the whole run.
+    Only the four characters are consumed, so a false start hides no code after it.
+    """
+    def rest(n: str) -> str:
+        return rf"[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}"
+    listed = "|".join(v.replace(" ", "|") for v in IBAN_LENGTHS.values())
+    codes = [rf"(?:{v.replace(' ', '|')}){rest(str(n - 4))}" for n, v in IBAN_LENGTHS.items()]
+    codes.append(rf"(?!{listed})[A-Z]{{2}}{rest('11,30')}")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join(codes)})(?![A-Za-z0-9])))[A-Z0-9]{{4}}"
+
+
+IBAN = _iban()
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -97,6 +121,18 @@ def _score(kind: str, text: Column, start: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+def _apart(spans: Column) -> Column:
+    """Ordered spans less those that start inside the last one kept."""
+    def step(acc, s):
+        return F.when(s["start"] >= acc["at"], F.struct(
+            s["end"].alias("at"), F.concat(acc["spans"], F.array(s)).alias("spans"))).otherwise(acc)
+    done = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("at"),
+                                       F.array().cast(_SPAN).alias("spans")), step)
+    meet = F.exists(F.sequence(F.lit(1), F.size(spans) - 1),
+                    lambda i: F.get(spans, i)["start"] < F.get(spans, i - 1)["end"])
+    return F.when(F.size(spans) < 2, spans).when(meet, done["spans"]).otherwise(spans)
+
+
 def _spans(kind: str, text: Column) -> Column:
     """The confirmed spans of one kind, by position."""
     pattern = PATTERNS[kind]
@@ -107,13 +143,14 @@ def _spans(kind: str, text: Column) -> Column:
             def one(acc, i):
                 m = F.get(matches, i)
                 start = acc["at"] + F.length(F.get(gaps, i))
+                used = F.lit(4) if kind == "iban" else F.length(m)
                 span = F.struct(F.lit(kind).alias("kind"), start.cast("bigint").alias("start"),
                                 (start + F.length(m)).cast("bigint").alias("end"),
                                 _score(kind, text, start).alias("score"))
                 ok = _confirmed(kind, m)
                 if kind in ADDED_KINDS:
                     ok = ok & (_score(kind, text, start) >= MIN_SCORE)
-                return F.struct((start + F.length(m)).cast("int").alias("at"),
+                return F.struct((start + used).cast("int").alias("at"),
                                 F.when(ok, F.concat(acc["spans"], F.array(span).cast(_SPAN)))
                                 .otherwise(acc["spans"]).alias("spans"))
 
@@ -130,7 +167,9 @@ def _spans(kind: str, text: Column) -> Column:
                                chunk)["spans"]
         return F.when(F.size(matches) == 0, none).otherwise(let(F.split(text, pattern, -1), fold))
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban"))), located)
+    if kind == "iban":
+        found = let(found, _apart)
     must = {"email": "@", "phone": "+"}.get(kind)
     return F.when(F.instr(text, must) > 0, found).otherwise(none) if must else found
 
@@ -147,7 +186,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     Positions are code points, the end exclusive; spans are ordered by kind
     (email, ip, card, phone, iban, ssn), then start. Base kinds need their
     check (ip parts at most 255; cards of 13 to 19 digits by Luhn; phones of 9
-    to 15 digits) and stay whatever their score; iban (mod 97) and ssn need
+    to 15 digits) and stay whatever their score; iban (mod 97 over as many
+    characters as its country has; the leftmost of overlapping ones) and ssn need
     ``MIN_SCORE``, which ssn reaches by a context word only. Null and empty
     texts have no spans; repeated rows are judged alike; an input column called
     like the new one is replaced; an empty table gives an empty result.
