@@ -3,8 +3,10 @@
 The normalised n-grams of the benchmark are a broadcast hash set; each task
 slides a window over its texts' words, looks the window hashes up, and checks
 every hit word for word. No shuffle. The set is bounded: a benchmark with more
-than ``MAX_GRAMS`` n-grams is dealt into blocks, and each block is broadcast
-for a pass of its own whose hits join those before.
+than ``MAX_GRAMS`` n-grams is dealt into blocks by the hash of (item, n-gram).
+Each block is broadcast for a pass of its own, which writes its hits by the
+texts' 128-bit hashes and is released before the next; only then are the
+texts shuffled, to be joined with the hits of all blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tiercraft.llm.text import col, fresh, without
 from tiercraft.llm.vec import LOWER, byte_class, lists, range_hashes, text_slices, word_bounds
+from tiercraft.session import ensure_checkpoint_dir
 
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` once A-Z are lower-cased.
 WORD = byte_class("".join(map(chr, range(128))), inverse=True) | byte_class(
@@ -144,21 +148,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     # An item has at most one window per byte: a bound on the set without building it.
     bound = grams.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(bound / 2 / max_grams))
-    scanned = docs
-    parts = []
-    for b in range(blocks):
-        rows = (grams.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-                .mapInArrow(_grams(n), "item string, gram binary, size int").collect())
-        (part,) = fresh(scanned, f"__scan{b}")
-        scanned = scanned.withColumn(part, _scanner(spark.sparkContext.broadcast(GramSet(rows)))(col(text_col).cast("string")))
-        parts.append(part)
+    text = col(text_col).cast("string")
+    rows = grams.mapInArrow(_grams(n), "item string, gram binary, size int")
+    scan, h1, h2 = fresh(docs, "__scan", "__h1", "__h2")
     if blocks == 1:
-        found = [F.col(f"{parts[0]}.hits"), F.col(f"{parts[0]}.items")]
-    else:
-        found = [F.array_sort(F.array_distinct(F.concat(*[F.col(f"{p}.{c}") for p in parts])))
-                 for c in ("hits", "items")]
-    return scanned.select(*map(col, docs.columns), F.col(f"{parts[0]}.n_words").alias(names[0]),
-                          found[0].alias(names[1]), found[1].alias(names[2]))
+        known = spark.sparkContext.broadcast(GramSet(rows.collect()))
+        found = docs.withColumn(scan, _scanner(known)(text))
+        return found.select(*map(col, docs.columns), *[F.col(f"{scan}.{c}").alias(name) for c, name in zip(
+            ("n_words", "hits", "items"), names, strict=True)])
+    ensure_checkpoint_dir(spark)
+    hashes = [F.xxhash64(text).alias(h1), F.xxhash64(F.lit(1), text).alias(h2)]
+    passes = []
+    for b in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("item", "gram"), F.lit(blocks)) == b)
+        known = spark.sparkContext.broadcast(GramSet(block.collect()))
+        passes.append(docs.select(*hashes, _scanner(known)(text).alias("s"))
+                      .where(F.size("s.hits") > 0).select(h1, h2, "s.hits", "s.items").checkpoint())
+        known.destroy()
+    hits, items = fresh(docs, "__hits", "__items")
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(name)
+             for c, name in (("hits", hits), ("items", items))]
+    found = reduce(DataFrame.unionByName, passes).groupBy(F.col(h1).alias(h1 + "r"), F.col(h2).alias(h2 + "r")).agg(*union)
+    # Without grams the scan counts the words alone.
+    counted = docs.select("*", *hashes, _scanner(spark.sparkContext.broadcast(GramSet([])))(text).alias(scan))
+    joined = counted.join(found, (F.col(h1) == F.col(h1 + "r")) & (F.col(h2) == F.col(h2 + "r")), "left")
+    return joined.select(*map(col, docs.columns), F.col(f"{scan}.n_words").alias(names[0]),
+                         F.coalesce(hits, F.array().cast("array<int>")).alias(names[1]),
+                         F.coalesce(items, F.array().cast("array<string>")).alias(names[2]))
 
 
 def contaminated(n_words: F.Column, n_hit: F.Column) -> F.Column:
