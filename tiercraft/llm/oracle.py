@@ -185,5 +185,35 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_dedup": _OP1, "op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op4_mix": _OP4,
+_OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{_SPACE}]+') AS ws,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+m AS (SELECT doc_id, part,
+             (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * e::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT f1.c || f2.c || f3.c || f4.c || f5.c AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits
+      FROM f f1, f f2, f f3, f f4, f f5
+      WHERE f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31 AND len(list_distinct(bits)) = 5),
+s AS (SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before
+      FROM o, range(1, 6) r(k)),
+r AS (SELECT part, filter_order, step::INT AS step, bit,
+             coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+      FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+"""
+
+ORACLE = {
+    "op13_filter_audit": _OP13,"op1_suffix_dedup": _OP1, "op2_quality_rules": _OP2, "op3_line_dedup": _OP3, "op4_mix": _OP4,
           "op5_decontaminate": _OP5, "op8_near_dedup": _OP8, "op9_url_filter": _OP9}

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tiercraft.llm import (
     decontaminate,
+    filter_audit,
     line_dedup,
     mixing,
     near_dedup,
     pii,
     quality_crf,
     quality_rules,
+    secret_scan,
     suffix_dedup,
+    token_align,
     token_counts,
     url_filter,
 )
@@ -94,6 +97,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.joined(spans).alias("spans"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    spans = F.col("secrets")
+    return secret_scan.find_secrets(docs).select(
+        "doc_id", *[secret_scan.count_kind(spans, k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.joined(secret_scan.base_only(spans)), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["verdict"] == "owned")).cast("long").alias("n_owned"),
+        F.size(F.filter(spans, lambda s: s["verdict"] == "example")).cast("long").alias("n_example"))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(filter_audit.judge(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality_rules, op3_line_dedup, op4_mix, op5_decontaminate, op6_token_counts, op7_quality,
-    op8_near_dedup, op9_url_filter, op10_pii)}
+    op8_near_dedup, op9_url_filter, op10_pii, op11_secrets, op12_token_align, op13_filter_audit)}
