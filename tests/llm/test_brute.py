@@ -254,6 +254,25 @@ def test_near_dedup_by_brute_force(docs_of, seed, words, percent, edits):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
 
 
+def test_near_dedup_around_a_hot_hub(docs_of, monkeypatch):
+    """One document near hundreds of others, some near each other only: all salted joins run."""
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 60)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    hub = [rnd.choice(words) for _ in range(120)]
+    docs = [hub] * 80                                           # a class of copies
+    for edits in [1] * 150 + [4, 5, 6] * 40 + [12] * 20:
+        t = list(rnd.choice(docs) if edits == 5 else hub)
+        for _ in range(edits):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        docs.append(t)
+    docs += [[rnd.choice(words) for _ in range(60)] for _ in range(40)]
+    rnd.shuffle(docs)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = near_dedup.link_documents(docs_of(rows, parts=7), words=3, similarity=0.85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows, 3, 85)
+
+
 def test_sketch_estimates_similarity():
     rnd = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):

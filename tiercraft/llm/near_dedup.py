@@ -32,6 +32,7 @@ from tiercraft.operators.skew import join_hot
 from tiercraft.session import ensure_checkpoint_dir
 
 BULKY_ROWS = 10_000      # rows a partition for frames with sets or registers
+HOT_ROWS = 1_000         # a key of fewer rows is never hot
 REGISTERS, BUCKET_BITS, MANTISSA_BITS, VALUE_BITS = 128, 7, 10, 53
 MISS = 1e-6      # most often that a pair just at the threshold may share no band
 NEAR = 0.25      # documents at least so similar to a hub are matched by their differences from it
@@ -146,14 +147,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Only sets of so many shingles can reach the similarity with a different set.
     least = math.ceil(similarity / (1 - similarity) - 1e-9)
     reps = (real.where(F.col("n") >= least).join(
-        classes.where(F.col("n") >= least).select("n", "c1", "c2", F.col("rep").alias("id")),
+        classes.where(F.col("n") >= least).select("n", "c1", "c2", F.col("rep").alias("id")).hint("merge"),
         [*klass, "id"]).dropDuplicates([*klass, "id"])  # by the join's keys: no shuffle of its own
         .select("id", "n", "regs", "bands"))
     # A key of a thousandth of all rows is hot: so there are few of them, however many rows.
-    hot_from = max(1000, docs.count() // 1000)
+    hot_from = max(HOT_ROWS, docs.count() // 1000)
     found = _links(base, settled(reps, BULKY_ROWS), words, similarity, hot_from)
     groups = (components(found).withColumnRenamed("node", "rep"))
-    labelled = classes.join(groups, "rep", "left").select(
+    labelled = classes.join(groups.hint("merge"), "rep", "left").select(
         *klass, "members", F.coalesce("component", "rep").alias("component"))
     linked = join_hot(real.select("id", *klass), labelled, klass, "members", F.col("id"), hot_from)
     alone = sketched.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component"))
@@ -173,15 +174,15 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
 
     def sets_of(t: pa.Array) -> pa.Array:
         return lists([h.view(np.int64) for h in shingle_sets(t, words)], pa.int64())
-    sets = settled(texts.join(members.select("id").distinct(), "id")
+    sets = settled(texts.join(members.select("id").distinct().hint("merge"), "id")
                    .select("id", F.arrow_udf(sets_of, "array<bigint>")("text").alias("set")), BULKY_ROWS)
 
     def compared(pairs: DataFrame, least: float) -> DataFrame:
         """Exact set sizes of the pairs (a, b) that may reach the similarity ``least``."""
         likely = _likely(pairs, reps, least)
         shared_n = F.size(F.array_intersect("set_a", "set_b"))
-        return (likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-                .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+        return (likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
+                .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
                 .withColumn("shared", shared_n)
                 .withColumn("n_a", F.size("set_a")).withColumn("n_b", F.size("set_b"))
                 .where(_reaches(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), least)))
@@ -194,10 +195,12 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
     # is the document with most links so far in any of its members' components.
     ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id")))
     linked = (components(first).withColumnRenamed("node", "id")
-              .join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id"))
-    centers = linked.groupBy("component").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("center"))
+              .join(ends.groupBy("id").agg(F.count("*").alias("degree")).hint("merge"), "id"))
+    centers = linked.groupBy("component").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("center"),
+                                              F.count("*").alias("members"))
+    central = join_hot(linked, centers, ["component"], "members", F.col("id"), hot_from)
     known = (members.select("band", "key", "id", "n")
-             .join(linked.join(centers, "component").select("id", "component", "center"), "id", "left")
+             .join(central.select("id", "component", "center").hint("merge"), "id", "left")
              .withColumn("component", F.coalesce("component", "id"))
              .withColumn("center", F.coalesce("center", F.struct(
                  F.lit(0).cast("long").alias("degree"), (-F.col("id")).alias("neg")))))
@@ -218,13 +221,13 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
                     F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a")).alias("delta")),
         BULKY_ROWS)
     label = rows.select("id", "component").distinct()
-    crossing = settled(_by_difference(near.join(label, "id"), similarity)
+    crossing = settled(_by_difference(near.join(label.hint("merge"), "id"), similarity, hot_from)
                        .unionByName(_far_pairs(rows, near, similarity)).distinct())
     return (first.unionByName(near.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
             .unionByName(compared(crossing, similarity).select("a", "b")).checkpoint())
 
 
-def _by_difference(near: DataFrame, similarity: float) -> DataFrame:
+def _by_difference(near: DataFrame, similarity: float, hot_from: int) -> DataFrame:
     """Pairs (a, b) near one hub, not both linked to it, that may be linked.
 
     With the differences dx, dy of x and y from the hub (symmetric), x and y
@@ -245,19 +248,20 @@ def _by_difference(near: DataFrame, similarity: float) -> DataFrame:
         F.greatest(reach, size - F.greatest(F.lit(1), most) + 1))
     marked = near.withColumn("reach", reach).withColumn("size", size)
     # A hub all of whose near documents are linked to it has nothing to compare.
-    open_hubs = marked.where("NOT linked").select("hub").distinct()
-    each = (marked.join(open_hubs, "hub")
+    open_hubs = (marked.groupBy("hub").agg(F.max(~F.col("linked")).alias("open"), F.count("*").alias("rows"))
+                 .where("open").drop("open"))
+    each = (join_hot(marked, open_hubs, ["hub"], "rows", F.col("id"), hot_from)
             .select("hub", "id", "n", "component", "linked", "reach", "size", F.explode("delta").alias("e")))
     rarity = each.groupBy("hub", "e").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("hub", "id").orderBy("often", "e"))
-    prefix = (each.join(rarity, ["hub", "e"]).withColumn("place", place)
+    prefix = (each.join(rarity.hint("merge"), ["hub", "e"]).withColumn("place", place)
               .where("place <= reach AND often > 1").drop("often", "reach")
               .withColumn("left", F.col("size") - F.col("place") + 1))
     x = prefix.where("NOT linked")
     y = prefix.select("hub", "e", *[F.col(c).alias(f"{c}_")
                                     for c in ("id", "n", "component", "linked", "size", "left")])
     needed = (F.col("size") + F.col("size_") - t * (F.col("n") + F.col("n_"))) / 2 - 1e-9
-    met = (x.join(y, ["hub", "e"])
+    met = (x.join(y.hint("merge"), ["hub", "e"])
            .where((F.col("component") != F.col("component_")) & (F.col("linked_") | (F.col("id") < F.col("id_")))
                   & (F.least("left", "left_") >= needed)
                   & (F.abs(F.col("size") - F.col("size_")) <= t * (F.col("n") + F.col("n_")))
@@ -268,10 +272,10 @@ def _by_difference(near: DataFrame, similarity: float) -> DataFrame:
 def _far_pairs(rows: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of a bucket of which one is far from the hub and none is linked to it."""
     state = near.select("hub", "id", F.lit(False).alias("far"), "linked")
-    at = (rows.where("id != hub").join(state, ["hub", "id"], "left")
+    at = (rows.where("id != hub").join(state.hint("merge"), ["hub", "id"], "left")
           .withColumn("far", F.coalesce("far", F.lit(True))).where("far OR NOT linked"))
     other = at.select("band", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "far")])
-    met = (at.where("far").join(other, ["band", "key"])
+    met = (at.where("far").join(other.hint("merge"), ["band", "key"])
            .where((F.col("component") != F.col("component_")) & (~F.col("far_") | (F.col("id") < F.col("id_")))
                   & (F.least("n", "n_") >= F.greatest("n", "n_") * similarity)))
     return _ordered(met, "id", "id_").distinct()
@@ -287,7 +291,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     near = F.arrow_udf(estimate, "double")
     a = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
     b = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"))
-    return (pairs.join(a, "a").join(b, "b")
+    return (pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
             .where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least)
             .where(near("regs_a", "regs_b", "n_a", "n_b") >= least - SIGMAS * spread / F.sqrt(
                 F.least(F.lit(REGISTERS), "n_a", "n_b").cast("double")))
