@@ -12,6 +12,7 @@ from tiercraft.functions.columns import col, sentence
 from tiercraft.functions.numbers import (fmt_fixed, fmt_money, fmt_pct_signed, money_value,
                                          parse_strict, round_half_even)
 from tiercraft.functions.text import normalise_id, shown
+from tiercraft.operators.asof import asof_join
 from tiercraft.operators.ranking import small_rank
 from tiercraft.sources.readers import ROW_ORDER
 
@@ -55,6 +56,19 @@ def apply_trend(seg: DataFrame, prev: DataFrame, id_col: str) -> DataFrame:
             .drop("_join_id"))
 
 
+def apply_trend_asof(seg: DataFrame, prior: DataFrame, id_col: str, at: str, prior_at: str) -> DataFrame:
+    """J1 over several prior periods: each record against the latest prior state of its id at or
+    before its own time. Adds NetADT_Prev, PriorDate, TrendPct and Trend as :func:`apply_trend` does."""
+    key = normalise_id(id_col, seg.schema[id_col].dataType)
+    prior_key = normalise_id(id_col, prior.schema[id_col].dataType)
+    out = asof_join(seg, prior, key, at, prior_key, prior_at,
+                    {"NetADT_Prev": money_value(prior, "NetADT"), "PriorDate": prior_at})
+    cur = parse_strict(seg, "NetADT")
+    pct = round_half_even(F.try_divide(cur - F.col("NetADT_Prev"),
+                                       F.nullif(F.col("NetADT_Prev"), F.lit(0.0))) * 100, 1)
+    return out.withColumn("TrendPct", pct).withColumn("Trend", trend_label(F.col("TrendPct")))
+
+
 def trend_counts(seg: DataFrame) -> DataFrame:
     """Rising / Stable / Declining counts (0 when absent)."""
     t = F.col("Trend")

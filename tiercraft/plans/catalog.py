@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 from tiercraft.config import (COMPANIES, COMPANY_PROFILE_TOP, CUSTOM_MEANINGS,
                               DEFAULT_COMP_TIERS, PLAYER_MEANINGS, PLAYERS)
 from tiercraft.functions.columns import col
-from tiercraft.functions.dates import days_since, parse_date, unparsed_share
+from tiercraft.functions.dates import day_first_columns, days_since, parse_date, unparsed_share
 from tiercraft.functions.numbers import parse_money, parse_strict
-from tiercraft.operators import mapping, quality, rollup, segment, trend, worklist
+from tiercraft.operators import bands, heavy_hitters, intake, mapping, quality, rollup, segment, trend, worklist
 from tiercraft.operators import explain as ex
 from tiercraft.operators.quantiles import multi_quantiles
 from tiercraft.plans import runner
+from tiercraft.plans.export import publish_run, published
 from tiercraft.plans.report import summary_report
 from tiercraft.plans.sql import default_query, run_sql
 from tiercraft.session import ensure_checkpoint_dir
@@ -30,6 +32,7 @@ from tiercraft.sources import fixtures as fx
 from tiercraft.sources.readers import ROW_ORDER, read_records
 from tiercraft.sources.sinks import preview, write_csv, write_template
 from tiercraft.sources.sinks import roster as roster_of
+from tiercraft.sources.split_csv import read_split_csv
 
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
@@ -548,9 +551,124 @@ def q_trend_prior_duplicates(spark, sf_dir):
 
 
 def q_value_bands_constant(spark, sf_dir):
-    """A9 where no quantile edges can be told apart: A10's bands."""
-    d = fx.custom(spark, sf_dir).select(F.lit(250.0).alias("v"))
-    return _long(rollup.value_bands(d, "v"), "band_no")
+    """A9 where no quantile edges can be told apart: A10's bands (the parts of the most frequent price)."""
+    d = fx.table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("v"))
+    often = d.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(1)
+    return _long(rollup.value_bands(_stored(d.join(often.select("v"), "v")), "v"), "band_no")
+
+
+# -- several periods, tier tables, arrivals, split files ----------------------
+
+def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as dated records, and the quarter totals of their ids as prior states; a third of all
+    orders have one id."""
+    k = F.col("o_custkey")
+    orders = (fx.table(spark, sf_dir, "orders")
+              .select(F.col("o_orderkey"), F.when(k % 3 == 0, " house").otherwise(F.concat(F.lit("P"), k.cast("string")))
+                      .alias("PlayerID"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("NetADT")))
+    closing = F.add_months(F.trunc("day", "quarter"), 3)
+    prior = (orders.groupBy(F.trim("PlayerID").alias("PlayerID"), closing.alias("closed"))
+             .agg((F.sum(F.round(F.col("NetADT") * 100).cast("bigint")) / 100.0).alias("NetADT")))
+    return orders, prior
+
+
+def q_trend_asof(spark, sf_dir):
+    """J1, E11, E12 over many prior periods: the latest quarter closed before each order."""
+    orders, prior = _states(spark, sf_dir)
+    t = trend.apply_trend_asof(orders, prior, "PlayerID", "day", "closed")
+    return t.select("o_orderkey", "PlayerID", "NetADT", F.col("PriorDate").cast("string").alias("PriorDate"),
+                    "NetADT_Prev", "TrendPct", "Trend")
+
+
+def q_tier_table(spark, sf_dir):
+    """E15, J4 with the tiers of each property in a table: orders against their market's cutoffs."""
+    market = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"),
+                                                        F.col("c_mktsegment").alias("property"))
+    orders = (fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+              .join(market, "o_custkey"))
+    step = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    tiers = orders.groupBy("property", F.col("o_orderpriority").alias("offer"), step.alias("step")).agg(
+        F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div (count(1) * 250)").alias("cents"))
+    tiers = bands.with_upper(tiers.select("property", "offer", (F.col("cents") * F.col("step")).cast("double").alias("low")),
+                             "low", ["property"])
+    placed = bands.band_join(orders.select("o_orderkey", F.col("property").alias("market"), "o_totalprice"),
+                             tiers, F.col("o_totalprice") - 1000.0, {"market": "property"})
+    return placed.select("o_orderkey", "market", "offer", "low", "high")
+
+
+def q_quarantine_arrivals(spark, sf_dir):
+    """F1, W1 of data that arrives in three parts, the second of them twice."""
+    index = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    rows = _stored(fx.players_dirty(spark, sf_dir))
+    part = F.when(F.col(ROW_ORDER) >= fx.COPY_ORDER, 2).otherwise((F.col(ROW_ORDER) % 2).cast("int"))
+    judged = {}
+    for arrival in (0, 1, 2, 1):
+        judged[arrival] = intake.quarantine_arrival(rows.where(part == arrival), "PlayerID", index, arrival)
+    both = [kept.select(F.lit(None).cast("string").alias(quality.REASON), *kept.columns).unionByName(rejects)
+            for kept, rejects in judged.values()]
+    return reduce(DataFrame.unionByName, both)
+
+
+def q_top_values(spark, sf_dir):
+    """A19, G10 by summaries: many distinct values (keys, money) beside few (flags); a third of the
+    orders of lines have one part."""
+    d = fx.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 == 0, 7).otherwise(F.col("l_partkey")).alias("part"),
+        F.col("l_orderkey").alias("order"), "l_returnflag", "l_quantity", "l_extendedprice")
+    return _long(heavy_hitters.top_values(d, d.columns), "rank")
+
+
+def q_csv_split(spark, sf_dir):
+    """Quoted line breaks in files that are read by many tasks each."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(fx.awkward(spark, sf_dir), path)
+    small = spark.newSession()      # small splits, for this query only
+    small.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    small.conf.set("spark.sql.files.openCostInBytes", "1024")
+    return read_split_csv(small, path).drop(ROW_ORDER)
+
+
+def q_dates_by_column(spark, sf_dir):
+    """The same days written in two orders; each column's first date tells its own."""
+    d = fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("us"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("eu"), F.dayofmonth("o_orderdate").alias("d"))
+    order = F.struct(F.col("d") <= 12, F.col("o_orderkey"))     # a day beyond 12 comes first
+    turned = day_first_columns(d, ["us", "eu"], order)
+    return d.select("o_orderkey", *[F.date_format(parse_date(c, day_first=turned[c]), "yyyy-MM-dd").alias(c)
+                                    for c in ("us", "eu")])
+
+
+def q_prior_csv(spark, sf_dir):
+    """S3: a prior period read back from CSV, as it is joined."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(fx.prior(spark, sf_dir).drop(ROW_ORDER), path)
+    seg, _ = segment.segment_players(_stored(fx.current(spark, sf_dir)))
+    t = trend.apply_trend(seg, read_records(spark, path), "PlayerID")
+    return t.select("PlayerID", "NetADT_Prev", "TrendPct", "Trend")
+
+
+def q_worklist_file(spark, sf_dir):
+    """The host worklist as published and read back."""
+    return _published(spark, sf_dir, "worklist").select("Player", "Segment", "NetADT", F.col("rank").cast("bigint").alias("rank"))
+
+
+def q_sql_file(spark, sf_dir):
+    """The SQL result as published and read back."""
+    back = _published(spark, sf_dir, "sql")
+    return back.select("Segment", F.col("records").cast("bigint").alias("records"),
+                       F.col("total_value").cast("double").alias("total_value"))
+
+
+def _published(spark, sf_dir, name: str) -> DataFrame:
+    out = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    res = runner.run_players(fx.players(spark, sf_dir), prev=fx.prior(spark, sf_dir))
+    try:
+        sql = run_sql(spark, res.segmented, default_query("NetADT"))
+        publish_run(res, out, sql_result=sql)
+    finally:
+        res.release()
+    return read_records(spark, published(spark, out)[name])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

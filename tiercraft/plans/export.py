@@ -7,7 +7,11 @@ when small) go to one file each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tiercraft.operators import worklist
 from tiercraft.plans.report import summary_report
@@ -43,3 +47,37 @@ def export_run(result: RunResult, out_dir: str, sym: str = "$",
         paths["sql"] = f"{out}/query_result"
         write_csv(sql_result, paths["sql"])
     return paths
+
+
+_MANIFEST = "version long, at double, run_id string, paths map<string,string>"
+
+
+def _manifests(spark: SparkSession, out_dir: str) -> DataFrame:
+    folder = f"{out_dir.rstrip('/')}/manifests"
+    spark.createDataFrame([], _MANIFEST).write.mode("ignore").json(folder)
+    return spark.read.schema(_MANIFEST).json(folder)
+
+
+def published(spark: SparkSession, out_dir: str) -> dict[str, str]:
+    """The paths of the current version's outputs; empty before the first one."""
+    newest = _manifests(spark, out_dir).orderBy(F.desc("version"), F.desc("at"), F.desc("run_id")).first()
+    return dict(newest["paths"]) if newest else {}
+
+
+def publish_run(result: RunResult, out_dir: str, run_id: str | None = None, **options) -> dict[str, str]:
+    """:func:`export_run` so that a failed job harms nothing that was published before.
+
+    All outputs go to a folder of their own first. Only when they are whole, one
+    line is added to the manifests; it names them all, so readers
+    (:func:`published`) see one version of everything, the old one until then.
+    A run that is published again adds the same outputs as a newer version; what a
+    failed attempt left lies in a folder that no manifest names.
+    """
+    spark = result.segmented.sparkSession
+    run_id = run_id or uuid.uuid4().hex
+    out = out_dir.rstrip("/")
+    paths = export_run(result, f"{out}/versions/{run_id}-{uuid.uuid4().hex[:8]}", **options)
+    version = (_manifests(spark, out_dir).agg(F.max("version")).first()[0] or 0) + 1
+    (spark.createDataFrame([(version, time.time(), run_id, paths)], _MANIFEST).coalesce(1)
+     .write.mode("append").json(f"{out}/manifests"))
+    return paths

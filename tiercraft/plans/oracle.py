@@ -880,43 +880,62 @@ one_prior AS (SELECT PlayerID, NetADT FROM (
 SELECT PlayerID, NetADT_Prev, TrendPct, Trend FROM ct"""
 
 ORACLE["value_bands_constant"] = """
-WITH n AS (SELECT count(*) AS n FROM part), b AS (SELECT unnest(range(1, 6)) AS i)
-SELECT i AS band_no, CASE WHEN i <= 2 THEN '$249 to $249' WHEN i = 3 THEN '$249 to $250' ELSE '$250 to $250' END AS Band,
-       249.75::DOUBLE + (i - 1) * 0.1::DOUBLE AS lower, 249.75::DOUBLE + i * 0.1::DOUBLE AS upper,
-       CASE WHEN i = 3 THEN n ELSE 0 END AS Records FROM b, n"""
-
-
-def _summary() -> str:
-    """The report's lines; the value table is laid out as pandas prints a frame."""
-    def shown(c: str) -> str:
-        return (f"' ' || CASE WHEN greatest(1, max(length(rtrim(split_part(format('{{:.6f}}', {c}), '.', 2), '0'))) OVER ()) = 1 "
-                f"THEN format('{{:.1f}}', {c}) ELSE format('{{:.2f}}', {c}) END")
-    title = config.PLAYERS.title
-    health = [
-        "CAST(n AS VARCHAR) || ' records loaded across 6 columns.'",
-        f"{fixed('z / greatest(n * 6, 1) * 100', 1)} || '% of all cells are empty.'",
-        say(config.HEALTH_EMAILABLE, share=fixed("e", 0)),
-        say(config.HEALTH_LAPSED, share=fixed("l", 0), days=text(str(config.PLAYER_RECENCY_LAPSED_DAYS)))]
-    fixed_lines = [(1, text(title.upper())), (2, text("=" * len(title))), (3, "''"), (4, "'Data health:'"),
-                   (500, "''"), (501, "'Value by segment:'")]
-    unions = [f"SELECT {k} AS k, {line} AS line" for k, line in fixed_lines]
-    unions += [f"SELECT {100 + i}, '  ' || {line} FROM st" for i, line in enumerate(health)]
-    nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in (
-        "PlayerID", "FullName", "NetADT", "DaysSinceLastVisit", "CanEmail", "ZipCode"))
-    lapsed = f"DaysSinceLastVisit > {config.PLAYER_RECENCY_LAPSED_DAYS}"
-    return f"""WITH {PLAYERS_SEG},{PLAYERS_VALUE_TABLE},
-st AS (SELECT count(*) AS n, {nulls} AS z, {_share("lower(CanEmail) = 'yes'")} AS e, {_share(lapsed)} AS l FROM fx_players),
-tt AS (SELECT Segment AS s, rank, ' ' || CAST(Records AS VARCHAR) AS r, {shown('TotalValue')} AS t, {shown('AvgValue')} AS a
-       FROM vtr),
-w AS (SELECT greatest(7, max(length(s)))::INT AS ws, greatest(8, max(length(r)))::INT AS wr,
-             greatest(11, max(length(t)))::INT AS wt, greatest(9, max(length(a)))::INT AS wa FROM tt),
-u AS ({" UNION ALL ".join(unions)}
-  UNION ALL SELECT 502, repeat(' ', ws + 1) || lpad(' Records', wr, ' ') || ' ' || lpad(' TotalValue', wt, ' ') || ' '
-                        || lpad(' AvgValue', wa, ' ') FROM w
-  UNION ALL SELECT 503, rpad('Segment', ws + 1, ' ') || repeat(' ', wr + wt + wa + 2) FROM w
-  UNION ALL SELECT 503 + rank, rpad(s, ws + 1, ' ') || lpad(r, wr, ' ') || ' ' || lpad(t, wt, ' ') || ' ' || lpad(a, wa, ' ')
-            FROM tt, w)
-SELECT CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS line_no, line FROM u"""
-
-
-ORACLE["summary_report"] = _summary()
+WITH c AS (SELECT p_retailprice AS v, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, v LIMIT 1),
+mm AS (SELECT n, v - 0.001::DOUBLE * v AS mn, v + 0.001::DOUBLE * v AS mx, v FROM c),
+b AS (SELECT CAST(i AS BIGINT) AS band_no, n, v, (i - 1) * ((mx - mn) / 5) + mn AS lower,
+             CASE WHEN i = 5 THEN mx ELSE i * ((mx - mn) / 5) + mn END AS upper FROM mm, range(1, 6) t(i))
+SELECT band_no, '$' || format('{:,}', CAST(trunc(round_even(lower * 1000.0, 0) / 1000.0) AS BIGINT)) || ' to $'
+       || format('{:,}', CAST(trunc(round_even(upper * 1000.0, 0) / 1000.0) AS BIGINT)) AS Band,
+       lower, upper, CASE WHEN v > lower AND v <= upper THEN n ELSE 0 END AS Records FROM b"""
+
+_STATES = """
+orders_ AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN ' house' ELSE 'P' || o_custkey END AS PlayerID,
+                   CAST(o_orderdate AS DATE) AS day, o_totalprice AS NetADT FROM orders),
+prior_ AS (SELECT trim(PlayerID) AS id, CAST(date_trunc('quarter', day) + INTERVAL 3 MONTH AS DATE) AS closed,
+                  sum(CAST(round(NetADT * 100) AS BIGINT)) / 100.0::DOUBLE AS v FROM orders_ GROUP BY 1, 2)"""
+ORACLE["trend_asof"] = f"""WITH {_STATES},
+j AS (SELECT o.*, p.closed, p.v, {r_even("(NetADT - v) / nullif(v, 0) * 100", 1)} AS TrendPct
+      FROM orders_ o ASOF LEFT JOIN prior_ p ON trim(o.PlayerID) = p.id AND o.day >= p.closed)
+SELECT o_orderkey, PlayerID, NetADT, CAST(closed AS VARCHAR) AS PriorDate, v AS NetADT_Prev, TrendPct,
+       CASE WHEN TrendPct IS NULL THEN 'No prior data' WHEN TrendPct <= -15 THEN 'Declining'
+            WHEN TrendPct >= 15 THEN 'Rising' ELSE 'Stable' END AS Trend FROM j"""
+
+ORACLE["tier_table"] = """
+WITH o AS (SELECT o_orderkey, c_mktsegment AS market, o_orderpriority AS offer, o_totalprice AS v,
+                  CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders JOIN customer ON c_custkey = o_custkey),
+c AS (SELECT market, offer, ((sum(cents) // (count(*) * 250)) * (CAST(substr(offer, 1, 1) AS INT) - 1))::DOUBLE AS low
+      FROM o GROUP BY market, offer),
+t AS (SELECT *, lead(low) OVER (PARTITION BY market ORDER BY low) AS high FROM c)
+SELECT o.o_orderkey, o.market, t.offer, t.low, t.high
+FROM o LEFT JOIN t ON o.market = t.market AND o.v - 1000.0 >= t.low AND (t.high IS NULL OR o.v - 1000.0 < t.high)"""
+
+ORACLE["quarantine_arrivals"] = f"""WITH {DIRTY_CLEAN}
+SELECT QuarantineReason, PlayerID, FullName, NetADT, DaysSinceLastVisit, CanEmail, ZipCode, _row_order
+FROM fx_players_dirty_class"""
+
+ORACLE["top_values"] = """
+WITH v AS (
+  SELECT 'part' AS "column", CAST(CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE l_partkey END AS VARCHAR) AS value FROM lineitem
+  UNION ALL SELECT 'order', CAST(l_orderkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', l_returnflag FROM lineitem
+  UNION ALL SELECT 'l_quantity', CAST(l_quantity AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS VARCHAR) FROM lineitem),
+r AS (SELECT "column", value, count(*) AS count FROM v GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM r QUALIFY rank <= 3"""
+
+ORACLE["csv_split"] = ORACLE["csv_roundtrip"]
+
+ORACLE["dates_by_column"] = """
+WITH f AS (SELECT arg_min(strftime(o_orderdate, '%d/%m/%Y'), o_orderkey + CASE WHEN day(o_orderdate) <= 12 THEN 1e15 ELSE 0 END) AS first
+           FROM orders),
+t AS (SELECT try_strptime(first, '%m/%d/%Y') IS NULL AS turned FROM f)
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS us,
+       CASE WHEN turned THEN strftime(try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y'), '%Y-%m-%d')
+            ELSE strftime(try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%m/%d/%Y'), '%Y-%m-%d') END AS eu FROM orders, t"""
+
+ORACLE["prior_csv"] = f"""WITH {FX_CURRENT},{FX_PRIOR},""" + \
+    _players_segment("fx_current", "cs", recency=False) + "," + _trend("cs", "ct") + """
+SELECT PlayerID, NetADT_Prev, TrendPct, Trend FROM ct"""
+
+ORACLE["worklist_file"] = f"""SELECT Player, Segment, NetADT, rank FROM ({ORACLE["worklist"]})"""
+ORACLE["sql_file"] = ORACLE["sql_records"].replace('ORDER BY total_value DESC', '')

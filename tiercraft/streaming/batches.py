@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tiercraft.config import COMPANIES, PLAYERS
+from tiercraft.operators import intake
 from tiercraft.plans import runner
 from tiercraft.sources.readers import ROW_ORDER, _null_tokens
 
@@ -46,12 +47,15 @@ def _runner_for(mode: str, prev: DataFrame | None, as_of, custom: dict | None
 
 def segment_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
                    checkpoint: str, mode: str = "players", prev: DataFrame | None = None,
-                   as_of=None, custom: dict | None = None, available_now: bool = False, max_files_per_trigger: int | None = None
-                   ) -> StreamingQuery:
+                   as_of=None, custom: dict | None = None, available_now: bool = False, max_files_per_trigger: int | None = None,
+                   id_index: str | None = None) -> StreamingQuery:
     """Start a stream over CSV files in ``source_dir`` (all columns text, as
     in :func:`tiercraft.sources.read_records`). A file whose header is not the
     schema's, in order, fails its batch. Rerunning with the same ``checkpoint``
-    goes on where the last run ended and keeps what it wrote."""
+    goes on where the last run ended and keeps what it wrote. With ``id_index``
+    (a shared folder that lives as long as the checkpoint) a record whose id an
+    earlier micro-batch has brought is rejected as a duplicate; without it each
+    micro-batch is judged alone."""
     if not checkpoint:
         raise ValueError("a stream needs a checkpoint folder of its own")
     reader = (spark.readStream.schema(schema).option("header", "true")
@@ -65,6 +69,9 @@ def segment_stream(spark: SparkSession, source_dir: str, schema: StructType, sin
     stream = stream.withColumn("_file", F.col("_metadata.file_path")) \
         .withColumn("_block", F.col("_metadata.file_block_start"))
     run = _runner_for(mode, prev, as_of, custom)
+    id_col = {"players": PLAYERS.id_col, "companies": COMPANIES.id_col}.get(mode, (custom or {}).get("id_col"))
+    if id_index and not id_col:
+        raise ValueError("an index of ids needs an id column")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -72,10 +79,14 @@ def segment_stream(spark: SparkSession, source_dir: str, schema: StructType, sin
         batch = batch.withColumn(ROW_ORDER, F.struct(
             F.col("_file").alias("file"), F.col("_block").alias("block"),
             F.monotonically_increasing_id().alias("pos"))).drop("_file", "_block")
-        result = run(_null_tokens(batch))
+        batch, late = _null_tokens(batch), None
+        if id_index:
+            batch, late = intake.quarantine_arrival(batch, id_col, id_index, batch_id)
+        result = run(batch)
         try:
             _write(result.segmented.drop(ROW_ORDER), f"{sink_dir}/segmented", batch_id)
-            _write(result.rejects.drop(ROW_ORDER), f"{sink_dir}/rejects", batch_id)
+            rejects = result.rejects if late is None else result.rejects.unionByName(late)
+            _write(rejects.drop(ROW_ORDER), f"{sink_dir}/rejects", batch_id)
             _write(result.value_table(), f"{sink_dir}/value_table", batch_id)
         finally:
             result.release()
