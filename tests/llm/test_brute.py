@@ -81,14 +81,50 @@ def test_suffix_array_and_common_prefixes():
     for text in (rnd.integers(97, 99, 3000), np.full(500, 97), np.tile(np.arange(97, 104), 90), rnd.integers(0, 256, 2000)):
         data = text.astype(np.uint8)
         raw = data.tobytes()
-        sa = suffix_dedup.suffix_array(data, 50)
+        sa, rank, coarse, known = suffix_dedup.suffix_array(data, 50)
+        assert known in (8, 16, 32) and (rank[sa] == np.sort(rank)).all()
         cut = [raw[p:p + 50] for p in sa]
         assert cut == sorted(cut) and sorted(sa) == list(range(len(raw)))
-        got = suffix_dedup.common_prefixes(data, sa, 50)
+        places = np.arange(len(sa))[np.arange(len(sa)) != sa[0]]
+        got = dict(zip(places.tolist(), suffix_dedup.common_prefixes(data, sa, 50, places, 0).tolist(), strict=True))
         for k in range(1, len(sa)):
             a, b = raw[sa[k - 1]:][:50], raw[sa[k]:][:50]
             n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
             assert got[sa[k]] == n
+            if len(raw) - max(sa[k - 1], sa[k]) >= 64:      # what the classes read off the group numbers
+                assert (rank[sa[k]] == rank[sa[k - 1]]) == (raw[sa[k - 1]:][:64] == raw[sa[k]:][:64])
+                assert (coarse[sa[k]] == coarse[sa[k - 1]]) == (raw[sa[k - 1]:][:known] == raw[sa[k]:][:known])
+        starts = np.sort(rnd.choice(len(raw) - 50, 200))
+        number = suffix_dedup.string_classes(data, starts, 50)
+        strings = [raw[p:p + 50] for p in starts]
+        assert len(set(zip(strings, number.tolist(), strict=True))) == len(set(strings)) == len(set(number.tolist()))
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    rnd = np.random.default_rng(6)
+    pool = rnd.integers(97, 100, (40, 60)).astype(np.uint8)
+    messages, want = [], {}
+    for shard in range(5):
+        runs = [(int(i), int(rnd.integers(1, 12)), int(rnd.integers(0, 1000))) for i in rnd.choice(40, 20, replace=False)]
+        text = np.concatenate([pool[i][:n + 49] for i, n, _ in runs])
+        least, count = np.array([x for *_, x in runs]), np.array([n for _, n, _ in runs], np.uint8)
+        messages.append((2, 7, shard, suffix_dedup._pack(least, text, count)))
+        for i, n, x in runs:
+            for k in range(n):
+                s = pool[i][k:k + 50].tobytes()
+                want[s] = min(want.get(s, 10 ** 9), x)
+    table = suffix_dedup._messages(messages)
+    plain = suffix_dedup.range_hashes
+    for some in (plain, lambda *a: plain(*a) % np.uint64(5)):
+        monkeypatch.setattr(suffix_dedup, "range_hashes", some)
+        back = suffix_dedup.merged_strings(table)
+        for shard, data in zip(back.column("dest").to_pylist(), back.column("data").to_pylist(), strict=True):
+            _, text, count = suffix_dedup._unpack(messages[shard][3])
+            got, begin = suffix_dedup._unpack(data)[0].tolist(), 0
+            for n in count.tolist():
+                strings = [text[begin + k:begin + k + 50].tobytes() for k in range(n)]
+                assert [want[s] for s in strings] == [got.pop(0) for _ in range(n)]
+                begin += n + 49
 
 
 # -- 2 and 10: the parts SQL does not show

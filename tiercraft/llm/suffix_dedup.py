@@ -18,8 +18,11 @@ a smaller id. The work runs over shards of about 4 MB of text:
    search; the smallest ids return to the shards.
 5. Each shard marks its bytes.
 
+Strings meet by 64-bit hash and are then compared byte by byte; hashes that
+stand for two strings are resolved by their bytes.
+
 An anchor of ``HOT`` shards or more would bring too many runs together: its
-strings travel one by one, as hashes, and meet by them, at most one a shard.
+strings travel one by one, as hashes only, and meet by them, at most one a shard.
 """
 
 from __future__ import annotations
@@ -252,11 +255,21 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+def _order(key: np.ndarray, bound: int) -> np.ndarray:
+    """Places of ``key`` (below ``bound``) in ascending order; where key and place fit one number, that is sorted."""
+    bits = max(1, (len(key) - 1).bit_length())
+    if bound.bit_length() + bits > 63:
+        return np.argsort(key)
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Suffixes in the order of their first ``depth`` bytes or more (Larsson-Sadakane).
 
     Suffixes are ordered by eight bytes, then each group of equals is refined by
-    the group numbers ``h`` bytes on, and ``h`` doubles; settled groups rest.
+    the group numbers ``h`` bytes on, and ``h`` doubles; settled groups rest. Besides
+    the order: the group numbers at its end, those before the last refinement, and
+    how many bytes the latter stand for (less than ``depth``).
     """
     n = len(data)
     word = _words(data)
@@ -269,11 +282,12 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     rank[sa] = np.repeat(lead, size)
     rank[n] = -1
     slots = np.flatnonzero(np.repeat(size > 1, size))
-    h = 8
+    h, before, known = 8, rank, 8
     while h < depth and len(slots):
+        before, known = rank.copy(), h
         p = sa[slots]
         key = rank[p] * (n + 1) + rank[np.minimum(p + h, n)] + 1
-        order = np.argsort(key)
+        order = _order(key, (n + 1) * (n + 1))
         p, key = p[order], key[order]
         sa[slots] = p
         new = np.ones(len(key), bool)
@@ -283,11 +297,12 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         rank[p] = np.repeat(slots[lead], size)
         slots = slots[np.repeat(size > 1, size)]
         h *= 2
-    return sa
+    return sa, rank[:-1], before[:-1], known
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``sa``, by text place, up to ``depth``.
+def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int, at: np.ndarray, known: int) -> np.ndarray:
+    """Common prefix of each suffix of ``at`` (text places, ascending) with the one before it in
+    ``sa``, up to ``depth``; ``known`` bytes are common to each such pair.
 
     Kasai's scan: going from one place to the next a common prefix shrinks by
     one at most. Many stretches of the text are scanned side by side. The order
@@ -298,31 +313,29 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
     word = _words(data)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
-    lane = max(1, -(-n // _LANES))
-    i = np.arange(0, n, lane)
-    stop = np.minimum(i + lane, n)
-    h = np.zeros(len(i), np.int64)
-    while len(i):
-        j = before[i]
+    before = sa[place[at] - 1]
+    out = np.zeros(len(at), np.int64)
+    lane = max(1, -(-len(at) // _LANES))
+    k = np.arange(0, len(at), lane)
+    stop = np.minimum(k + lane, len(at))
+    h = np.full(len(k), known, np.int64)
+    while len(k):
+        i, j = at[k], before[k]
         room = np.minimum(n - np.maximum(i, j), depth)
-        there = (j >= 0) & (h < room)
-        x = word[np.minimum(i + h, n - 1)] ^ word[np.minimum(np.maximum(j, 0) + h, n - 1)]
-        same = np.zeros(len(i), np.int64)
-        for k in range(1, 9):
-            same += x < np.uint64(1 << (64 - 8 * k)) if k < 8 else x == 0
-        h = np.where(there, np.minimum(h + same, room), np.minimum(h, np.maximum(room, 0)))
+        there = h < room
+        x = word[np.minimum(i + h, n - 1)] ^ word[np.minimum(j + h, n - 1)]
+        same = np.zeros(len(k), np.int64)
+        for q in range(1, 9):
+            same += x < np.uint64(1 << (64 - 8 * q)) if q < 8 else x == 0
+        h = np.where(there, np.minimum(h + same, room), np.minimum(h, room))
         more = there & (same == 8) & (h < room)
-        done = ~more
-        out[i[done]] = np.where(j[done] >= 0, h[done], 0)
-        nxt = np.minimum(i + 1, n - 1)
-        carried = (j >= 0) & (j + 1 < n) & (place[np.minimum(j + 1, n - 1)] < place[nxt])
-        h = np.where(more, h, np.where(carried, np.maximum(h - 1, 0), 0))
-        i = np.where(more, i, i + 1)
-        left = i < stop
-        i, stop, h = i[left], stop[left], h[left]
+        out[k[~more]] = h[~more]
+        nxt = np.minimum(k + 1, len(at) - 1)
+        carried = (at[nxt] == i + 1) & (j + 1 < n) & (place[np.minimum(j + 1, n - 1)] < place[np.minimum(i + 1, n - 1)])
+        h = np.where(more, h, np.where(carried, np.maximum(h - 1, known), known))
+        k = np.where(more, k, k + 1)
+        left = k < stop
+        k, stop, h = k[left], stop[left], h[left]
     return out
 
 
@@ -331,16 +344,23 @@ def string_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
 
     Only the bytes under the starts enter the suffix array.
     """
-    cover = np.zeros(len(data) + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + length, -1)
+    cover = np.bincount(starts, minlength=len(data) + 1)
+    cover -= np.bincount(starts + length, minlength=len(data) + 1)
     used = np.cumsum(cover[:-1]) > 0
     text = data[used]
     at = (np.cumsum(used) - 1)[starts]  # a string's bytes are all used, so it stays in one piece
-    sa = suffix_array(text, length)
-    prefix = common_prefixes(text, sa, length)
+    sa, rank, coarse, known = suffix_array(text, length)
+    # Neighbours of one last group share the string; those whose groups parted before the last
+    # refinement do not. Between them, the common prefix decides.
+    new = np.ones(len(text), bool)
+    new[1:] = rank[sa[1:]] != rank[sa[:-1]]
+    open_ = np.flatnonzero(new[1:] & (coarse[sa[1:]] == coarse[sa[:-1]])) + 1
+    places = np.sort(sa[open_])
+    short = np.zeros(len(text), bool)
+    short[places] = common_prefixes(text, sa, length, places, known) < length
+    new[open_] = short[sa[open_]]
     number = np.empty(len(text), np.int64)
-    number[sa] = np.cumsum(prefix[sa] < length)
+    number[sa] = np.cumsum(new)
     return number[at]
 
 
@@ -425,7 +445,7 @@ def merged_strings(table: pa.Table) -> pa.Table:
     A shard's message to itself passes through."""
     if table.column("kind")[0].as_py() == 3:
         return table.select(["kind", "dest", "origin", "data"])
-    shards, hashes, leasts = [], [], []
+    shards, hashes, leasts, texts, places, held = [], [], [], [], [], 0
     for o, d in zip(table.column("origin"), table.column("data"), strict=True):
         least, text, *count = _unpack(d.as_py())
         shards.append(o.as_py())
@@ -433,17 +453,44 @@ def merged_strings(table: pa.Table) -> pa.Table:
             count = count[0].astype(np.int64)
             begin = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])[:-1]
             at = _expand(begin, count)
+            texts.append(text)
+            places.append(at + held)
+            held += len(text)
             text, least = range_hashes(text, at, at + LENGTH), np.repeat(least, count)
         hashes.append(text)
         leasts.append(least)
     every, low = np.concatenate(hashes), np.concatenate(leasts)
     order = np.argsort(every)
-    every, low = every[order], low[order]
-    lead = np.flatnonzero(np.diff(every, prepend=every[0] + np.uint64(1)) != 0)
-    every, low = every[lead], np.minimum.reduceat(low, lead)
+    string = every[order]
     bucket = table.column("dest")[0].as_py()
-    return _messages([(4, s, bucket, _pack(low[np.searchsorted(every, h)]))
-                      for s, h in zip(shards, hashes, strict=True)])
+    wrong = _collisions(string, np.concatenate(places)[order], np.concatenate(texts)) if texts else string[:0]
+    if len(wrong):      # equal hashes of different strings: these are told apart by their bytes
+        data, place = np.concatenate(texts), np.concatenate(places)
+        apart, doubt = np.zeros(len(every), np.int64), np.isin(every, wrong)
+        rows = data[place[doubt][:, None] + np.arange(LENGTH)]
+        apart[doubt] = np.unique(rows, axis=0, return_inverse=True)[1].ravel() + 1
+        order = np.lexsort((apart, every))
+        new = np.ones(len(order), bool)
+        new[1:] = (every[order][1:] != every[order][:-1]) | (apart[order][1:] != apart[order][:-1])
+        least = np.minimum.reduceat(low[order], np.flatnonzero(new))
+        found = np.empty(len(order), np.int64)
+        found[order] = least[np.cumsum(new) - 1]
+        parts = np.split(found, np.cumsum([len(h) for h in hashes])[:-1])
+    else:
+        lead = np.flatnonzero(np.diff(string, prepend=string[0] + np.uint64(1)) != 0)
+        string, least = string[lead], np.minimum.reduceat(low[order], lead)
+        parts = [least[np.searchsorted(string, h)] for h in hashes]
+    return _messages([(4, s, bucket, _pack(part)) for s, part in zip(shards, parts, strict=True)])
+
+
+def _collisions(hashes: np.ndarray, place: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The sorted ``hashes`` that stand for different strings; ``place`` is where each string lies."""
+    again = np.flatnonzero(hashes[1:] == hashes[:-1])
+    word = _words(data)
+    differ = np.zeros(len(again), bool)
+    for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        differ |= word[place[again] + k] != word[place[again + 1] + k]
+    return np.unique(hashes[again[differ]])
 
 
 # -- 5. marking
