@@ -34,7 +34,15 @@ def settled(df: DataFrame, rows: int = ROWS_A_PARTITION) -> DataFrame:
     frame that an aggregate has made small would otherwise keep hundreds of them.
     """
     kept = df.checkpoint()
-    return kept.coalesce(partitions(kept.count(), rows))
+    n = kept.count()
+    forget_rounds(df)
+    return kept.coalesce(partitions(n, rows))
+
+
+def forget_rounds(df: DataFrame) -> None:
+    """Let go of what finished rounds left: Spark drops their shuffle files and broadcasts only
+    when a collection on the driver finds them unused, and a driver of small jobs seldom collects."""
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -105,6 +113,7 @@ def components(links: DataFrame, links_a_partition: int = LINKS_A_PARTITION) ->
     parts = partitions(n, links_a_partition)
     hot_from = max(HOT_NODE, n // 1000)
     edges = contracted(edges.coalesce(parts)).checkpoint()
+    forget_rounds(edges)
     while parts > 1 and not _are_stars(edges):
         edges = _to_smallest(edges, True, parts, hot_from)
         edges = contracted(_to_smallest(edges, False, parts, hot_from)).checkpoint()
