@@ -69,24 +69,33 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url",
     skewed join keys beyond that.
     """
     rules = rules.select("verdict", "host", "path").dropna().distinct()
-    # Distinct lengths of rule paths: bounded by the longest rule path, not by the rules.
+    # Distinct lengths of rule paths and label counts of rule hosts: bounded by the longest ones, not by the rules.
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    depths = sorted(r[0] for r in rules.select(_n_labels(F.col("host"))).distinct().collect())
     pages = without(pages, "host", "path", "rule", "verdict")
     parsed = (pages.withColumn("host", url_host(col(url_col)))
               .withColumn("path", url_path(col(url_col))))
-    found = _judge(parsed.select("host", "path").distinct(), rules, lengths)
-    h, p, r, v = fresh(parsed, "__h", "__p", "__r", "__v")
+    found = _judge(parsed.select("host", "path").distinct(), rules, lengths, depths)
+    h, p, r, v, d, e = fresh(parsed, "__h", "__p", "__r", "__v", "__d", "__e")
     found = found.select(F.col("host").alias(h), F.col("path").alias(p),
-                         F.col("rule").alias(r), F.col("rule_verdict").alias(v))
-    return (parsed.join(found, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+                         F.col("rule").alias(r), F.col("rule_verdict").alias(v), F.lit(0).alias(e))
+    # URLs without a host fit no rule; dealt out they do not meet in one task.
+    dealt = parsed.withColumn(d, F.when(F.col("host") == "", 1 + F.monotonically_increasing_id() % 1000)
+                              .otherwise(0).cast("int"))
+    return (dealt.join(found, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p))
+                       & (F.col(d) == F.col(e)), "left")
             .select(*map(col, pages.columns), "host", "path", F.col(r).alias("rule"),
                     F.coalesce(F.col(v), F.lit(default)).alias("verdict")))
 
 
-def _judge(urls: DataFrame, rules: DataFrame, lengths: list[int]) -> DataFrame:
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
+def _n_labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _judge(urls: DataFrame, rules: DataFrame, lengths: list[int], depths: list[int]) -> DataFrame:
+    # Only suffixes of as many labels as some rule's host has, cut from the right end.
+    suffixes = F.array_compact(F.array(*[F.when(_n_labels(F.col("host")) >= k, F.substring_index("host", ".", -k))
+                                         for k in depths])) if depths else F.array().cast("array<string>")
     fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths
                        else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = (urls.where(F.col("host") != "")
