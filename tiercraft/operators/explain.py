@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
@@ -10,6 +12,7 @@ from tiercraft import config
 from tiercraft.functions.columns import col, sentence
 from tiercraft.functions.numbers import fmt_int, fmt_money, parse_strict
 from tiercraft.functions.text import record_label
+from tiercraft.sources.layout import SortedTable
 from tiercraft.sources.readers import ROW_ORDER
 
 
@@ -107,6 +110,32 @@ def lookup_by_name(df: DataFrame, pick: str, id_col: str = "PlayerID") -> DataFr
     return df.where(by == F.lit(pick)).orderBy(*order, col(id_col).asc()).limit(1)
 
 
+@dataclass(frozen=True)
+class StoredRecords:
+    """F5, F7 without a scan: the records sorted by id, and their names sorted beside them."""
+
+    records: SortedTable
+    names: SortedTable
+
+    @classmethod
+    def write(cls, df: DataFrame, id_col: str, path: str, files: int) -> StoredRecords:
+        """Store records (ids unique, as the quarantine leaves them) in about ``files`` files."""
+        by = "FullName" if "FullName" in df.columns else id_col
+        pairs = df.select(col(by).cast("string").alias("name"), col(id_col).alias("id"),
+                          (col(ROW_ORDER) if ROW_ORDER in df.columns else F.lit(0)).alias("place"))
+        pairs = pairs.withColumn("place", F.struct("place", "id"))
+        return cls(SortedTable.write(df, id_col, f"{path}/records", files),
+                   SortedTable.write(pairs, "name", f"{path}/names", files, order="place"))
+
+    def by_id(self, spark: SparkSession, record_id) -> DataFrame:
+        return self.records.lookup(spark, record_id)
+
+    def by_name(self, spark: SparkSession, pick: str) -> DataFrame:
+        """The record that :func:`lookup_by_name` finds."""
+        first = self.names.lookup(spark, pick).agg(F.min("place").alias("p")).first()["p"]
+        return self.by_id(spark, first["id"] if first else None)
+
+
 def value_text(df: DataFrame, name: str) -> Column:
     """str() of a cell the way the record detail shows it (missing -> 'nan')."""
     dtype = df.schema[name].dataType

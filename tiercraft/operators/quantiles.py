@@ -51,6 +51,15 @@ def interpolate(x1: float, x2: float, h: float) -> float:
     return math.fma(1.0 - d, x1, d * x2)
 
 
+def _bin_of(bins: list[tuple], rank: int) -> tuple[float, float, int]:
+    """(min, max, rank within) of the bin that holds a rank."""
+    for n, lo, hi in bins:
+        if rank < n:
+            return lo, hi, rank
+        rank -= n
+    raise ValueError("the values changed between two rounds")
+
+
 def _as_col(value: Column | str) -> Column:
     return F.nanvl(col(value).cast("double"), F.lit(None).cast("double"))
 
@@ -75,18 +84,22 @@ class _Values:
         row = self.frame.agg(*aggs).first()
         return [(int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) for i in range(self.n)]
 
-    def bins(self, brackets: list[tuple[int, float, float]]) -> DataFrame:
-        """(b, bin, n, lo, hi) for the values in each bracket (column, lo, hi)."""
+    def bins(self, brackets: list[tuple[int, float, float]], outside: bool = False) -> DataFrame:
+        """(b, bin, n, lo, hi) for the values in each bracket (column, lo, hi); with ``outside``
+        also one bin of all values below the bracket and one of all above."""
         cells = []
         for b, (k, lo, hi) in enumerate(brackets):
             v = F.col(f"v{k}")
             # Halved, so that the width of the widest bracket stays finite; with an
             # infinite end the share is undefined and all inner values share a bin.
-            share = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+            share = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2 if lo < hi else 1.0)
             inner = F.coalesce(F.floor(F.nanvl(share, F.lit(0.0)) * BINS).cast("int"), F.lit(0))
             place = (F.when(v == F.lit(lo), 0).when(v == F.lit(hi), BINS + 1)
                      .otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(BINS - 1)) + 1))
-            cells.append(F.when(v.between(F.lit(lo), F.lit(hi)), F.struct(
+            if outside:
+                place = F.when(v < F.lit(lo), -1).when(v > F.lit(hi), BINS + 2).otherwise(place)
+            taken = v.isNotNull() if outside else v.between(F.lit(lo), F.lit(hi))
+            cells.append(F.when(taken, F.struct(
                 F.lit(b).alias("b"), place.alias("bin"), v.alias("v"))))
         if len(cells) == 1:
             rows = self.frame.select(cells[0].alias("c")).where("c IS NOT NULL").select("c.*")
@@ -95,17 +108,24 @@ class _Values:
         return rows.groupBy("b", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"),
                                             F.max("v").alias("hi"))
 
-    def histogram(self, brackets: list[tuple[int, float, float]]) -> list[list[tuple]]:
+    def histogram(self, brackets: list[tuple[int, float, float]], outside: bool = False) -> list[list[tuple]]:
         """Per bracket: its bins in order, as (count, min, max)."""
         out: list[list[tuple]] = [[] for _ in brackets]
-        for r in self.bins(brackets).collect():
+        for r in self.bins(brackets, outside).collect():
             out[r["b"]].append((r["bin"], r["n"], r["lo"], r["hi"]))
         return [[x[1:] for x in sorted(bins)] for bins in out]
 
-    def select(self, stats: list[Stats], targets: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
-        """The value at each target (column, 0-based rank among its non-null values)."""
+    def select(self, stats: list[Stats], targets: set[tuple[int, int]],
+               likely: Mapping[tuple[int, int], tuple[float, float]] | None = None
+               ) -> dict[tuple[int, int], float]:
+        """The value at each target (column, 0-based rank among its non-null values).
+
+        ``likely`` names a bracket (lo, hi) per target in which its value probably lies. The first
+        round counts what lies outside as well, so a wrong bracket costs a round, not the answer."""
         answer: dict[tuple[int, int], float] = {}
         place = {t: (stats[t[0]][1], stats[t[0]][2], t[1]) for t in targets}
+        if likely:
+            self._narrow(place, {t: likely[t] for t in targets}, [s[0] for s in stats])
         while True:
             for t, (lo, hi, _) in place.items():
                 if lo == hi:
@@ -119,12 +139,18 @@ class _Values:
             for bins, open_targets in zip(self.histogram(list(waiting)), waiting.values(),
                                           strict=True):
                 for t in open_targets:
-                    rank = place[t][2]
-                    for n, lo, hi in bins:
-                        if rank < n:
-                            place[t] = (lo, hi, rank)
-                            break
-                        rank -= n
+                    place[t] = _bin_of(bins, place[t][2])
+
+    def _narrow(self, place: dict, likely: dict, counts: list[int]) -> None:
+        brackets = defaultdict(list)
+        for t, (lo, hi) in likely.items():
+            brackets[t[0], lo, hi].append(t)
+        for bracket, bins in zip(brackets, self.histogram(list(brackets), outside=True), strict=True):
+            known, found = counts[bracket[0]], sum(n for n, _, _ in bins)
+            if found != known:
+                raise ValueError(f"{known} values are summarised, the data hold {found}")
+            for t in brackets[bracket]:
+                place[t] = _bin_of(bins, place[t][2])
 
 
 def order_statistics(df: DataFrame, value: Column | str,

@@ -14,6 +14,7 @@ from tiercraft.functions.numbers import (fmt_fixed, fmt_money, fmt_pct_signed, m
 from tiercraft.functions.text import normalise_id, shown
 from tiercraft.operators.asof import asof_join
 from tiercraft.operators.ranking import small_rank
+from tiercraft.sources.layout import JOIN_ID, write_bucketed
 from tiercraft.sources.readers import ROW_ORDER
 
 
@@ -47,13 +48,33 @@ def apply_trend(seg: DataFrame, prev: DataFrame, id_col: str) -> DataFrame:
         return seg
     p = dedupe_prior(prev, id_col)
     key = normalise_id(id_col, seg.schema[id_col].dataType)
+    return _with_change(seg.withColumn("_join_id", key).join(p, "_join_id", "left"), seg).drop("_join_id")
+
+
+def _with_change(out: DataFrame, seg: DataFrame) -> DataFrame:
+    """E11, E12 of the records ``seg`` joined with their ``NetADT_Prev``."""
     cur = parse_strict(seg, "NetADT")
-    out = seg.withColumn("_join_id", key).join(p, "_join_id", "left")
     pct = round_half_even(F.try_divide(cur - F.col("NetADT_Prev"),
                                        F.nullif(F.col("NetADT_Prev"), F.lit(0.0))) * 100, 1)
-    return (out.withColumn("TrendPct", pct)
-            .withColumn("Trend", trend_label(F.col("TrendPct")))
-            .drop("_join_id"))
+    return out.withColumn("TrendPct", pct).withColumn("Trend", trend_label(F.col("TrendPct")))
+
+
+def store_current(seg: DataFrame, id_col: str, table: str, buckets: int, path: str) -> DataFrame:
+    """A period's records (ids unique, as the quarantine leaves them) bucketed by stripped id."""
+    return write_bucketed(seg, normalise_id(id_col, seg.schema[id_col].dataType), table, buckets, path)
+
+
+def store_prior(prev: DataFrame, id_col: str, table: str, buckets: int, path: str) -> DataFrame:
+    """J2 done once: a prior period's first value per stripped id, bucketed as :func:`store_current` does."""
+    first = dedupe_prior(prev, id_col)
+    return write_bucketed(first, F.col(JOIN_ID), table, buckets, path)
+
+
+def apply_trend_stored(current: DataFrame, prior: DataFrame) -> DataFrame:
+    """J1 of two stored periods of equal bucket number: bucket meets bucket, no row is exchanged.
+
+    The merge hint keeps the planner from sending a small side to all tasks instead."""
+    return _with_change(current.join(prior.hint("merge"), JOIN_ID, "left"), current).drop(JOIN_ID)
 
 
 def apply_trend_asof(seg: DataFrame, prior: DataFrame, id_col: str, at: str, prior_at: str) -> DataFrame:
@@ -63,10 +84,7 @@ def apply_trend_asof(seg: DataFrame, prior: DataFrame, id_col: str, at: str, pri
     prior_key = normalise_id(id_col, prior.schema[id_col].dataType)
     out = asof_join(seg, prior, key, at, prior_key, prior_at,
                     {"NetADT_Prev": money_value(prior, "NetADT"), "PriorDate": prior_at})
-    cur = parse_strict(seg, "NetADT")
-    pct = round_half_even(F.try_divide(cur - F.col("NetADT_Prev"),
-                                       F.nullif(F.col("NetADT_Prev"), F.lit(0.0))) * 100, 1)
-    return out.withColumn("TrendPct", pct).withColumn("Trend", trend_label(F.col("TrendPct")))
+    return _with_change(out, seg)
 
 
 def trend_counts(seg: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from tiercraft.functions.dates import day_first_columns, days_since, parse_date,
 from tiercraft.functions.numbers import parse_money, parse_strict
 from tiercraft.operators import bands, heavy_hitters, intake, mapping, quality, rollup, segment, trend, worklist
 from tiercraft.operators import explain as ex
+from tiercraft.operators import quantile_summaries as summaries
 from tiercraft.operators.quantiles import multi_quantiles
 from tiercraft.plans import runner
 from tiercraft.plans.export import publish_run, published
@@ -671,6 +672,47 @@ def _published(spark, sf_dir, name: str) -> DataFrame:
     return read_records(spark, published(spark, out)[name])
 
 
+# -- stored layouts and summaries ----------------------------------------------
+
+BUCKETS = 8     # on a cluster: rows / some millions, the same for all periods
+
+
+def q_trend_stored(spark, sf_dir):
+    """J1, J2 of two periods that are stored bucketed by id: the join exchanges nothing."""
+    name = uuid.uuid4().hex
+    folder = f"{ensure_checkpoint_dir(spark)}/periods-{name}"
+    seg, _ = segment.segment_players(_stored(fx.current(spark, sf_dir)))
+    cur = trend.store_current(seg, "PlayerID", f"current_{name}", BUCKETS, f"{folder}/current")
+    prior = trend.store_prior(fx.prior(spark, sf_dir), "PlayerID", f"prior_{name}", BUCKETS, f"{folder}/prior")
+    return trend.apply_trend_stored(cur, prior).select("PlayerID", "NetADT", "Segment", "NetADT_Prev", "TrendPct", "Trend")
+
+
+def q_record_lookup_stored(spark, sf_dir):
+    """F5 on records sorted by id: only the file and pages that can hold the id are read."""
+    seg, _ = players_segmented(spark, sf_dir)
+    stored = ex.StoredRecords.write(seg, "PlayerID", f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}", BUCKETS)
+    return stored.by_id(spark, "P1").select("PlayerID", "FullName", "Segment")
+
+
+def q_lookup_by_name_stored(spark, sf_dir):
+    """F7 on records with their names sorted beside them; names repeat."""
+    d = fx.players(spark, sf_dir).withColumn("FullName", F.concat(
+        F.lit("Name "), (F.col(ROW_ORDER) % 10).cast("string")))
+    stored = ex.StoredRecords.write(d, "PlayerID", f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}", BUCKETS)
+    return stored.by_name(spark, "Name 3").select("PlayerID", "FullName")
+
+
+def q_line_quantiles_summarised(spark, sf_dir):
+    """G1, A16 from summaries kept per month of shipping: the exact cuts with one pass over the values."""
+    lines = fx.lines(spark, sf_dir).withColumn("part", F.floor(F.col("days_since_ship") / 30))
+    path = f"{ensure_checkpoint_dir(spark)}/summaries-{uuid.uuid4().hex}"
+    summaries.summarise(lines, ["part"], ["amount", "days_since_ship"]).write.parquet(path)
+    q = summaries.quantiles_from(lines, {"cut": ("amount", 0.75), "low": ("amount", 0.25),
+                                         "median_days": ("days_since_ship", 0.5)}, spark.read.parquet(path))
+    return lines.agg(F.count(F.lit(1)).alias("records"),
+                     *[F.lit(v).cast("double").alias(k) for k, v in q.items()])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)

@@ -940,6 +940,10 @@ SELECT PlayerID, NetADT_Prev, TrendPct, Trend FROM ct"""
 ORACLE["worklist_file"] = f"""SELECT Player, Segment, NetADT, rank FROM ({ORACLE["worklist"]})"""
 ORACLE["sql_file"] = ORACLE["sql_records"].replace('ORDER BY total_value DESC', '')
 
+for stored, plain in (("trend_stored", "trend"), ("record_lookup_stored", "record_lookup"),
+                      ("lookup_by_name_stored", "lookup_by_name"), ("line_quantiles_summarised", "line_quantiles")):
+    ORACLE[stored] = ORACLE[plain]
+
 
 def _summary() -> str:
     """The report's lines; the value table is laid out as pandas prints a frame."""
