@@ -3,8 +3,9 @@
 Each line is good or bad given its own features and its neighbours'; the chain
 couples neighbouring labels. Training lines carry their document's label. A
 document's score is the mean of its lines' forward-backward marginals, weighted
-by line length. The model is fitted on a bounded sample of labelled documents,
-whose line features (not texts) come to the driver; scoring is one scan.
+by line length. The model is fitted on a sample of labelled documents that is bounded in
+documents and in lines and whose line features (not texts) come to the driver;
+scoring is one scan.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiercraft.llm.quality_rules import COMMON_WORDS
 from tiercraft.llm.text import col, fresh, without
 from tiercraft.llm.vec import LOWER, byte_class, range_hashes, text_slices, word_bounds
+from tiercraft.session import ensure_checkpoint_dir
 
-MAX_TRAIN_DOCS = 3000   # the sample: labelled documents, in the order of a hash of their id
+#: The sample: so many labelled documents, in the order of a hash of their id; of these, those of
+#: at most MAX_TEXT_LINES lines, while they hold no more than MAX_TRAIN_LINES together.
+MAX_TRAIN_DOCS, MAX_TRAIN_LINES, MAX_TEXT_LINES = 3000, 400_000, 5000
 THRESHOLD = 0.7
 EPOCHS, RATE, RIDGE = 150, 0.1, 1e-3
 
@@ -65,7 +69,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     end[first[1:] - 1] = offsets[1:]
     size = end - start
     low = LOWER[data]
-    ws, we, _ = word_bounds(low, offsets, _LETTER)
+    ws, we, first_word = word_bounds(low, offsets, _LETTER)
     word = range_hashes(low, ws, we)
     w0, w1 = np.searchsorted(ws, start), np.searchsorted(ws, end)
     n_words = w1 - w0
@@ -75,6 +79,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         return (total[b] - total[a]).astype(np.float64)
     n = {k: per_line(table[data], start, end) for k, table in _CLASSES.items()}
     again = np.concatenate([[False], word[1:] == word[:-1]]) if len(word) else np.zeros(0, bool)
+    again[first_word[:-1][first_word[:-1] < len(word)]] = False     # a text's first word repeats none
     common = _COMMON[np.minimum(np.searchsorted(_COMMON, word), len(_COMMON) - 1)] == word
     capital = _CLASSES["upper"][data[ws]]
     chars, letters = np.maximum(size, 1), np.maximum(n["upper"] + n["lower"], 1)
@@ -196,10 +201,12 @@ def fold(id_col: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", held_out_fold: int = 2,
-        max_docs: int = MAX_TRAIN_DOCS) -> LineModel:
+        max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES,
+        max_text_lines: int = MAX_TEXT_LINES) -> LineModel:
     """The model of at most ``max_docs`` labelled documents outside the held-out fold.
 
-    Rows without a label or an id are left out; of an id's rows the one with the
+    Those of more than ``max_text_lines`` lines are left out, and those beyond the first
+    ``max_lines`` lines of all; every text is scored, whatever its lines. Rows without a label or an id are left out; of an id's rows the one with the
     smallest text and label is taken; with no labels at all every text scores 0.5.
     """
     known = (labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label"))
@@ -210,6 +217,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The sample has max_docs rows at most, so it can be broadcast.
     texts = (docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
              .join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")))
+    ensure_checkpoint_dir(docs.sparkSession)
+    texts = texts.withColumn("lines", F.regexp_count("text", F.lit("\n")) + 1).checkpoint()    # read twice
+    # A window over at most max_docs rows of two columns.
+    running = Window.orderBy(F.md5(F.col("id").cast("string")), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = (texts.select("id", "lines").where(F.col("lines") <= max_text_lines)
+             .withColumn("so_far", F.sum("lines").over(running)).where(F.col("so_far") <= max_lines).select("id"))
+    texts = texts.join(F.broadcast(taken), "id")
 
     def features(t: pa.Array) -> pa.Array:
         out = []
