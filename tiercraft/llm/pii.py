@@ -111,13 +111,17 @@ def _confirmed(kind: str, m: Column) -> Column:
     return ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9")
 
 
-def _score(kind: str, text: Column, start: Column) -> Column:
-    near = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1,
-                               F.least(start, F.lit(CONTEXT_CHARS))))
-    bonus = F.when(F.regexp_like(near, F.lit(rf"\b(?:{CONTEXT[kind]})\b")), CONTEXT_BONUS)
+def _score(kind: str, before: Column) -> Column:
+    """The score of a span after the ``CONTEXT_CHARS`` code points ``before``."""
+    bonus = F.when(F.regexp_like(F.lower(before), F.lit(rf"\b(?:{CONTEXT[kind]})\b")), CONTEXT_BONUS)
     return F.least(F.lit(1.0), F.lit(START_SCORE[kind]) + bonus.otherwise(0.0))
 
 
+def _tail(c: Column) -> Column:
+    """The last ``CONTEXT_CHARS`` code points of a string."""
+    return F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
@@ -140,17 +144,20 @@ def _spans(kind: str, text: Column) -> Column:
 
     def located(matches: Column) -> Column:
         def fold(gaps: Column) -> Column:
+            # The context is carried along: taken from the text it would be counted from the text's start.
             def one(acc, i):
-                m = F.get(matches, i)
-                start = acc["at"] + F.length(F.get(gaps, i))
-                used = F.lit(4) if kind == "iban" else F.length(m)
+                m, gap = F.get(matches, i), F.get(gaps, i)
+                start = acc["at"] + F.length(gap)
+                used = F.substring(m, 1, 4) if kind == "iban" else m
+                before = _tail(F.concat(acc["before"], _tail(gap)))
                 span = F.struct(F.lit(kind).alias("kind"), start.cast("bigint").alias("start"),
                                 (start + F.length(m)).cast("bigint").alias("end"),
-                                _score(kind, text, start).alias("score"))
+                                _score(kind, before).alias("score"))
                 ok = _confirmed(kind, m)
                 if kind in ADDED_KINDS:
-                    ok = ok & (_score(kind, text, start) >= MIN_SCORE)
-                return F.struct((start + used).cast("int").alias("at"),
+                    ok = ok & (_score(kind, before) >= MIN_SCORE)
+                return F.struct((start + F.length(used)).cast("int").alias("at"),
+                                _tail(F.concat(before, _tail(used))).alias("before"),
                                 F.when(ok, F.concat(acc["spans"], F.array(span).cast(_SPAN)))
                                 .otherwise(acc["spans"]).alias("spans"))
 
@@ -159,11 +166,12 @@ def _spans(kind: str, text: Column) -> Column:
                 first = c * _CHUNK
                 last = F.least(first + _CHUNK, F.size(matches)) - 1
                 done = F.aggregate(F.sequence(first, last), F.struct(
-                    acc["at"].alias("at"), none.alias("spans")), one)
+                    acc["at"].alias("at"), acc["before"].alias("before"), none.alias("spans")), one)
                 return let(done, lambda d: F.struct(
-                    d["at"].alias("at"), F.concat(acc["spans"], d["spans"]).alias("spans")))
+                    d["at"].alias("at"), d["before"].alias("before"),
+                    F.concat(acc["spans"], d["spans"]).alias("spans")))
             chunks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _CHUNK).cast("int"))
-            return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("spans")),
+            return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("spans")),
                                chunk)["spans"]
         return F.when(F.size(matches) == 0, none).otherwise(let(F.split(text, pattern, -1), fold))
 
