@@ -39,6 +39,25 @@ def _size_class(size: Column) -> Column:
         bits * 16 + F.floor(size / F.pow(F.lit(2.0), bits - 4))).cast("long")
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, per entry of ``sums``, its sum over the rows before each in ``order``.
+
+    Rows are range-partitioned and checkpointed, so that partitions stay as they
+    are; each starts with the totals of those before it (a row per partition).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    ranged = (df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+              .withColumn("__pid", F.spark_partition_id()).checkpoint())
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy("__pid").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+              .select("__pid", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums]))
+    return (ranged.join(F.broadcast(starts), "__pid")       # one row per partition
+            .select(*map(col, df.columns), *[(F.col(f"__{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n)
+                                             for n, c in sums.items()]))
+
+
 def allocate(per_source: DataFrame, share: float = 1.5, max_copies: float = 2.0,
              weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``target`` per row of (source, source_size), one row per source.
@@ -48,30 +67,27 @@ def allocate(per_source: DataFrame, share: float = 1.5, max_copies: float = 2.0,
     source's size and the excess is reshared by weight until none is above.
     Resharing ends at the level where the sources whose cap per weight lies
     under it are capped, so one pass in the order of cap per weight finds it.
+    Both orders are running sums over range partitions: no task holds all sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy("cap_per_weight", F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
+    by_name = [F.col("source").asc_nulls_last()]
+    placed = _running(per_source, by_name, {"place": F.lit(1)})
     cap = F.col("source_size") * F.lit(float(max_copies))
-    level = ((F.col("pool") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-             / F.sum("weight").over(onward))
-    return (per_source
-            .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (
-                (F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-            .withColumn("cap", cap).withColumn("cap_per_weight", F.col("cap") / F.col("weight"))
-            .withColumn("pool", F.sum("source_size").over(everything) * F.lit(float(share)))
-            .withColumn("level", level)
-            # The first source whose cap lies above its level sets the level of all after it.
-            .withColumn("level", F.min(F.when(F.col("cap_per_weight") >= F.col("level"),
-                                              F.struct("cap_per_weight", "level")))
-                        .over(everything)["level"])
-            .withColumn("target", F.when(F.col("level").isNull()
-                                         | (F.col("cap") <= F.col("level") * F.col("weight")),
-                                         F.col("cap"))
-                        .otherwise(F.col("level") * F.col("weight")))
-            .select("source", "source_size", "target"))
+    weighed = (placed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (
+                   F.col("place") % len(weights) + 1).cast("int")))
+               .withColumn("cap", cap).withColumn("cap_per_weight", F.col("cap") / F.col("weight")))
+    by_cap = _running(weighed, [F.col("cap_per_weight").asc(), *by_name],
+                      {"caps": F.col("cap"), "weights": F.col("weight")}).checkpoint()
+    whole_mix = by_cap.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    pool = (whole_mix["size"] or 0) * float(share)
+    level = (F.lit(pool) - F.col("caps")) / (F.lit(whole_mix["weight"] or 1) - F.col("weights"))
+    # The first source whose cap lies above its level sets the level of all after it;
+    # of sources equal in cap per weight the first has the highest level.
+    first = by_cap.agg(F.min(F.when(F.col("cap_per_weight") >= level, F.struct(
+        F.col("cap_per_weight").alias("at"), (-level).alias("down")))).alias("first")).first()["first"]
+    if first is None:       # every source is capped
+        return by_cap.select("source", "source_size", F.col("cap").alias("target"))
+    return by_cap.select("source", "source_size", F.least(
+        F.col("cap"), F.lit(-first["down"]) * F.col("weight")).alias("target"))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
