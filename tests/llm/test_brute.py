@@ -309,6 +309,35 @@ def test_near_dedup_around_a_hot_hub(docs_of, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows, 3, 85)
 
 
+def test_near_dedup_far_from_the_hub(docs_of, monkeypatch):
+    """Families that share half a text with the hub, so buckets hold documents far from it and linked to each other."""
+    monkeypatch.setattr(near_dedup, "NEAR", 0.99)
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 50)
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 7)
+    compared = []
+    by_difference = near_dedup._by_difference
+    monkeypatch.setattr(near_dedup, "_by_difference", lambda marked, *rest: compared.append(
+        {r.whole: r["count"] for r in marked.groupBy("whole").count().collect()}) or by_difference(marked, *rest))
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    hub = [rnd.choice(words) for _ in range(100)]
+    docs = [hub]
+    for family in range(12):
+        own = hub[:80] + [rnd.choice(words) for _ in range(20)] if family % 2 else (
+            hub[:60] + [rnd.choice(words) for _ in range(40)])
+        for _ in range(20):
+            t = list(own)
+            for _ in range(rnd.choice((0, 1, 2, 3, 5))):
+                t[rnd.randrange(len(t))] = rnd.choice(words)
+            docs.append(t)
+    docs += [[w if rnd.random() < 0.97 else rnd.choice(words) for w in hub] for _ in range(60)]
+    rnd.shuffle(docs)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = near_dedup.link_documents(docs_of(rows, parts=5), words=3, similarity=0.85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows, 3, 85)
+    assert compared[0].get(True, 0) > 100       # the case occurs
+
+
 def test_sketch_estimates_similarity():
     rnd = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):

@@ -12,8 +12,8 @@ In each band bucket the members are compared with one hub only (the smallest
 member in even bands, the largest in odd ones), and the links found are closed
 to components. Buckets that still hold several components get as hub the
 document with most links around them; documents near it are matched by their
-rare differences from it (prefix and position filters that lose no link), and
-only those far from it pair by pair.
+rare differences from it (prefix and position filters that lose no link), those
+far from it by their rare shingles in the same way.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from tiercraft.session import ensure_checkpoint_dir
 
 BULKY_ROWS = 10_000      # rows a partition for frames with sets or registers
 HOT_ROWS = 1_000         # a key of fewer rows is never hot
+CELL_ROWS = 2_000        # rows of one shingle that are matched with each other in one place
 REGISTERS, BUCKET_BITS, MANTISSA_BITS, VALUE_BITS = 128, 7, 10, 53
 MISS = 1e-6      # most often that a pair just at the threshold may share no band
 NEAR = 0.25      # documents at least so similar to a hub are matched by their differences from it
@@ -221,14 +222,38 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
                     F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a")).alias("delta")),
         BULKY_ROWS)
     label = rows.select("id", "component").distinct()
-    crossing = settled(_by_difference(near.join(label.hint("merge"), "id"), similarity, hot_from)
-                       .unionByName(_far_pairs(rows, near, similarity)).distinct())
+    seeking = (near.join(label.hint("merge"), "id").withColumn("seeks", ~F.col("linked"))
+               .withColumn("whole", F.lit(False)))
+    far = (_far(rows, near, hot_from).join(sets.select("id", F.col("set").alias("delta")).hint("merge"), "id")
+           .withColumn("n_hub", F.lit(0)).withColumn("linked", F.lit(False)).withColumn("whole", F.lit(True)))
+    crossing = settled(_by_difference(seeking.unionByName(far), similarity, hot_from).distinct())
     return (first.unionByName(near.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
             .unionByName(compared(crossing, similarity).select("a", "b")).checkpoint())
 
 
-def _by_difference(near: DataFrame, similarity: float, hot_from: int) -> DataFrame:
-    """Pairs (a, b) near one hub, not both linked to it, that may be linked.
+def _open(marked: DataFrame, keys: list[str], hot_from: int) -> DataFrame:
+    """The rows of the groups that hold one that seeks and more than one component."""
+    groups = (marked.groupBy(*keys)
+              .agg(F.max("seeks").alias("open"), F.min("component").alias("least"),
+                   F.max("component").alias("most"), F.count("*").alias("rows"))
+              .where("open AND least < most").select(*keys, "rows"))
+    return join_hot(marked, groups, keys, "rows", F.col("id"), hot_from)
+
+
+def _far(rows: DataFrame, near: DataFrame, hot_from: int) -> DataFrame:
+    """Per hub its buckets' documents far from it (they seek) and those near it but not linked to it.
+
+    A document linked to the hub cannot be linked to one that is far from it.
+    """
+    state = near.select("hub", "id", F.lit(False).alias("seeks"), "linked")
+    at = (rows.where("id != hub").select("hub", "id", "n", "component").distinct()
+          .join(state.hint("merge"), ["hub", "id"], "left")
+          .withColumn("seeks", F.coalesce("seeks", F.lit(True))).where("seeks OR NOT linked").drop("linked"))
+    return _open(at, ["hub"], hot_from)
+
+
+def _by_difference(marked: DataFrame, similarity: float, hot_from: int) -> DataFrame:
+    """Pairs (a, b) around one hub, one of which seeks, that may be linked.
 
     With the differences dx, dy of x and y from the hub (symmetric), x and y
     differ in |dx| + |dy| - 2 |dx & dy| shingles, at most t (|x| + |y|) if
@@ -238,6 +263,8 @@ def _by_difference(near: DataFrame, similarity: float, hot_from: int) -> DataFra
     Sets that share c elements also share one among the first size - c + 1 of
     each in any common order (prefix filter); the order here is rare ones first.
     From their first shared element on, both must have c elements left.
+    Documents far from the hub (``whole``) have their sets instead, which are
+    their differences from the empty set; all of the above holds for it too.
     """
     t = (1 - similarity) / (1 + similarity)
     size = F.size("delta")
@@ -246,39 +273,37 @@ def _by_difference(near: DataFrame, similarity: float, hot_from: int) -> DataFra
     reach = size - F.greatest(F.lit(1), half) + 1
     reach = F.when(F.col("linked"), reach).otherwise(
         F.greatest(reach, size - F.greatest(F.lit(1), most) + 1))
-    marked = near.withColumn("reach", reach).withColumn("size", size)
-    # A hub all of whose near documents are linked to it has nothing to compare.
-    open_hubs = (marked.groupBy("hub").agg(F.max(~F.col("linked")).alias("open"), F.count("*").alias("rows"))
-                 .where("open").drop("open"))
-    each = (join_hot(marked, open_hubs, ["hub"], "rows", F.col("id"), hot_from)
-            .select("hub", "id", "n", "component", "linked", "reach", "size", F.explode("delta").alias("e")))
-    rarity = each.groupBy("hub", "e").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("hub", "id").orderBy("often", "e"))
-    prefix = (each.join(rarity.hint("merge"), ["hub", "e"]).withColumn("place", place)
-              .where("place <= reach AND often > 1").drop("often", "reach")
+    group = ["hub", "whole"]
+    each = (_open(marked.withColumn("reach", reach).withColumn("size", size), group, hot_from)
+            .select(*group, "id", "n", "component", "seeks", "reach", "size", F.explode("delta").alias("e")))
+    # Elements of one component only lead to no pair, however many documents share them.
+    rarity = each.groupBy(*group, "e").agg(F.count("*").alias("often"),
+                                           (F.min("component") < F.max("component")).alias("mixed"))
+    place = F.row_number().over(Window.partitionBy(*group, "id").orderBy("often", "e"))
+    prefix = (each.join(rarity.hint("merge"), [*group, "e"]).withColumn("place", place)
+              .where("place <= reach AND mixed").drop("reach", "mixed")
               .withColumn("left", F.col("size") - F.col("place") + 1))
-    x = prefix.where("NOT linked")
-    y = prefix.select("hub", "e", *[F.col(c).alias(f"{c}_")
-                                    for c in ("id", "n", "component", "linked", "size", "left")])
+    x = _cells(prefix.where("seeks"), "row", "column")
+    y = _cells(prefix, "column", "row").select(*group, "e", "row", "column", *[
+        F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "seeks", "size", "left")])
     needed = (F.col("size") + F.col("size_") - t * (F.col("n") + F.col("n_"))) / 2 - 1e-9
-    met = (x.join(y.hint("merge"), ["hub", "e"])
-           .where((F.col("component") != F.col("component_")) & (F.col("linked_") | (F.col("id") < F.col("id_")))
+    met = (x.join(y.hint("merge"), [*group, "e", "row", "column"])
+           .where((F.col("component") != F.col("component_")) & (~F.col("seeks_") | (F.col("id") < F.col("id_")))
                   & (F.least("left", "left_") >= needed)
                   & (F.abs(F.col("size") - F.col("size_")) <= t * (F.col("n") + F.col("n_")))
                   & (F.least("n", "n_") >= F.greatest("n", "n_") * similarity)))
     return _ordered(met, "id", "id_")
 
 
-def _far_pairs(rows: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a bucket of which one is far from the hub and none is linked to it."""
-    state = near.select("hub", "id", F.lit(False).alias("far"), "linked")
-    at = (rows.where("id != hub").join(state.hint("merge"), ["hub", "id"], "left")
-          .withColumn("far", F.coalesce("far", F.lit(True))).where("far OR NOT linked"))
-    other = at.select("band", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "far")])
-    met = (at.where("far").join(other.hint("merge"), ["band", "key"])
-           .where((F.col("component") != F.col("component_")) & (~F.col("far_") | (F.col("id") < F.col("id_")))
-                  & (F.least("n", "n_") >= F.greatest("n", "n_") * similarity)))
-    return _ordered(met, "id", "id_").distinct()
+def _cells(prefix: DataFrame, dealt: str, repeated: str) -> DataFrame:
+    """Deal an element's rows along one side of a square of cells and repeat them along the other.
+
+    An element of at most ``CELL_ROWS`` rows has one cell; no cell of a commoner
+    one takes many more rows than that from either side.
+    """
+    side = F.ceil(F.col("often") / CELL_ROWS)
+    return (prefix.withColumn(dealt, F.pmod(F.xxhash64("id"), side))
+            .withColumn(repeated, F.explode(F.sequence(F.lit(0).cast("long"), side - 1))))
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
