@@ -224,8 +224,9 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
     label = rows.select("id", "component").distinct()
     seeking = (near.join(label.hint("merge"), "id").withColumn("seeks", ~F.col("linked"))
                .withColumn("whole", F.lit(False)))
-    far = (_far(rows, near, hot_from).join(sets.select("id", F.col("set").alias("delta")).hint("merge"), "id")
-           .withColumn("n_hub", F.lit(0)).withColumn("linked", F.lit(False)).withColumn("whole", F.lit(True)))
+    far = settled(_far(rows, near, hot_from).join(
+        sets.select("id", F.col("set").alias("delta")).hint("merge"), "id"), BULKY_ROWS)
+    far = (far.withColumn("n_hub", F.lit(0)).withColumn("linked", F.lit(False)).withColumn("whole", F.lit(True)))
     crossing = settled(_by_difference(seeking.unionByName(far), similarity, hot_from).distinct())
     return (first.unionByName(near.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
             .unionByName(compared(crossing, similarity).select("a", "b")).checkpoint())
@@ -246,7 +247,7 @@ def _far(rows: DataFrame, near: DataFrame, hot_from: int) -> DataFrame:
     A document linked to the hub cannot be linked to one that is far from it.
     """
     state = near.select("hub", "id", F.lit(False).alias("seeks"), "linked")
-    at = (rows.where("id != hub").select("hub", "id", "n", "component").distinct()
+    at = settled(rows.where("id != hub").select("hub", "id", "n", "component").distinct()
           .join(state.hint("merge"), ["hub", "id"], "left")
           .withColumn("seeks", F.coalesce("seeks", F.lit(True))).where("seeks OR NOT linked").drop("linked"))
     return _open(at, ["hub"], hot_from)
@@ -274,8 +275,9 @@ def _by_difference(marked: DataFrame, similarity: float, hot_from: int) -> DataF
     reach = F.when(F.col("linked"), reach).otherwise(
         F.greatest(reach, size - F.greatest(F.lit(1), most) + 1))
     group = ["hub", "whole"]
-    each = (_open(marked.withColumn("reach", reach).withColumn("size", size), group, hot_from)
-            .select(*group, "id", "n", "component", "seeks", "reach", "size", F.explode("delta").alias("e")))
+    # Written, as all below would carry its plan several times.
+    opened = settled(_open(marked.withColumn("reach", reach).withColumn("size", size), group, hot_from), BULKY_ROWS)
+    each = (opened.select(*group, "id", "n", "component", "seeks", "reach", "size", F.explode("delta").alias("e")))
     # Elements of one component only lead to no pair, however many documents share them.
     rarity = each.groupBy(*group, "e").agg(F.count("*").alias("often"),
                                            (F.min("component") < F.max("component")).alias("mixed"))
