@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 
 from tiercraft.llm import quality_rules
+from tiercraft.llm.oracle import ORACLE
 
 
 def text(rnd, lang, n=150):
@@ -57,3 +60,17 @@ def test_corpus_without_any_listed_language(docs_of, rows):
     _, odd = rows
     got = judged(docs_of, odd)
     assert {i for i, r in got.items() if not r.kept} == {350}
+
+
+@pytest.mark.parametrize("with_listed", [True, False])
+def test_sql_follows_the_same_rule(docs_of, rows, with_listed):
+    listed, odd = rows
+    table = listed * with_listed + odd + [(400, "", None), (401, None, " "), (402, "ab cd", "oc")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(table, columns=["doc_id", "text", "lang"]))
+    want = con.execute(ORACLE["op2_quality_rules"]).df().set_index("doc_id").sort_index()
+    got = judged(docs_of, table)
+    assert sorted(got) == list(want.index)
+    for i, r in got.items():
+        for c in want.columns:
+            assert r[c] == (pytest.approx(want.at[i, c], abs=2e-6) if "distance" in c else want.at[i, c]), (i, c)

@@ -118,31 +118,41 @@ def _js(counts: str, reference: str) -> str:
 _LANGS = quality_rules.COMMON_WORDS
 _CHARS = ", ".join("length(regexp_replace(t, '" + p.replace("'", "''") + "', '', 'g'))"
                    for p in quality_rules.CHAR_PATTERNS)
-_COMMON = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in _LANGS.items())
 _N_COMMON = max(map(len, _LANGS.values())) + 1
 _sums = {c: "[" + ", ".join(f"coalesce(sum({c}[{k + 1}]), 0)" for k in range(n)) + "]"
          for c, n in (("chars", len(quality_rules.CHAR_CLASSES)), ("common", _N_COMMON))}
+_LISTS = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in _LANGS.items())
+_LISTED = ", ".join(map(repr, _LANGS))
 _OP2 = rf"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t,
-         CASE WHEN lang IN ({', '.join(repr(k) for k in _LANGS)}) THEN lang ELSE 'en' END AS reference FROM documents),
+WITH r AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lang,
+                  regexp_replace(coalesce(text, ''), '[^\p{{L}}]+', '', 'g') AS letters FROM documents),
+d AS (SELECT rid, doc_id, t, CASE WHEN regexp_matches(lang, '[^{_SPACE}]') THEN lang
+                                  WHEN length(regexp_replace(letters, '\p{{Latin}}+', '', 'g')) * 2 > length(letters)
+                                  THEN '{quality_rules.NO_LANG}' END AS named FROM r),
 w AS (SELECT *, regexp_extract_all(t, '[^{_SPACE}]+') AS w, regexp_extract_all(lower(t), '\p{{L}}+') AS lw,
-             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS ls,
-             CASE reference {_COMMON} END AS cw FROM d),
-tri AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS ls FROM d),
+tri AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS g
         FROM (SELECT * FROM w WHERE len(w) >= 4), unnest(generate_series(1, len(w) - 2)) AS u(i)),
-again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
-rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM again, unnest([i, i + 1, i + 2]) AS u(p) GROUP BY doc_id),
-c AS (SELECT doc_id, reference, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[{_SPACE}]+', '', 'g'))::BIGINT AS word_chars,
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM again, unnest([i, i + 1, i + 2]) AS u(p) GROUP BY rid),
+c AS (SELECT rid, doc_id, named, lw, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[{_SPACE}]+', '', 'g'))::BIGINT AS word_chars,
              len(regexp_extract_all(t, '{quality_rules.SYMBOLS}'))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(lw) AS n_lw,
-             list_append([{_CHARS}], length(t) - list_sum([{_CHARS}]))::BIGINT[] AS chars,
-             list_transform(cw, lambda x: len(list_filter(lw, lambda y: y = x))) AS hits FROM w),
-m AS (SELECT *, list_append(hits, n_lw - list_sum(hits))::BIGINT[] AS common FROM c),
-ref AS (SELECT reference, {_sums['chars']} AS ref_chars, {_sums['common']} AS ref_common FROM m GROUP BY reference),
-j AS (SELECT m.*, {_js('chars', 'ref_chars')} AS char_distance, {_js('common', 'ref_common')} AS word_distance,
+             list_append([{_CHARS}], length(t) - list_sum([{_CHARS}]))::BIGINT[] AS chars FROM w),
+h AS (SELECT c.*, listed, list_transform(cw, lambda x: len(list_filter(lw, lambda y: y = x))) AS hits
+      FROM c JOIN (VALUES {_LISTS}) AS v(listed, cw) ON named = listed OR named IS NULL),
+m AS (SELECT *, list_append(hits, n_lw - list_sum(hits))::BIGINT[] AS common FROM h),
+ref AS (SELECT listed, {_sums['chars']} AS ref_chars, {_sums['common']} AS ref_common
+        FROM m WHERE named IS NOT NULL GROUP BY listed),
+own AS (SELECT named, {_sums['chars']} AS ref_chars FROM c WHERE named NOT IN ({_LISTED}) GROUP BY named),
+near AS (SELECT m.*, {_js('chars', 'ref_chars')} AS char_distance, {_js('common', 'ref_common')} AS word_distance
+         FROM m JOIN ref USING (listed) WHERE named IS NOT NULL OR list_sum(ref_common) > 0),
+compared AS (SELECT rid, char_distance, word_distance FROM near
+             QUALIFY row_number() OVER (PARTITION BY rid ORDER BY word_distance, char_distance, listed) = 1
+             UNION ALL SELECT rid, {_js('chars', 'ref_chars')}, 0.0 FROM c JOIN own USING (named)),
+j AS (SELECT c.*, coalesce(char_distance, 0.0) AS char_distance, coalesce(word_distance, 0.0) AS word_distance,
              list_sum(chars) AS n_chars, coalesce(n_repeat_words, 0)::BIGINT AS n_rep
-      FROM m JOIN ref USING (reference) LEFT JOIN rep USING (doc_id)),
+      FROM c LEFT JOIN compared USING (rid) LEFT JOIN rep USING (rid)),
 f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR n_rep * 100 > n_words * {quality_rules.MAX_REPEAT_PERCENT} AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_rep AS n_repeat_words,
        round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance, base_failed,
