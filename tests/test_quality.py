@@ -36,6 +36,26 @@ def test_quarantine_reasons_and_invariant(spark):
     assert kept.where(F.col("_row_order") == 5).first()["PlayerID"] == " P1 "
 
 
+def test_quarantine_computes_the_stripped_id_once_a_row(spark):
+    """A filter on the id would be pushed to the scan with the whole expression written out in it."""
+    df = spark.range(40).selectExpr("if(id % 4 = 0, null, concat(id % 10, '-x')) AS k",
+                                    "if(id < 8, 0, id) AS _row_order", "id AS n")
+    # rows without an id may share a row order
+    df = df.where("_row_order > 0 OR k IS NULL")
+    kept, rejects = quality.quarantine(df, "k")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "ascii" in x]
+    first, want = set(), set()
+    for i in [0, 4, *range(8, 40)]:
+        key = None if i % 4 == 0 else i % 10
+        if key is not None and key not in first:
+            first.add(key)
+            want.add(i)
+    assert {r.n for r in kept.collect()} == want
+    assert {r.n: r.QuarantineReason.split()[0] for r in rejects.collect()} == {
+        i: "Missing" if i % 4 == 0 else "Duplicate" for i in [0, 4, *range(8, 40)] if i not in want}
+
+
 def test_quarantine_without_id_column_passes_through(spark):
     df = _df(spark).drop("PlayerID")
     kept, rejects = quality.quarantine(df, "PlayerID")

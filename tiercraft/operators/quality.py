@@ -47,7 +47,7 @@ def classify_identity(df: DataFrame, id_col: str | None) -> DataFrame:
 
     Only (id, row order) pairs are shuffled to find the ids that repeat, with
     their first place; that set is joined back, by the planner's choice of
-    join. Rows without an id get join keys of their own (no id starts with a
+    join. Rows without an id get keys of their own (no id starts with a
     NUL), so they spread over all partitions; the rows of an id with a million
     rows or more are salted.
     """
@@ -62,10 +62,12 @@ def classify_identity(df: DataFrame, id_col: str | None) -> DataFrame:
     missing = id_is_missing(id_col, dtype, key=F.col("_qraw"))
     tagged = (staged.withColumn("_qmissing", missing)
               .withColumn("_qkey", F.when(F.col("_qmissing"), F.concat(
-                  F.lit("\0"), F.xxhash64(ROW_ORDER).cast("string"))).otherwise(F.col("_qraw")))
+                  F.lit("\0"), F.xxhash64(ROW_ORDER).cast("string")))
+                  .otherwise(F.coalesce("_qraw", F.lit(""))))
               .drop("_qraw"))
-    repeated = (tagged.where(~F.col("_qmissing"))
-                .groupBy("_qkey", ROW_ORDER).agg(F.count(F.lit(1)).alias("_qtied"))
+    # No filter on the id here, and no null key for the join to rule out: either would be
+    # pushed to the scan, where the stripped id is written out, and computed, dozens of times.
+    repeated = (tagged.groupBy("_qkey", ROW_ORDER).agg(F.count(F.lit(1)).alias("_qtied"))
                 .groupBy("_qkey").agg(F.min(ROW_ORDER).alias("_qfirst"),
                                       F.sum("_qtied").alias("_qn"),
                                       F.max("_qtied").alias("_qtied"))
