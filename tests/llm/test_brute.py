@@ -338,6 +338,17 @@ def test_near_dedup_far_from_the_hub(docs_of, monkeypatch):
     assert compared[0].get(True, 0) > 100       # the case occurs
 
 
+def test_near_dedup_plans_stay_small(docs_of, monkeypatch):
+    """No job carries the plans of several frames before it: the driver holds a task's record for each of its stages."""
+    wide, settled = [], near_dedup.settled
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count(" Exchange ")
+    monkeypatch.setattr(near_dedup, "settled", lambda df, *rest: wide.append(shuffles(df)) or settled(df, *rest))
+    got = near_dedup.link_documents(docs_of(near_copies(5, (0, 1, 2, 4, 8))), words=3, similarity=0.85)
+    assert shuffles(got) <= 4 and max(wide) <= 16, (shuffles(got), wide)
+
+
 def test_sketch_estimates_similarity():
     rnd = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):

@@ -155,8 +155,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot_from = max(HOT_ROWS, docs.count() // 1000)
     found = _links(base, settled(reps, BULKY_ROWS), words, similarity, hot_from)
     groups = (components(found).withColumnRenamed("node", "rep"))
-    labelled = classes.join(groups.hint("merge"), "rep", "left").select(
-        *klass, "members", F.coalesce("component", "rep").alias("component"))
+    # Written, as the caller's job would carry its plan several times.
+    labelled = settled(classes.join(groups.hint("merge"), "rep", "left").select(
+        *klass, "members", F.coalesce("component", "rep").alias("component")))
     linked = join_hot(real.select("id", *klass), labelled, klass, "members", F.col("id"), hot_from)
     alone = sketched.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component"))
     return (linked.select("id", "n", "component").unionByName(alone)
@@ -195,13 +196,13 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
     # Buckets that hold one component by now need no more. The hub of each of the others
     # is the document with most links so far in any of its members' components.
     ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id")))
-    linked = (components(first).withColumnRenamed("node", "id")
-              .join(ends.groupBy("id").agg(F.count("*").alias("degree")).hint("merge"), "id"))
+    linked = settled(components(first).withColumnRenamed("node", "id")
+                     .join(ends.groupBy("id").agg(F.count("*").alias("degree")).hint("merge"), "id"))
     centers = linked.groupBy("component").agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("center"),
                                               F.count("*").alias("members"))
-    central = join_hot(linked, centers, ["component"], "members", F.col("id"), hot_from)
-    known = (members.select("band", "key", "id", "n")
-             .join(central.select("id", "component", "center").hint("merge"), "id", "left")
+    central = settled(join_hot(linked, centers, ["component"], "members", F.col("id"), hot_from)
+                      .select("id", "component", "center"))
+    known = (members.select("band", "key", "id", "n").join(central.hint("merge"), "id", "left")
              .withColumn("component", F.coalesce("component", "id"))
              .withColumn("center", F.coalesce("center", F.struct(
                  F.lit(0).cast("long").alias("degree"), (-F.col("id")).alias("neg")))))
