@@ -1,11 +1,14 @@
 """Connected components against a plain union-find, in one partition and over star rounds with hot hubs."""
 
 import random
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tiercraft.llm import components
+from tiercraft.llm import components, near_dedup
 
 
 def plain(links):
@@ -56,3 +59,29 @@ def test_roots_of_random_forests():
         a, b = rng.integers(0, n, (2, int(rng.integers(0, 60))))
         want = plain(list(zip(a.tolist(), b.tolist(), strict=True)))
         assert components.roots(a, b, n).tolist() == [want.get(k, k) for k in range(n)]
+
+
+def test_small_frames_are_written_to_few_files(spark):
+    """Each file may cost an executor a process of its own for a moment."""
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    kept = components.settled(spark.range(0, 300, 1, 40).withColumnRenamed("id", "node"), 100)
+    folder = max(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("rdd-*"),
+                 key=lambda d: int(d.name.removeprefix("rdd-")))
+    assert len(list(folder.glob("part-*"))) == 3
+    assert kept.rdd.getNumPartitions() == 3
+    assert sorted(r.node for r in kept.collect()) == list(range(300))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
+def test_memory_of_a_batch_of_texts():
+    """The arrays of a slice of texts stay far below the limits of a Python worker."""
+    texts = pa.array(["some words of a text, and some more of them " * 50] * 4_000)
+    near_dedup.shingle_sets(texts.slice(0, 10), 5)
+    tracemalloc.start()
+    try:
+        sets = near_dedup.shingle_sets(texts, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(sets) == 4_000 and all((s == sets[0]).all() for s in sets)
+    assert peak < 64e6

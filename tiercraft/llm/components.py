@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +29,19 @@ def partitions(n: int, rows: int = ROWS_A_PARTITION) -> int:
 
 
 def settled(df: DataFrame, rows: int = ROWS_A_PARTITION) -> DataFrame:
-    """``df`` from a checkpoint, in as many partitions as its rows are worth.
+    """``df`` from a checkpoint of as many files as its rows are worth.
 
-    Each map task of a later shuffle leaves files however little it holds, and a
-    frame that an aggregate has made small would otherwise keep hundreds of them.
+    The rows are counted before they are written: for each file a task creates,
+    Hadoop's file systems may start a process of their own (the local one without
+    native code starts ``chmod`` for the file and its checksum), and for a moment
+    an executor then seems to take its memory twice. Each map task of a later
+    shuffle leaves files too, however little it holds.
     """
-    kept = df.checkpoint()
-    n = kept.count()
+    held = df.persist(StorageLevel.DISK_ONLY)
+    kept = held.coalesce(partitions(held.count(), rows)).checkpoint()
+    held.unpersist(blocking=True)
     forget_rounds(df)
-    return kept.coalesce(partitions(n, rows))
+    return kept
 
 
 def forget_rounds(df: DataFrame) -> None:
@@ -107,12 +112,12 @@ def components(links: DataFrame, links_a_partition: int = LINKS_A_PARTITION) ->
     lineage stays short; the rounds grow with the logarithm of the longest chain.
     """
     ensure_checkpoint_dir(links.sparkSession)
-    edges = (links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-             .where("a > b").checkpoint())
+    edges = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                    .where("a > b"), links_a_partition)
     n = edges.count()
     parts = partitions(n, links_a_partition)
     hot_from = max(HOT_NODE, n // 1000)
-    edges = contracted(edges.coalesce(parts)).checkpoint()
+    edges = contracted(edges).checkpoint()
     forget_rounds(edges)
     while parts > 1 and not _are_stars(edges):
         edges = _to_smallest(edges, True, parts, hot_from)

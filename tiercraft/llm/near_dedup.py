@@ -230,7 +230,7 @@ def _links(texts: DataFrame, reps: DataFrame, words: int, similarity: float, hot
     far = (far.withColumn("n_hub", F.lit(0)).withColumn("linked", F.lit(False)).withColumn("whole", F.lit(True)))
     crossing = settled(_by_difference(seeking.unionByName(far), similarity, hot_from).distinct())
     return (first.unionByName(near.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-            .unionByName(compared(crossing, similarity).select("a", "b")).checkpoint())
+            .unionByName(compared(crossing, similarity).select("a", "b")))  # components() reads it once
 
 
 def _open(marked: DataFrame, keys: list[str], hot_from: int) -> DataFrame:

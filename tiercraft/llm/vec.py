@@ -9,7 +9,7 @@ import pyarrow as pa
 
 #: Texts are handled in slices of about this many bytes, so that the arrays of
 #: a slice stay a few dozen times this size whatever the batch holds.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
