@@ -9,17 +9,20 @@ a smaller id. The work runs over shards of about 4 MB of text:
    ``SEED``-byte piece within each string. Equal strings have equal anchors, so
    only strings whose anchor occurs in two documents can repeat. Anchors meet
    by hash, five bytes each, and the repeated ones go back to their shards.
-3. Each shard builds the suffix array of its candidate bytes (Larsson-Sadakane
-   refinement up to ``length``) and the common prefixes of neighbours (Kasai).
-   Suffixes that share ``length`` bytes are one string; each distinct run of
-   strings under one anchor leaves the shard once, with its smallest id.
-4. Runs meet by anchor. The strings of all shards are merged into one sorted
-   list with their smallest ids, in which each shard's are looked up by binary
-   search; the smallest ids return to the shards.
+3. Each shard builds the suffix array of the candidate bytes whose anchor it
+   has twice (Larsson-Sadakane refinement up to ``length``) and the common
+   prefixes of neighbours (Kasai). Suffixes that share ``length`` bytes are one
+   string; each distinct run of strings under one anchor leaves the shard once,
+   with its smallest id. A run alone under its anchor is distinct as it is.
+4. Runs meet by anchor. Equal runs of all shards are folded to one with the
+   smallest id. Where an anchor is left with different runs, their strings are
+   merged into one sorted list with their smallest ids; elsewhere the run's id
+   is that of all its strings. The smallest ids return to the shards.
 5. Each shard marks its bytes.
 
-Strings meet by 64-bit hash and are then compared byte by byte; hashes that
-stand for two strings are resolved by their bytes.
+Runs and strings meet by 64-bit hash and are then compared byte by byte; string
+hashes that stand for two strings are resolved by their bytes, runs that a
+common hash keeps apart meet by their strings.
 
 An anchor of ``HOT`` shards or more would bring too many runs together: its
 strings travel one by one, as hashes only, and meet by them, at most one a shard.
@@ -42,11 +45,12 @@ from tiercraft.llm.vec import POWERS, mix, range_hashes
 from tiercraft.session import ensure_checkpoint_dir
 
 LENGTH, SEED = 50, 24
-SHARD_BYTES, BUCKET_BYTES, HOT = 4 << 20, 8 << 20, 1000
+SHARD_BYTES, BUCKET_BYTES, BUCKETS, HOT = 4 << 20, 8 << 20, 128, 1000
 _PIECE = 1 << 18
 _LANES = 8192
 _RESIDUE_BITS = 40
-_ZSTD = 3
+_CODEC = pa.Codec("zstd", compression_level=3)
+_WINDOWS = 1 << 20
 
 _SHARD = "shard bigint, n_bytes bigint, ids array<bigint>, sizes array<bigint>, data binary"
 _MESSAGE = "kind int, dest bigint, origin bigint, data binary"
@@ -56,12 +60,12 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed message."""
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], np.int64)
     raw = head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=_ZSTD).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     size = int.from_bytes(data[:8], "little")
-    raw = pa.Codec("zstd").decompress(data[8:], size, asbytes=True)
+    raw = _CODEC.decompress(data[8:], size, asbytes=True)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(-1, 2)
     out, at = [], 8 + 16 * n
@@ -255,6 +259,11 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _word_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``at`` on, all inside ``data``, as a little-endian number."""
+    return np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))[at]
+
+
 def _order(key: np.ndarray, bound: int) -> np.ndarray:
     """Places of ``key`` (below ``bound``) in ascending order; where key and place fit one number, that is sorted."""
     bits = max(1, (len(key) - 1).bit_length())
@@ -344,11 +353,12 @@ def string_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
 
     Only the bytes under the starts enter the suffix array.
     """
-    cover = np.bincount(starts, minlength=len(data) + 1)
-    cover -= np.bincount(starts + length, minlength=len(data) + 1)
-    used = np.cumsum(cover[:-1]) > 0
+    cover = np.zeros(len(data) + 1, np.int8)
+    cover[starts] = 1
+    cover[starts + length] -= 1     # a start counts once, so ``length`` of them cover a byte at most
+    used = np.cumsum(cover[:-1], dtype=np.int32) > 0
     text = data[used]
-    at = (np.cumsum(used) - 1)[starts]  # a string's bytes are all used, so it stays in one piece
+    at = (np.cumsum(used, dtype=np.int32) - 1)[starts]  # a string's bytes are all used, so it stays in one piece
     sa, rank, coarse, known = suffix_array(text, length)
     # Neighbours of one last group share the string; those whose groups parted before the last
     # refinement do not. Between them, the common prefix decides.
@@ -370,6 +380,16 @@ def _expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) - np.repeat(total[:-1] - start, count)
 
 
+def _together(key: np.ndarray) -> np.ndarray:
+    """Whether another place holds the same key."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    out = np.zeros(len(key), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
 def shard_candidates(buckets: int):
     """Per shard: its distinct candidate runs to their buckets, and to itself where they lie."""
     def run(key, shard_table: pa.Table, found: pa.Table) -> pa.Table:
@@ -388,10 +408,16 @@ def shard_candidates(buckets: int):
         anchor = _keys(anchor, buckets)
         mine = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
         anchor, start, count = anchor[mine], start[mine], count[mine]
+        hot = np.zeros(len(anchor), bool)
+        if len(hot_keys):
+            hot = hot_keys[np.minimum(np.searchsorted(hot_keys, anchor), len(hot_keys) - 1)] == anchor
         windows = _expand(start, count)
-        number = string_classes(data, windows, LENGTH)
+        # A run that is alone under its anchor here equals no other run of the shard.
+        inside = np.repeat(_together(anchor) | hot, count)
+        number = np.arange(len(data), len(data) + len(windows))
+        if inside.any():
+            number[inside] = string_classes(data, windows[inside], LENGTH) - 1
         if len(hot_keys):  # runs under a hot anchor become runs of one window
-            hot = hot_keys[np.minimum(np.searchsorted(hot_keys, anchor), len(hot_keys) - 1)] == anchor
             single = np.repeat(hot, count)
             start = np.concatenate([start[~hot], windows[single]])
             first = np.concatenate([[0], np.cumsum(count)])[:-1]
@@ -406,7 +432,7 @@ def shard_candidates(buckets: int):
         owner = ids[np.searchsorted(offsets, start, "right") - 1]
         # The first and the last string of a run cover it: equal numbers are equal runs.
         a, b = number[lead], number[lead + count - 1]
-        order = np.lexsort((count, b, a, dest))  # neighbours in text order compress well
+        order = np.lexsort((count, b, a, _word_at(data, start).byteswap(), dest))  # neighbours in text order compress well
         same = np.ones(len(order), bool)
         for v in (dest, count, a, b):
             same[1:] &= v[order][1:] == v[order][:-1]
@@ -417,10 +443,16 @@ def shard_candidates(buckets: int):
         dest_d, start_d, count_d = dest[order][head], start[order][head], count[order][head]
         edge = np.flatnonzero(np.diff(dest_d, prepend=-1, append=-1))
         out = []
+        size = count_d + LENGTH - 1
+        begin = np.concatenate([[0], np.cumsum(size)])
+        text, held, done = data[:0], 0, 0       # texts of the runs from ``held`` up to ``done``
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if dest_d[x] < buckets:
-                text = data[_expand(start_d[x:y], count_d[x:y] + LENGTH - 1)]
-                message = _pack(least[x:y], text, count_d[x:y].astype(np.uint8))
+                if y > done:    # for many buckets at once
+                    held, done = x, max(y, int(np.searchsorted(begin, begin[x] + _PIECE)))
+                    text = data[_expand(start_d[held:done], size[held:done])]
+                message = _pack(least[x:y], text[begin[x] - begin[held]:begin[y] - begin[held]],
+                                count_d[x:y].astype(np.uint8))
             else:
                 message = _pack(least[x:y], range_hashes(data, start_d[x:y], start_d[x:y] + LENGTH))
             out.append((2, int(dest_d[x]), row["shard"], message))
@@ -445,51 +477,110 @@ def merged_strings(table: pa.Table) -> pa.Table:
     A shard's message to itself passes through."""
     if table.column("kind")[0].as_py() == 3:
         return table.select(["kind", "dest", "origin", "data"])
-    shards, hashes, leasts, texts, places, held = [], [], [], [], [], 0
-    for o, d in zip(table.column("origin"), table.column("data"), strict=True):
-        least, text, *count = _unpack(d.as_py())
-        shards.append(o.as_py())
-        if count:
-            count = count[0].astype(np.int64)
-            begin = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])[:-1]
-            at = _expand(begin, count)
-            texts.append(text)
-            places.append(at + held)
-            held += len(text)
-            text, least = range_hashes(text, at, at + LENGTH), np.repeat(least, count)
-        hashes.append(text)
-        leasts.append(least)
-    every, low = np.concatenate(hashes), np.concatenate(leasts)
-    order = np.argsort(every)
-    string = every[order]
-    bucket = table.column("dest")[0].as_py()
-    wrong = _collisions(string, np.concatenate(places)[order], np.concatenate(texts)) if texts else string[:0]
+    origin, bucket = table.column("origin").to_pylist(), table.column("dest")[0].as_py()
+    parts = [_unpack(d.as_py()) for d in table.column("data")]
+    edge = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
+    low = np.concatenate([p[0] for p in parts])
+    if len(parts[0]) == 2:      # strings under hot anchors, as hashes
+        least = _smallest(np.concatenate([p[1] for p in parts]), low)
+        return _messages([(4, s, bucket, _pack(least[x:y]))
+                          for s, x, y in zip(origin, edge[:-1], edge[1:], strict=True)])
+    text, count = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
+    del parts
+    least, first, strings = _smallest_of_runs(text, count, low)
+    out = []
+    for s, x, y in zip(origin, edge[:-1], edge[1:], strict=True):
+        part = np.repeat(least[x:y], count[x:y])
+        met = first[x:y] >= 0
+        if met.any():
+            part[np.repeat(met, count[x:y])] = strings[_expand(first[x:y][met], count[x:y][met])]
+        out.append((4, s, bucket, _pack(part)))
+    return _messages(out)
+
+
+def _smallest_of_runs(text: np.ndarray, count: np.ndarray, low: np.ndarray
+                      ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest ``low`` for the strings of runs that lie in ``text`` one after another.
+
+    Equal runs are folded first. Runs that share a string share their anchor, so
+    only where different runs are under one anchor do their strings meet. Per run:
+    what holds for all its strings, and -1 or the place from which the third array
+    has its strings one by one.
+    """
+    size = count + LENGTH - 1
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    order = np.argsort(_run_hashes(text, begin, size))
+    new = np.ones(len(order), bool)
+    new[1:] = count[order[1:]] != count[order[:-1]]
+    for word in _run_words(text, begin[order], size[order]):
+        new[1:] |= word[1:] != word[:-1]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    lead = np.flatnonzero(new)
+    least = np.minimum.reduceat(low[order], lead)
+    begin, size, many = begin[order[lead]], size[order[lead]], count[order[lead]]
+    anchor = np.empty(len(lead), np.uint64)
+    for at in range(0, len(lead), _PIECE // LENGTH):    # equal runs hold equal anchors: of the first string
+        heads = begin[at:at + _PIECE // LENGTH, None] + np.arange(LENGTH)
+        anchor[at:at + len(heads)] = _least_hashes(text[heads].ravel(), SEED, LENGTH - SEED + 1)[::LENGTH]
+    met = np.flatnonzero(_together(anchor))
+    met = met[np.argsort(anchor[met])]
+    anchor = anchor[met]
+    total = np.concatenate([[0], np.cumsum(many[met])])
+    strings, at = np.empty(total[-1], np.int64), 0
+    ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(met))
+    while at < len(met):        # whole anchors, some million strings at a time
+        to = int(ends[min(np.searchsorted(ends, np.searchsorted(total, total[at] + _WINDOWS)), len(ends) - 1)])
+        part = met[at:to]
+        own = text[_expand(begin[part], size[part])]
+        place = _expand(np.concatenate([[0], np.cumsum(size[part])])[:-1], many[part])
+        strings[total[at]:total[to]] = _smallest(
+            range_hashes(own, place, place + LENGTH), np.repeat(least[part], many[part]), own, place)
+        at = to
+    first = np.full(len(lead), -1)
+    first[met] = total[:-1]
+    return least[kind], first[kind], strings
+
+
+def _run_words(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes of each run, eight at a time; a shorter run's last eight stand again."""
+    for k in range(0, int(size.max()), 8):
+        yield _word_at(text, begin + np.minimum(k, size - 8))
+
+
+def _run_hashes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(begin), np.uint64)
+    for word in _run_words(text, begin, size):
+        out = mix(out ^ word)
+    return out
+
+
+def _smallest(hashes: np.ndarray, low: np.ndarray, data: np.ndarray | None = None,
+              place: np.ndarray | None = None) -> np.ndarray:
+    """For each string the smallest ``low`` of its equals; given where the strings lie, equal hashes are compared."""
+    order = np.argsort(hashes)
+    string = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = string[1:] != string[:-1]
+    wrong = string[:0] if data is None else _collisions(string, place[order], data)
     if len(wrong):      # equal hashes of different strings: these are told apart by their bytes
-        data, place = np.concatenate(texts), np.concatenate(places)
-        apart, doubt = np.zeros(len(every), np.int64), np.isin(every, wrong)
+        apart, doubt = np.zeros(len(hashes), np.int64), np.isin(hashes, wrong)
         rows = data[place[doubt][:, None] + np.arange(LENGTH)]
         apart[doubt] = np.unique(rows, axis=0, return_inverse=True)[1].ravel() + 1
-        order = np.lexsort((apart, every))
-        new = np.ones(len(order), bool)
-        new[1:] = (every[order][1:] != every[order][:-1]) | (apart[order][1:] != apart[order][:-1])
-        least = np.minimum.reduceat(low[order], np.flatnonzero(new))
-        found = np.empty(len(order), np.int64)
-        found[order] = least[np.cumsum(new) - 1]
-        parts = np.split(found, np.cumsum([len(h) for h in hashes])[:-1])
-    else:
-        lead = np.flatnonzero(np.diff(string, prepend=string[0] + np.uint64(1)) != 0)
-        string, least = string[lead], np.minimum.reduceat(low[order], lead)
-        parts = [least[np.searchsorted(string, h)] for h in hashes]
-    return _messages([(4, s, bucket, _pack(part)) for s, part in zip(shards, parts, strict=True)])
+        order = np.lexsort((apart, hashes))
+        new[1:] |= apart[order][1:] != apart[order][:-1]
+    found = np.empty(len(order), np.int64)
+    found[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return found
 
 
 def _collisions(hashes: np.ndarray, place: np.ndarray, data: np.ndarray) -> np.ndarray:
     """The sorted ``hashes`` that stand for different strings; ``place`` is where each string lies."""
     again = np.flatnonzero(hashes[1:] == hashes[:-1])
-    word = _words(data)
+    one, other = place[again], place[again + 1]
     differ = np.zeros(len(again), bool)
     for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
-        differ |= word[place[again] + k] != word[place[again + 1] + k]
+        differ |= _word_at(data, one + k) != _word_at(data, other + k)
     return np.unique(hashes[again[differ]])
 
 
@@ -535,6 +626,13 @@ def mark_shard(key, shard_table: pa.Table, messages: pa.Table) -> pa.Table:
                   pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()])
 
 
+def bucket_count(total: int, bucket_bytes: int) -> int:
+    """Buckets for ``total`` bytes of text: of ``bucket_bytes``, but beyond ``BUCKETS`` of them of up to four times that.
+
+    Every shard has a message for every bucket, so their number is the product of both."""
+    return max(1, math.ceil(total / min(max(bucket_bytes, total / BUCKETS), 4 * bucket_bytes)))
+
+
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES,
                 hot_shards: int = HOT) -> DataFrame:
@@ -554,7 +652,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base.where("id IS NOT NULL").mapInArrow(pack_shards(shard_bytes), _SHARD).write.parquet(f"{folder}/shards")
     shards = spark.read.schema(_SHARD).parquet(f"{folder}/shards")
     total = shards.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets = bucket_count(total, bucket_bytes)
     anchors = shards.mapInArrow(shard_anchors(buckets), _MESSAGE)
     repeated = anchors.groupBy("dest").applyInArrow(repeated_anchors(hot_shards), _MESSAGE)
     by_shard = shards.groupBy("shard")
