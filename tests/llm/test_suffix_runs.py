@@ -23,13 +23,14 @@ def of(table, column, value):
     return table.filter(pc.equal(table[column], value))
 
 
-def steps(shards):
-    """The steps of ``dedup_bytes`` with one bucket, in this process: (id, text, removed bytes)."""
+def steps(shards, buckets=1, hot=1000):
+    """The steps of ``dedup_bytes`` in this process: (id, text, removed bytes)."""
     tables = [shard_of(k, docs) for k, docs in enumerate(shards)]
-    found = sd.repeated_anchors(1000)(pa.concat_tables(
-        pa.Table.from_batches(sd.shard_anchors(1)(t.to_batches())) for t in tables))
-    runs = pa.concat_tables(sd.shard_candidates(1)(None, t, of(found, "dest", k)) for k, t in enumerate(tables))
-    back = pa.concat_tables([of(runs, "kind", 3), sd.merged_strings(of(runs, "kind", 2))])
+    anchors = pa.concat_tables(pa.Table.from_batches(sd.shard_anchors(buckets)(t.to_batches())) for t in tables)
+    found = pa.concat_tables(sd.repeated_anchors(hot)(of(anchors, "dest", b)) for b in pc.unique(anchors["dest"]))
+    runs = pa.concat_tables(sd.shard_candidates(buckets)(None, t, of(found, "dest", k)) for k, t in enumerate(tables))
+    sent = of(runs, "kind", 2)
+    back = pa.concat_tables([of(runs, "kind", 3), *(sd.merged_strings(of(sent, "dest", b)) for b in pc.unique(sent["dest"]))])
     out = []
     for k, (t, docs) in enumerate(zip(tables, shards, strict=True)):
         for (i, text), spans in zip(docs, sd.mark_shard(None, t, of(back, "dest", k))["spans"].to_pylist(), strict=True):
@@ -77,3 +78,16 @@ def test_messages_do_not_grow_with_the_square_at_once():
     assert [sd.bucket_count(n * mb, 8 * mb) for n in (0, 1, 8, 9, 864, 1024)] == [1, 1, 1, 2, 108, 128]
     assert [sd.bucket_count(n * mb, 8 * mb) for n in (2048, 4096, 10240)] == [128, 128, 320]   # 256, 512, 1280 before
     assert sd.bucket_count(1 << 40, 8 * mb) == (1 << 40) // (32 * mb)
+
+
+def test_hot_strings_of_a_shard_are_hashed_once(monkeypatch):
+    rnd = random.Random(13)
+    line = prose(rnd, 40)
+    docs = [(i, b" ".join((prose(rnd, rnd.randrange(30)), line, prose(rnd, rnd.randrange(30))))) for i in range(30)]
+    shards = [docs[k::3] for k in range(3)]
+    calls, plain = [], sd.range_hashes
+    monkeypatch.setattr(sd, "range_hashes", lambda data, *a: calls.append(len(data)) or plain(data, *a))
+    got = steps(shards, buckets=50, hot=3)
+    assert sorted(got) == removed(docs) and sum(map(sum, (g for _, _, g in got))) >= 29 * len(line)
+    whole = [sum(len(t) for _, t in s) for s in shards]
+    assert [calls.count(n) for n in whole] == [1, 1, 1]     # once for each of the 50 buckets before

@@ -424,11 +424,12 @@ def shard_candidates(buckets: int):
             lead = np.concatenate([first[~hot], np.flatnonzero(single)])
             count = np.concatenate([count[~hot], np.ones(int(single.sum()), np.int64)])
             dest = (anchor >> np.uint64(_RESIDUE_BITS)).astype(np.int64)[~hot]
-            own = range_hashes(data, windows[single], windows[single] + LENGTH) % np.uint64(buckets)
-            dest = np.concatenate([dest, buckets + own.astype(np.int64)])
+            own = range_hashes(data, windows[single], windows[single] + LENGTH)
+            dest = np.concatenate([dest, buckets + (own % np.uint64(buckets)).astype(np.int64)])
         else:
             lead = np.concatenate([[0], np.cumsum(count)])[:-1]
             dest = (anchor >> np.uint64(_RESIDUE_BITS)).astype(np.int64)
+            own = np.zeros(0, np.uint64)
         owner = ids[np.searchsorted(offsets, start, "right") - 1]
         # The first and the last string of a run cover it: equal numbers are equal runs.
         a, b = number[lead], number[lead + count - 1]
@@ -441,6 +442,8 @@ def shard_candidates(buckets: int):
         head = np.flatnonzero(~same)
         least = np.minimum.reduceat(owner[order], head)
         dest_d, start_d, count_d = dest[order][head], start[order][head], count[order][head]
+        plain = int(np.searchsorted(dest_d, buckets))       # the strings under hot anchors follow
+        hashes = own[order[head[plain:]] - (len(start) - len(own))]
         edge = np.flatnonzero(np.diff(dest_d, prepend=-1, append=-1))
         out = []
         size = count_d + LENGTH - 1
@@ -449,12 +452,12 @@ def shard_candidates(buckets: int):
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if dest_d[x] < buckets:
                 if y > done:    # for many buckets at once
-                    held, done = x, max(y, int(np.searchsorted(begin, begin[x] + _PIECE)))
+                    held, done = x, min(plain, max(y, int(np.searchsorted(begin, begin[x] + _PIECE))))
                     text = data[_expand(start_d[held:done], size[held:done])]
                 message = _pack(least[x:y], text[begin[x] - begin[held]:begin[y] - begin[held]],
                                 count_d[x:y].astype(np.uint8))
             else:
-                message = _pack(least[x:y], range_hashes(data, start_d[x:y], start_d[x:y] + LENGTH))
+                message = _pack(least[x:y], hashes[x - plain:y - plain])
             out.append((2, int(dest_d[x]), row["shard"], message))
         # Where the runs lie, by place, and which of the windows sent out are theirs.
         sent = np.concatenate([[0], np.cumsum(count_d)])[:-1]
